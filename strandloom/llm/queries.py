@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup, mixing, quality_rules, url_filter
+from strandloom.llm import exact_dedup, mixing, quality_rules, simhash, url_filter
 from strandloom.llm.common import UPPER, WORD, documents
 
 
@@ -16,6 +16,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("failed_rules")
 
@@ -24,7 +28,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mix_sources, op7_quality_rules, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter)}
 
 
 def _quality_sql() -> str:
