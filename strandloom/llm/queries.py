@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, mixing, quality_rules, simhash, url_filter
+from strandloom.llm import exact_dedup, language_id, line_dedup, mixing, quality_rules, simhash, url_filter
 from strandloom.llm.common import UPPER, WORD, documents
 
 
@@ -12,6 +13,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.identify(docs, model, ["doc_id", "held_out"])
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -28,7 +35,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 of the lines that stay (null text: null)."""
+    cut = line_dedup.line_dedup(documents(spark, sf_dir))
+    return cut.select("doc_id", F.col("n_lines_before").alias("n_lines"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup)}
 
 
 def _quality_sql() -> str:
