@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, language_id, line_dedup, mixing, quality_rules, simhash, url_filter
+from strandloom.llm import exact_dedup, language_id, line_dedup, mixing, quality_rules, simhash, token_blocks, url_filter
 from strandloom.llm.common import UPPER, WORD, documents
 
 
@@ -13,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_blocks(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -41,7 +46,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_lines_before").alias("n_lines"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_blocks, op3_language_id, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup)}
 
 
 def _quality_sql() -> str:
