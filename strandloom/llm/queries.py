@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, simhash, token_blocks, url_filter
+from strandloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_blocks, url_filter
 from strandloom.llm.common import UPPER, WORD, documents
 
 
@@ -50,13 +50,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_lines_before").alias("n_lines"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_blocks, op3_language_id, op4_byte_bpe, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_blocks, op3_language_id, op4_byte_bpe, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, op10_substring_dedup, pipeline)}
 
 
 def _quality_sql() -> str:
