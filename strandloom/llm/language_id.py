@@ -248,8 +248,9 @@ def fit(samples: list[tuple[str, str]], order: int = ORDER, held_back: int = HEL
 def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> DataFrame:
     """At most about 2 * texts rows of each language, of at most chars characters each, chosen by a hash of the text."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars)).select("text", "lang", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)).alias("u"))
-    shares = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.lit(float(texts) * (1 << 30)) / F.col("n"))
-    picked = rows.join(shares, "lang").where("u < most")
+    # A row for each label comes to the driver and goes back as a literal: texts are filtered where they are read.
+    most = [x for r in rows.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(float(texts) * (1 << 30) / r["count"]))]
+    picked = rows.where(F.col("u") < F.try_element_at(F.create_map(*most), F.col("lang"))) if most else rows
     # Copies of one text share its hash: each text counts once.
     return picked.groupBy("lang", "text").agg(F.first("u").alias("u"))
 
