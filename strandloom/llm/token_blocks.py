@@ -8,6 +8,7 @@ writer commits, so any store that Spark writes to will do and a lost task leaves
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -15,6 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +29,7 @@ BLOCK, PERCENTILE = 256, 90
 #: Ids in a segment, about; a longer document has a segment of its own.
 SEGMENT = 1 << 19
 #: Characters of text that are encoded at once, and words whose ids a worker remembers.
-SLICE, REMEMBERED = 1 << 20, 500_000
+SLICE, REMEMBERED = 1 << 22, 1_000_000
 MAGIC, HEAD = b"PFR1", struct.Struct("<4sIIQ")
 SEGMENT_SCHEMA = "part int, seq int, docs int, tokens long, data binary"
 
@@ -50,7 +54,7 @@ def pack(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
         rows = np.flatnonzero(width == w)
         for some in np.array_split(rows, -(-len(rows) // 512)):
             bits = (diff[some][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(some), -1)
-            for r, b in zip(some.tolist(), np.packbits(bits, axis=1), strict=True):
+            for r, b in zip(some.tolist(), np.packbits(bits, axis=1, bitorder="little"), strict=True):
                 packed[r] = b.tobytes()
     places, values = at_place.astype(np.uint8), high[at_block, at_place].astype("<u4")
     ends = np.cumsum(exceptions.astype(np.int64))
@@ -82,12 +86,16 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     names, nulls, lengths, low, width, exceptions, starts = parts
     body = np.frombuffer(data, np.uint8, len(data) - at, at)
     out = np.zeros((count, BLOCK), np.uint32)
-    for w in np.unique(width[width > 0]):
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
+        first, shift = np.arange(BLOCK) * w // 8, (np.arange(BLOCK) * w % 8).astype(np.uint64)
         for some in np.array_split(rows, -(-len(rows) // 512)):
-            take = starts[some].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)
-            bits = np.unpackbits(body[take], axis=1).reshape(len(some), BLOCK, int(w))
-            out[some] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+            got = np.zeros((len(some), BLOCK * w // 8 + 5), np.uint8)
+            got[:, :-5] = body[starts[some].astype(np.int64)[:, None] + np.arange(BLOCK * w // 8)]
+            value = np.zeros((len(some), BLOCK), np.uint64)
+            for k in range((w + 14) // 8):  # the bytes over which w bits can lie
+                value |= got[:, first + k].astype(np.uint64) << np.uint64(8 * k)
+            out[some] = value >> shift & np.uint64((1 << w) - 1)
     for k in np.flatnonzero(exceptions).tolist():
         lo, e = int(starts[k]) + int(width[k]) * BLOCK // 8, int(exceptions[k])
         out[k, body[lo : lo + e]] |= np.frombuffer(body[lo + e : lo + 5 * e].tobytes(), "<u4") << np.uint32(width[k])
@@ -95,41 +103,105 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(names.tolist(), nulls.tolist(), strict=True)], lengths.astype(np.int64), ids
 
 
-#: By vocabulary file: the tokenizer, and the ids (unsigned 32-bit, little-endian) of words that this worker has met.
-_met: dict = {}
-
-
-def encode_texts(texts: list, vocabulary: str) -> Iterator[bytes]:
-    """The ids of each text. The tokenizer drops white space and joins nothing across it, so a text's ids are those of
-    the words between its spaces, tabs and line ends; each new word is encoded by the library once."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    if vocabulary not in _met:
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        _met[vocabulary] = tokenizer, {}
-    tokenizer, ids = _met[vocabulary]
-    i = 0
-    while i < len(texts):
-        split, size = [], 0
-        while i < len(texts) and (not split or size < SLICE):
-            raw = (texts[i] or "").encode()
-            split.append(raw.split())
-            size += len(raw)
-            i += 1
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        new = list(set().union(*split).difference(ids))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            got = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, got, strict=True))
-        find = ids.__getitem__
-        for ws in split:
-            yield b"".join(map(find, ws))
+#: Words of these characters alone have one form (no composition, one lower-case letter for each), so they are cut here
+#: as the tokenizer would cut them, by its own pattern; all others go to it whole.
+PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xFF]+")
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class Encoder:
+    """Encodes by the tokenizers library and remembers the ids (unsigned 32-bit, little-endian) of words that it met.
+
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of the words between its
+    spaces, tabs and line ends. Plain words are cut further into the pieces that the tokenizer keeps apart; new pieces
+    are encoded many at a time, and tokens that end a piece tell where one stops."""
+
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        suffix = self.tokenizer.model.end_of_word_suffix
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in tokens.items() if t.endswith(suffix)]] = True
+        self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Word number i has ids[starts[i]:starts[i + 1]]."""
+        self.words: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def learn_words(self, words: list[str]) -> dict[str, bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got, strict=True)}
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        groups = [pieces[lo : lo + 64] for lo in range(0, len(pieces), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(group) or len(stops) and stops[-1] != 4 * len(ids):
+                self.pieces.update(self.learn_words(group))
+                continue
+            raw, stops = ids.tobytes(), stops.tolist()
+            self.pieces.update(zip(group, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        got: dict[str, bytes] = {}
+        other = [w for w in new if not PLAIN.fullmatch(w)]
+        for lo in range(0, len(other), 20_000):
+            got |= self.learn_words(other[lo : lo + 20_000])
+        plain = [w for w in new if w not in got]
+        for lo in range(0, len(plain), 50_000):
+            some = plain[lo : lo + 50_000]
+            cut = [[w.lower()] if w.isalpha() else CUT.findall(w.lower()) for w in some]
+            if len(self.pieces) > REMEMBERED // 2:
+                self.pieces.clear()
+            self.learn_pieces(list(set().union(*cut).difference(self.pieces)))
+            find = self.pieces.__getitem__
+            got.update((w, find(ps[0]) if len(ps) == 1 else b"".join(map(find, ps))) for w, ps in zip(some, cut, strict=True))
+        self.words.update(zip(got, range(len(self.words), len(self.words) + len(got)), strict=True))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(got.values()), "<u4")))
+        sizes = np.fromiter(map(len, got.values()), np.int64, len(got)) // 4
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+
+    def encode(self, texts: list) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < SLICE):
+                size += len(texts[j] or "")
+                j += 1
+            split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts[i:j]], pa.large_string()))
+            flat = split.flatten().dictionary_encode()
+            own = flat.dictionary.to_pylist()
+            if len(self.words) > REMEMBERED:
+                self.forget()
+            new = [w for w in own if w not in self.words]
+            if new:
+                self.learn(new)
+            number = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))[flat.indices.to_numpy()]
+            begins, sizes = self.starts[number], self.starts[number + 1] - self.starts[number]
+            ends = np.cumsum(sizes)
+            ids = self.ids[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))]
+            yield from (ids[lo:hi] for lo, hi in zip(upto, upto[1:], strict=False))
+            i = j
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encode_texts(texts: list, vocabulary: str) -> Iterator[np.ndarray]:
+    """The ids of each text, by this worker's encoder."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary].encode(texts)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
@@ -139,20 +211,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")
         held, names, size = [], [], 0
 
         def segment() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            data = pack(ids, names, [len(x) // 4 for x in held])
+            ids = np.concatenate(held)
+            data = pack(ids, names, [len(x) for x in held])
             return pd.DataFrame({"part": [part], "seq": [seq], "docs": [len(names)], "tokens": [len(ids)], "data": [data]})
 
         for b in batches:
             doc_ids = [None if x is None or x is pd.NA or x != x else int(x) for x in b["doc_id"].astype(object)]
             for doc_id, got in zip(doc_ids, encode_texts(b["text"].tolist(), vocabulary), strict=True):
-                held.append(got + end)
+                held.append(np.concatenate((got, end)))
                 names.append(doc_id)
-                size += len(held[-1]) // 4
+                size += len(held[-1])
                 if size >= SEGMENT:
                     yield segment()
                     held, names, size, seq = [], [], 0, seq + 1
