@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import written
 
 #: Length of the strings, of the anchors, text in a block, windows that are hashed at once.
-WINDOW, ANCHOR, BLOCK, SLICE = 50, 26, 4_000_000, 1 << 20
+WINDOW, ANCHOR, BLOCK, SLICE = 50, 26, 2_000_000, 1 << 20
 #: Results up to so many bytes, measured, are broadcast to the blocks that they belong to; larger ones are joined.
 BROADCAST_BYTES = 48 << 20
 LAST = (1 << 63) - 1
@@ -72,7 +72,7 @@ class Block:
 
     def __init__(self, dids: bytes, sizes: bytes, data: bytes, window: int, anchor: int):
         self.dids, self.sizes = np.frombuffer(dids, "<i8"), np.frombuffer(sizes, "<i8")
-        self.data, self.window, self.anchor = np.frombuffer(data, np.uint8), window, anchor
+        self.data, self.window, self.anchor = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), window, anchor
         self.ends = np.cumsum(self.sizes)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def earlier(h: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Rows (block, dids, sizes, data) of consecutive documents; a longer document is a block of its own."""
+    """Rows (block, dids, sizes, data) of consecutive documents, data compressed; a longer document is a block of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -166,7 +166,7 @@ def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
         def block() -> pd.DataFrame:
             sizes = np.fromiter(map(len, texts), "<i8", len(texts))
-            return pd.DataFrame({"block": [number], "dids": [np.array(dids, "<i8").tobytes()], "sizes": [sizes.tobytes()], "data": [b"".join(texts)]})
+            return pd.DataFrame({"block": [number], "dids": [np.array(dids, "<i8").tobytes()], "sizes": [sizes.tobytes()], "data": [zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]})
 
         for b in batches:
             for did, text in zip(b["did"].tolist(), b["text"].tolist(), strict=True):
