@@ -30,7 +30,7 @@ def whole_count(share: Column, n: Column) -> Column:
 
 
 def minus_log10(p: Column) -> Column:
-    return -F.log10(F.greatest(p, F.lit(5e-324)))
+    return 0.0 - F.log10(F.greatest(p, F.lit(5e-324)))
 
 
 def half_up(x: Column, digits: int) -> Column:
@@ -47,7 +47,7 @@ def length_bin(n: Column, edges: list[int]) -> Column:
 
 
 def rule_text(name: str, relation: str, value: Column) -> Column:
-    return F.format_string(f"{name} {relation} %.6g", value)
+    return F.format_string(f"{name} {relation} %.6f", value)
 
 
 def fraction_bin(x: Column, bins: int) -> Column:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that are handled at once, words that a worker remembers, words in one query.
-SLICE, REMEMBERED, WORDS = 1 << 20, 500_000, 50_000
+SLICE, REMEMBERED, WORDS = 1 << 20, 400_000, 50_000
 #: From this many bytes on a word contracts all places of its minimum rank in one round where that is the same.
 LONG = 128
 
@@ -85,7 +87,7 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         left, right, made, calm = zip(*merge_rows(self.ranks), strict=True)
         rows = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "made": pa.array(made, pa.int32()), "calm": list(calm)})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
@@ -138,10 +140,10 @@ class Coder:
             for ws in cut:
                 yield list(map(find, ws))
 
-    def decode(self, texts: list[list[str]]) -> Iterator[bytes]:
+    def decode(self, texts: Iterable[list[str]]) -> Iterator[bytes]:
         """The bytes of texts given as runs of ids; a run that was met before is not decoded again."""
-        for lo in range(0, len(texts), 64):
-            some = texts[lo : lo + 64]
+        texts = iter(texts)
+        while some := list(itertools.islice(texts, 64)):
             if len(self.units) > REMEMBERED:
                 self.units.clear()
             new = list(set().union(*some).difference(self.units))
@@ -165,13 +167,17 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
+def numbers(runs: list[str]) -> np.ndarray:
+    return np.array(" ".join(runs).split(), np.int32)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
     """docs with a column of token ids (array of int) for the whole text, null and empty texts: an empty array. A column
     of docs that has its name gives way. Repeated rows are encoded alike; an empty table gives no rows."""
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([[int(i) for i in " ".join(ws).split()] for ws in coder(path, pattern).encode(texts.tolist())])
+        return pd.Series([numbers(ws) for ws in coder(path, pattern).encode(texts.tolist())])
 
     return docs.withColumn(column, ids("text"))
 
@@ -181,11 +187,37 @@ def decode(tokens: DataFrame, path: str, pattern: str, column: str = "ids") -> D
 
     @F.pandas_udf("binary")
     def raw(ids: pd.Series) -> pd.Series:
-        return pd.Series(list(coder(path, pattern).decode([[" ".join(map(str, x[i : i + 16])) for i in range(0, len(x), 16)] if x is not None else [] for x in ids])))
+        cut = ([" ".join(map(str, x[i : i + 16].tolist())) for i in range(0, len(x), 16)] if x is not None else [] for x in ids)
+        return pd.Series(list(coder(path, pattern).decode(cut)))
 
     return tokens.withColumn("decoded", raw(column))
 
 
+def coded(texts: list, own: Coder) -> Iterator[tuple[list[str], bytes]]:
+    """The runs of ids of each text and the bytes that they decode to, a few texts at a time."""
+    for lo in range(0, len(texts), 128):
+        runs = list(own.encode(texts[lo : lo + 128]))
+        yield from zip(runs, own.decode(runs), strict=True)
+
+
+def tokens(docs: DataFrame, path: str, pattern: str, carry: list[str]) -> DataFrame:
+    """Columns carry of docs, then ids, n_tokens, and round_trip: whether the ids decode to the text (null: to nothing).
+    Edge cases as for encode(); rows leave the worker in small groups, so memory is that of a few texts."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = coder(path, pattern)
+        for b in batches:
+            for lo in range(0, len(b), 128):
+                part = b.iloc[lo : lo + 128]
+                texts = part["text"].tolist()
+                rows = [(numbers(ws), raw == (t or "").encode()) for t, (ws, raw) in zip(texts, coded(texts, own), strict=True)]
+                yield part[carry].assign(ids=[x for x, _ in rows], n_tokens=[len(x) for x, _ in rows], round_trip=[ok for _, ok in rows])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "ids array<int>, n_tokens long, round_trip boolean"])
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInPandas(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are not read): doc_id, n_tokens, ids_sha256 of the decimal
     ids joined by a space, decoded_sha256 of the bytes that the ids decode to. Null and empty texts: no tokens, and the
@@ -195,12 +227,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = coder(path, pattern)
         for b in batches:
             rows = []
-            texts = b["text"].tolist()
-            for lo in range(0, len(texts), 256):
-                runs = list(own.encode(texts[lo : lo + 256]))
-                for ws, raw in zip(runs, own.decode(runs), strict=True):
-                    ids = " ".join(ws)
-                    rows.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+            for ws, raw in coded(b["text"].tolist(), own):
+                ids = " ".join(ws)
+                rows.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
 

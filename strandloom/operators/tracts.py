@@ -52,7 +52,8 @@ def clean_gaps(tracts: DataFrame, gaps: DataFrame, keys: Sequence[str], width: i
 
 def inclusive(tracts: DataFrame) -> DataFrame:
     """Segment rows as written: Start, inclusive End, Length, State."""
-    return tracts.withColumns({"Start": F.col("s"), "End": F.col("e") - 1, "Length": F.col("e") - F.col("s"), "State": state_name(F.col("state"))}).drop("s", "e", "state")
+    rest = [c for c in tracts.columns if c not in ("s", "e", "state")]
+    return tracts.select(*rest, F.col("s").alias("Start"), (F.col("e") - 1).alias("End"), (F.col("e") - F.col("s")).alias("Length"), state_name(F.col("state")).alias("State"))
 
 
 def run_segments(rows: DataFrame, keys: Sequence[str], first: str, last: str, code: str) -> DataFrame:

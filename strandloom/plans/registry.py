@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import interval_queries
+from strandloom.plans import interval_queries, model_queries, score_queries, site_queries
 
-MODULES = (interval_queries,)
+MODULES = (model_queries, interval_queries, site_queries, score_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
