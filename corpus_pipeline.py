@@ -39,10 +39,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and n_tokens of each document of the mix, and whether the ids decode to its text."""
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), path, pattern), path, pattern)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return byte_bpe.tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "source"])
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("simhash_near_dedup", near_stage), ("mix_sources", mix_stage), ("byte_bpe", token_stage)]
