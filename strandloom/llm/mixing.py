@@ -10,8 +10,8 @@ from strandloom.llm.common import WORD, written
 
 #: Weights of the sources in the order of their names, repeating; share of all words to take; most times a source is taken.
 WEIGHTS, SHARE, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
-#: Rows that a task sorts at once, about.
-ROWS_A_BUCKET = 20_000
+#: Rows that a task sorts at once, about, and the fewest buckets.
+ROWS_A_BUCKET, BUCKETS = 20_000, 512
 
 
 def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> dict:
@@ -55,7 +55,7 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     total = sum(r.s for r in sums)
     goal = targets({r.source: r.s for r in sums}, weights, share, repeats) if total else {r.source: 0.0 for r in sums}
     budget = int(round(sum(goal.values())))
-    buckets = max(16, sum(r.n for r in sums) // ROWS_A_BUCKET)
+    buckets = max(BUCKETS, sum(r.n for r in sums) // ROWS_A_BUCKET)
     table = spark.createDataFrame(
         [(r.source, r.s, float(goal[r.source])) for r in sums], "source string, source_size long, target double"
     )
@@ -119,10 +119,7 @@ def cutoff(timed: DataFrame, budget: int, buckets: int, repeats: int) -> tuple |
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as many times as its copies, with its own columns."""
-    plan = mixing_plan(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "copies").distinct()
-    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    return (
-        docs.join(plan.where("copies > 0"), hit)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    plan = mixing_plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "copies").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select("row.*")
