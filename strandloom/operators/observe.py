@@ -47,7 +47,7 @@ def dense_counts(diffs: DataFrame, haps: DataFrame, windows: DataFrame, keys: Se
 def observations(wide: DataFrame, windows: DataFrame, width: int, fixed: Sequence[str] = ("chrom", "pos", "anc", *PANELS)) -> DataFrame:
     """The dense counts of a wide site table; sites are filtered and placed before they are spread by haplotype."""
     usable = wide.where(usable_ancestral(F.col("anc")))
-    placed = assign_windows(usable, windows, ["chrom"], width).drop("s", "e")
+    placed = assign_windows(usable, windows.select("chrom", "win", "s", "e"), ["chrom"], width).drop("s", "e")
     names = [*fixed, "win"]
     haps = [c for c in wide.columns if c not in fixed]
     grid = windows.select("chrom").distinct().withColumn("hap", F.explode(F.array(*[F.lit(h) for h in haps])))
