@@ -106,29 +106,44 @@ class Block:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(4) + a.tobytes() for a in map(np.ascontiguousarray, arrays))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Arrays as compressed bytes: all lowest bytes first, then all of the next, which leaves runs of like bytes."""
+    parts = []
+    for a in map(np.ascontiguousarray, arrays):
+        planes = a.view(np.uint8).reshape(-1, a.itemsize).T
+        parts.append(len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(4) + np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def spread(blob: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     while at < len(raw):
         n, kind = int.from_bytes(raw[at : at + 8], "little"), np.dtype(raw[at + 8 : at + 12].decode().strip())
-        out.append(np.frombuffer(raw, kind, n, at + 12))
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 12).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += 12 + n * kind.itemsize
     return out
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Ascending places as differences; np.cumsum takes them back."""
+    return np.diff(x, prepend=0).astype("<u4")
+
+
+def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that brings equal hashes together, where each group begins in it, and the group of each place of it."""
+    order = np.argsort(h)
+    a = h[order]
+    new = np.concatenate(([True], a[1:] != a[:-1]))
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def shared_hashes(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Whether another owner has the same hash, for each."""
-    order = np.lexsort((owner, h))
-    a, b = h[order], owner[order]
-    new = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    changed = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] != b[:-1]))) if len(a) else new
-    several = np.bincount(group, changed) > 0 if len(a) else new
     out = np.zeros(len(h), bool)
-    out[order] = several[group]
+    if len(h):
+        order, starts, group = groups(h)
+        own = owner[order]
+        out[order] = (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))[group]
     return out
 
 
@@ -146,14 +161,15 @@ def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def earlier(h: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a smaller did has the same hash, and the index of the smallest did that has it, for each."""
-    order = np.lexsort((did, h))
-    a = h[order]
-    new = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
-    first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else order
-    lead = np.empty(len(h), np.int64)
-    lead[order] = first
-    return did[lead] < did, lead
+    """Whether a smaller did has the same hash, and the first index of the smallest did that has it, for each."""
+    late, lead = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    if len(h):
+        order, starts, group = groups(h)
+        own = did[order]
+        low = np.minimum.reduceat(own, starts)[group]
+        late[order] = own > low
+        lead[order] = np.minimum.reduceat(np.where(own == low, order, len(h)), starts)[group]
+    return late, lead
 
 
 def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -166,7 +182,7 @@ def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
         def block() -> pd.DataFrame:
             sizes = np.fromiter(map(len, texts), "<i8", len(texts))
-            return pd.DataFrame({"block": [number], "dids": [np.array(dids, "<i8").tobytes()], "sizes": [sizes.tobytes()], "data": [zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]})
+            return pd.DataFrame({"block": [number], "dids": [np.array(dids, "<i8").tobytes()], "sizes": [sizes.tobytes()], "data": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]})
 
         for b in batches:
             for did, text in zip(b["did"].tolist(), b["text"].tolist(), strict=True):
@@ -184,14 +200,14 @@ def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.mapInPandas(run, "block long, dids binary, sizes binary, data binary")
 
 
-def dealt(block: int, bucket: np.ndarray, buckets: int, arrays: list[np.ndarray]) -> Iterator[dict]:
-    """Arrays cut by bucket, in the order they have."""
+def dealt(block: int, bucket: np.ndarray, buckets: int, keys: np.ndarray, places: np.ndarray) -> Iterator[dict]:
+    """Keys and ascending places cut by bucket."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in range(buckets):
         if cuts[k] < cuts[k + 1]:
             pick = order[cuts[k] : cuts[k + 1]]
-            yield {"bucket": k, "block": block, "data": squeeze(*[a[pick] for a in arrays])}
+            yield {"bucket": k, "block": block, "data": squeeze(keys[pick], steps(places[pick]))}
 
 
 def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list]]:
@@ -228,15 +244,16 @@ def shared_anchors(blocks: DataFrame, buckets: int, window: int, anchor: int) ->
                 place = place[first]
                 order = np.argsort(place)
                 h, place = h[order], place[order]
-                key = h // np.uint64(buckets)
-                yield pd.DataFrame(dealt(row.block, (h % np.uint64(buckets)).astype(np.int64), buckets, [(key & np.uint64(0xFFFFFFFF)).astype("<u4"), (key >> np.uint64(32)).astype("u1"), place.astype("<u4")]), columns=["bucket", "block", "data"])
+                # 32 bits within a bucket: two hashes that fall together only ask for text in vain.
+                key = (h // np.uint64(buckets) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                yield pd.DataFrame(dealt(row.block, (h % np.uint64(buckets)).astype(np.int64), buckets, key, place), columns=["bucket", "block", "data"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, numbers, blobs in by_bucket(batches):
             parts = [spread(x) for x in blobs]
-            key = np.concatenate([p[0].astype(np.uint64) | p[1].astype(np.uint64) << np.uint64(32) for p in parts])
+            key = np.concatenate([p[0] for p in parts])
             owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
-            place = np.concatenate([p[2] for p in parts])
+            place = np.concatenate([np.cumsum(p[1], dtype=np.int64) for p in parts])
             order = np.argsort(key)
             same = key[order][1:] == key[order][:-1]
             hit = np.zeros(len(key), bool)
@@ -244,7 +261,7 @@ def shared_anchors(blocks: DataFrame, buckets: int, window: int, anchor: int) ->
             hit[order[:-1][same]] = True
             cuts = np.searchsorted(owner[hit], np.arange(len(parts) + 1))
             place = place[hit]
-            out = [(numbers[i], squeeze(place[cuts[i] : cuts[i + 1]])) for i in range(len(parts)) if cuts[i] < cuts[i + 1]]
+            out = [(numbers[i], squeeze(steps(place[cuts[i] : cuts[i + 1]]))) for i in range(len(parts)) if cuts[i] < cuts[i + 1]]
             yield pd.DataFrame(out, columns=["block", "data"])
 
     return meet(blocks.mapInPandas(send, DEALT), find, "block long, data binary")
@@ -260,7 +277,7 @@ def repeated_windows(blocks: DataFrame, places: DataFrame, buckets: int, window:
                 h, place, start, end = own.anchors()
                 hit = shared_hashes(h, own.doc_of(place))
                 if row.found is not None and len(row.found):
-                    back = np.concatenate([spread(x)[0] for x in row.found]).astype(np.int64)
+                    back = np.concatenate([np.cumsum(spread(x)[0], dtype=np.int64) for x in row.found])
                     hit |= np.isin(h, h[np.isin(place, back)])
                 h, start, end = h[hit], start[hit], end[hit]
                 if not len(h):
@@ -284,7 +301,7 @@ def repeated_windows(blocks: DataFrame, places: DataFrame, buckets: int, window:
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     pick = order[cuts[k] : cuts[k + 1]]
                     text = own.data[ranges(start[pick], end[pick] + window - 1)]
-                    rows.append({"bucket": k, "block": row.block, "data": b"\1" + squeeze(docs[pick], start[pick].astype("<u4"), (end[pick] - start[pick]).astype("<u2"), text)})
+                    rows.append({"bucket": k, "block": row.block, "data": b"\1" + squeeze(docs[pick], steps(start[pick]), (end[pick] - start[pick]).astype("<u2"), text)})
                 yield pd.DataFrame(rows, columns=["bucket", "block", "data"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,7 +317,8 @@ def repeated_windows(blocks: DataFrame, places: DataFrame, buckets: int, window:
                 late, lead = earlier(windows_at(text, at, window), did)
                 check = np.flatnonzero(late)
                 late[check] = windows_at(text, at[check], window, 1) == windows_at(text, at[lead[check]], window, 1)
-                place = ranges(np.concatenate([p[1] for _, p in ask]).astype(np.int64), np.concatenate([p[1] for _, p in ask]).astype(np.int64) + counts)
+                begin = np.concatenate([np.cumsum(p[1], dtype=np.int64) for _, p in ask])
+                place = ranges(begin, begin + counts)
                 owner = np.repeat(np.arange(len(ask)), [int(p[2].sum(dtype=np.int64)) for _, p in ask])
                 cuts = np.searchsorted(owner[late], np.arange(len(ask) + 1))
                 place = place[late]
@@ -326,11 +344,15 @@ def windows_at(data: np.ndarray, at: np.ndarray, window: int, seed: int = 0) ->
     return out
 
 
-def joined(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """blocks with found, the blobs (block, data) of each: broadcast if they are small, which is measured first."""
-    table = written(found.groupBy("block").agg(F.collect_list("data").alias("found")), "op10-found")
-    size = table.agg(F.sum(F.expr("aggregate(found, 0L, (a, x) -> a + length(x) + 16)"))).first()[0] or 0
-    return blocks.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, "block", "left")
+def joined(blocks: DataFrame, found: DataFrame, small: int = 0) -> DataFrame:
+    """blocks with found, the blobs (block, data) of each: broadcast if they have at most small bytes, which is measured
+    first, else dealt by block like the blocks themselves."""
+    table = found.groupBy("block").agg(F.collect_list("data").alias("found"))
+    if small:
+        table = written(table, "op10-found")
+        size = table.agg(F.sum(F.expr("aggregate(found, 0L, (a, x) -> a + length(x) + 16)"))).first()[0] or 0
+        table = F.broadcast(table) if size <= small else table
+    return blocks.join(table, "block", "left")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block: int = BLOCK, texts: bool = False) -> DataFrame:
@@ -342,7 +364,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     before each other; rows that repeat a doc_id don't judge each other, so repeated rows fare alike. What is kept need
     not be valid UTF-8. An empty table gives no rows. Equality is that of two 64-bit hashes."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(pack_blocks(docs, block), "op10-blocks")
     places = shared_anchors(blocks, buckets, window, anchor)
     found = repeated_windows(blocks, places, buckets, window, anchor)
@@ -373,7 +395,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return joined(blocks, found).mapInPandas(run, schema)
+    return joined(blocks, found, BROADCAST_BYTES).mapInPandas(run, schema)
 
 
 def told_windows(own: Block, told: np.ndarray) -> np.ndarray:
