@@ -206,7 +206,7 @@ def encode_texts(texts: list, vocabulary: str) -> Iterator[np.ndarray]:
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Writes the ids of all texts, each with end_id behind it, as segments in ascending order of doc_id (null first,
-    rows of one doc_id in the order of their texts)."""
+    rows of one doc_id in the order of their texts' hashes, so that one doc_id with very many rows is split as well)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -232,8 +232,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
             yield segment()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInPandas(run, SEGMENT_SCHEMA).write.parquet(path)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id", "h")
+    rows.sortWithinPartitions("doc_id", "h", "text").mapInPandas(run, SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

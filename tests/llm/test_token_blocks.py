@@ -29,13 +29,14 @@ def test_odd_rows(spark, odd, empty):
 
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
-    data = sorted(((d, x) for d, x, *_ in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    want, start = [], 0
-    for d, x in data:
+    want = []
+    for d, x, *_ in ODD:
         ids = [*tok.encode(x or "", add_special_tokens=False).ids, 2]
-        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert sorted((tuple(r) for r in t.token_blocks(odd, PATH).collect()), key=lambda r: r[1]) == want
+        want.append((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    got = sorted(t.token_blocks(odd, PATH).collect(), key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert [r.doc_id for r in got] == sorted((d for d, *_ in ODD), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
     assert t.token_blocks(empty, PATH).count() == 0
 
 
