@@ -43,10 +43,11 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     Running sums are made in two steps, sums of buckets first and then within each bucket, so no task sorts a source.
     Only the sums by source, a row for each, come to the driver."""
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), "text"))
     sizes = written(
-        docs.select("doc_id", "source", n.alias("size"), F.xxhash64("text").alias("text_hash")).withColumn(
-            "u", F.xxhash64(F.lit(seed), "doc_id", "text_hash")
-        ),
+        docs.select("doc_id", "source", n.alias("size"), F.xxhash64("text").alias("text_hash"), digest.alias("digest")).withColumn(
+            "u", F.conv(F.substring(F.col("digest"), 1, 15), 16, 10).cast("long")
+        ).drop("digest"),
         "op5-sizes",
     )
     sums = sizes.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
@@ -54,12 +55,12 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     spark = docs.sparkSession
     total = sum(r.s for r in sums)
     goal = targets({r.source: r.s for r in sums}, weights, share, repeats) if total else {r.source: 0.0 for r in sums}
-    budget = int(round(sum(goal.values())))
+    budget = int(sum(goal.values()) + 1e-6)
     buckets = max(BUCKETS, sum(r.n for r in sums) // ROWS_A_BUCKET)
     table = spark.createDataFrame(
         [(r.source, r.s, float(goal[r.source])) for r in sums], "source string, source_size long, target double"
     )
-    bucketed = sizes.withColumn("b", F.pmod(F.shiftright("u", 20), F.lit(buckets)))
+    bucketed = sizes.withColumn("b", F.expr(f"u div {(1 << 60) // buckets + 1}"))
     own = W.partitionBy("source").orderBy("b")
     before = (
         bucketed.groupBy("source", "b")

@@ -29,7 +29,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    plan = mixing.mixing_plan(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,40 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.rul
 """
 
 
+def _mix_sql() -> str:
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    return f"""
+WITH s AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+  ('0x' || substr(md5(concat_ws('|', '42', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS u FROM documents),
+n AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS k FROM s GROUP BY source),
+w AS (SELECT *, ([{weights}])[k % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w FROM n),
+r AS (SELECT *, {mixing.REPEATS} * n / w AS r FROM w),
+o AS (SELECT *, row_number() OVER f AS p, ({mixing.SHARE} * (SELECT sum(n) FROM n) - (sum({mixing.REPEATS} * n) OVER f - {mixing.REPEATS} * n))::DOUBLE / ((SELECT sum(w) FROM w) - (sum(w) OVER f - w)) AS unit FROM r WINDOW f AS (ORDER BY r, k)),
+t AS (SELECT source, n, CASE WHEN r < x.unit THEN ({mixing.REPEATS} * n)::DOUBLE ELSE w * x.unit END AS target FROM r, (SELECT coalesce(min_by(unit, p), 1e300) AS unit FROM o WHERE r >= unit) x),
+c AS (SELECT s.*, t.n, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER () AS row FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT row, size, u, doc_id, (upto + k * n)::DOUBLE / target AS v FROM c, range({mixing.REPEATS}) x(k) WHERE size > 0),
+f AS (SELECT row, sum(size) OVER (ORDER BY v, u, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+g AS (SELECT row, count(*) AS copies FROM f WHERE upto <= (SELECT floor(sum(target) + 1e-6) FROM t) GROUP BY row)
+SELECT doc_id, size, n AS source_size, round(target, 6) AS target, size * coalesce(copies, 0) AS taken, source, coalesce(copies, 0)::INTEGER AS copies FROM c LEFT JOIN g USING (row)
+"""
+
+
+def _substring_sql() -> str:
+    n = substring_dedup.WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {substring_dedup.LAST}) AS did, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+c AS (SELECT r, did, length(hx) // 2 AS n, b, substr(hx, 2 * b + 1, {2 * (256 + n)}) AS t FROM d, LATERAL (SELECT unnest(range(0, length(hx) // 2 - {n - 1}, 256)) AS b)),
+w AS (SELECT r, did, b + j AS i, substr(t, 2 * j + 1, {2 * n}) AS s FROM c, range(256) o(j) WHERE b + j <= n - {n}),
+m AS (SELECT r, i FROM (SELECT r, did, i, min(did) OVER (PARTITION BY s) AS first FROM w) WHERE first < did),
+g AS (SELECT r, i, sum(CASE WHEN i <= before + {n} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM m)),
+p AS (SELECT r, min(i) AS s, max(i) + {n} AS e FROM g GROUP BY r, g),
+k AS (SELECT p.r, p.s, p.e, substr(hx, 2 * lag(p.e, 1, 0) OVER o + 1, 2 * (p.s - lag(p.e, 1, 0) OVER o)) AS part FROM p JOIN d USING (r) WINDOW o AS (PARTITION BY p.r ORDER BY p.s)),
+a AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(part, '' ORDER BY s) AS parts, max(e) AS upto FROM k GROUP BY r)
+SELECT doc_id, length(hx) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(parts || substr(hx, 2 * upto + 1), hx))) AS kept_sha256 FROM d LEFT JOIN a USING (r)
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_exact_dedup": f"""
@@ -103,6 +138,8 @@ WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """,
+        "op5_mix_sources": _mix_sql(),
         "op7_quality_rules": _quality_sql(),
         "op8_url_filter": _url_sql(),
+        "op10_substring_dedup": _substring_sql(),
     }
