@@ -209,7 +209,7 @@ def set_operations(s, d):
 def sorted_tracts(s, d):
     """Ordered by the sum of each haplotype, then place; rank keeps the order in the result."""
     rows = segments(s, d).groupBy("chrom", "hap", "state").agg(F.sum(F.col("e") - F.col("s")).alias("bp"))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("chrom").orderBy(F.desc("bp"), "hap", "state"))).orderBy("chrom", "rank")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("chrom").orderBy(F.desc("bp"), "hap", "state")).cast("long")).orderBy("chrom", "rank")
 
 
 def normalised_exposure(s, d):
