@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import absent, allele_set, derived, usable_ancestral
+from strandloom.operators import intervals
 
 #: Panels, in the order of the counts.
 PANELS = ("EU", "NA", "AF", "ND")
@@ -54,6 +55,17 @@ def observations(wide: DataFrame, windows: DataFrame, width: int, fixed: Sequenc
     return dense_counts(differences(to_long(placed, names)), grid, windows, ["chrom"])
 
 
+def masked_counts(diffs: DataFrame, haps: DataFrame, windows: DataFrame, keys: Sequence[str], modern: DataFrame, archaic: DataFrame, width: int) -> DataFrame:
+    """Dense counts of diffs (keys, pos, hap, win, d_*) where EU, NA and AF count within modern alone and ND within
+    archaic alone (keys, s, e)."""
+    parts = [(intervals.points_in(diffs, mask, keys, width), names) for mask, names in ((modern, PANELS[:3]), (archaic, PANELS[3:]))]
+    both = None
+    for rows, names in parts:
+        flags = rows.select(*keys, "hap", "win", *[(F.col(f"d_{p.lower()}") if p in names else F.lit(False)).alias(f"d_{p.lower()}") for p in PANELS])
+        both = flags if both is None else both.unionByName(flags)
+    return dense_counts(both, haps, windows, keys)
+
+
 def split_multiallelic(calls: DataFrame) -> DataFrame:
     """(chrom, pos, alleles) of calls (chrom, pos, ref, alt): alternatives are split, single bases kept and joined again,
     and sites of two to four alleles stay."""

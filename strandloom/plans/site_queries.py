@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alleles as al
 from strandloom.functions import scalars as sc
-from strandloom.operators import hmm, observe
-from strandloom.plans.domain import COUNTS, DAY, EVENTS, EXPOSURE, HOUR, ZEROED, counts, events, exposure, segments, segments_sql, table, zeroed
+from strandloom.operators import hmm, intervals, observe
+from strandloom.plans.domain import COUNTS, DAY, EVENTS, EXPOSURE, HOUR, ZEROED, counts, events, exposure, segments, segments_sql, signups, table, zeroed
 
 SETS = ("{A}", "{A,G}", "{C,T}", "{}", ".", "{G}", "{A,C,G,T}")
 ANC, ALLELES, GTS, ALTS = "ACGTacgtN.", "ACGT.gta", ("A|G", "C/C", ".", "./.", "T", ".|A", "AT|C"), ("A", "C,G", "AT", "G,TTA", "T")
@@ -78,6 +78,15 @@ def site_observations(s, d):
     return observe.observations(sites(s, d).drop("event_id"), wins, 6 * HOUR).select("chrom", "hap", "win", "o_eu", "o_na", "o_af", "o_nd")
 
 
+def masked_observations(s, d):
+    """Counts by day where signups of some users make the modern mask, and of others the archaic one."""
+    wins = exposure(s, d).select("chrom", "win", "s", "e")
+    long = observe.to_long(observe.assign_equal_windows(sites(s, d), DAY), [*FIXED, "win"])
+    haps = wins.select("chrom").distinct().withColumn("hap", F.explode(F.array(F.lit("H1"), F.lit("H2"), F.lit("H3"))))
+    masks = [intervals.merge(signups(s, d, *r), ["chrom"]) for r in ((0, 11), (12, 17))]
+    return observe.masked_counts(observe.differences(long), haps, wins.select("chrom", "win"), ["chrom"], *masks, DAY)
+
+
 def indel_filter(s, d):
     rows = calls(s, d)
     return rows.where(al.single_base(F.col("ref"), F.col("alt")))
@@ -219,7 +228,7 @@ def normalised_exposure(s, d):
 QUERIES = {
     "allele_set_parse": allele_set_parse, "allele_filters": allele_filters, "panel_differences": panel_differences, "site_windows": site_windows, "site_observations": site_observations,
     "site_equal_windows": lambda s, d: observe.assign_equal_windows(sites(s, d).select("event_id", "chrom", (F.col("pos") - 100_000).alias("pos")), 5 * HOUR),
-    "indel_filter": indel_filter, "genotype_sets": genotype_sets, "diploid_split": diploid_split, "site_keep": site_keep, "varying_sites": varying_sites, "panel_limit": panel_limit,
+    "masked_observations": masked_observations, "indel_filter": indel_filter, "genotype_sets": genotype_sets, "diploid_split": diploid_split, "site_keep": site_keep, "varying_sites": varying_sites, "panel_limit": panel_limit,
     "name_rules": names, "scalar_rules": scalar_rules, "rule_strings": rule_strings, "json_path": json_path, "multiallelic_chain": multiallelic, "merge_calls": merge_calls, "long_tracts": long_tracts,
     "state_filter": state_filter, "posterior_filter": posterior_filter, "aligned_windows": aligned_windows, "key_intersection": key_intersection, "key_union": key_union, "missing_keys": missing_keys,
     "first_of_panel": first_of_panel, "union_all": union_all, "set_operations": set_operations, "sorted_tracts": sorted_tracts, "normalised_exposure": normalised_exposure,
@@ -238,6 +247,9 @@ def oracles() -> dict[str, str]:
         "panel_differences": f"WITH {SITES}, {_long} SELECT event_id, hap, {_diff} FROM lg WHERE {_usable}",
         "site_windows": f"WITH {EXPOSURE}, {_wins_disjoint} SELECT event_id, ev.chrom, pos, s AS win, s, e FROM ev JOIN dw ON dw.chrom = ev.chrom AND pos >= s AND pos < e",
         "site_observations": f"WITH {EXPOSURE}, {_wins_disjoint}, {SITES.removeprefix(EVENTS + ', ')}, {_long}, df AS (SELECT chrom, pos, hap, {_diff} FROM lg WHERE {_usable}) SELECT dw.chrom, h.hap, dw.s AS win, {obs} FROM dw CROSS JOIN (VALUES ('H1'), ('H2'), ('H3')) h(hap) LEFT JOIN df ON df.chrom = dw.chrom AND df.hap = h.hap AND pos >= s AND pos < e GROUP BY ALL",
+        "masked_observations": f"""WITH {EXPOSURE}, {SITES.removeprefix(EVENTS + ', ')}, {_long}, df AS (SELECT chrom, pos, hap, {_diff} FROM lg WHERE {_usable}),
+mk AS (SELECT df.chrom, hap, pos // {DAY} AS win, d_eu AND m AS d_eu, d_na AND m AS d_na, d_af AND m AS d_af, d_nd AND a AS d_nd FROM (SELECT *, EXISTS (SELECT 1 FROM lm_i i WHERE i.chrom = df.chrom AND pos >= s AND pos < e) AS m, EXISTS (SELECT 1 FROM la_i i WHERE i.chrom = df.chrom AND pos >= s AND pos < e) AS a FROM df) df)
+SELECT ex.chrom, h.hap, ex.win, {obs} FROM ex CROSS JOIN (VALUES ('H1'), ('H2'), ('H3')) h(hap) LEFT JOIN mk ON mk.chrom = ex.chrom AND mk.hap = h.hap AND mk.win = ex.win GROUP BY ALL""",
         "site_equal_windows": f"WITH {EVENTS} SELECT event_id, chrom, pos - 100000 AS pos, (pos - 100000) // {5 * HOUR} AS win FROM ev WHERE pos >= 100000",
         "indel_filter": f"WITH {CALLS} SELECT * FROM cl WHERE length(ref) = 1 AND len(list_filter(string_split(alt, ','), lambda a: length(a) > 1)) = 0",
         "genotype_sets": f"WITH {CALLS} SELECT event_id, CASE WHEN len({_gt}) = 0 THEN '.' ELSE '{{' || array_to_string(list_sort({_gt}), ',') || '}}' END AS alleles FROM cl",

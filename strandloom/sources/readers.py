@@ -186,6 +186,16 @@ def find_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.regexp_extract("path", r"seed[._]?(\d+)", 1).try_cast("int").alias("seed"))
 
 
+def summaries(spark: SparkSession, paths: str | Sequence[str], tags: dict[str, str]) -> DataFrame:
+    """Long table of report documents: file, the tags that patterns with one group find in its path, accuracy, total_bp,
+    and state, precision, recall, f1, support_bp; what a document lacks is null."""
+    metrics = "struct<precision: double, recall: double, f1: double, support_bp: bigint>"
+    docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"accuracy double, total_bp bigint, per_state map<string, {metrics}>").alias("x"))
+    found = [F.regexp_extract("file", p, 1).alias(n) for n, p in tags.items()]
+    rows = docs.select("file", *found, "x.accuracy", "x.total_bp", F.explode_outer("x.per_state").alias("state", "m"))
+    return rows.select("file", *tags, "accuracy", "total_bp", "state", "m.precision", "m.recall", "m.f1", "m.support_bp")
+
+
 def column_plan(header: Sequence[str], samples: dict[str, Sequence[str]]) -> tuple[dict[str, list[int]], list[str]]:
     """Columns of each group of samples in the order of the configuration, those behind ALT that no group lists as neand,
     and the listed samples that the header lacks."""

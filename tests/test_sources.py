@@ -81,3 +81,9 @@ def test_writers(spark, tmp_path):
     conf = spark.createDataFrame([("EU", "EU", 5), ("EU", "AF", 2)], "truth_state string, pred_state string, bp long")
     writers.confusion_text(conf, ["EU", "AF"], str(tmp_path / "conf"))
     assert "EU\t5\t2" in "".join(p.read_text() for p in (tmp_path / "conf").glob("part*"))
+
+
+def test_summaries(spark, tmp_path):
+    put(tmp_path / "mod_25.nd_3.json", json.dumps({"accuracy": 0.5, "total_bp": 7, "per_state": {"EU": {"precision": 1.0, "support_bp": 4}}}))
+    got = readers.summaries(spark, str(tmp_path / "*.json"), {"modern": r"mod_(\d+)", "nd": r"nd_(\d+)"})
+    assert rows(got, "modern", "nd", "accuracy", "state", "precision", "recall", "support_bp") == [("25", "3", 0.5, "EU", 1.0, None, 4)]
