@@ -86,7 +86,7 @@ def chain_masks(tau: int, start: int) -> list[tuple[np.uint64, int]]:
 
 
 def stars(fps: np.ndarray, masks: list[tuple[np.uint64, int]]) -> tuple[list, list]:
-    """Edges from each fingerprint to the one from which its part of the run was reached first."""
+    """Edges from each fingerprint to the one from which its part of the run was reached, over links of the run."""
     out_a, out_b = [], []
     open_ = np.ones(len(fps), bool)
     for first in range(len(fps)):
@@ -195,7 +195,9 @@ def dense_links(fps: DataFrame, tau: int) -> DataFrame:
 def links(fps: DataFrame, tau: int = TAU, most: int = RUN) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fps (fp, distinct) that differ in tau bits at most."""
     keys = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("start"), F.col("fp").bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(signed(x))).alias("key")) for i, m, x in variants(tau)])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("k.key", "k.start", "fp")
+    # Fingerprints are few and small beside their keys: they are dealt to as many tasks as the keys will need.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.repartition(parts).select("fp", F.explode(keys).alias("k")).select("k.key", "k.start", "fp")
     found = written(rows.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(linker(tau, most), "a long, b long, dense boolean"), "op6-links")
     edges = found.where("not dense").select("a", "b")
     dense = found.where("dense").select(F.col("a").alias("fp")).distinct()
