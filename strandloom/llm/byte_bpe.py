@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that are handled at once, words that a worker remembers, words in one query.
-SLICE, REMEMBERED, WORDS = 1 << 20, 400_000, 50_000
+SLICE, REMEMBERED, WORDS = 1 << 21, 400_000, 20_000
 #: From this many bytes on a word contracts all places of its minimum rank in one round where that is the same.
 LONG = 128
 
@@ -39,7 +39,8 @@ WITH RECURSIVE s(w, pos, tok, after, next, round) AS (
     CASE WHEN own = best THEN gone_next WHEN after = (best & 16777215) THEN (best >> 24)::INTEGER ELSE next END, round + 1
   FROM q JOIN g USING (w) WHERE pos <> gone)
 )
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) GROUP BY w
+SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS text
+FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) JOIN vocabulary ON id = tok GROUP BY w
 """
 #: For long words: of a calm pair, whose result makes no pair of lower rank, all places that do not overlap contract
 #: together, which is what leftmost contractions would come to; places of a run of one token are paired from its left.
@@ -58,7 +59,8 @@ WITH RECURSIVE s(w, pos, tok, round) AS (
           ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next))))
   WHERE best IS NOT NULL AND gone IS DISTINCT FROM true
 )
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) GROUP BY w
+SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS text
+FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) JOIN vocabulary ON id = tok GROUP BY w
 """
 DECODE = """
 SELECT d, string_agg(piece, '' ORDER BY pos) AS text FROM
@@ -83,11 +85,14 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int, bool]]:
 
 
 class Coder:
-    """Encodes and decodes by the ranks of one file; words that were met are remembered, up to REMEMBERED."""
+    """Encodes and decodes by the ranks of one file; words that were met are remembered, up to a number that decides on
+    memory and speed alone."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         left, right, made, calm = zip(*merge_rows(self.ranks), strict=True)
         rows = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "made": pa.array(made, pa.int32()), "calm": list(calm)})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
@@ -96,21 +101,24 @@ class Coder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
         #: Runs of ids are decimal, joined by a space: those of a word, and the bytes that they stand for.
         self.words: dict[str, str] = {}
-        self.units: dict[str, bytes] = {}
-
-    def contract(self, words: list[bytes], rounds: str) -> Iterator[tuple[int, str]]:
-        """(place in words, ids) of each word."""
-        single = [self.ranks[bytes([b])] for b in range(256)]
-        start = pa.table({  # noqa: F841 (DuckDB reads it)
-            "w": pa.array([i for i, w in enumerate(words) for _ in w], pa.int32()),
-            "pos": pa.array([k for w in words for k in range(len(w))], pa.int32()),
-            "tok": pa.array([single[b] for w in words for b in w], pa.int32()),
-        })
+        self.tokens = {str(i): t.encode("latin-1") for i, t in self.db.sql("SELECT id, piece FROM vocabulary").fetchall()}
+        self.units: dict[str, bytes] = dict(self.tokens)
+
+    def forget(self) -> None:
+        self.words, self.units = {}, dict(self.tokens)
+
+    def contract(self, words: list[bytes], rounds: str) -> Iterator[tuple[int, str, str]]:
+        """(place in words, ids, characters of the bytes that the ids stand for) of each word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": tok})  # noqa: F841 (DuckDB reads it)
         got = self.db.sql(rounds).to_arrow_table()
-        return zip(got.column("w").to_pylist(), got.column("ids").to_pylist(), strict=True)
+        return zip(*(got.column(c).to_pylist() for c in ("w", "ids", "text")), strict=True)
 
     def learn(self, new: list[str]) -> None:
-        """Adds the ids of words. One that is a token is that token, as in the library whose ranks these are."""
+        """Adds the ids of words, and what they decode to, which the same ordered aggregation tells. A word that is a token
+        is that token, as in the library whose ranks these are."""
         todo: dict[str, list] = {SHORT_ROUNDS: [], LONG_ROUNDS: []}
         for w in new:
             raw = w.encode()
@@ -121,8 +129,9 @@ class Coder:
         for rounds, pairs in todo.items():
             for lo in range(0, len(pairs), WORDS):
                 some = pairs[lo : lo + WORDS]
-                for i, ids in self.contract([raw for _, raw in some], rounds):
+                for i, ids, text in self.contract([raw for _, raw in some], rounds):
                     self.words[some[i][0]] = ids
+                    self.units[ids] = text.encode("latin-1")
 
     def encode(self, texts: list) -> Iterator[list[str]]:
         """The ids of each text, word by word."""
@@ -133,8 +142,8 @@ class Coder:
                 cut.append(self.pattern.findall(texts[i] or ""))
                 size += len(texts[i] or "")
                 i += 1
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
+            if max(len(self.words), len(self.units) - len(self.tokens)) > self.remembered:
+                self.forget()
             self.learn(list(set().union(*cut).difference(self.words)))
             find = self.words.__getitem__
             for ws in cut:
@@ -143,28 +152,31 @@ class Coder:
     def decode(self, texts: Iterable[list[str]]) -> Iterator[bytes]:
         """The bytes of texts given as runs of ids; a run that was met before is not decoded again."""
         texts = iter(texts)
-        while some := list(itertools.islice(texts, 64)):
-            if len(self.units) > REMEMBERED:
-                self.units.clear()
-            new = list(set().union(*some).difference(self.units))
-            if new:
-                units = pa.table({"d": pa.array(range(len(new)), pa.int32()), "ids": pa.array(new, pa.string())})  # noqa: F841
-                got = self.db.sql(DECODE).to_arrow_table()
-                for d, text in zip(got.column("d").to_pylist(), got.column("text").to_pylist(), strict=True):
-                    self.units[new[d]] = text.encode("latin-1")
-            find = self.units.__getitem__
-            for runs in some:
-                yield b"".join(map(find, runs))
+        if len(self.units) - len(self.tokens) > 2 * self.remembered:
+            self.forget()
+        while some := list(itertools.islice(texts, 512)):
+            try:
+                yield from [b"".join(map(self.units.__getitem__, runs)) for runs in some]
+            except KeyError:
+                self.learn_runs(list(set().union(*some).difference(self.units)))
+                yield from [b"".join(map(self.units.__getitem__, runs)) for runs in some]
 
+    def learn_runs(self, new: list[str]) -> None:
+        units = pa.table({"d": pa.array(range(len(new)), pa.int32()), "ids": pa.array(new, pa.string())})  # noqa: F841
+        got = self.db.sql(DECODE).to_arrow_table()
+        for d, text in zip(got.column("d").to_pylist(), got.column("text").to_pylist(), strict=True):
+            self.units[new[d]] = text.encode("latin-1")
 
-_coders: dict[tuple[str, str], Coder] = {}
 
+_coders: dict[tuple, Coder] = {}
 
-def coder(path: str, pattern: str) -> Coder:
-    """This worker's coder."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+
+def coder(*key) -> Coder:
+    """This worker's coder of a path, a pattern, and how many words it remembers; it has one at a time."""
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Coder(*key)
+    return _coders[key]
 
 
 def numbers(runs: list[str]) -> np.ndarray:
@@ -195,18 +207,18 @@ def decode(tokens: DataFrame, path: str, pattern: str, column: str = "ids") -> D
 
 def coded(texts: list, own: Coder) -> Iterator[tuple[list[str], bytes]]:
     """The runs of ids of each text and the bytes that they decode to, a few texts at a time."""
-    for lo in range(0, len(texts), 128):
-        runs = list(own.encode(texts[lo : lo + 128]))
+    for lo in range(0, len(texts), 512):
+        runs = list(own.encode(texts[lo : lo + 512]))
         yield from zip(runs, own.decode(runs), strict=True)
 
 
-def tokens(docs: DataFrame, path: str, pattern: str, carry: list[str]) -> DataFrame:
+def tokens(docs: DataFrame, path: str, pattern: str, carry: list[str], remembered: int = REMEMBERED) -> DataFrame:
     """Columns carry of docs, then ids, n_tokens, and round_trip: whether the ids decode to the text (null: to nothing).
     Edge cases as for encode(); rows leave the worker in small groups, so memory is that of a few texts."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(path, pattern)
+        own = coder(path, pattern, remembered)
         for b in batches:
             for lo in range(0, len(b), 128):
                 part = b.iloc[lo : lo + 128]
