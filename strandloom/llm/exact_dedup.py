@@ -28,13 +28,15 @@ def chunks(text: Column, least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> Colum
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def clashes(chunk_rows: DataFrame) -> DataFrame:
-    """(h, c, sub) for the chunks c whose hash h another chunk has too; sub, from 0, tells them apart."""
+def clashes(chunk_rows: DataFrame) -> DataFrame | None:
+    """(h, c, sub) for the chunks c whose hash h another chunk has too; sub, from 0, tells them apart. None if the
+    dictionary of all chunks has no such hash: then chunks have moved once and need not move again."""
     distinct = chunk_rows.groupBy("h", "c").agg(F.lit(1).alias("one"))
-    shared = distinct.groupBy("h").agg(F.sum("one").alias("n")).where("n > 1").select("h")
-    return distinct.join(shared, "h", "left_semi").select(
-        "h", "c", (F.row_number().over(W.partitionBy("h").orderBy("c")) - 1).alias("sub")
-    )
+    shared = written(distinct.groupBy("h").agg(F.sum("one").alias("n")).where("n > 1").select("h"), "op1-shared")
+    if shared.isEmpty():
+        return None
+    sub = distinct.join(shared, "h", "left_semi").select("h", "c", (F.row_number().over(W.partitionBy("h").orderBy("c")) - 1).alias("sub"))
+    return written(sub, "op1-clashes")
 
 
 def recipes(
@@ -50,11 +52,11 @@ def recipes(
     norm = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
     cut = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm"), least, most).alias("cs"))
     rows = cut.select(F.explode("cs").alias("c")).select(chunk_hash(F.col("c")).cast("long").alias("h"), "c")
-    sub = written(clashes(rows), "op1-clashes")
+    sub = clashes(rows)
     plain = cut.select(
         "doc_id", "text_sha256", F.transform("cs", lambda c: F.struct(chunk_hash(c).cast("long").alias("h"), F.lit(0).alias("sub"))).alias("recipe")
     )
-    if sub.isEmpty():
+    if sub is None:
         return plain
     # Some hash stands for several chunks: identifiers of those chunks are looked up by hash and chunk.
     at = (
