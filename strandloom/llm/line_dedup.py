@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are aligned by patience diff, and the common blocks go from the later one. A line is
-rare in the sense of patience diff if it stands once in its own document; it needs ANCHOR_WORDS words, so that short
-lines alone make no pair. A document is aligned with the first document that has the line, for each of its lines, so
-a line that many documents share makes one pair for each of them and not one for any two.
+A line goes from a document if it lies in a block of consecutive lines, of BLOCK_WORDS words or more, that an earlier
+document has too. Such a block is covered by windows: from each line, forwards and backwards, the fewest lines that have
+BLOCK_WORDS words. What lines a window has depends on them alone, so an earlier document with the block has the same
+windows. A document is aligned by patience diff with the first document of each of its windows; the common blocks go, and
+windows that no order-keeping alignment can match (moved or repeated passages) are looked up in that document and go too.
+So a line that many documents share makes one pair for each of them and not one for any two, and no block is missed.
 """
 
 from __future__ import annotations
@@ -12,15 +14,19 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import WORD, written
 
-#: Words that a line needs to pair documents, and that a common block needs to be deleted.
-ANCHOR_WORDS, BLOCK_WORDS = 4, 8
+#: Words that a common block needs to be deleted.
+BLOCK_WORDS = 8
 SALTS = 32
+#: Odd base of the windows' hashes, polynomials modulo 2 ** 64 of the hashes of their lines, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 LAST = (1 << 63) - 1
 
 
@@ -70,6 +76,26 @@ def align(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(hs: np.ndarray, ws: np.ndarray, begins: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, last line and hash of the windows of documents whose lines stand one after another in hs (hashes) and
+    ws (words), each from its begin to the next: from each line, forwards and backwards, the fewest lines with least
+    words. None where the document has not so many. A line of so many words is one window."""
+    n = len(hs)
+    upto = np.concatenate(([0], np.cumsum(ws, dtype=np.int64)))
+    doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    at = np.arange(n)
+    ahead = np.searchsorted(upto, upto[:-1] + least) - 1
+    back = np.searchsorted(upto, upto[1:] - least, "right") - 1
+    on, before = ahead < begins[1:][doc], (back >= begins[:-1][doc]) & (ws < least)
+    first, last = np.concatenate((at[on], back[before])), np.concatenate((ahead[on], at[before]))
+    powers, inverse, sums = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumprod(np.full(n, BASE, np.uint64), out=powers[1:])
+    np.cumprod(np.full(n, INVERSE, np.uint64), out=inverse[1:])
+    np.cumsum(hs.astype(np.int64, copy=False).view(np.uint64) * inverse[:-1], out=sums[1:])
+    key = (sums[last + 1] - sums[first]) * powers[first] + (last - first).astype(np.uint64) * np.uint64(INVERSE)
+    return first, last, key.view(np.int64)
+
+
 def common_lines(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int) -> list[int]:
     """Lines of b in blocks that a has too, consecutive in both, with at least that many words."""
     out: list[int] = []
@@ -84,10 +110,40 @@ def common_lines(a: Sequence[int], b: Sequence[int], words: Sequence[int], least
             break
         block.append(j)
         before = (i, j)
-    return out
+    gone, has = set(out), set(a)
+    if all(k in gone or x not in has for k, x in enumerate(b)):
+        return out
+    # Lines that a has elsewhere or more often: lines of a that b lacks get no words, as no common window has them.
+    size = dict(zip(b, words, strict=True))
+    _, _, theirs = windows(np.array(a, np.int64), np.array([size.get(x, 0) for x in a], np.int64), np.array([0, len(a)]), least)
+    first, last, own = windows(np.array(b, np.int64), np.array(words, np.int64), np.array([0, len(b)]), least)
+    hit = np.isin(own, theirs)
+    edges = np.zeros(len(b) + 1, np.int64)
+    np.add.at(edges, first[hit], 1)
+    np.add.at(edges, last[hit] + 1, -1)
+    return sorted(gone.union(np.flatnonzero(np.cumsum(edges[:-1])).tolist()))
+
+
+def window_rows(lines: DataFrame, least: int) -> DataFrame:
+    """(did, th, h): the distinct windows of each document of lines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            begins = np.concatenate(([0], np.cumsum(b["hs"].map(len)))).astype(np.int64)
+            if not begins[-1]:
+                continue
+            first, _, key = windows(np.concatenate(b["hs"].to_list()), np.concatenate(b["ws"].to_list()), begins, least)
+            doc = np.searchsorted(begins, first, "right") - 1
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (np.diff(doc) != 0) | (key[1:] != key[:-1])
+            yield pd.DataFrame({"did": b["did"].to_numpy()[doc[new]], "th": b["th"].to_numpy()[doc[new]], "h": key[new]})
+
+    return lines.mapInPandas(run, "did long, th long, h long")
 
 
-def removed_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(did, th, removed): for each document that loses lines, their places from 0. did is doc_id, or LAST for null."""
     key = [F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th")]
     split = docs.where("text is not null").select(*key, F.split("text", "\n").alias("ls"))
@@ -95,9 +151,7 @@ def removed_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words
         split.select("did", "th", F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"), F.transform("ls", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws")).distinct(),
         "op9-lines",
     )
-    at = lines.select("did", "th", F.explode(F.arrays_zip("hs", "ws")).alias("l")).where(F.col("l.ws") >= anchor_words)
-    own = at.groupBy("did", "th", F.col("l.hs").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    own = written(own.select("did", "th", "h", F.pmod(F.xxhash64("did", "th"), F.lit(SALTS)).cast("int").alias("salt")), "op9-anchors")
+    own = written(window_rows(lines, block_words).withColumn("salt", F.pmod(F.xxhash64("did", "th"), F.lit(SALTS)).cast("int")), "op9-windows")
     firsts = own.groupBy("h").agg(F.min(F.struct("did", "th")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     spread = own.select("h", "salt").distinct().join(firsts.select("h", "first"), "h")
     pairs = (
@@ -121,15 +175,15 @@ def removed_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words
     return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with text less the lines that an earlier document has, and n_lines_before, n_removed (0 and 0 for a null text,
+def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with text less the blocks of lines, of block_words or more, that an earlier document has, and n_lines_before, n_removed (0 and 0 for a null text,
     which stays null). Columns of docs that have these names give way.
 
     Earlier is the smaller doc_id (null last), then the smaller hash of the text; rows that repeat both are one
     document and are cut alike. An empty text has one empty line, which is never deleted. A text keeps its other lines,
     in order, joined by line ends; it may become empty. Lines are compared by 64-bit hashes. An empty table gives no
     rows. Texts move once, to meet their deletions; before that, only hashes do."""
-    gone = removed_lines(docs, anchor_words, block_words).select(F.col("did").alias("_d"), F.col("th").alias("_h"), F.col("removed").alias("_gone"))
+    gone = removed_lines(docs, block_words).select(F.col("did").alias("_d"), F.col("th").alias("_h"), F.col("removed").alias("_gone"))
     rest = docs.drop("n_lines_before", "n_removed", "_did", "_th", "_ls", "_d", "_h", "_gone")
     keyed = rest.withColumns({"_did": F.coalesce("doc_id", F.lit(LAST)), "_th": F.xxhash64("text")})
     joined = keyed.join(gone, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_h")), "left")

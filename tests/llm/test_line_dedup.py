@@ -1,3 +1,5 @@
+import random
+
 from strandloom.llm import line_dedup as ld
 
 
@@ -29,3 +31,37 @@ def test_odd_rows(odd, empty):
     by = {r.doc_id: r.text for r in got.where("doc_id in (1, 2, 3, 4, 6)").collect()}
     assert by[1].startswith("Hello") and by[2] is None and by[3] == "" and by[4] == " \t\n"
     assert ld.line_dedup(empty).count() == 0
+
+
+def brute(data, least=8):
+    """Lines in runs of consecutive lines, of least words or more, that any earlier document has."""
+    out = {}
+    for n, (d, t) in enumerate(data):
+        b, gone = t.split("\n"), set()
+        for _, u in data[:n]:
+            a = u.split("\n")
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                        k += 1
+                    if sum(len(x.split()) for x in b[j : j + k]) >= least:
+                        gone |= set(range(j, j + k))
+        out[d] = "\n".join(x for i, x in enumerate(b) if i not in gone)
+    return out
+
+
+def test_blocks_of_any_earlier_document(spark):
+    """Blocks whose lines have other first documents, and lines that the first document has in another order."""
+    one, two = "five words are in this", "and five more in that"
+    data = [(1, one), (2, two), (3, f"{one}\n{two}"), *[(i, f"{one}\n{two}") for i in range(4, 9)], (11, f"{P1}\n{P2}"), (12, f"{P2}\n{P1}"), (13, f"{P2}\n{P1}")]
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[3] == f"{one}\n{two}" and not any(got[i] for i in (4, 5, 6, 7, 8, 13)) and got == brute(data)
+
+
+def test_random_documents_lose_what_earlier_ones_have(spark):
+    rnd = random.Random(5)
+    pool = ["", "x", "two words", "a b c", "of four words each", "five words are in this", "six words are in this one", P1, P2]
+    data = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 9)))) for i in range(120)]
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute(data)
