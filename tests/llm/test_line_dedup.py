@@ -65,3 +65,11 @@ def test_random_documents_lose_what_earlier_ones_have(spark):
     data = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 9)))) for i in range(120)]
     got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == brute(data)
+
+
+def test_repeats_and_short_lines_go(spark):
+    """Passages that a document has twice, and copies whose lines repeat or have under four words."""
+    verse = "\n".join(["row row row", "your boat", "", "row row row", "your boat"] * 3)
+    data = [(1, f"{P1}\nx\n{P1}"), (2, f"own words\n{P1}\nmore own\n{P1}"), (3, verse), (4, verse), (5, f"{P3}\n{verse}\nend")]
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: data[0][1], 2: "own words\nmore own", 3: verse, 4: "", 5: f"{P3}\nend"} == brute(data)
