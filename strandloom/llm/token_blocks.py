@@ -114,14 +114,15 @@ class Encoder:
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of the words between its
     spaces, tabs and line ends. Plain words are cut further into the pieces that the tokenizer keeps apart; new pieces
-    are encoded many at a time, and tokens that end a piece tell where one stops."""
+    are encoded many at a time, and tokens that end a piece tell where one stops. Words with an added token (of the kind
+    of <|endoftext|>, without white space) go to it whole, which finds the token anywhere in them."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         suffix = self.tokenizer.model.end_of_word_suffix
         tokens = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(tokens.values(), default=0) + 1, bool)
@@ -152,7 +153,7 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         got: dict[str, bytes] = {}
-        other = [w for w in new if not PLAIN.fullmatch(w)]
+        other = [w for w in new if not PLAIN.fullmatch(w) or any(t in w.lower() for t in self.added)]
         for lo in range(0, len(other), 20_000):
             got |= self.learn_words(other[lo : lo + 20_000])
         plain = [w for w in new if w not in got]

@@ -46,3 +46,9 @@ def test_reading_gives_ids(spark, tmp_path):
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in t.read_tokens(spark, f"file://{tmp_path}/x").collect()}
     tok = Tokenizer.from_file(PATH)
     assert got == {1: [*tok.encode("a b", add_special_tokens=False).ids, 2], 2: [*tok.encode("don't stop", add_special_tokens=False).ids, 2]}
+
+
+def test_added_tokens_are_found(spark):
+    tok = Tokenizer.from_file(PATH)
+    texts = ["a word <|endoftext|> and more", "pre<|endoftext|>post it's", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "Été (<|endoftext|>) 日"]
+    assert [x.tolist() for x in t.Encoder(PATH).encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
