@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: n-gram length; most training texts of a language and most characters of one; part of them held back to calibrate.
@@ -203,20 +204,9 @@ def look(sorted_keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(ok, at, -1)
 
 
-def fit(samples: list[tuple[str, str]], order: int = ORDER, held_back: int = HELD_BACK) -> Model:
-    """Model of (text, language) samples. Every held_back-th text of a language sets its limit instead of its counts."""
-    by = {}
-    for text, lang in samples:
-        by.setdefault(lang, []).append(text)
-    langs = sorted(k for k, v in by.items() if any(any(c.isalpha() for c in t) for t in v))
-    learn = {k: [t for i, t in enumerate(by[k]) if i % held_back or len(by[k]) < 2 * held_back] for k in langs}
-    points = np.unique(np.concatenate([letters(v)[0] for v in learn.values()])) if langs else np.zeros(0, np.uint32)
-    points = points[is_letter(points)] if len(points) else points
-    base = len(points) + 2
-    lookup = np.full(0x110000, OTHER, np.uint16 if base < 65536 else np.uint32)
-    lookup[points] = np.arange(2, base)
-    order = min(order, int(62 // np.log2(max(base, 2))))
-    counts = {}
+def build(learn: dict[str, list[str]], lookup: np.ndarray, base: int, order: int) -> Model:
+    """Model of the texts of each language, without limits."""
+    langs, counts = list(learn), {}
     for k in langs:
         codes, begins = squeezed(*letters(learn[k]), lookup)
         highest = np.unique(grams(codes, begins, order, base), return_counts=True)
@@ -227,16 +217,48 @@ def fit(samples: list[tuple[str, str]], order: int = ORDER, held_back: int = HEL
     contexts = [np.unique(u // np.uint64(base)) for u in union[1:]]
     made = [kneser_ney(counts[k], base, union, contexts) for k in langs]
     stack = lambda part, n: np.stack([m[part][n] for m in made], 1) if langs else np.zeros((0, 0))
-    model = Model(
+    return Model(
         langs, lookup, base,
         [Table.of(union[n], stack(0, n)) for n in range(order)], [Table.of(contexts[n], stack(1, n)) for n in range(order - 1)],
         np.array([m[2] for m in made], np.float32),
     )
+
+
+def small_language(texts: list[str], lookup: np.ndarray, base: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the codes of texts, each by a model of the others, and the index at which each text begins.
+    A text that has no other is cut into halves."""
+    parts = texts if len(texts) > 1 else [texts[0][: len(texts[0]) // 2], texts[0][len(texts[0]) // 2 :]]
+    values, sizes = [], []
+    for i, part in enumerate(parts):
+        others = parts[:i] + parts[i + 1 :]
+        if any(any(c.isalpha() for c in t) for t in others):
+            codes, begins = squeezed(*letters([part]), lookup)
+            values.append(build({"": others}, lookup, base, order).each(codes, begins)[:, 0])
+            sizes.append(len(codes))
+    return np.concatenate(values) if values else np.zeros(0), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+
+def fit(samples: list[tuple[str, str]], order: int = ORDER, held_back: int = HELD_BACK) -> Model:
+    """Model of (text, language) samples. Every held_back-th text of a language sets its limit instead of its counts; in
+    languages of fewer than 2 * held_back texts all count, and each text is judged for the limit by a model of the others."""
+    by = {}
+    for text, lang in samples:
+        by.setdefault(lang, []).append(text)
+    langs = sorted(k for k, v in by.items() if any(any(c.isalpha() for c in t) for t in v))
+    learn = {k: [t for i, t in enumerate(by[k]) if i % held_back or len(by[k]) < 2 * held_back] for k in langs}
+    points = np.unique(np.concatenate([letters(v)[0] for v in learn.values()])) if langs else np.zeros(0, np.uint32)
+    points = points[is_letter(points)] if len(points) else points
+    base = len(points) + 2
+    lookup = np.full(0x110000, OTHER, np.uint16 if base < 65536 else np.uint32)
+    lookup[points] = np.arange(2, base)
+    order = min(order, int(62 // np.log2(max(base, 2))))
+    model = build(learn, lookup, base, order)
     model.limit, model.spread = np.zeros(len(langs)), np.zeros(len(langs))
     for i, k in enumerate(langs):
-        back = [t for j, t in enumerate(by[k]) if j % held_back == 0] or by[k]
-        codes, begins = squeezed(*letters(back), lookup)
-        values = model.each(codes, begins)[:, i]
+        values, begins = small_language(by[k], lookup, base, order) if len(by[k]) < 2 * held_back else (np.zeros(0), None)
+        if not len(values):
+            codes, begins = squeezed(*letters(by[k][::held_back]), lookup)
+            values = model.each(codes, begins)[:, i]
         sums = np.concatenate(([0.0], np.cumsum(-values, dtype=np.float64)))
         size = np.diff(begins)
         means = ((sums[begins[1:]] - sums[begins[:-1]]) / np.maximum(size, 1))[size >= 50]
@@ -246,18 +268,25 @@ def fit(samples: list[tuple[str, str]], order: int = ORDER, held_back: int = HEL
 
 
 def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> DataFrame:
-    """At most about 2 * texts rows of each language, of at most chars characters each, chosen by a hash of the text."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars)).select("text", "lang", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)).alias("u"))
+    """Of each language the texts distinct texts of the least hash, or all if it has fewer (those that share the last
+    one's hash come on top). A text of more than chars characters gives chars of them, from a place that its hash says."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text", F.lit(3)).alias("u"))
+    # Copies of one text share its hash: each counts once. Of a language only hashes that can be among the least are sorted.
+    hashes = rows.select("lang", "u").distinct()
+    share = F.col("u").cast("double") / float(1 << 64) + 0.5
+    counts = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = hashes.join(counts, "lang").where((share * F.col("n") < 2.0 * texts + 100) | (F.col("n") <= texts))
+    cuts = low.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("u"))).where(F.col("r") <= texts).groupBy("lang").agg(F.max("u").alias("cut"))
     # A row for each label comes to the driver and goes back as a literal: texts are filtered where they are read.
-    most = [x for r in rows.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(float(texts) * (1 << 30) / r["count"]))]
-    picked = rows.where(F.col("u") < F.try_element_at(F.create_map(*most), F.col("lang"))) if most else rows
-    # Copies of one text share its hash: each text counts once.
-    return picked.groupBy("lang", "text").agg(F.first("u").alias("u"))
+    most = [x for r in cuts.collect() for x in (F.lit(r["lang"]), F.lit(r["cut"]))]
+    picked = rows.where(F.col("u") <= F.try_element_at(F.create_map(*most), F.col("lang"))) if most else rows
+    begin = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    return picked.withColumn("text", F.when(F.length("text") <= chars, F.col("text")).otherwise(F.substring("text", begin, F.lit(chars)))).select("lang", "text", "u").distinct()
 
 
 def train(docs: DataFrame, **options) -> Model:
-    """Model of the rows of docs (text, lang). The sample, TRAIN_TEXTS texts of a language of TRAIN_CHARS characters at
-    most, comes to the driver."""
+    """Model of the rows of docs (text, lang). The sample, TRAIN_TEXTS texts of a language or all that it has, of TRAIN_CHARS
+    characters at most, comes to the driver."""
     rows = training_sample(docs, **options).collect()
     return fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.u, r.text))])
 

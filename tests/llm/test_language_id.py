@@ -40,3 +40,22 @@ def test_odd_rows(odd, empty):
     assert {(2, "und"), (3, "und"), (4, "und"), (7, "und"), (None, "und")} <= got and all(p in {"en", "fr", "de", "und"} for _, p in got)
     assert li.accepted(odd, m).columns == odd.columns and li.accepted(odd, m).where("doc_id in (2, 3, 4, 7)").count() == 0
     assert li.identify(empty, li.train(empty), ["doc_id"]).count() == li.accepted(empty, li.train(empty)).count() == 0
+
+
+def test_copies_and_long_texts_leave_a_language_its_sample(spark):
+    """Copies of one text take no place in the sample, and a language of long texts only is learned."""
+    rows = [("copy of a text", "a")] * 5000 + [(f"own text number {i}", "a") for i in range(300)] + [(f"{i} " + "lang text " * 3000, "b") for i in range(3)]
+    got = li.training_sample(spark.createDataFrame(rows, "text string, lang string"), 100, 2000).collect()
+    by = {k: [r.text for r in got if r.lang == k] for k in "ab"}
+    assert len(by["a"]) == 100 and len(by["b"]) == 3 and all(len(t) == 2000 for t in by["b"])
+
+
+def test_small_languages_are_calibrated_by_texts_that_they_did_not_learn(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("aeiourstlnmkdpgbvz") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(12)]
+    for n in (1, 2, 4):
+        model = li.fit([(t, "x") for t in texts[:n]])
+        assert not any(model.judge(texts[n:])[2])
