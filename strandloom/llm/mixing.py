@@ -119,8 +119,14 @@ def cutoff(timed: DataFrame, budget: int, buckets: int, repeats: int) -> tuple |
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as many times as its copies, with its own columns."""
-    plan = mixing_plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "copies").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
-    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    """docs as the mix takes them: each row as many times as its copies, with its own columns. Rows that repeat doc_id,
+    text and source are numbered, and each gets the copies of one row of the plan."""
+    # Keys without nulls, so that numbering and join need one exchange of the texts.
+    keys = {"_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_source": F.coalesce("source", F.lit("")), "_no_source": F.col("source").isNull()}
+    named = [c.alias(k) for k, c in keys.items()]
+    same = [*keys, "_th"]
+    plan = mixing_plan(docs, **options).select(*named, F.col("text_hash").alias("_th"), "copies").groupBy(*same).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all")).where("all[0] > 0")
+    rows = docs.select(F.struct("*").alias("row"), *named, F.xxhash64("text").alias("_th"))
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(*same).orderBy(F.xxhash64("row"))))
+    taken = rows.join(plan, same).select("row", F.get("all", F.col("_n") - 1).alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select("row.*")

@@ -42,3 +42,17 @@ def test_odd_rows(odd, empty, spark):
     assert mixing.mixing_plan(empty).count() == mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert {(r.doc_id, r.size, r.taken) for r in mixing.mixing_plan(blank).collect()} == {(1, 0, 0), (2, 0, 0)}
+
+
+def test_each_of_repeated_rows_gets_its_own_copies(spark):
+    """Rows that repeat doc_id and text, of one source and of several."""
+    rows = [(1, "w w", "abc"[i % 3]) for i in range(30)] + [(i, "w " * 3, "abc"[i % 3]) for i in range(2, 20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, mixed = mixing.mixing_plan(d).collect(), mixing.mix(d).collect()
+    want = defaultdict(int)
+    for r in plan:
+        want[r.doc_id, r.source] += r.copies
+    got = defaultdict(int)
+    for r in mixed:
+        got[r.doc_id, r.source] += 1
+    assert got == {k: n for k, n in want.items() if n}
