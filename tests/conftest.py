@@ -17,8 +17,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *cols):
-    """Rows as sorted tuples."""
-    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=str)

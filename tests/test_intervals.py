@@ -1,8 +1,8 @@
-from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from strandloom.operators import intervals as iv
+from table_rows import rows
 
 lists = st.lists(st.tuples(st.integers(0, 1), st.integers(0, 30), st.integers(0, 8)).map(lambda x: (x[0], x[1], x[1] + x[2])), max_size=12)
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -2,12 +2,12 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
 
 from strandloom.functions.hmm_params import Transitions, from_config
 from strandloom.operators import hmm, tracts
 from strandloom.plans.pipeline import em_run
+from table_rows import rows
 
 T = Transitions(ti=1500, tmex=20, rr=1e-8, a=0.4, b=0.5, c1=0.02, c2=0.03, width=1000)
 RATES = np.array([0.5, 4.0, 1.5, 1.0, 0.3])

@@ -1,12 +1,12 @@
 import math
 
-from conftest import rows
 from pyspark.sql import functions as F
 
 from strandloom.functions import alleles, scalars
 from strandloom.functions.binomial import tails
 from strandloom.operators import evaluate, observe
 from strandloom.operators.tracts import STATES
+from table_rows import rows
 
 
 def test_observations_golden(spark):

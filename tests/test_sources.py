@@ -2,9 +2,9 @@ import gzip
 import json
 
 import pytest
-from conftest import rows
 
 from strandloom.sources import readers, writers
+from table_rows import rows
 
 
 def put(path, text):
