@@ -30,7 +30,7 @@ def test_like_the_library(own, library):
 
 
 def test_odd_rows(spark, odd, empty, library):
-    from conftest import ODD
+    from odd_rows import ODD
 
     sha = lambda x: hashlib.sha256(x).hexdigest()
     ids = {t: library.encode_ordinary(t or "") for _, t, *_ in ODD}

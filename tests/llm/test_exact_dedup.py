@@ -24,7 +24,7 @@ def got(df):
 
 
 def test_odd_rows(odd, empty):
-    from conftest import ODD
+    from odd_rows import ODD
 
     assert got(e.exact_dedup(odd)) == expected(ODD)
     assert e.exact_dedup(empty).count() == 0

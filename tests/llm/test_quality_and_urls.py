@@ -19,7 +19,7 @@ def brute(text):
 
 
 def test_odd_rows(odd, empty):
-    from conftest import ODD
+    from odd_rows import ODD
 
     got = q.quality_rules(odd).collect()
     assert sorted(((r.doc_id, *r[1:7]) for r in got), key=str) == sorted(((d, *brute(t)) for d, t, *_ in ODD), key=str)

@@ -29,7 +29,7 @@ def brute(pairs, tau):
 
 
 def test_odd_rows(odd, empty):
-    from conftest import ODD
+    from odd_rows import ODD
 
     want = brute([(d, brute_fingerprint(t)) for d, t, *_ in ODD], 4)
     assert sorted((tuple(r) for r in s.near_duplicates(odd).collect()), key=str) == want

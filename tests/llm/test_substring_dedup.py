@@ -44,7 +44,7 @@ def test_against_all_strings(spark, monkeypatch, seed, window, anchor, block):
 
 
 def test_odd_rows(odd, empty):
-    from conftest import ODD
+    from odd_rows import ODD
 
     data = [(d, t) for d, t, *_ in ODD]
     assert sorted((tuple(r) for r in sd.substring_dedup(odd).collect()), key=str) == brute(data, 50)

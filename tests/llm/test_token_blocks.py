@@ -25,7 +25,7 @@ def test_outliers_cost_little():
 
 
 def test_odd_rows(spark, odd, empty):
-    from conftest import ODD
+    from odd_rows import ODD
 
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
