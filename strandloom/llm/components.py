@@ -1,11 +1,11 @@
-"""Connected components of a graph of 64-bit nodes."""
+"""Connected components of a graph. Nodes are of any type that can be ordered."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import written
+from strandloom.llm.common import discard, with_lowest, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,10 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(found) == state or found[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
         state = tuple(found)
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(low, "a")
-        small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = written(small.distinct(), "edges")
+        # A node of very many edges is dealt to many tasks (with_lowest).
+        both = with_lowest(now.union(now.select("b", "a")), "a", "b", "m").withColumn("m", F.least("m", "a"))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        near = with_lowest(large, "a", "b", "m")
+        small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b")))
+        before, now = now, written(small.distinct(), "edges")
+        discard(now.sparkSession, before.written_path)

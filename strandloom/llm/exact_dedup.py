@@ -13,13 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ascii_lower, written
+from strandloom.llm.common import ascii_lower, salts, written
 
 #: A chunk ends behind a line end, or behind white space that follows . ! or ?, at least CHUNK_MIN characters after
 #: its start; a stretch of CHUNK_MAX characters without such a place is cut there.
 CHUNK_MIN, CHUNK_MAX = 512, 8192
-#: Parts into which the members of one group are dealt while they are counted and joined.
-SALTS = 32
 
 
 def chunks(text: Column, least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> Column:
@@ -80,10 +78,10 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     texts the row with the largest doc_id stays. Null doc_ids come before all others: they stay only in a group that
     has no other. Rows that repeat both doc_id and text share one result. An empty table gives an empty result.
 
-    Groups are counted in SALTS parts whose sums are then added, and joined back part by part, so a group that holds
-    a third of all rows is spread over SALTS tasks."""
+    Groups are counted in salted parts whose sums are then added, and joined back part by part, so a group that holds
+    a third of all rows is spread over all tasks."""
     made = written(recipes(docs, **options), "op1-recipes")
-    salted = made.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = made.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts(docs.sparkSession))).cast("int"))
     parts = salted.groupBy("recipe", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     whole = W.partitionBy("recipe")
     groups = parts.select(

@@ -19,11 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, written
+from strandloom.llm.common import WORD, salts, written
 
 #: Words that a common block needs to be deleted.
 BLOCK_WORDS = 8
-SALTS = 32
 #: Odd base of the windows' hashes, polynomials modulo 2 ** 64 of the hashes of their lines, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -151,7 +150,7 @@ def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         split.select("did", "th", F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"), F.transform("ls", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws")).distinct(),
         "op9-lines",
     )
-    own = written(window_rows(lines, block_words).withColumn("salt", F.pmod(F.xxhash64("did", "th"), F.lit(SALTS)).cast("int")), "op9-windows")
+    own = written(window_rows(lines, block_words).withColumn("salt", F.pmod(F.xxhash64("did", "th"), F.lit(salts(docs.sparkSession))).cast("int")), "op9-windows")
     firsts = own.groupBy("h").agg(F.min(F.struct("did", "th")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     spread = own.select("h", "salt").distinct().join(firsts.select("h", "first"), "h")
     pairs = (

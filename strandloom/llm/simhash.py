@@ -5,45 +5,85 @@ on every chain of l consecutive segments differs in l * tau / (tau + 1) bits at
 segment of such a chain is equal, and the first two differ in one bit at most: fingerprints that share a key, the bits
 of two neighbouring segments with one bit of the second left out, are the candidates. Longer chains prune them before
 all 64 bits are compared.
+
+Texts of a similarity of 0.8 differ in 15 percent of the bits, where no key that is equal for certain tells anything.
+similar() therefore takes 256 bits, a ring of four segments of 64, and keys of as many bits as the number of
+fingerprints asks for, drawn within a segment; a pair at that similarity is expected to share MEET keys. Members of a
+key are held to the same chains of segments, and what is left is linked if the sets of shingles are as similar as asked.
 """
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import written
+from strandloom.llm.common import salts, with_lowest, written
 from strandloom.llm.components import components
 
 BITS, TAU, SHINGLE, SEED = 64, 4, 4, 42
+#: Stands for a null doc_id, after all others.
+LAST = (1 << 63) - 1
 #: Fingerprints that share a key are compared with each other in one task up to this number; beyond it they are linked
 #: through the fingerprints around them, which takes work in proportion to their number.
 RUN = 4096
-SALTS = 32
-
-
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of the shingles of text, repeats included; 0 if it has no word."""
+#: Of similar(): 64-bit words of a fingerprint, words of a shingle, least share of common shingles, bits that candidates
+#: may differ in. Texts of similarity 0.8 differ in 39 bits on average with a deviation of 6, those of 0.6 in 59.
+WORDS, SIMILAR_SHINGLE, LEAST, SIMILAR_TAU = 4, 5, 0.8, 48
+#: Candidates, and bytes of their shingles, that are compared in one task, about.
+CELL, CELL_BYTES = 1024, 32 << 20
+#: Share of bits in which texts of similarity 0.8 differ: the angle of vectors of cosine 8 / 9, and keys that they are to share.
+FAR, MEET = math.acos(8 / 9) / math.pi, 4.0
+#: Odd multipliers that make further words of a shingle's hash.
+MIX = np.array([[0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], [0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]], np.uint64)
+
+
+def shingle_digests(text: str | None, shingle: int) -> np.ndarray:
+    """[n, 8] bytes of the hashes of the shingles of text, repeats included; of all its words if they are fewer."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(ws)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(ws))
     digest = xxhash.xxh64_digest
     cut = zip(starts[: len(ws) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in cut]), np.uint8).reshape(-1, 8)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[i : i + 65536], axis=1).sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+    return np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in cut]), np.uint8).reshape(-1, 8)
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """Bytes whose bits are 1 where over half of the rows have 1."""
+    ones = np.zeros(8 * rows.shape[1], np.int64)
+    for i in range(0, len(rows), 255):
+        ones += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(rows))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of the shingles of text, repeats included; 0 if it has no word."""
+    rows = shingle_digests(text, shingle)
+    return int(majority(rows).view(">i8")[0]) if len(rows) else 0
+
+
+def wide_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, int]:
+    """WORDS signed words of the SimHash of the shingles of text, zeros if it has no word, and the number of shingles."""
+    rows = shingle_digests(text, shingle)
+    if not len(rows):
+        return np.zeros(WORDS, np.int64), 0
+    h = rows.view(np.uint64)
+    x = h * MIX[0]
+    x ^= x >> np.uint64(29)
+    x *= MIX[1]
+    x ^= x >> np.uint64(32)
+    return majority(np.ascontiguousarray(np.hstack((h, x))).view(np.uint8)).view(np.int64), len(rows)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -162,7 +202,7 @@ def linker(tau: int, most: int):
 
 
 def ball(tau: int) -> list[int]:
-    """Patterns of up to tau / 2 bits, rounded up: two fingerprints at most tau bits apart meet in such a distance."""
+    """Patterns of up to tau / 2 bits: two fingerprints at most tau bits apart meet in such a distance."""
     out, layer = [0], {0}
     for _ in range(tau // 2):
         layer = {x | 1 << b for x in layer for b in range(BITS) if not x >> b & 1}
@@ -172,9 +212,7 @@ def ball(tau: int) -> list[int]:
 
 def dense_links(fps: DataFrame, tau: int) -> DataFrame:
     """Edges (a, b) that join what tau links within fps (fp), without comparing pairs: fingerprints with a common
-    neighbour in tau / 2 bits are linked to the smallest that has it. For odd tau the last bit is taken from one side."""
-    if tau % 2:
-        raise ValueError("tau has to be even")
+    neighbour in tau / 2 bits are linked to the smallest that has it. tau is even."""
     near = fps.select("fp", F.explode(F.array(*[F.lit(signed(x)) for x in ball(tau)])).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,22 +250,248 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, shingle: int = SHINGLE, mos
     same result; a null doc_id is never the smallest unless its component has no other. An empty table gives no rows.
 
     Pairs are never listed: equal fingerprints are one node, the members of a key yield a forest, and runs of over most
-    members are linked through common neighbours. Counting and joining back are salted, so one fingerprint of a third
-    of all rows is spread over SALTS tasks."""
-    made = written(fingerprints(docs, shingle), "op6-fingerprints").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    parts = written(made.groupBy("fp", "salt").agg(F.min("doc_id").alias("low")), "op6-parts")
-    nodes = parts.groupBy("fp").agg(F.min("low").alias("low"))
-    roots = components(links(nodes.select("fp"), tau, most)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(lows, "root").select("fp", "component_id")
+    members are linked through common neighbours. Counting and joining back are salted, so neither one fingerprint nor
+    one component of a third of all rows meets in one task."""
+    if tau % 2:
+        raise ValueError("tau has to be even")
+    made = written(fingerprints(docs, shingle), "op6-fingerprints")
+    named = components_of(made, lambda nodes: links(nodes.select("fp"), tau, most))
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def components_of(made: DataFrame, link: Callable[[DataFrame], DataFrame], value: str = "doc_id", name: str = "component_id", *extra: Column) -> DataFrame:
+    """made, rows with a fingerprint fp, with name: the smallest value in the component of the row's fingerprint. link
+    gives edges (a, b) of distinct fingerprints (fp, low, the smallest value, and the aggregates extra)."""
+    dealt = made.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts(made.sparkSession))).cast("int"))
+    parts = written(dealt.groupBy("fp", "salt").agg(F.min(value).alias("low"), *extra), "op6-parts")
+    nodes = written(parts.groupBy("fp").agg(F.min("low").alias("low"), *extra), "op6-nodes")
+    roots = components(link(nodes)).withColumnRenamed("node", "fp")
+    rooted = written(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "op6-rooted")
+    named = with_lowest(rooted, "root", "low", name).select("fp", name)
     ends = parts.select("fp", "salt").join(named, "fp")
-    return made.join(ends, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return dealt.join(ends, ["fp", "salt"]).drop("salt")
+
+
+def wide_keys(count: int) -> list[tuple[int, int, int]]:
+    """(word, mask, mark) of each key of count fingerprints: as many bits as count has, so that unlike fingerprints that
+    share a key stay few at every size, and as many keys as let a pair that differs in FAR of its bits share MEET."""
+    bits = min(max(math.ceil(math.log2(max(count, 2))), 12), 40)
+    rng = random.Random(11)
+    draw = lambda: sum(1 << b for b in rng.sample(range(64), bits))
+    return [(i % WORDS, draw(), rng.getrandbits(64)) for i in range(math.ceil(MEET / (1 - FAR) ** bits))]
+
+
+def within(diff: np.ndarray, tau: int) -> np.ndarray:
+    """Whether rows of differing bits [n, WORDS] have tau at most: from some word on, chains of l consecutive words of the
+    ring stay within l * tau / WORDS. Chains grow word by word, over the rows that are left."""
+    d = np.bitwise_count(diff).astype(np.int16)
+    ok = np.zeros(len(d), bool)
+    for start in range(WORDS):
+        left, chain = np.flatnonzero(~ok), 0
+        for k in range(WORDS):
+            chain = chain + d[left, (start + k) % WORDS]
+            fits = chain <= (k + 1) * tau // WORDS
+            left, chain = left[fits], chain[fits]
+        ok[left] = True
+    return ok
+
+
+def tree(fps: np.ndarray, tau: int, like: Callable[[int, np.ndarray], np.ndarray] | None = None, apart: np.ndarray | None = None) -> tuple[list, list]:
+    """Links (places a, b) that join what all links of the rows of fps join: breadth first from each. like keeps those of
+    the places given that are like a first one; rows of one value of apart are known to be joined."""
+    out_a, out_b = [], []
+    open_ = np.ones(len(fps), bool)
+    for first in range(len(fps)):
+        todo = [first] if open_[first] else []
+        open_[first] = False
+        while todo:
+            at, left = todo.pop(), np.flatnonzero(open_)
+            if not len(left):
+                break
+            if apart is not None:
+                left = left[apart[left] != apart[at]]
+            left = left[within(fps[left] ^ fps[at], tau)]
+            if like is not None and len(left):
+                left = like(at, left)
+            open_[left] = False
+            todo += left.tolist()
+            out_a += [at] * len(left)
+            out_b += left.tolist()
+    return out_a, out_b
+
+
+A, B, FP = ([f"{x}{i}" for i in range(WORDS)] for x in "abf")
+LINKED = ", ".join(f"{c} long" for c in [*A, *B])
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(np.hstack((a, b)).view(np.int64), columns=[*A, *B])
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    return rows.select(fp_of(A).alias("a"), fp_of(B).alias("b"))
+
+
+def fp_of(names: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f) for c, f in zip(names, FP, strict=True)])
+
+
+def candidate_linker(tau: int, most: int, short: int = 32):
+    """For mapInPandas over rows (key, f0, f1, ...) sorted by key: links (a, b) of candidates within each key. Runs up to
+    short compare all pairs, many runs at once; longer ones make a tree; members of a run over most are candidates
+    unseen, linked to the run's first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dense = head = None
+
+        def chunk(keys: np.ndarray, fps: np.ndarray) -> Iterator[pd.DataFrame]:
+            """Links in whole runs, none over most."""
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            size = np.diff(cuts)
+            at = np.flatnonzero(np.repeat(size <= short, size))
+            for off in range(1, short):
+                at = at[at + off < len(keys)]
+                at = at[keys[at] == keys[at + off]]
+                if not len(at):
+                    break
+                ok = at[within(fps[at] ^ fps[at + off], tau)]
+                yield linked(fps[ok], fps[ok + off])
+            for k in np.flatnonzero(size > short).tolist():
+                part = fps[cuts[k] : cuts[k + 1]]
+                a, b = tree(part, tau)
+                yield linked(part[a], part[b])
+
+        keys, fps = np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64)
+        for b in batches:
+            keys, fps = np.concatenate((keys, b["key"].to_numpy())), np.concatenate((fps, b[FP].to_numpy().view(np.uint64)))
+            if dense is not None and len(keys):
+                more = int(np.searchsorted(keys, dense, "right"))
+                yield linked(np.repeat(head[None], more, 0), fps[:more])
+                keys, fps = keys[more:], fps[more:]
+            if not len(keys):
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            yield from chunk(keys[:last], fps[:last])
+            keys, fps = keys[last:], fps[last:]
+            if len(keys) > most:
+                dense, head = keys[0], fps[0].copy()
+                yield linked(np.repeat(head[None], len(fps), 0), fps)
+                keys, fps = keys[:0], fps[:0]
+        if len(keys):
+            yield from chunk(keys, fps)
+
+    return run
+
+
+def candidates(nodes: DataFrame, tau: int, most: int, cell: int) -> DataFrame:
+    """(fp, low, group, parts, lead) of the nodes (fp, low, n) that share a group with another: groups are the components
+    of pairs that share a key and differ in tau bits at most. A group of parts over 1 is too large for one task; about
+    32 of its members lead."""
+    made = [F.col(f"fp.{FP[w]}").bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(signed(x))) for w, m, x in wide_keys(nodes.count())]
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select("fp").repartition(tasks).select("fp.*", F.explode(F.array(*made)).alias("key")).select("key", *FP)
+    found = written(rows.repartition("key").sortWithinPartitions("key").mapInPandas(candidate_linker(tau, most), LINKED), "op6-candidates")
+    roots = components(edges_of(found)).select(F.col("node").alias("fp"), F.xxhash64("root").alias("group"))
+    named = written(nodes.join(roots, "fp"), "op6-groups")
+    size = F.greatest(F.count(F.lit(1)) / cell, 8 * F.sum("n") / CELL_BYTES)
+    sizes = named.groupBy("group", F.pmod(F.xxhash64("fp"), F.lit(salts(nodes.sparkSession))).alias("salt")).agg(size.alias("size"), F.count(F.lit(1)).alias("all"))
+    whole = W.partitionBy("group")
+    sizes = sizes.select("group", "salt", (F.sum("size").over(whole).cast("int") + 1).alias("parts"), F.sum("all").over(whole).alias("all"))
+    both = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts(nodes.sparkSession)))).join(sizes, ["group", "salt"])
+    return both.select("fp", "low", "group", "parts", (F.pmod(F.xxhash64("fp", F.lit(7)), F.col("all")) < 32).alias("lead"))
+
+
+class Sets:
+    """Sorted distinct shingle hashes of some texts."""
+
+    def __init__(self, raw: pd.Series, least: float):
+        self.sets, self.least = [np.frombuffer(x, np.uint64) for x in raw], least
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+
+    def like(self, at: int, left: np.ndarray) -> np.ndarray:
+        own, n = self.sets[at], len(self.sets[at])
+        left = left[np.minimum(self.sizes[left], n) >= self.least * np.maximum(self.sizes[left], n)]
+        if not len(left) or not n:
+            return left
+        flat = np.concatenate([self.sets[k] for k in left])
+        hit = own[np.minimum(np.searchsorted(own, flat), n - 1)] == flat
+        common = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(self.sizes[left])[:-1])), dtype=np.int64)
+        return left[common >= self.least * (n + self.sizes[left] - common)]
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, tau: int, shingle: int, least: float, most: int, cell: int) -> DataFrame:
+    """Edges (a, b) of nodes (fp, low, n), low the id of one document: of candidates whose sets of shingles have a share of
+    least in common, as many as leave the same components. docs has rows (id, text).
+
+    Candidates of a group meet in one task up to cell of them. A larger group is cut into parts, each with the group's
+    leaders; then members outside the group's largest component, by what is linked so far, meet every part."""
+    chosen = written(candidates(nodes, tau, most, cell), "op6-chosen")
+    kept = ["group", "parts", "lead", *FP]
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b.iloc[lo : lo + 256]
+                yield part[kept].assign(has=[np.unique(shingle_digests(t, shingle).view(np.uint64)).tobytes() for t in part["text"]])
+
+    # The chosen are few beside docs as a rule; Spark broadcasts them where their size on disk allows it.
+    rows = docs.join(chosen.withColumnRenamed("low", "id"), "id").dropDuplicates(["fp"]).select("group", "parts", "lead", "fp.*", "text")
+    kinds = "group long, parts int, lead boolean, " + ", ".join(f"{c} long" for c in FP)
+    sets = written(rows.mapInPandas(shingles, kinds + ", has binary"), "op6-sets").withColumn("part", F.pmod(F.xxhash64(*FP, F.lit(5)), F.col("parts")).cast("int"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        fps = np.ascontiguousarray(pdf[FP].to_numpy()).view(np.uint64)
+        a, b = tree(fps, tau, Sets(pdf["has"], least).like)
+        return linked(fps[a], fps[b])
+
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    met = sets.withColumn("i", F.explode(F.when(F.col("lead") & (F.col("parts") > 1), every).otherwise(F.array("part"))))
+    found = written(met.select("group", "i", *FP, "has").groupBy("group", "i").applyInPandas(meet, LINKED), "op6-met")
+    edges, large = edges_of(found), sets.where("parts > 1")
+    if large.isEmpty():
+        return edges
+    named = large.withColumn("fp", fp_of(FP)).join(components(edges).withColumnRenamed("node", "fp"), "fp", "left")
+    named = written(named.withColumn("root", F.xxhash64(F.coalesce("root", "fp"))).drop("fp"), "op6-named")
+    sums = named.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sums.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    rest = named.join(main, "group").withColumns({"rights": F.expr(f"int(rest div {cell}) + 1"), "other": F.col("root") != F.col("main")})
+    rest = rest.withColumn("right", F.pmod(F.xxhash64(*FP, F.lit(6)), F.col("rights")).cast("int"))
+    left = rest.select("group", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "root", *FP, "has")
+    right = rest.where("other").select("group", F.explode(every).alias("i"), F.col("right").alias("j"), "root", *FP, "has")
+
+    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(FP)
+        fps = np.ascontiguousarray(pdf[FP].to_numpy()).view(np.uint64)
+        a, b = tree(fps, tau, Sets(pdf["has"], least).like, pdf["root"].to_numpy())
+        return linked(fps[a], fps[b])
+
+    return edges.union(edges_of(written(left.unionByName(right).groupBy("group", "i", "j").applyInPandas(cross, LINKED), "op6-across")))
+
+
+def similar(docs: DataFrame, carry: list[Column], least: float = LEAST, shingle: int = SIMILAR_SHINGLE, tau: int = SIMILAR_TAU, most: int = RUN, cell: int = CELL) -> DataFrame:
+    """(id, fp, first) for each row of docs: id a struct of the columns carry, which tell texts apart, first the smallest id of
+    its component. Texts are linked that have least of their distinct shingles in common (Jaccard) and fingerprints of
+    tau differing bits at most, which README gives the recall of. Texts of equal fingerprints are one node; those without
+    a word are alike."""
+    ids = docs.select(*carry).schema.fields
+    names = [f.name for f in ids]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [wide_fingerprint(t, shingle) for t in b["text"]]
+            words = np.concatenate([x for x, _ in made] or [np.zeros(0, np.int64)]).reshape(-1, WORDS)
+            yield pd.concat((b[names].reset_index(drop=True), pd.DataFrame(words, columns=FP)), axis=1).assign(n=[n for _, n in made])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ids), *(f"{c} long" for c in FP), "n long"])
+    made = docs.select(*carry, "text").mapInPandas(run, schema).select(F.struct(*names).alias("id"), fp_of(FP).alias("fp"), "n")
+    texts = docs.select(F.struct(*carry).alias("id"), "text")
+    return components_of(written(made, "op6-wide"), lambda nodes: similar_links(texts, nodes, tau, shingle, least, most, cell), "id", "first", F.max("n").alias("n")).drop("n")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component; of rows that repeat it, one. Rows without a doc_id
-    can't be told apart by it: of them one stays for each text."""
-    first = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """docs with one row of each component of similar(): that of the smallest doc_id (null last), then of the smallest hash of
+    the text, then of the row. Rows that are equal in all columns count as one. So no text goes that is unlike all others,
+    whatever doc_ids are null or repeated, and reruns keep the same rows."""
+    key = {"_did": F.coalesce("doc_id", F.lit(LAST)), "_th": F.xxhash64("text"), "_rh": F.xxhash64(*docs.columns)}
+    first = similar(docs, [c.alias(k) for k, c in key.items()], **options).where("id = first").select("id.*").distinct()
+    return docs.withColumns(key).join(first, list(key), "left_semi").dropDuplicates(list(key)).select(docs.columns)

@@ -34,7 +34,10 @@ def test_odd_rows(odd, empty):
     want = brute([(d, brute_fingerprint(t)) for d, t, *_ in ODD], 4)
     assert sorted((tuple(r) for r in s.near_duplicates(odd).collect()), key=str) == want
     kept = s.keep_one(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id = 5").count() == 0 and kept.where("doc_id = 1").count() == 1
+    assert kept.columns == odd.columns and [tuple(r) for r in sorted(kept.collect(), key=str)] == [tuple(r) for r in sorted(s.keep_one(odd.repartition(5)).collect(), key=str)]
+    by = [(r.doc_id, r.text) for r in kept.collect()]
+    # 1, 5 and a row without doc_id are alike; so are texts without a word; both texts of doc_id 6 stay.
+    assert sorted(d for d, _ in by) == [1, 2, 6, 6, 7, 8, 9, 10]
     assert s.near_duplicates(empty).count() == s.keep_one(empty).count() == 0
 
 
@@ -62,3 +65,41 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (5, 5), (-7, 100)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {roots[i] for i in range(41)} == {0} and {roots[i] for i in (100, 200, 300, -7)} == {-7}
+
+
+def shingles(text):
+    ws = text.lower().split()
+    return {" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 8, "cell": 6}])
+def test_similar_texts_against_all_pairs(spark, options):
+    """Copies with a few words changed, added or moved, in groups small and large; with small options, groups that no task
+    may hold whole."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(900)]
+    texts = []
+    for group in (1, 1, 1, 2, 3, 5, 60, 40, *[1] * 20):
+        base = rnd.choices(words, k=rnd.randint(60, 300))
+        for _ in range(group):
+            copy = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 40))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id.doc_id: r.first.doc_id for r in s.similar(d, [d.doc_id], **options).collect()}
+    assert all(label[i] == label[got[i]] for i in got)
+    assert sum(got[i] == label[i] for i in got) >= 0.97 * len(texts)
+
+
+def test_unlike_texts_of_one_doc_id_stay(spark):
+    rows = [(1, "one text of seven words or so"), (1, "and quite another one that has more words"), (None, "a third text that has no doc_id at all"), (None, "a third text that has no doc_id at all")]
+    kept = [s.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect() for n in (1, 3)]
+    assert all(sorted(map(tuple, k), key=str) == sorted(map(tuple, rows[:3]), key=str) for k in kept)
