@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing to target weights, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() applies them in order, each
-result written as Parquet under spark.checkpoint.dir and read again. All stages but the last return the columns of
+result written as Parquet under spark.checkpoint.dir and read again; what a stage wrote on its way is deleted. All stages but the last return the columns of
 documents. Rows are never sampled or capped; an empty table passes through every stage."""
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import byte_bpe, language_id, line_dedup, mixing, simhash
-from strandloom.llm.common import documents, written
+from strandloom.llm.common import documents, finished
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id: texts with 0.8 of their five-word
+    shingles in common are linked."""
     return simhash.keep_one(docs)
 
 
@@ -51,5 +52,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
