@@ -3,6 +3,11 @@
 Texts are cut by the vocabulary's pattern. A word is a set of token-position rows, at first one for each byte; in each
 round of a recursive query the rows join the merge table and every word contracts its leftmost pair of minimum rank,
 until no pair is in the table. Decoding joins ids with their bytes and aggregates them in order.
+
+A long word is cut into overlapping windows, which are contracted as words of their own. Tokens are those of a text if and
+only if every two neighbours are those of their own bytes: contractions within them are then the text's, in its order,
+and none crosses. So where two windows have a token in common, at the same bytes, the first one's tokens up to it and the
+second one's behind it are those of both together. Work and memory grow in proportion to the word's length.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 
 #: Characters of text that are handled at once, words that a worker remembers, words in one query.
 SLICE, REMEMBERED, WORDS = 1 << 21, 400_000, 20_000
-#: From this many bytes on a word contracts all places of its minimum rank in one round where that is the same.
-LONG = 128
+#: From this many bytes on a word is cut into windows of so many bytes that begin so many bytes apart.
+LONG, WINDOW, STRIDE = 128, 64, 32
+#: Rows that a recursion may leave, about: of short words half their squared lengths, of a long one all its rounds.
+ROWS = 2_000_000
 
 #: One round for short words. A row has its token and the next one's; best is the minimum of rank and position in each
 #: word, and the row behind that position goes.
@@ -42,8 +49,9 @@ WITH RECURSIVE s(w, pos, tok, after, next, round) AS (
 SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS text
 FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) JOIN vocabulary ON id = tok GROUP BY w
 """
-#: For long words: of a calm pair, whose result makes no pair of lower rank, all places that do not overlap contract
-#: together, which is what leftmost contractions would come to; places of a run of one token are paired from its left.
+#: For windows that had to grow: of a calm pair, whose result makes no pair of lower rank, all places that do not overlap
+#: contract together, which is what leftmost contractions would come to; places of a run of one token are paired from its
+#: left. It stops after some rounds, so that the state it keeps stays small, and is asked again.
 LONG_ROUNDS = """
 WITH RECURSIVE s(w, pos, tok, round) AS (
   SELECT w, pos, tok, 0 FROM start
@@ -55,12 +63,11 @@ WITH RECURSIVE s(w, pos, tok, round) AS (
         SELECT *, CASE WHEN made = best AND lag(made) OVER (PARTITION BY w ORDER BY pos) IS NOT DISTINCT FROM best AND l = r
             THEN NULL ELSE n END AS edge, min(CASE WHEN made = best THEN pos END) OVER (PARTITION BY w) AS first FROM (
           SELECT p.*, m.made, m.l, m.r, m.calm, min(m.made) OVER (PARTITION BY p.w) AS best FROM (
-            SELECT w, pos, tok, round, row_number() OVER (PARTITION BY w ORDER BY pos) AS n, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM s
+            SELECT w, pos, tok, round, row_number() OVER (PARTITION BY w ORDER BY pos) AS n, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM s WHERE round < {rounds}
           ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next))))
   WHERE best IS NOT NULL AND gone IS DISTINCT FROM true
 )
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS text
-FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) JOIN vocabulary ON id = tok GROUP BY w
+SELECT tok, round FROM s WHERE round = (SELECT max(round) FROM s) ORDER BY pos
 """
 DECODE = """
 SELECT d, string_agg(piece, '' ORDER BY pos) AS text FROM
@@ -84,6 +91,19 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int, bool]]:
     return [(left, right, made, low.get(made, made) >= made) for left, right, made in rows]
 
 
+def groups(words: list[tuple]) -> Iterator[list[tuple]]:
+    """Pairs (word, bytes) cut into lists that one recursion can hold."""
+    some, rows = [], 0
+    for pair in words:
+        if some and (len(some) == WORDS or rows > ROWS):
+            yield some
+            some, rows = [], 0
+        some.append(pair)
+        rows += len(pair[1]) ** 2 // 2
+    if some:
+        yield some
+
+
 class Coder:
     """Encodes and decodes by the ranks of one file; words that were met are remembered, up to a number that decides on
     memory and speed alone."""
@@ -92,7 +112,7 @@ class Coder:
         self.remembered = remembered
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
         left, right, made, calm = zip(*merge_rows(self.ranks), strict=True)
         rows = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "made": pa.array(made, pa.int32()), "calm": list(calm)})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
@@ -103,35 +123,125 @@ class Coder:
         self.words: dict[str, str] = {}
         self.tokens = {str(i): t.encode("latin-1") for i, t in self.db.sql("SELECT id, piece FROM vocabulary").fetchall()}
         self.units: dict[str, bytes] = dict(self.tokens)
+        self.sizes = {i: len(t) for t, i in self.ranks.items()}
+        #: Long words and their runs, which are remembered for one slice only, and tokens of windows.
+        self.long: list[tuple[str, str]] = []
+        self.windows: dict[bytes, list[int]] = {}
 
     def forget(self) -> None:
         self.words, self.units = {}, dict(self.tokens)
 
-    def contract(self, words: list[bytes], rounds: str) -> Iterator[tuple[int, str, str]]:
+    def forget_long(self) -> None:
+        for word, run in self.long:
+            self.words.pop(word, None)
+            self.units.pop(run, None)
+        self.long.clear()
+        self.windows.clear()
+
+    def contract(self, words: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """(place in words, ids, characters of the bytes that the ids stand for) of each word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
         start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": tok})  # noqa: F841 (DuckDB reads it)
-        got = self.db.sql(rounds).to_arrow_table()
+        got = self.db.sql(SHORT_ROUNDS).to_arrow_table()
         return zip(*(got.column(c).to_pylist() for c in ("w", "ids", "text")), strict=True)
 
     def learn(self, new: list[str]) -> None:
         """Adds the ids of words, and what they decode to, which the same ordered aggregation tells. A word that is a token
         is that token, as in the library whose ranks these are."""
-        todo: dict[str, list] = {SHORT_ROUNDS: [], LONG_ROUNDS: []}
+        short, long = [], []
         for w in new:
             raw = w.encode()
             if raw in self.ranks:
                 self.words[w] = str(self.ranks[raw])
             else:
-                todo[SHORT_ROUNDS if len(raw) < LONG else LONG_ROUNDS].append((w, raw))
-        for rounds, pairs in todo.items():
-            for lo in range(0, len(pairs), WORDS):
-                some = pairs[lo : lo + WORDS]
-                for i, ids, text in self.contract([raw for _, raw in some], rounds):
-                    self.words[some[i][0]] = ids
-                    self.units[ids] = text.encode("latin-1")
+                (short if len(raw) < LONG else long).append((w, raw))
+        for some in groups(short):
+            for i, ids, text in self.contract([raw for _, raw in some]):
+                self.words[some[i][0]] = ids
+                self.units[ids] = text.encode("latin-1")
+        for w, raw in long:
+            ids = " ".join(map(str, self.joined(raw)))
+            self.words[w] = ids
+            self.long.append((w, ids))
+
+    def learn_windows(self, raws: Iterable[bytes]) -> None:
+        for some in groups([(raw, raw) for raw in set(raws).difference(self.windows)]):
+            for i, ids, _ in self.contract([raw for _, raw in some]):
+                self.windows[some[i][0]] = list(map(int, ids.split()))
+
+    def contract_long(self, raw: bytes) -> list[int]:
+        if raw in self.windows:
+            return self.windows[raw]
+        if len(raw) < LONG:
+            self.learn_windows([raw])
+            return self.windows[raw]
+        tok, left = self.single[np.frombuffer(raw, np.uint8)], True
+        while left:
+            n = len(tok)
+            start = pa.table({"w": np.zeros(n, np.int32), "pos": np.arange(n, dtype=np.int32), "tok": tok})  # noqa: F841
+            rounds = max(1, ROWS // n)
+            got = self.db.sql(LONG_ROUNDS.format(rounds=rounds)).to_arrow_table()
+            tok, left = got.column("tok").to_numpy(), got.column("round")[0].as_py() == rounds
+        if len(raw) <= 16 * WINDOW:
+            self.windows[raw] = tok.tolist()
+        return tok.tolist()
+
+    def joined(self, raw: bytes) -> list[int]:
+        """The tokens of a long word. out is always the tokens of the bytes before a place; a window is joined to it at a
+        common token. Where they have none, a window from one of out's tokens on takes its place, and grows until they have."""
+        spans = [(lo, min(lo + WINDOW, len(raw))) for lo in range(0, max(len(raw) - STRIDE, 1), STRIDE)]
+        out: list[tuple[int, int]] = []  # (first byte, token)
+        end, reach = 0, WINDOW
+        for group in range(0, len(spans), 4 * WORDS):
+            some = spans[group : group + 4 * WORDS]
+            self.forget_windows()
+            self.learn_windows(raw[lo:hi] for lo, hi in some)
+            for lo, hi in some:
+                if hi <= end:
+                    continue
+                if not out or not self.join(out, lo, self.windows[raw[lo:hi]]):
+                    while True:
+                        at = len(out)
+                        while at and end - out[at - 1][0] < reach:
+                            at -= 1
+                        at = max(at - 1, 0)
+                        begin, hi = out[at][0] if out else 0, min(len(raw), hi + reach - WINDOW)
+                        ids = self.contract_long(raw[begin:hi])
+                        if begin == 0:
+                            out.clear()
+                            self.append(out, 0, ids)
+                            break
+                        if self.join(out, begin, ids):
+                            break
+                        reach *= 2
+                end = hi
+        return [i for _, i in out]
+
+    def forget_windows(self) -> None:
+        if len(self.windows) > 8 * WORDS:
+            self.windows.clear()
+
+    def append(self, out: list, begin: int, ids: list[int]) -> None:
+        for i in ids:
+            out.append((begin, i))
+            begin += self.sizes[i]
+
+    def join(self, out: list, begin: int, ids: list[int]) -> bool:
+        """Joins the tokens of a window that begins at begin to out, at the first token that both have."""
+        at = len(out)
+        while at and out[at - 1][0] >= begin:
+            at -= 1
+        known = {x: k for k, x in enumerate(out[at:], at)}
+        for k, i in enumerate(ids):
+            hit = known.get((begin, i))
+            begin += self.sizes[i]
+            if hit is not None:
+                del out[hit + 1 :]
+                self.append(out, begin, ids[k + 1 :])
+                return True
+        return False
 
     def encode(self, texts: list) -> Iterator[list[str]]:
         """The ids of each text, word by word."""
@@ -142,6 +252,7 @@ class Coder:
                 cut.append(self.pattern.findall(texts[i] or ""))
                 size += len(texts[i] or "")
                 i += 1
+            self.forget_long()
             if max(len(self.words), len(self.units) - len(self.tokens)) > self.remembered:
                 self.forget()
             self.learn(list(set().union(*cut).difference(self.words)))

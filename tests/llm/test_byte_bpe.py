@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers as P
 import pytest
@@ -29,6 +30,36 @@ def test_like_the_library(own, library):
     assert list(own.decode(got)) == [t.encode() for t in texts]
 
 
+def test_long_words(own, library):
+    """Words that fill whole windows, of few and of many letters, against the library; linear in time."""
+    rnd = random.Random(7)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = [draw("abcdefghijklmnopqrstuvwxyz", 100_000), draw("ACGT", 20_000), draw(["the", "ing", "tion", "a", "e"], 10_000), draw("=-_*#", 20_000), draw("\u00e9\u65e5\u0434", 10_000), "=" * 50_001, "abcde" * 10_001, draw("abcdefghij", 37) * 900, " " * 50_000 + "x"]
+    for t in texts:
+        began = time.time()
+        assert [int(i) for w in next(own.encode([t])) for i in w.split()] == library.encode_ordinary(t)
+        assert time.time() - began < 60
+        assert next(own.decode(own.encode([t]))) == t.encode()
+    assert len(own.long) == 1 and not own.db.sql("SELECT current_setting('temp_directory')").fetchall()[0][0]
+
+
+def test_a_million_letters(own, library):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    got = [int(i) for w in next(own.encode([text])) for i in w.split()]
+    assert time.time() - began < 120 and got == library.encode_ordinary(text)
+
+
+def test_one_word_in_all_ways(own, library):
+    """Contracted whole by either query, and from windows."""
+    rnd = random.Random(9)
+    for letters in ("abcdefgh", "ab", "the ing", " =", "\n\t "):
+        word = "".join(rnd.choice(letters) for _ in range(700)).encode()
+        short = [list(map(int, ids.split())) for _, ids, _ in own.contract([word])]
+        assert short == [own.contract_long(word)] == [own.joined(word)]
+
+
 def test_odd_rows(spark, odd, empty, library):
     from odd_rows import ODD
 
