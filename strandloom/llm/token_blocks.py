@@ -8,6 +8,7 @@ writer commits, so any store that Spark writes to will do and a lost task leaves
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -107,6 +108,11 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 #: as the tokenizer would cut them, by its own pattern; all others go to it whole.
 PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xFF]+")
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How a vocabulary file has to normalise and cut texts for that; texts of all other vocabularies go to the library whole.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": CUT.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 class Encoder:
@@ -122,6 +128,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        config = json.loads(self.tokenizer.to_str())
+        added = config.get("added_tokens") or []
+        #: Whether words can be encoded on their own.
+        self.by_word = all(config.get(k) == v for k, v in KNOWN.items()) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 for t in added)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         suffix = self.tokenizer.model.end_of_word_suffix
         tokens = self.tokenizer.get_vocab()
@@ -178,6 +188,11 @@ class Encoder:
             while j < len(texts) and (j == i or size < SLICE):
                 size += len(texts[j] or "")
                 j += 1
+            if not self.by_word:
+                got = self.tokenizer.encode_batch_fast([t or "" for t in texts[i:j]], add_special_tokens=False)
+                yield from (np.array(e.ids, "<u4") for e in got)
+                i = j
+                continue
             split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts[i:j]], pa.large_string()))
             flat = split.flatten().dictionary_encode()
             own = flat.dictionary.to_pylist()

@@ -28,7 +28,6 @@ def test_odd_rows(spark, odd, empty):
     from odd_rows import ODD
 
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     want = []
     for d, x, *_ in ODD:
         ids = [*tok.encode(x or "", add_special_tokens=False).ids, 2]
@@ -52,3 +51,25 @@ def test_added_tokens_are_found(spark):
     tok = Tokenizer.from_file(PATH)
     texts = ["a word <|endoftext|> and more", "pre<|endoftext|>post it's", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "Été (<|endoftext|>) 日"]
     assert [x.tolist() for x in t.Encoder(PATH).encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_all_documents_like_the_library():
+    """Every text of the table, and those with added tokens, against the untouched tokenizer."""
+    import pandas as pd
+
+    tok, own = Tokenizer.from_file(PATH), t.Encoder(PATH)
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.fillna("").tolist()
+    texts += ["a word <|endoftext|> and more", "x<|startoftext|>y", "<|ENDOFTEXT|> \u212b e\u0301 \u0130I'LL", "it's 12\u00bd \u2028 \x85 \x1c end"]
+    assert own.by_word
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    import json
+
+    config = json.load(open(PATH))
+    config["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    (tmp_path / "v.json").write_text(json.dumps(config))
+    tok, own = Tokenizer.from_file(str(tmp_path / "v.json")), t.Encoder(str(tmp_path / "v.json"))
+    texts = ["two words", "", None, "it's \n so"]
+    assert not own.by_word and [x.tolist() for x in own.encode(texts)] == [tok.encode(x or "", add_special_tokens=False).ids for x in texts]
