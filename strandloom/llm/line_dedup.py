@@ -27,6 +27,8 @@ BLOCK_WORDS = 8
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 LAST = (1 << 63) - 1
+#: What a line's second hash is made with; a line goes only if both hashes are those of a line of the earlier document.
+SECOND = 43
 
 
 def in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -147,7 +149,7 @@ def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     key = [F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th")]
     split = docs.where("text is not null").select(*key, F.split("text", "\n").alias("ls"))
     lines = written(
-        split.select("did", "th", F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"), F.transform("ls", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws")).distinct(),
+        split.select("did", "th", F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"), F.transform("ls", lambda x: F.xxhash64(x, F.lit(SECOND))).alias("hs2"), F.transform("ls", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws")).distinct(),
         "op9-lines",
     )
     own = written(window_rows(lines, block_words).withColumn("salt", F.pmod(F.xxhash64("did", "th"), F.lit(salts(docs.sparkSession))).cast("int")), "op9-windows")
@@ -160,13 +162,16 @@ def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .distinct()
     )
     pairs = written(pairs, "op9-pairs")
-    first_lines = lines.select(F.col("did").alias("did0"), F.col("th").alias("th0"), F.col("hs").alias("hs0"))
+    first_lines = lines.select(F.col("did").alias("did0"), F.col("th").alias("th0"), F.col("hs").alias("hs0"), F.col("hs2").alias("hs20"))
     sides = pairs.select("did0", "th0", "salt").distinct().join(first_lines, ["did0", "th0"])
-    both = pairs.join(sides, ["did0", "th0", "salt"]).join(lines, ["did", "th"]).select("did", "th", "hs0", "hs", "ws")
+    both = pairs.join(sides, ["did0", "th0", "salt"]).join(lines, ["did", "th"]).select("did", "th", "hs0", "hs20", "hs", "hs2", "ws")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gone = [common_lines(x.tolist(), y.tolist(), w.tolist(), block_words) for x, y, w in zip(b["hs0"], b["hs"], b["ws"], strict=True)]
+            gone = []
+            for x, x2, y, y2, w in zip(b["hs0"], b["hs20"], b["hs"], b["hs2"], b["ws"], strict=True):
+                has = set(zip(x.tolist(), x2.tolist(), strict=True))
+                gone.append([k for k in common_lines(x.tolist(), y.tolist(), w.tolist(), block_words) if (int(y[k]), int(y2[k])) in has])
             out = pd.DataFrame({"did": b["did"], "th": b["th"], "at": gone})
             yield out[out["at"].map(len) > 0]
 
@@ -180,7 +185,7 @@ def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     Earlier is the smaller doc_id (null last), then the smaller hash of the text; rows that repeat both are one
     document and are cut alike. An empty text has one empty line, which is never deleted. A text keeps its other lines,
-    in order, joined by line ends; it may become empty. Lines are compared by 64-bit hashes. An empty table gives no
+    in order, joined by line ends; it may become empty. Lines are compared by two 64-bit hashes. An empty table gives no
     rows. Texts move once, to meet their deletions; before that, only hashes do."""
     gone = removed_lines(docs, block_words).select(F.col("did").alias("_d"), F.col("th").alias("_h"), F.col("removed").alias("_gone"))
     rest = docs.drop("n_lines_before", "n_removed", "_did", "_th", "_ls", "_d", "_h", "_gone")
