@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: n-gram length; most training texts of a language and most characters of one; part of them held back to calibrate.
 ORDER, TRAIN_TEXTS, TRAIN_CHARS, HELD_BACK = 4, 400, 20_000, 5
+#: Characters of training text of all languages together, about, and the fewest of a text where they are many: texts give
+#: shorter slices then, so what comes to the driver, and the tables that go to the tasks, stay of a size.
+TOTAL_CHARS, LEAST_CHARS = 1 << 26, 500
 #: Times the highest cross-entropy of held-back texts from which on a text is rejected.
 SLACK = 1.5
 #: Characters that are scored at once.
@@ -269,7 +272,8 @@ def fit(samples: list[tuple[str, str]], order: int = ORDER, held_back: int = HEL
 
 def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> DataFrame:
     """Of each language the texts distinct texts of the least hash, or all if it has fewer (those that share the last
-    one's hash come on top). A text of more than chars characters gives chars of them, from a place that its hash says."""
+    one's hash come on top). A text of more than chars characters gives chars of them, from a place that its hash says; with
+    very many languages chars is less, by TOTAL_CHARS. A label takes a row of the driver and a part of a filter."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text", F.lit(3)).alias("u"))
     # Copies of one text share its hash: each counts once. Of a language only hashes that can be among the least are sorted.
     hashes = rows.select("lang", "u").distinct()
@@ -278,7 +282,9 @@ def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAI
     low = hashes.join(counts, "lang").where((share * F.col("n") < 2.0 * texts + 100) | (F.col("n") <= texts))
     cuts = low.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("u"))).where(F.col("r") <= texts).groupBy("lang").agg(F.max("u").alias("cut"))
     # A row for each label comes to the driver and goes back as a literal: texts are filtered where they are read.
-    most = [x for r in cuts.collect() for x in (F.lit(r["lang"]), F.lit(r["cut"]))]
+    found = cuts.collect()
+    chars = min(chars, max(LEAST_CHARS, TOTAL_CHARS // (texts * max(len(found), 1))))
+    most = [x for r in found for x in (F.lit(r["lang"]), F.lit(r["cut"]))]
     picked = rows.where(F.col("u") <= F.try_element_at(F.create_map(*most), F.col("lang"))) if most else rows
     begin = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
     return picked.withColumn("text", F.when(F.length("text") <= chars, F.col("text")).otherwise(F.substring("text", begin, F.lit(chars)))).select("lang", "text", "u").distinct()
