@@ -287,6 +287,8 @@ def repeated_windows(blocks: DataFrame, places: DataFrame, buckets: int, window:
                 hashes = windows_at(own.data, at, window)
                 did = own.dids[own.doc_of(at)]
                 late, lead = earlier(hashes, did)
+                check = np.flatnonzero(late)
+                late[check] = windows_at(own.data, at[check], window, 1) == windows_at(own.data, at[lead[check]], window, 1)
                 rows = []
                 if late.any():
                     rows.append({"bucket": int(row.block % buckets), "block": row.block, "data": b"\0" + squeeze(*runs(np.unique(at[late])))})
@@ -400,14 +402,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 def told_windows(own: Block, told: np.ndarray) -> np.ndarray:
     """Windows of the block that are repeated, given the asked ones that are: as the first of the equal windows of its
-    smallest id was told, so are all that are equal, and those with larger ids are repeated anyhow."""
+    smallest id was told, so are all that are equal by both hashes. Those with larger ids were found in the block."""
     if not len(told):
         return told
     h, _, start, end = own.anchors()
     hit = np.isin(h, h[np.searchsorted(start, told, "right") - 1])
     at = ranges(start[hit], end[hit])
-    late, lead = earlier(windows_at(own.data, at, own.window), own.dids[own.doc_of(at)])
-    return at[late | np.isin(at[lead], told)]
+    _, lead = earlier(windows_at(own.data, at, own.window), own.dids[own.doc_of(at)])
+    ours = np.isin(at[lead], told)
+    at, first = at[ours], at[lead][ours]
+    return at[windows_at(own.data, at, own.window, 1) == windows_at(own.data, first, own.window, 1)]
 
 
 def suffix_array(s: bytes) -> np.ndarray:
