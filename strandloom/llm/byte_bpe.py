@@ -25,10 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import kept
+
 #: Characters of text that are handled at once, words that a worker remembers, words in one query.
 SLICE, REMEMBERED, WORDS = 1 << 21, 400_000, 20_000
 #: From this many bytes on a word is cut into windows of so many bytes that begin so many bytes apart.
 LONG, WINDOW, STRIDE = 128, 64, 32
+#: From this many bytes on a word's windows are contracted for it alone, those of shorter words for many words together.
+MANY = 1 << 16
 #: Rows that a recursion may leave, about: of short words half their squared lengths, of a long one all its rounds.
 ROWS = 2_000_000
 
@@ -91,15 +95,19 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int, bool]]:
     return [(left, right, made, low.get(made, made) >= made) for left, right, made in rows]
 
 
+def spans(raw: bytes) -> list[tuple[int, int]]:
+    return [(lo, min(lo + WINDOW, len(raw))) for lo in range(0, max(len(raw) - STRIDE, 1), STRIDE)]
+
+
 def groups(words: list[tuple]) -> Iterator[list[tuple]]:
-    """Pairs (word, bytes) cut into lists that one recursion can hold."""
+    """Pairs (word, bytes) cut into lists that one recursion can hold; a long word counts as its windows."""
     some, rows = [], 0
     for pair in words:
         if some and (len(some) == WORDS or rows > ROWS):
             yield some
             some, rows = [], 0
         some.append(pair)
-        rows += len(pair[1]) ** 2 // 2
+        rows += len(pair[1]) * min(len(pair[1]), WINDOW) // 2
     if some:
         yield some
 
@@ -112,7 +120,7 @@ class Coder:
         self.remembered = remembered
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
         left, right, made, calm = zip(*merge_rows(self.ranks), strict=True)
         rows = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "made": pa.array(made, pa.int32()), "calm": list(calm)})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
@@ -161,10 +169,13 @@ class Coder:
             for i, ids, text in self.contract([raw for _, raw in some]):
                 self.words[some[i][0]] = ids
                 self.units[ids] = text.encode("latin-1")
-        for w, raw in long:
-            ids = " ".join(map(str, self.joined(raw)))
-            self.words[w] = ids
-            self.long.append((w, ids))
+        for some in groups(long):
+            self.forget_windows()
+            self.learn_windows(raw[lo:hi] for _, raw in some if len(raw) < MANY for lo, hi in spans(raw))
+            for w, raw in some:
+                ids = " ".join(map(str, self.joined(raw)))
+                self.words[w] = ids
+                self.long.append((w, ids))
 
     def learn_windows(self, raws: Iterable[bytes]) -> None:
         for some in groups([(raw, raw) for raw in set(raws).difference(self.windows)]):
@@ -191,12 +202,13 @@ class Coder:
     def joined(self, raw: bytes) -> list[int]:
         """The tokens of a long word. out is always the tokens of the bytes before a place; a window is joined to it at a
         common token. Where they have none, a window from one of out's tokens on takes its place, and grows until they have."""
-        spans = [(lo, min(lo + WINDOW, len(raw))) for lo in range(0, max(len(raw) - STRIDE, 1), STRIDE)]
         out: list[tuple[int, int]] = []  # (first byte, token)
         end, reach = 0, WINDOW
-        for group in range(0, len(spans), 4 * WORDS):
-            some = spans[group : group + 4 * WORDS]
-            self.forget_windows()
+        cuts = spans(raw)
+        for group in range(0, len(cuts), 4 * WORDS):
+            some = cuts[group : group + 4 * WORDS]
+            if len(raw) >= MANY:
+                self.forget_windows()
             self.learn_windows(raw[lo:hi] for lo, hi in some)
             for lo, hi in some:
                 if hi <= end:
@@ -279,15 +291,9 @@ class Coder:
             self.units[new[d]] = text.encode("latin-1")
 
 
-_coders: dict[tuple, Coder] = {}
-
-
 def coder(*key) -> Coder:
-    """This worker's coder of a path, a pattern, and how many words it remembers; it has one at a time."""
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(*key)
-    return _coders[key]
+    """This worker's coder of a path, a pattern, and how many words it remembers."""
+    return kept((Coder.__name__, *key), lambda: Coder(*key))
 
 
 def numbers(runs: list[str]) -> np.ndarray:

@@ -87,5 +87,17 @@ def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """make() of this Python worker, made anew where the worker's last such object had another key: models and encoders of
+    several operators are not held together by the workers that serve all of them."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

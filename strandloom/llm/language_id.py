@@ -24,7 +24,7 @@ TOTAL_CHARS, LEAST_CHARS = 1 << 26, 500
 #: Times the highest cross-entropy of held-back texts from which on a text is rejected.
 SLACK = 1.5
 #: Characters that are scored at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 MIX, TOP = np.uint64(0x9E3779B97F4A7C15), 20
 SPACE, OTHER = 0, 1
 
@@ -49,15 +49,18 @@ def is_letter(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Rows found by n-gram: hashes sorted, with the place at which each value of their TOP upper bits begins."""
+    """Rows found by n-gram: hashes sorted, with the place at which each value of their upper bits, TOP at most, begins."""
 
     hashes: np.ndarray
     rows: np.ndarray
     begins: np.ndarray = field(init=False)
+    shift: np.uint64 = field(init=False)
 
     def __post_init__(self):
-        tops = (self.hashes >> np.uint64(64 - TOP)).astype(np.int64)
-        self.begins = np.searchsorted(tops, np.arange((1 << TOP) + 1)).astype(np.int32)
+        bits = min(TOP, len(self.hashes).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        tops = (self.hashes >> self.shift).astype(np.int64)
+        self.begins = np.searchsorted(tops, np.arange((1 << bits) + 1)).astype(np.int32)
 
     @classmethod
     def of(cls, keys: np.ndarray, rows: np.ndarray) -> Table:
@@ -68,7 +71,7 @@ class Table:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where there is none."""
         h = keys * MIX
-        top = (h >> np.uint64(64 - TOP)).astype(np.int64)
+        top = (h >> self.shift).astype(np.int64)
         at, end = self.begins[top], self.begins[top + 1]
         out = np.full(len(keys), -1, np.int64)
         left = np.flatnonzero(at < end)

@@ -255,18 +255,19 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, shingle: int = SHINGLE, mos
     if tau % 2:
         raise ValueError("tau has to be even")
     made = written(fingerprints(docs, shingle), "op6-fingerprints")
-    named = components_of(made, lambda nodes: links(nodes.select("fp"), tau, most))
+    named = components_of(made, lambda nodes: links(nodes.select("fp"), tau, most), F.col("fp"))
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def components_of(made: DataFrame, link: Callable[[DataFrame], DataFrame], value: str = "doc_id", name: str = "component_id", *extra: Column) -> DataFrame:
+def components_of(made: DataFrame, link: Callable[[DataFrame], DataFrame], node: Column, value: str = "doc_id", name: str = "component_id", *extra: Column) -> DataFrame:
     """made, rows with a fingerprint fp, with name: the smallest value in the component of the row's fingerprint. link
-    gives edges (a, b) of distinct fingerprints (fp, low, the smallest value, and the aggregates extra)."""
+    gives edges (a, b) of nodes; its argument has a row for each fingerprint: node, fp, low (the smallest value), extra."""
     dealt = made.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts(made.sparkSession))).cast("int"))
     parts = written(dealt.groupBy("fp", "salt").agg(F.min(value).alias("low"), *extra), "op6-parts")
-    nodes = written(parts.groupBy("fp").agg(F.min("low").alias("low"), *extra), "op6-nodes")
-    roots = components(link(nodes)).withColumnRenamed("node", "fp")
-    rooted = written(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "op6-rooted")
+    # Numbers of nodes are those of the written rows, so they stay when tasks are run again.
+    nodes = written(parts.groupBy("fp").agg(F.min("low").alias("low"), *extra).withColumn("node", node), "op6-nodes")
+    roots = components(link(nodes))
+    rooted = written(nodes.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root")), "op6-rooted")
     named = with_lowest(rooted, "root", "low", name).select("fp", name)
     ends = parts.select("fp", "salt").join(named, "fp")
     return dealt.join(ends, ["fp", "salt"]).drop("salt")
@@ -320,31 +321,23 @@ def tree(fps: np.ndarray, tau: int, like: Callable[[int, np.ndarray], np.ndarray
     return out_a, out_b
 
 
-A, B, FP = ([f"{x}{i}" for i in range(WORDS)] for x in "abf")
-LINKED = ", ".join(f"{c} long" for c in [*A, *B])
+FP = [f"f{i}" for i in range(WORDS)]
+LINKED = "a long, b long"
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(np.hstack((a, b)).view(np.int64), columns=[*A, *B])
-
-
-def edges_of(rows: DataFrame) -> DataFrame:
-    return rows.select(fp_of(A).alias("a"), fp_of(B).alias("b"))
-
-
-def fp_of(names: list[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f) for c, f in zip(names, FP, strict=True)])
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def candidate_linker(tau: int, most: int, short: int = 32):
-    """For mapInPandas over rows (key, f0, f1, ...) sorted by key: links (a, b) of candidates within each key. Runs up to
-    short compare all pairs, many runs at once; longer ones make a tree; members of a run over most are candidates
+    """For mapInPandas over rows (key, node, f0, f1, ...) sorted by key: links (a, b) of candidates within each key. Runs up
+    to short compare all pairs, many runs at once; longer ones make a tree; members of a run over most are candidates
     unseen, linked to the run's first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dense = head = None
 
-        def chunk(keys: np.ndarray, fps: np.ndarray) -> Iterator[pd.DataFrame]:
+        def chunk(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[pd.DataFrame]:
             """Links in whole runs, none over most."""
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
             size = np.diff(cuts)
@@ -355,50 +348,51 @@ def candidate_linker(tau: int, most: int, short: int = 32):
                 if not len(at):
                     break
                 ok = at[within(fps[at] ^ fps[at + off], tau)]
-                yield linked(fps[ok], fps[ok + off])
+                yield linked(nodes[ok], nodes[ok + off])
             for k in np.flatnonzero(size > short).tolist():
-                part = fps[cuts[k] : cuts[k + 1]]
-                a, b = tree(part, tau)
-                yield linked(part[a], part[b])
+                part = slice(cuts[k], cuts[k + 1])
+                a, b = tree(fps[part], tau)
+                yield linked(nodes[part][a], nodes[part][b])
 
-        keys, fps = np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64)
         for b in batches:
-            keys, fps = np.concatenate((keys, b["key"].to_numpy())), np.concatenate((fps, b[FP].to_numpy().view(np.uint64)))
-            if dense is not None and len(keys):
+            got = b["key"].to_numpy(), b["node"].to_numpy(), b[FP].to_numpy().view(np.uint64)
+            keys, nodes, fps = (np.concatenate(x) for x in zip(held, got, strict=True))
+            if dense is not None:
                 more = int(np.searchsorted(keys, dense, "right"))
-                yield linked(np.repeat(head[None], more, 0), fps[:more])
-                keys, fps = keys[more:], fps[more:]
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            yield from chunk(keys[:last], fps[:last])
-            keys, fps = keys[last:], fps[last:]
-            if len(keys) > most:
-                dense, head = keys[0], fps[0].copy()
-                yield linked(np.repeat(head[None], len(fps), 0), fps)
-                keys, fps = keys[:0], fps[:0]
-        if len(keys):
-            yield from chunk(keys, fps)
+                yield linked(np.full(more, head), nodes[:more])
+                keys, nodes, fps = keys[more:], nodes[more:], fps[more:]
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if last:
+                yield from chunk(keys[:last], nodes[:last], fps[:last])
+            held = keys[last:], nodes[last:], fps[last:]
+            if len(held[0]) > most:
+                dense, head = held[0][0], held[1][0]
+                yield linked(np.full(len(held[1]), head), held[1])
+                held = tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield from chunk(*held)
 
     return run
 
 
 def candidates(nodes: DataFrame, tau: int, most: int, cell: int) -> DataFrame:
-    """(fp, low, group, parts, lead) of the nodes (fp, low, n) that share a group with another: groups are the components
-    of pairs that share a key and differ in tau bits at most. A group of parts over 1 is too large for one task; about
-    32 of its members lead."""
+    """Those of nodes (node, fp, low, n) that share a group with another, with group, parts and lead: groups are the
+    components of pairs that share a key and differ in tau bits at most. A group of parts over 1 is too large for one
+    task; about 32 of its members lead."""
     made = [F.col(f"fp.{FP[w]}").bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(signed(x))) for w, m, x in wide_keys(nodes.count())]
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("fp").repartition(tasks).select("fp.*", F.explode(F.array(*made)).alias("key")).select("key", *FP)
+    rows = nodes.select("node", "fp").repartition(tasks).select("node", "fp.*", F.explode(F.array(*made)).alias("key"))
     found = written(rows.repartition("key").sortWithinPartitions("key").mapInPandas(candidate_linker(tau, most), LINKED), "op6-candidates")
-    roots = components(edges_of(found)).select(F.col("node").alias("fp"), F.xxhash64("root").alias("group"))
-    named = written(nodes.join(roots, "fp"), "op6-groups")
+    roots = components(found).withColumnRenamed("root", "group")
+    salted = nodes.join(roots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts(nodes.sparkSession))))
+    named = written(salted, "op6-groups")
     size = F.greatest(F.count(F.lit(1)) / cell, 8 * F.sum("n") / CELL_BYTES)
-    sizes = named.groupBy("group", F.pmod(F.xxhash64("fp"), F.lit(salts(nodes.sparkSession))).alias("salt")).agg(size.alias("size"), F.count(F.lit(1)).alias("all"))
+    sizes = named.groupBy("group", "salt").agg(size.alias("size"), F.count(F.lit(1)).alias("all"))
     whole = W.partitionBy("group")
     sizes = sizes.select("group", "salt", (F.sum("size").over(whole).cast("int") + 1).alias("parts"), F.sum("all").over(whole).alias("all"))
-    both = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts(nodes.sparkSession)))).join(sizes, ["group", "salt"])
-    return both.select("fp", "low", "group", "parts", (F.pmod(F.xxhash64("fp", F.lit(7)), F.col("all")) < 32).alias("lead"))
+    lead = F.pmod(F.xxhash64("node", F.lit(7)), F.col("all")) < 32
+    return named.join(sizes, ["group", "salt"]).select("node", "fp", "low", "group", "parts", lead.alias("lead"))
 
 
 class Sets:
@@ -420,13 +414,13 @@ class Sets:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, tau: int, shingle: int, least: float, most: int, cell: int) -> DataFrame:
-    """Edges (a, b) of nodes (fp, low, n), low the id of one document: of candidates whose sets of shingles have a share of
-    least in common, as many as leave the same components. docs has rows (id, text).
+    """Edges (a, b) of nodes (node, fp, low, n), low the id of one document: of candidates whose sets of shingles have a
+    share of least in common, as many as leave the same components. docs has rows (id, text).
 
     Candidates of a group meet in one task up to cell of them. A larger group is cut into parts, each with the group's
     leaders; then members outside the group's largest component, by what is linked so far, meet every part."""
     chosen = written(candidates(nodes, tau, most, cell), "op6-chosen")
-    kept = ["group", "parts", "lead", *FP]
+    kept = ["node", "group", "parts", "lead", *FP]
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -435,37 +429,34 @@ def similar_links(docs: DataFrame, nodes: DataFrame, tau: int, shingle: int, lea
                 yield part[kept].assign(has=[np.unique(shingle_digests(t, shingle).view(np.uint64)).tobytes() for t in part["text"]])
 
     # The chosen are few beside docs as a rule; Spark broadcasts them where their size on disk allows it.
-    rows = docs.join(chosen.withColumnRenamed("low", "id"), "id").dropDuplicates(["fp"]).select("group", "parts", "lead", "fp.*", "text")
-    kinds = "group long, parts int, lead boolean, " + ", ".join(f"{c} long" for c in FP)
-    sets = written(rows.mapInPandas(shingles, kinds + ", has binary"), "op6-sets").withColumn("part", F.pmod(F.xxhash64(*FP, F.lit(5)), F.col("parts")).cast("int"))
+    rows = docs.join(chosen.withColumnRenamed("low", "id"), "id").dropDuplicates(["node"]).select("node", "group", "parts", "lead", "fp.*", "text")
+    kinds = "node long, group long, parts int, lead boolean, " + ", ".join(f"{c} long" for c in FP)
+    sets = written(rows.mapInPandas(shingles, kinds + ", has binary"), "op6-sets").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.ascontiguousarray(pdf[FP].to_numpy()).view(np.uint64)
-        a, b = tree(fps, tau, Sets(pdf["has"], least).like)
-        return linked(fps[a], fps[b])
+    def joined(pdf: pd.DataFrame, apart: np.ndarray | None = None) -> pd.DataFrame:
+        nodes, fps = pdf["node"].to_numpy(), np.ascontiguousarray(pdf[FP].to_numpy()).view(np.uint64)
+        a, b = tree(fps, tau, Sets(pdf["has"], least).like, apart)
+        return linked(nodes[a], nodes[b])
 
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     met = sets.withColumn("i", F.explode(F.when(F.col("lead") & (F.col("parts") > 1), every).otherwise(F.array("part"))))
-    found = written(met.select("group", "i", *FP, "has").groupBy("group", "i").applyInPandas(meet, LINKED), "op6-met")
-    edges, large = edges_of(found), sets.where("parts > 1")
+    edges = written(met.select("group", "i", "node", *FP, "has").groupBy("group", "i").applyInPandas(lambda pdf: joined(pdf), LINKED), "op6-met")
+    large = sets.where("parts > 1")
     if large.isEmpty():
         return edges
-    named = large.withColumn("fp", fp_of(FP)).join(components(edges).withColumnRenamed("node", "fp"), "fp", "left")
-    named = written(named.withColumn("root", F.xxhash64(F.coalesce("root", "fp"))).drop("fp"), "op6-named")
+    named = written(large.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "op6-named")
     sums = named.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sums.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
     rest = named.join(main, "group").withColumns({"rights": F.expr(f"int(rest div {cell}) + 1"), "other": F.col("root") != F.col("main")})
-    rest = rest.withColumn("right", F.pmod(F.xxhash64(*FP, F.lit(6)), F.col("rights")).cast("int"))
-    left = rest.select("group", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "root", *FP, "has")
-    right = rest.where("other").select("group", F.explode(every).alias("i"), F.col("right").alias("j"), "root", *FP, "has")
+    rest = rest.withColumn("right", F.pmod(F.xxhash64("node", F.lit(6)), F.col("rights")).cast("int"))
+    left = rest.select("group", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "root", "node", *FP, "has")
+    right = rest.where("other").select("group", F.explode(every).alias("i"), F.col("right").alias("j"), "root", "node", *FP, "has")
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(FP)
-        fps = np.ascontiguousarray(pdf[FP].to_numpy()).view(np.uint64)
-        a, b = tree(fps, tau, Sets(pdf["has"], least).like, pdf["root"].to_numpy())
-        return linked(fps[a], fps[b])
+        pdf = pdf.drop_duplicates("node")
+        return joined(pdf, pdf["root"].to_numpy())
 
-    return edges.union(edges_of(written(left.unionByName(right).groupBy("group", "i", "j").applyInPandas(cross, LINKED), "op6-across")))
+    return edges.union(written(left.unionByName(right).groupBy("group", "i", "j").applyInPandas(cross, LINKED), "op6-across"))
 
 
 def similar(docs: DataFrame, carry: list[Column], least: float = LEAST, shingle: int = SIMILAR_SHINGLE, tau: int = SIMILAR_TAU, most: int = RUN, cell: int = CELL) -> DataFrame:
@@ -483,9 +474,9 @@ def similar(docs: DataFrame, carry: list[Column], least: float = LEAST, shingle:
             yield pd.concat((b[names].reset_index(drop=True), pd.DataFrame(words, columns=FP)), axis=1).assign(n=[n for _, n in made])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ids), *(f"{c} long" for c in FP), "n long"])
-    made = docs.select(*carry, "text").mapInPandas(run, schema).select(F.struct(*names).alias("id"), fp_of(FP).alias("fp"), "n")
+    made = docs.select(*carry, "text").mapInPandas(run, schema).select(F.struct(*names).alias("id"), F.struct(*FP).alias("fp"), "n")
     texts = docs.select(F.struct(*carry).alias("id"), "text")
-    return components_of(written(made, "op6-wide"), lambda nodes: similar_links(texts, nodes, tau, shingle, least, most, cell), "id", "first", F.max("n").alias("n")).drop("n")
+    return components_of(written(made, "op6-wide"), lambda nodes: similar_links(texts, nodes, tau, shingle, least, most, cell), F.monotonically_increasing_id(), "id", "first", F.max("n").alias("n")).drop("n")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import shared_dir
+from strandloom.llm.common import kept, shared_dir
 
 BLOCK, PERCENTILE = 256, 90
 #: Ids in a segment, about; a longer document has a segment of its own.
@@ -210,14 +210,9 @@ class Encoder:
             i = j
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encode_texts(texts: list, vocabulary: str) -> Iterator[np.ndarray]:
     """The ids of each text, by this worker's encoder."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary].encode(texts)
+    return kept((Encoder.__name__, vocabulary), lambda: Encoder(vocabulary)).encode(texts)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
