@@ -18,12 +18,14 @@ def half_open(tracts: DataFrame, end_inclusive: bool) -> DataFrame:
     return tracts.withColumn("e", F.col("e") + 1) if end_inclusive else tracts
 
 
-def confusion(truth: DataFrame, pred: DataFrame, keys: Sequence[str], width: int, mask: DataFrame | None = None) -> DataFrame:
-    """(truth_state, pred_state, bp) over keys that both have, from rows (keys, s, e, state); with mask, within its
-    intervals alone."""
-    if mask is not None:
-        truth, pred = (intervals.overlaps(x, mask, keys, width) for x in (truth, pred))
+def confusion(truth: DataFrame, pred: DataFrame, keys: Sequence[str], width: int, mask: DataFrame | None = None, mask_keys: Sequence[str] | None = None) -> DataFrame:
+    """(truth_state, pred_state, bp) over keys that both have, from rows (keys, s, e, state); with mask (mask_keys, s, e;
+    disjoint), within its intervals alone. A mask by chromosome is not copied for each haplotype: the common stretches
+    meet it on its own keys."""
     both = intervals.overlaps(truth.select(*keys, "s", "e", F.col("state").alias("truth_state")), pred.select(*keys, "s", "e", F.col("state").alias("pred_state")), keys, width)
+    if mask is not None:
+        by = list(mask_keys or keys)
+        both = intervals.overlaps(both, mask.select(*by, "s", "e"), by, width)
     return both.groupBy("truth_state", "pred_state").agg(F.sum(F.col("e") - F.col("s")).alias("bp"))
 
 

@@ -94,13 +94,18 @@ def intersect_and_subtract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> D
 def subtract_labelled(tracts: DataFrame, cuts: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Labelled, possibly overlapping tracts less disjoint cuts. Each tract keeps its other columns; its pieces lie between
     the cuts that it meets."""
-    rows = tracts.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_s": F.col("s"), "_e": F.col("e")})
-    met = overlaps(rows.select(*keys, "s", "e", "_id"), cuts.select(*keys, "s", "e"), keys, width)
-    holes = met.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_holes"))
-    found = rows.join(holes, "_id", "left")
-    begins = F.concat(F.array("_s"), F.coalesce(F.col("_holes.e"), F.array().cast("array<bigint>")))
-    stops = F.concat(F.coalesce(F.col("_holes.s"), F.array().cast("array<bigint>")), F.array("_e"))
+    # Equal tracts are one row with their number, so rows need no id, and tracts are evaluated once.
+    rows = tracts.where("s < e").groupBy(*tracts.columns).agg(F.count(F.lit(1)).alias("_n"))
+    bins = lambda s, e, name: F.explode(F.expr(f"sequence({s} div {width}, ({e} - 1) div {width})")).alias(name)
+    left = rows.select("*", bins("s", "e", "_bin"))
+    right = cuts.where("s < e").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("s").alias("_s"), F.col("e").alias("_e"), bins("s", "e", "_cut_bin"))
+    meets = (F.col("_bin") == F.col("_cut_bin")) & (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e")) & F.expr(f"greatest(s, _s) div {width} = _bin")
+    on = reduce(Column.__and__, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], meets)
+    hole = F.when(F.col("_s").isNotNull(), F.struct(F.greatest("s", "_s").alias("s"), F.least("e", "_e").alias("e")))
+    found = left.join(right, on, "left").groupBy(*tracts.columns, "_n").agg(F.sort_array(F.collect_list(hole)).alias("_holes"))
+    begins, stops = F.concat(F.array("s"), F.col("_holes.e")), F.concat(F.col("_holes.s"), F.array("e"))
     pieces = found.withColumn("_p", F.explode(F.arrays_zip(begins.alias("s"), stops.alias("e"))))
+    pieces = pieces.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     names = [c for c in tracts.columns if c not in ("s", "e")]
     return pieces.select(*names, F.col("_p.s").alias("s"), F.col("_p.e").alias("e")).where("s < e")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-
+from pyspark.sql import functions as F
 
 from strandloom.operators import intervals as iv
-from strandloom.plans.domain import DAY, EVENTS, EXPOSURE, HOUR, LENGTHS, WINDOWS, days, days_sql, each_day, events, exposure, islands_sql, lengths, segments, segments_sql, signups
+from strandloom.plans.domain import DAY, MODERN, EVENTS, EXPOSURE, HOUR, LENGTHS, WINDOWS, covered, days, days_sql, each_day, events, exposure, islands_sql, lengths, segments, segments_sql
 
 K = ["k"]
 R, A, N = ("l_returnflag = 'R'", "l_returnflag = 'A'", "l_returnflag = 'N' and l_linestatus = 'F'")
@@ -24,17 +24,17 @@ def _merged(s, d):
 
 def subtract_labelled(s, d):
     a, b, _ = _lists(s, d)
-    return iv.subtract_labelled(a.where("k % 4 = 0").select("k", "s", "e", "st"), iv.merge(b.where("e - s > 40"), K), K, WIDTH)
+    return iv.subtract_labelled(a.select("k", "s", "e", "st"), iv.merge(b, K), K, WIDTH)
 
 
 def _coverage(s, d):
     size = lengths(s, d)
-    return iv.coverage(iv.merge(signups(s, d, 0, 30), ["chrom"]).join(size, "chrom").where("e <= length").drop("length"), size, ["chrom"], 5 * HOUR)
+    return iv.coverage(iv.clip(iv.merge(covered(s, d, *MODERN), ["chrom"]).join(size, "chrom"), 0, F.col("length")).drop("length"), size, ["chrom"], 5 * HOUR)
 
 
-_cov = f"""{EVENTS}, {LENGTHS}, i AS (SELECT chrom, pos AS s, pos + {18 * HOUR} AS e FROM ev WHERE event_type = 'signup' AND hap BETWEEN 0 AND 30),
+_cov = f"""{EVENTS}, {LENGTHS}, i AS (SELECT chrom, pos AS s, pos + {MODERN[1]} AS e FROM ev WHERE event_type = '{MODERN[0]}'),
 m AS (SELECT chrom, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN s <= top THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM i)) GROUP BY chrom, g),
-mm AS (SELECT m.* FROM m JOIN lens USING (chrom) WHERE m.e <= length),
+mm AS (SELECT m.chrom, m.s, least(m.e, length) AS e FROM m JOIN lens USING (chrom)),
 w AS (SELECT chrom, w AS win, w * {5 * HOUR} AS s, least(w * {5 * HOUR} + {5 * HOUR}, length) AS e FROM lens, LATERAL (SELECT unnest(range((length + {5 * HOUR - 1}) // {5 * HOUR})) AS w)),
 cov AS (SELECT w.chrom, w.win, w.s, w.e, coalesce(sum(least(w.e, mm.e) - greatest(w.s, mm.s)) FILTER (WHERE mm.s IS NOT NULL), 0)::DOUBLE / greatest(1, w.e - w.s) AS frac FROM w LEFT JOIN mm ON mm.chrom = w.chrom AND mm.s < w.e AND w.s < mm.e GROUP BY w.chrom, w.win, w.s, w.e)"""
 
@@ -68,10 +68,10 @@ QUERIES = {
     "subtract_labelled": subtract_labelled,
     "window_coverage": _coverage,
     "windows_above_fraction": lambda s, d: iv.windows_above(_coverage(s, d), ["chrom"], 0.5),
-    "points_in_intervals": lambda s, d: iv.points_in(events(s, d), signups(s, d, 0, 11), ["chrom"], DAY).select("event_id", "chrom", "pos"),
+    "points_in_intervals": lambda s, d: iv.points_in(events(s, d), covered(s, d, *MODERN), ["chrom"], HOUR).select("event_id", "chrom", "pos"),
     "total_length": lambda s, d: iv.total_length(iv.merge(days(s, d, R), K), K),
     "overlap_length": lambda s, d: iv.total_length(iv.intersect(*_merged(s, d)[:2], K, WIDTH), K),
-    "clip_labelled_to_mask": lambda s, d: iv.overlaps(segments(s, d), iv.merge(signups(s, d, 0, 11), ["chrom"]), ["chrom"], DAY),
+    "clip_labelled_to_mask": lambda s, d: iv.overlaps(segments(s, d), iv.merge(covered(s, d, *MODERN), ["chrom"]), ["chrom"], DAY),
     "archaic_bp_by_window": lambda s, d: iv.window_bp(segments(s, d).where("state in ('ND_EU', 'ND_NA')"), ["chrom", "hap"], DAY),
     "truth_window_counts": lambda s, d: iv.window_bp(segments(s, d).where("state in ('EU', 'ND_EU')"), ["chrom", "state"], DAY),
     "make_windows": lambda s, d: iv.make_windows(lengths(s, d), 7 * HOUR),
@@ -93,12 +93,12 @@ def oracles() -> dict[str, str]:
         "union_many": merged("SELECT * FROM da UNION SELECT * FROM db UNION SELECT * FROM dc"),
         "subtract_intervals": merged("SELECT * FROM da EXCEPT SELECT * FROM db"),
         "intersect_and_subtract": f"WITH {_abc_days}, i AS ({islands_sql('SELECT * FROM da INTERSECT SELECT * FROM db')}), o AS ({islands_sql('SELECT * FROM da EXCEPT SELECT * FROM db')}) SELECT *, true AS inside FROM i UNION ALL SELECT *, false FROM o",
-        "subtract_labelled": f"""WITH {_abc}, r AS (SELECT k, s, e, st, row_number() OVER () AS id FROM a WHERE k % 4 = 0), h AS (SELECT DISTINCT k, unnest(range(s, e)) AS d FROM b WHERE e - s > 40),
+        "subtract_labelled": f"""WITH {_abc}, r AS (SELECT k, s, e, st, row_number() OVER () AS id FROM a), h AS (SELECT DISTINCT k, unnest(range(s, e)) AS d FROM b),
 x AS (SELECT r.k, st, id, d FROM r, LATERAL (SELECT unnest(range(r.s, r.e)) AS d)), y AS (SELECT x.* FROM x ANTI JOIN h USING (k, d))
 SELECT k, st, min(d) AS s, max(d) + 1 AS e FROM (SELECT *, d - row_number() OVER (PARTITION BY id ORDER BY d) AS g FROM y) GROUP BY k, st, id, g""",
         "window_coverage": f"WITH {_cov} SELECT chrom, win, s, e, frac FROM cov",
         "windows_above_fraction": f"WITH {_cov}, k AS (SELECT chrom, win, s, e, win - row_number() OVER (PARTITION BY chrom ORDER BY win) AS g FROM cov WHERE frac > 0.5) SELECT chrom, min(s) AS s, max(e) AS e FROM k GROUP BY chrom, g",
-        "points_in_intervals": f"WITH {EVENTS} SELECT event_id, chrom, pos FROM ev WHERE EXISTS (SELECT 1 FROM ev i WHERE i.event_type = 'signup' AND i.hap BETWEEN 0 AND 11 AND i.chrom = ev.chrom AND i.pos <= ev.pos AND ev.pos < i.pos + {18 * HOUR})",
+        "points_in_intervals": f"WITH {EVENTS} SELECT event_id, chrom, pos FROM ev WHERE EXISTS (SELECT 1 FROM ev i WHERE i.event_type = '{MODERN[0]}' AND i.chrom = ev.chrom AND i.pos <= ev.pos AND ev.pos < i.pos + {MODERN[1]})",
         "total_length": f"WITH {days_sql('a', R)} SELECT k, count(*) AS bp FROM ({each_day('a')}) GROUP BY k",
         "overlap_length": f"WITH {_abc_days} SELECT k, count(*) AS bp FROM (SELECT * FROM da INTERSECT SELECT * FROM db) GROUP BY k",
         "clip_labelled_to_mask": f"""WITH {EXPOSURE}, {segments_sql('t')}

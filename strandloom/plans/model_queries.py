@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.hmm_params import from_config
 from strandloom.operators import hmm, intervals, tracts
-from strandloom.plans.domain import COUNTS, DAY, HOUR, PATHS, RATES, TRANS, ZEROED, counts, emission_sql, events, path, zeroed
+from strandloom.plans.domain import COUNTS, DAY, PATHS, RATES, TRANS, ZEROED, counts, emission_sql, events, path, zeroed
 from strandloom.plans.pipeline import fixed_run
 
 KEYS = ["chrom", "hap"]
@@ -54,16 +54,16 @@ def em_fit(s, d):
     return s.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(seen)], "step int, loglik double").unionByName(s.createDataFrame([(-1 - i, round(float(x), 6)) for i, x in enumerate(rates)], "step int, loglik double"))
 
 
-def gaps(s, d):
-    """Gaps of a few hours at the purchases of some users."""
-    return events(s, d).where("event_type = 'purchase' and hap < 20").select("chrom", F.col("pos").alias("s"), (F.col("pos") + 4 * HOUR).alias("e"))
+#: Gaps are the stretches of so many seconds that have a purchase.
+GAP = 300
 
 
-_gaps = f"gp AS (SELECT DISTINCT chrom, unnest(range(pos // {HOUR}, pos // {HOUR} + 4)) AS h FROM ev WHERE event_type = 'purchase' AND hap < 20)"
+def gaps(s, d):
+    at = F.expr(f"(pos div {GAP}) * {GAP}")
+    return events(s, d).where("event_type = 'purchase'").select("chrom", at.alias("s"), (at + GAP).alias("e"))
 
 
-def hour_gaps(s, d):
-    return gaps(s, d).select("chrom", F.expr(f"(s div {HOUR}) * {HOUR}").alias("s"), F.expr(f"(s div {HOUR}) * {HOUR} + {4 * HOUR}").alias("e"))
+_gaps = f"gp AS (SELECT DISTINCT chrom, pos // {GAP} AS h FROM ev WHERE event_type = 'purchase')"
 
 
 def split_tracts(s, d):
@@ -75,7 +75,7 @@ def absorb_tracts(s, d):
 
 
 def gap_free_tracts(s, d):
-    cut = intervals.merge(hour_gaps(s, d), ["chrom"])
+    cut = intervals.merge(gaps(s, d), ["chrom"])
     return tracts.inclusive(tracts.clean_gaps(tracts.absorb_tracts(path(s, d), KEYS), cut, ["chrom"], DAY))
 
 
@@ -86,7 +86,7 @@ def run_segments(s, d):
 
 QUERIES = {
     "flagship_tracts": absorb_tracts, "initial_rates": initial_rates, "transition_matrix": transition_matrix, "emissions": emissions, "viterbi_path": path, "posteriors": posteriors, "em_step": em_step, "em_fit": em_fit,
-    "split_tracts": split_tracts, "absorb_tracts": absorb_tracts, "gap_free_tracts": gap_free_tracts, "run_segments": run_segments, "plain_run": lambda s, d: fixed_run(counts(s, d), KEYS, RATES, TRANS.log_matrix(), hour_gaps(s, d), DAY),
+    "split_tracts": split_tracts, "absorb_tracts": absorb_tracts, "gap_free_tracts": gap_free_tracts, "run_segments": run_segments, "plain_run": lambda s, d: fixed_run(counts(s, d), KEYS, RATES, TRANS.log_matrix(), gaps(s, d), DAY),
 }
 
 _states = "(['UNINFORMATIVE', 'EU', 'ND_EU', 'NA', 'ND_NA', 'AF'])[state + 2]"
@@ -102,10 +102,10 @@ _out = f'SELECT chrom, hap, s AS "Start", e - 1 AS "End", e - s AS "Length", {_s
 
 
 def _hours(source: str) -> str:
-    """Runs of source's tracts by hour, without the hours of gp."""
-    return f"""hh AS (SELECT t.*, h FROM (SELECT *, row_number() OVER () AS id FROM ({source})) t, LATERAL (SELECT unnest(range(t.s // {HOUR}, t.e // {HOUR})) AS h)),
+    """Runs of source's tracts without the stretches of gp."""
+    return f"""hh AS (SELECT t.*, h FROM (SELECT *, row_number() OVER () AS id FROM ({source})) t, LATERAL (SELECT unnest(range(t.s // {GAP}, t.e // {GAP})) AS h)),
 ok AS (SELECT hh.* FROM hh ANTI JOIN gp USING (chrom, h)),
-cut AS (SELECT chrom, hap, state, min(h) * {HOUR} AS s, (max(h) + 1) * {HOUR} AS e FROM (SELECT *, h - row_number() OVER (PARTITION BY id ORDER BY h) AS g FROM ok) GROUP BY chrom, hap, state, id, g)"""
+cut AS (SELECT chrom, hap, state, min(h) * {GAP} AS s, (max(h) + 1) * {GAP} AS e FROM (SELECT *, h - row_number() OVER (PARTITION BY id ORDER BY h) AS g FROM ok) GROUP BY chrom, hap, state, id, g)"""
 
 
 def _forward_backward() -> str:

@@ -8,7 +8,7 @@ from strandloom.functions.scalars import fraction_bin, length_bin
 from strandloom.operators import evaluate as ev
 from strandloom.operators import intervals, stats
 from strandloom.operators.tracts import STATES
-from strandloom.plans.domain import CONFUSION, DAY, EVENTS, EXPOSURE, HOUR, TRUTH_PRED, exposure, pred, signups, table, truth
+from strandloom.plans.domain import CONFUSION, DAY, EVENTS, EXPOSURE, HOUR, MODERN, TRUTH_PRED, covered, exposure, pred, table, truth
 
 KEYS = ["chrom", "hap"]
 
@@ -23,13 +23,8 @@ def confusion_inclusive(s, d):
     return ev.confusion(truth(s, d), ev.half_open(closed, True), KEYS, DAY)
 
 
-def _mask(s, d):
-    haps = truth(s, d).select("chrom", "hap").distinct()
-    return haps.join(intervals.merge(signups(s, d, 0, 11), ["chrom"]), "chrom")
-
-
 def masked_confusion(s, d):
-    return ev.confusion(truth(s, d), pred(s, d), KEYS, DAY, _mask(s, d))
+    return ev.confusion(truth(s, d), pred(s, d), KEYS, DAY, intervals.merge(covered(s, d, *MODERN), ["chrom"]), ["chrom"])
 
 
 def report(s, d):
@@ -60,7 +55,7 @@ def confusion_by_length(s, d):
 
 def filter_grid(s, d):
     wins = intervals.effective(exposure(s, d)).select("chrom", "s", "e", "l_mod", "u")
-    return ev.filter_grid(truth(s, d), pred(s, d), wins, KEYS, DAY, (0.5, 0.8), (0.0, 0.5, 0.7), ["chrom"])
+    return ev.filter_grid(truth(s, d), pred(s, d), wins, KEYS, DAY, (0.5, 0.8), (0.0, 0.5, 0.7, 0.8), ["chrom"])
 
 
 def grid_long(s, d):
@@ -163,7 +158,7 @@ def oracles() -> dict[str, str]:
     masked = "{0}m AS (SELECT {0}.chrom, {0}.hap, greatest({0}.s, i.s) AS s, least({0}.e, i.e) AS e, state FROM {0} JOIN lm_i i ON i.chrom = {0}.chrom AND {0}.s < i.e AND i.s < {0}.e)"
     tp = TRUTH_PRED.removeprefix(EVENTS + ", ")
     effective = "xu AS (SELECT *, CASE WHEN l_mod = 0 THEN 0.0::DOUBLE ELSE l_anc / l_mod END AS u FROM ex)"
-    grid = f"""WITH {EXPOSURE}, {tp}, {effective}, g(l_thr, u_thr) AS (SELECT unnest([0.5::DOUBLE, 0.8]) AS a, b FROM (SELECT unnest([0.0::DOUBLE, 0.5, 0.7]) AS b)),
+    grid = f"""WITH {EXPOSURE}, {tp}, {effective}, g(l_thr, u_thr) AS (SELECT unnest([0.5::DOUBLE, 0.8]) AS a, b FROM (SELECT unnest([0.0::DOUBLE, 0.5, 0.7, 0.8]) AS b)),
 o AS (SELECT t.chrom, greatest(t.s, p.s) AS s, least(t.e, p.e) AS e, t.state AS ts, p.state AS ps FROM t JOIN p ON t.chrom = p.chrom AND t.hap = p.hap AND t.s < p.e AND p.s < t.e),
 fg AS (SELECT l_thr, u_thr, ts AS truth_state, ps AS pred_state, sum(least(o.e, x.e) - greatest(o.s, x.s))::BIGINT AS bp FROM o JOIN xu x ON x.chrom = o.chrom AND o.s < x.e AND x.s < o.e JOIN g ON x.l_mod > l_thr AND x.u >= u_thr GROUP BY ALL)"""
     chosen = f"{_thr((0.01, 0.05))}, ch AS (SELECT direction, max(threshold) FILTER (recommended AND level = 0.05) AS suggestive, max(threshold) FILTER (recommended AND level = 0.01) AS strong FROM th GROUP BY direction)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alleles as al
 from strandloom.functions import scalars as sc
 from strandloom.operators import hmm, intervals, observe
-from strandloom.plans.domain import COUNTS, DAY, EVENTS, EXPOSURE, HOUR, ZEROED, counts, events, exposure, segments, segments_sql, signups, table, zeroed
+from strandloom.plans.domain import ANCIENT, COUNTS, DAY, EVENTS, EXPOSURE, HOUR, MODERN, ZEROED, counts, covered, events, exposure, segments, segments_sql, table, zeroed
 
 SETS = ("{A}", "{A,G}", "{C,T}", "{}", ".", "{G}", "{A,C,G,T}")
 ANC, ALLELES, GTS, ALTS = "ACGTacgtN.", "ACGT.gta", ("A|G", "C/C", ".", "./.", "T", ".|A", "AT|C"), ("A", "C,G", "AT", "G,TTA", "T")
@@ -54,11 +54,11 @@ def panel_differences(s, d):
 
 
 def windows(s, d):
-    """Windows of 5 hours that leave out every third."""
-    return exposure(s, d).select("chrom", F.explode(F.expr(f"sequence(s, e - 1, {5 * HOUR})")).alias("s")).where(f"s div {5 * HOUR} % 3 <> 0").select("chrom", (F.col("s") / (5 * HOUR)).cast("long").alias("win"), "s", (F.col("s") + 5 * HOUR - 600).alias("e"))
+    """Windows of 5 hours less the last ten minutes."""
+    return exposure(s, d).select("chrom", F.explode(F.expr(f"sequence(s, e - 1, {5 * HOUR})")).alias("s")).select("chrom", (F.col("s") / (5 * HOUR)).cast("long").alias("win"), "s", (F.col("s") + 5 * HOUR - 600).alias("e"))
 
 
-_wins = f"ow AS (SELECT chrom, s // {5 * HOUR} AS win, s, s + {5 * HOUR - 600} AS e FROM (SELECT chrom, unnest(range(s, e, {5 * HOUR})) AS s FROM ex) WHERE s // {5 * HOUR} % 3 <> 0)"
+_wins = f"ow AS (SELECT chrom, s // {5 * HOUR} AS win, s, s + {5 * HOUR - 600} AS e FROM (SELECT chrom, unnest(range(s, e, {5 * HOUR})) AS s FROM ex))"
 
 
 def _windows_disjoint(s, d):
@@ -79,11 +79,11 @@ def site_observations(s, d):
 
 
 def masked_observations(s, d):
-    """Counts by day where signups of some users make the modern mask, and of others the archaic one."""
+    """Counts by day within the modern and the ancient mask."""
     wins = exposure(s, d).select("chrom", "win", "s", "e")
     long = observe.to_long(observe.assign_equal_windows(sites(s, d), DAY), [*FIXED, "win"])
     haps = wins.select("chrom").distinct().withColumn("hap", F.explode(F.array(F.lit("H1"), F.lit("H2"), F.lit("H3"))))
-    masks = [intervals.merge(signups(s, d, *r), ["chrom"]) for r in ((0, 11), (12, 17))]
+    masks = [intervals.merge(covered(s, d, *r), ["chrom"]) for r in (MODERN, ANCIENT)]
     return observe.masked_counts(observe.differences(long), haps, wins.select("chrom", "win"), ["chrom"], *masks, DAY)
 
 
@@ -177,27 +177,30 @@ def posterior_filter(s, d):
 
 def aligned_windows(s, d):
     ex = exposure(s, d)
-    return ex.select("chrom", "win", "l_mod").where("win < 20").join(ex.select("chrom", "win", "l_anc").where("win >= 5"), ["chrom", "win"])
+    return ex.select("chrom", "win", "l_mod").where("l_mod > 0").join(ex.select("chrom", "win", "l_anc").where("l_anc > 0"), ["chrom", "win"])
+
+
+PAIR = ["chrom", "hap", "day"]
 
 
 def _two_sets(s, d):
-    ev = events(s, d)
-    return ev.where("event_type = 'click' and value > 120").select("chrom", "hap").distinct(), ev.where("event_type = 'error' and value > 120").select("chrom", "hap").distinct()
+    ev = events(s, d).withColumn("day", F.expr(f"pos div {DAY}"))
+    return tuple(ev.where(F.col("event_type") == t).select(*PAIR).distinct() for t in ("click", "error"))
 
 
 def key_intersection(s, d):
     a, b = _two_sets(s, d)
-    return a.join(b, ["chrom", "hap"], "left_semi")
+    return a.join(b, PAIR, "left_semi")
 
 
 def key_union(s, d):
     a, b = (x.withColumn("n", F.lit(1)) for x in _two_sets(s, d))
-    return a.withColumnRenamed("n", "a").join(b.withColumnRenamed("n", "b"), ["chrom", "hap"], "full_outer").fillna(0)
+    return a.withColumnRenamed("n", "a").join(b.withColumnRenamed("n", "b"), PAIR, "full_outer").fillna(0)
 
 
 def missing_keys(s, d):
     a, b = _two_sets(s, d)
-    return a.join(b, ["chrom", "hap"], "left_anti")
+    return a.join(b, PAIR, "left_anti")
 
 
 def first_of_panel(s, d):
@@ -206,7 +209,7 @@ def first_of_panel(s, d):
 
 def union_all(s, d):
     ev = events(s, d)
-    return ev.where("hap < 5").select("event_id", "chrom").unionByName(ev.where("hap < 10").select("event_id", "chrom"))
+    return ev.where("state = 'EU'").select("event_id", "chrom").unionByName(ev.select("event_id", "chrom"))
 
 
 def set_operations(s, d):
@@ -239,7 +242,7 @@ QUERIES = {
 
 
 def oracles() -> dict[str, str]:
-    two = f"{EVENTS}, a AS (SELECT DISTINCT chrom, hap FROM ev WHERE event_type = 'click' AND value > 120), b AS (SELECT DISTINCT chrom, hap FROM ev WHERE event_type = 'error' AND value > 120)"
+    two = f"{EVENTS}, a AS (SELECT DISTINCT chrom, hap, pos // {DAY} AS day FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT chrom, hap, pos // {DAY} AS day FROM ev WHERE event_type = 'error')"
     obs = ", ".join(f"count(*) FILTER (d_{p.lower()}) AS o_{p.lower()}" for p in observe.PANELS)
     return {
         "allele_set_parse": f"WITH {SITES} SELECT event_id, " + ", ".join(f"array_to_string({_set(chr(34) + p + chr(34))}, '+') AS set_{p.lower()}" for p in observe.PANELS) + " FROM st",
@@ -268,12 +271,12 @@ least(p_size % 11, 9) AS bin, CASE WHEN p_retailprice >= 1900 THEN 4 WHEN p_reta
         "long_tracts": f"WITH {EVENTS}, {segments_sql('t')} SELECT *, e - s AS length, CASE WHEN e - s >= {2 * DAY} THEN 4 WHEN e - s >= {DAY} THEN 3 WHEN e - s >= {12 * HOUR} THEN 2 WHEN e - s >= {6 * HOUR} THEN 1 ELSE 0 END AS bin FROM t WHERE e - s >= {4 * HOUR}",
         "state_filter": f"WITH {EVENTS}, {segments_sql('t')} SELECT chrom, hap, s, e, CASE state WHEN 'ND_EU' THEN 1 ELSE 3 END AS id FROM t WHERE state LIKE 'ND%'",
         "posterior_filter": f"WITH {EVENTS} SELECT event_id, hap FROM ev WHERE value >= 100 OR event_type = 'purchase'",
-        "aligned_windows": f"WITH {EXPOSURE} SELECT chrom, win, l_mod, l_anc FROM ex WHERE win BETWEEN 5 AND 19",
+        "aligned_windows": f"WITH {EXPOSURE} SELECT chrom, win, l_mod, l_anc FROM ex WHERE l_mod > 0 AND l_anc > 0",
         "key_intersection": f"WITH {two} SELECT * FROM a INTERSECT SELECT * FROM b",
-        "key_union": f"WITH {two}, u AS (SELECT * FROM a UNION SELECT * FROM b) SELECT u.*, (EXISTS (SELECT 1 FROM a WHERE a.chrom = u.chrom AND a.hap = u.hap))::INTEGER AS a, (EXISTS (SELECT 1 FROM b WHERE b.chrom = u.chrom AND b.hap = u.hap))::INTEGER AS b FROM u",
+        "key_union": f"WITH {two}, u AS (SELECT * FROM a UNION SELECT * FROM b) SELECT u.*, (EXISTS (SELECT 1 FROM a WHERE a.chrom = u.chrom AND a.hap = u.hap AND a.day = u.day))::INTEGER AS a, (EXISTS (SELECT 1 FROM b WHERE b.chrom = u.chrom AND b.hap = u.hap AND b.day = u.day))::INTEGER AS b FROM u",
         "missing_keys": f"WITH {two} SELECT * FROM a EXCEPT SELECT * FROM b",
         "first_of_panel": f"WITH {EVENTS} SELECT chrom, event_id, pos FROM ev QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY pos, event_id) <= 5",
-        "union_all": f"WITH {EVENTS} SELECT event_id, chrom FROM ev WHERE hap < 5 UNION ALL SELECT event_id, chrom FROM ev WHERE hap < 10",
+        "union_all": f"WITH {EVENTS} SELECT event_id, chrom FROM ev WHERE state = 'EU' UNION ALL SELECT event_id, chrom FROM ev",
         "set_operations": f"WITH {two} SELECT *, 'intersect' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'except' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'union' FROM (SELECT * FROM a UNION SELECT * FROM b)",
         "sorted_tracts": f"WITH {EVENTS}, {segments_sql('t')}, g AS (SELECT chrom, hap, state, sum(e - s)::BIGINT AS bp FROM t GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY bp DESC, hap, state) AS rank FROM g",
         "normalised_exposure": f"WITH {ZEROED} SELECT chrom, " + ", ".join(f"sum({o})::BIGINT AS {o}" for o in hmm.OBS) + " FROM z GROUP BY chrom",

@@ -37,11 +37,11 @@ def windows_file(s, d):
 
 
 def exposure_files(s, d):
-    """Modern and ancient windows, the ancient file lacking the last days."""
+    """Modern and ancient windows, the ancient file lacking the last day of each chromosome."""
     one, two = scratch(s, "modern"), scratch(s, "ancient")
     ex = exposure(s, d)
     writers.windows_bed(ex.withColumn("frac", F.col("l_mod")), one)
-    writers.windows_bed(ex.where("win < 25").withColumn("frac", F.col("l_anc")), two)
+    writers.windows_bed(ex.join(lengths(s, d), "chrom").where("e < length").withColumn("frac", F.col("l_anc")), two)
     return readers.exposures(s, one, two)
 
 
@@ -108,7 +108,7 @@ def fasta_file(s, d):
 def vcf_file(s, d):
     """Genotypes by index, read back as bases."""
     at = scratch(s, "vcf")
-    rows = sites(s, d).where("event_id % 3 = 0").select("chrom", "pos", F.lit("A").alias("ref"), F.lit("C,G").alias("alt"), F.concat_ws("|", (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 2).cast("string")).alias("s1"), F.when(F.col("event_id") % 2 == 0, "./.").otherwise("2/1").alias("s2"))
+    rows = sites(s, d).select("chrom", "pos", F.lit("A").alias("ref"), F.lit("C,G").alias("alt"), F.concat_ws("|", (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 2).cast("string")).alias("s1"), F.when(F.col("event_id") % 2 == 0, "./.").otherwise("2/1").alias("s2"))
     head = s.createDataFrame([("##fileformat=VCFv4.2",), ("#" + "\t".join("CHROM POS ID REF ALT QUAL FILTER INFO FORMAT s1 s2".split()),)], "value string").coalesce(1)
     head.unionByName(writers.vcf_rows(rows, ["s1", "s2"])).write.text(at)
     return readers.vcf(s, at, chrom="chr2")
@@ -136,7 +136,7 @@ def oracles() -> dict[str, str]:
     return {
         "segments_file": f"WITH {TRUTH_PRED} SELECT chrom, 'MX_' || hap AS sample, s, e, state FROM p",
         "windows_file": f"WITH {EXPOSURE} SELECT chrom, win, s, e, l_mod AS frac FROM ex",
-        "exposure_files": f"WITH {EXPOSURE} SELECT * FROM ex WHERE win < 25",
+        "exposure_files": f"WITH {EXPOSURE} SELECT ex.* FROM ex JOIN lens USING (chrom) WHERE e < length",
         "missing_ancient_file": f"WITH {EXPOSURE} SELECT * REPLACE (0.0::DOUBLE AS l_anc) FROM ex",
         "gaps_file": f"WITH {days_sql('a', R)} SELECT 'chr' || k AS chrom, s, e FROM a",
         "mask_file": f"WITH {days_sql('a', A)}, c AS (SELECT k, s, least(e, 1500) AS e FROM a WHERE s < 1500), i AS ({islands_sql(each_day('c'))}) SELECT 'chr' || k AS chrom, s, e FROM i",
@@ -145,7 +145,7 @@ def oracles() -> dict[str, str]:
         "constant_mask": f"WITH {EVENTS}, {LENGTHS} SELECT chrom, w AS win, w * {5 * HOUR} AS s, w * {5 * HOUR} + {5 * HOUR} AS e, 1.0::DOUBLE AS frac FROM lens, LATERAL (SELECT unnest(range(length // {5 * HOUR})) AS w)",
         "json_rows": "SELECT * FROM nation",
         "fasta_file": "WITH q AS (SELECT n_regionkey, string_agg(n_name, '' ORDER BY n_name) AS seq FROM nation GROUP BY n_regionkey) SELECT 'chr' || n.n_regionkey AS chrom, n_nationkey::BIGINT * 3 - 2 AS pos, CASE WHEN n_nationkey * 3 - 2 >= 0 AND n_nationkey * 3 - 2 < length(seq) THEN substr(seq, n_nationkey * 3 - 1, 1) ELSE '.' END AS anc FROM nation n JOIN q USING (n_regionkey)",
-        "vcf_file": f"WITH {EVENTS} SELECT chrom, pos, 'A' AS ref, 'C,G' AS alt, (['A', 'C', 'G'])[event_id % 3 + 1] || '|' || (['A', 'C', 'G'])[event_id % 2 + 1] AS s1, CASE WHEN event_id % 2 = 0 THEN '.|.' ELSE 'G|C' END AS s2 FROM ev WHERE event_id % 3 = 0 AND chrom = 'chr2'",
+        "vcf_file": f"WITH {EVENTS} SELECT chrom, pos, 'A' AS ref, 'C,G' AS alt, (['A', 'C', 'G'])[event_id % 3 + 1] || '|' || (['A', 'C', 'G'])[event_id % 2 + 1] AS s1, CASE WHEN event_id % 2 = 0 THEN '.|.' ELSE 'G|C' END AS s2 FROM ev WHERE chrom = 'chr2'",
         "genetic_map": f"WITH {EVENTS}, {LENGTHS} SELECT DISTINCT chrom, pos, round(pos * 1e-6::DOUBLE * 100, 6) AS cm FROM (SELECT chrom, unnest(list_concat(range(0, length + 1, 500000), [length])) AS pos FROM lens)",
         "latex_rows": "SELECT n_name || ' & ' || printf('%.3f', n_nationkey / 8.0::DOUBLE) || ' \\\\' AS value FROM nation",
     }
