@@ -8,11 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def log_factorials(n: int) -> Column:
-    """ln k! for k from 0 to n, as a literal array."""
-    return F.array(*[F.lit(math.lgamma(k + 1)) for k in range(n + 1)])
-
-
 def log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series from 12 on, with an error below 1e-13, and by products below."""
     small = F.lit(0.0)

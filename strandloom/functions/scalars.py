@@ -33,11 +33,6 @@ def minus_log10(p: Column) -> Column:
     return 0.0 - F.log10(F.greatest(p, F.lit(5e-324)))
 
 
-def half_up(x: Column, digits: int) -> Column:
-    """round() as Python does it, for reports."""
-    return F.bround(x, digits)
-
-
 def length_bin(n: Column, edges: list[int]) -> Column:
     """Number of the bin of n, each from its edge to below the next, the last open; null below the first."""
     out = F.lit(None).cast("int")

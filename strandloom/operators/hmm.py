@@ -55,9 +55,16 @@ def pack(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def log_emissions(obs: np.ndarray, exposure: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """[m, n, 5] of counts and exposures [4, m, n]."""
-    score = np.where(exposure[..., None] > 0, obs[..., None] * np.log(rates + 1e-300) - exposure[..., None] * rates, 0.0)
-    return np.stack([sum(score[k, :, :, r] for k, r in enumerate(panel)) for panel in PANELS], -1)
+    """[m, n, 5] of counts and exposures [4, m, n]; each panel's score is made once and added where it belongs."""
+    out = np.zeros((*obs.shape[1:], len(PANELS)))
+    for k in range(len(OBS)):
+        covered = exposure[k] > 0
+        for r in {panel[k] for panel in PANELS}:
+            score = np.where(covered, obs[k] * np.log(rates[r] + 1e-300) - exposure[k] * rates[r], 0.0)
+            for state, panel in enumerate(PANELS):
+                if panel[k] == r:
+                    out[:, :, state] += score
+    return out
 
 
 def viterbi(emit: np.ndarray, log_trans: np.ndarray) -> np.ndarray:
@@ -82,14 +89,15 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, n
     m, n, k = emit.shape
     top = emit.max(2)
     likely = np.exp(emit - top[:, :, None])
-    alpha, scale = np.empty((m, n, k)), np.empty((m, n))
+    gamma, scale = np.empty((m, n, k)), np.empty((m, n))
     for t in range(n):
-        x = (alpha[:, t - 1] @ trans if t else np.full((m, k), 1 / k)) * likely[:, t]
+        x = (gamma[:, t - 1] @ trans if t else np.full((m, k), 1 / k)) * likely[:, t]
         scale[:, t] = x.sum(1) + 1e-300
-        alpha[:, t] = x / scale[:, t, None]
-    beta, gamma = np.ones((m, k)), np.empty((m, n, k))
+        gamma[:, t] = x / scale[:, t, None]
+    # The forward shares are multiplied by the backward ones in place.
+    beta = np.ones((m, k))
     for t in range(n - 1, -1, -1):
-        gamma[:, t] = alpha[:, t] * beta
+        gamma[:, t] *= beta
         beta = (likely[:, t] * beta) @ trans.T / scale[:, t, None]
     gamma /= gamma.sum(2, keepdims=True) + 1e-300
     return gamma, np.log(scale).sum(1) + top.sum(1)
@@ -107,12 +115,24 @@ def sufficient(gamma: np.ndarray, obs: np.ndarray, exposure: np.ndarray) -> tupl
     return num, den
 
 
+#: Bytes of one [m, n, 5] array of a kernel, about: haplotypes of one length go through it in groups of that size, one at
+#: least. A kernel holds three such arrays.
+KERNEL_BYTES = 64 << 20
+
+
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     for b in batches:
-        for _, part in b.groupby(b["win"].map(len), sort=False):
-            stack = lambda c, part=part: np.stack(part[c].to_list()).astype(float)
-            obs = np.stack([stack(o) for o in OBS])
-            yield part, obs, np.stack([stack(_exposure(o)) for o in OBS])
+        for n, same in b.groupby(b["win"].map(len), sort=False):
+            many = max(1, KERNEL_BYTES // (40 * max(n, 1)))
+            for part in (same.iloc[lo : lo + many] for lo in range(0, len(same), many)):
+                yield part, *_arrays(part)
+
+
+def _arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    stack = lambda c: np.stack(part[c].to_list()).astype(float)
+    modern, ancient = stack("l_mod"), stack("l_anc")
+    exposure = np.stack([ancient if _exposure(o) == "l_anc" else modern for o in OBS])
+    return np.stack([stack(o) for o in OBS]), exposure
 
 
 def decode(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray, mask: bool = True) -> DataFrame:
@@ -170,14 +190,15 @@ def maximised(rates: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray
 
 def em(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray, steps: int = 20, tol: float = 1e-8) -> tuple[np.ndarray, list[float]]:
     """Rates, and the log likelihood before each step. packed should be cached: every step reads it, and only eleven sums
-    come to the driver."""
+    come to the driver. They are sums of decimals, so the order in which tasks end changes none."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)"))
     lam, seen = np.asarray(rates, float), []
     for _ in range(steps):
-        row = expectations(packed, keys, lam, log_trans).agg(*[F.sum(f"num{i}") for i in range(5)], *[F.sum(f"den{i}") for i in range(5)], F.sum("loglik")).first()
+        row = expectations(packed, keys, lam, log_trans).agg(*[exact(f"num{i}") for i in range(5)], *[exact(f"den{i}") for i in range(5)], exact("loglik")).first()
         if row[10] is None:
             return lam, seen
-        seen.append(row[10])
-        lam = maximised(lam, np.array(row[:5]), np.array(row[5:10]))
+        seen.append(float(row[10]))
+        lam = maximised(lam, np.array(row[:5], float), np.array(row[5:10], float))
         if len(seen) > 1 and abs(seen[-1] - seen[-2]) < tol:
             break
     return lam, seen

@@ -5,6 +5,7 @@ Observations of all configurations are one table keyed by chromosome and haploty
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.hmm_params import from_config
 from strandloom.functions.scalars import chrom_with
 from strandloom.operators import observe
+from strandloom.plans import prepare
 from strandloom.plans.pipeline import em_run, fixed_run
 from strandloom.sources import readers, writers
 
@@ -22,8 +24,7 @@ KEYS = ["chrom", "hap"]
 
 def observations(spark: SparkSession, cfg: dict, missing: str) -> DataFrame:
     """Counts and exposures of one configuration: (chrom, hap, win, s, e, o_*, l_mod, l_anc)."""
-    base = cfg.get("prefix", "").rstrip("/")
-    at = lambda p: p if not p or "/" in p or not base else f"{base}/{p}"
+    at = lambda p: prepare.placed(cfg, p)
     masks = cfg["window_callability"]
     wins = readers.exposures(spark, at(masks["Thousand_genomes"]), at(masks.get("Nd_1k_genomes")), missing)
     chrom = spark.range(1).select(chrom_with(F.lit(str(cfg["CHROM"]))).alias("chrom"))
@@ -35,16 +36,23 @@ def observations(spark: SparkSession, cfg: dict, missing: str) -> DataFrame:
 
 def run(spark: SparkSession, paths: Sequence[str], out: str | None = None, em: bool = True, steps: int = 20) -> DataFrame:
     """Segments (Sample, CHROM, Start, End, Length, State) of all configurations, written to out if given. With em, rates
-    are fitted to all of them together from the parameters of the first; without, each run uses the first's as they are."""
+    are fitted to all of them together from the parameters of the first; without, each configuration keeps its own:
+    those of equal parameters are decoded in one job."""
     configs = [readers.config(spark, p) for p in paths]
-    rates, trans = from_config(configs[0]["parameters_initial"])
-    counts = reduce(DataFrame.unionByName, [observations(spark, c, "zero" if em else "ones") for c in configs])
-    gaps = reduce(DataFrame.unionByName, [readers.gaps(spark, c.get("gaps")) for c in configs]).distinct()
-    width = 100 * int(trans.width)
-    if em:
-        made, _, _ = em_run(counts, KEYS, rates, trans.log_matrix(), gaps, width, steps)
-    else:
-        made = fixed_run(counts, KEYS, rates, trans.log_matrix(), gaps, width)
+    groups: dict[str, list[dict]] = {}
+    for c in configs:
+        groups.setdefault("" if em else json.dumps(c["parameters_initial"], sort_keys=True), []).append(c)
+    parts = []
+    for group in groups.values():
+        rates, trans = from_config(group[0]["parameters_initial"])
+        counts = reduce(DataFrame.unionByName, [observations(spark, c, "zero" if em else "ones") for c in group])
+        gaps = reduce(DataFrame.unionByName, [readers.gaps(spark, c.get("gaps")) for c in group]).distinct()
+        width = 100 * int(trans.width)
+        if em:
+            parts.append(em_run(counts, KEYS, rates, trans.log_matrix(), gaps, width, steps)[0])
+        else:
+            parts.append(fixed_run(counts, KEYS, rates, trans.log_matrix(), gaps, width))
+    made = reduce(DataFrame.unionByName, parts)
     made = made.select(F.col("hap").alias("Sample"), F.col("chrom").alias("CHROM"), "Start", "End", "Length", "State")
     if out:
         writers.segments(made, out)
@@ -52,7 +60,7 @@ def run(spark: SparkSession, paths: Sequence[str], out: str | None = None, em: b
 
 
 def main(args: Sequence[str]) -> None:
-    """run -json FILE...  |  run.with.EM -jsons FILE... -out FOLDER"""
+    """run -json FILE...  |  run.with.EM -jsons FILE... -out FOLDER  |  main.prep -json FILE  |  callability -json FILE"""
     import argparse
 
     parser = argparse.ArgumentParser(prog="strandloom", description=main.__doc__)
@@ -64,9 +72,14 @@ def main(args: Sequence[str]) -> None:
     fitted.add_argument("-jsons", nargs="+", required=True)
     fitted.add_argument("-out", default="segments")
     fitted.add_argument("-steps", type=int, default=20)
+    for name in ("main.prep", "callability"):
+        commands.add_parser(name).add_argument("-json", required=True)
     got = parser.parse_args(args)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
-    if got.command == "run":
+    if got.command in ("main.prep", "callability"):
+        cfg = readers.config(spark, got.json)
+        prepare.write_sites(spark, cfg) if got.command == "main.prep" else prepare.write_callability(spark, cfg)
+    elif got.command == "run":
         run(spark, got.json, got.out, em=False)
     else:
         run(spark, got.jsons, got.out, em=True, steps=got.steps)

@@ -173,11 +173,29 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.regexp_extract("x", r"^(\S+)", 1).alias("contig"), F.regexp_replace(F.regexp_replace("x", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
-def ancestral(sites: DataFrame, contigs: DataFrame) -> DataFrame:
-    """sites (chrom, pos) with anc from contigs (contig, seq) of the same name, chr or not; '.' beyond an end."""
-    named = contigs.select(chrom_with(F.col("contig")).alias("chrom"), "seq")
-    base = F.when((F.col("pos") >= 0) & (F.col("pos") < F.length("seq")), F.expr("substring(seq, cast(pos + 1 as int), 1)"))
-    return sites.join(named, "chrom", "left").withColumn("anc", F.coalesce(base, F.lit("."))).drop("seq")
+def contig_of(names: Sequence[str], chrom: str) -> str:
+    """The contig of a chromosome: the only one, or the first whose name has the chromosome between colons, behind chr or CHR,
+    or anywhere."""
+    bare = chrom.removeprefix("chr")
+    if len(names) == 1:
+        return names[0]
+    for name in names:
+        if any(x in name for x in (f":{bare}:", f"chr{bare}", f"CHR{bare}", bare)):
+            return name
+    raise ValueError(f"no contig for {chrom} among {sorted(names)[:20]}")
+
+
+#: Bases of a contig in one row where sites look them up.
+BASES = 1 << 16
+
+
+def ancestral(sites: DataFrame, contigs: DataFrame, bases: int = BASES) -> DataFrame:
+    """sites (chrom, pos) with anc from contigs (contig, seq) of the same name, chr or not; '.' beyond an end. Contigs are cut
+    into rows of so many bases, which sites meet by place, so no chromosome is copied to them."""
+    cut = contigs.select(chrom_with(F.col("contig")).alias("chrom"), F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{bases}}}"), F.lit(0))).alias("_block", "_part"))
+    placed = sites.withColumn("_block", F.expr(f"cast(pos div {bases} as int)"))
+    base = F.when((F.col("pos") >= 0) & (F.col("pos") % bases < F.length("_part")), F.expr(f"substring(_part, cast(pos % {bases} + 1 as int), 1)"))
+    return placed.join(cut, ["chrom", "_block"], "left").withColumn("anc", F.coalesce(base, F.lit("."))).drop("_part", "_block")
 
 
 def find_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:

@@ -4,7 +4,7 @@ from strandloom.plans.run import main, run
 from strandloom.sources import readers
 
 
-def config(tmp_path, chrom):
+def config(tmp_path, chrom, **own):
     wins = [(f"chr{chrom}", i * 1000, i * 1000 + 1000) for i in range(30)]
     (tmp_path / f"mod{chrom}.bed").write_text("".join(f"{c}\t{s}\t{e}\t{0 if i == 3 else 1}\n" for i, (c, s, e) in enumerate(wins)))
     (tmp_path / f"nd{chrom}.bed").write_text("".join(f"{c}\t{s}\t{e}\t{0 if i == 3 else 0.5}\n" for i, (c, s, e) in enumerate(wins)))
@@ -12,7 +12,7 @@ def config(tmp_path, chrom):
     rows = [f"{chrom}\t{500 + 1000 * (i % 30)}\tA\tG\tA\t{{A}}\t{{{'AG'[i % 2]}}}\t{{A,G}}\t{{A}}\tG\t{'GA'[i % 3 == 0]}\n" for i in range(60)]
     (tmp_path / f"sites{chrom}.tsv").write_text(head + "".join(rows))
     (tmp_path / "gaps").write_text(f"chr{chrom} 10000 12000\n")
-    p = {"mutation": 1.25e-8, "window_length": 1000, "generation_time": 29, "rr": 1e-8, "t_introgression_c": 56000, "t_n_c": 640000, "t_af_c": 100000, "t_ea_c": 40000, "t_mexicans_c": 15000, "t_introgression": 55000, "t_mexicans": 500, "admixture_modern": [0.45, 0.5, 0.05], "admixture_nd": 0.025}
+    p = {"mutation": 1.25e-8, "window_length": 1000, "generation_time": 29, "rr": 1e-8, "t_introgression_c": 56000, "t_n_c": 640000, "t_af_c": 100000, "t_ea_c": 40000, "t_mexicans_c": 15000, "t_introgression": 55000, "t_mexicans": 500, "admixture_modern": [0.45, 0.5, 0.05], "admixture_nd": 0.025, **own}
     cfg = {"CHROM": str(chrom), "prefix": str(tmp_path), "data": f"sites{chrom}.tsv", "gaps": str(tmp_path / "gaps"), "window_callability": {"Thousand_genomes": f"mod{chrom}.bed", "Nd_1k_genomes": f"nd{chrom}.bed"}, "parameters_initial": p}
     (tmp_path / f"c{chrom}.json").write_text(json.dumps(cfg))
     return str(tmp_path / f"c{chrom}.json")
@@ -33,3 +33,12 @@ def test_both_runs(spark, tmp_path):
 def test_command(spark, tmp_path):
     main(["run.with.EM", "-jsons", config(tmp_path, 1), "-out", str(tmp_path / "out"), "-steps", "2"])
     assert readers.segments(spark, str(tmp_path / "out"), True).where("state <> 'UNINFORMATIVE'").count() > 0
+
+
+def test_each_configuration_keeps_its_parameters(spark, tmp_path):
+    """Two unlike configurations together give what each gives alone."""
+    paths = [config(tmp_path, 1), config(tmp_path, 2, t_ea_c=100, t_mexicans_c=900000)]
+    alone = [sorted(map(tuple, run(spark, [p], em=False).collect())) for p in paths]
+    assert sorted(map(tuple, run(spark, paths, em=False).collect())) == sorted(alone[0] + alone[1])
+    changed = run(spark, [config(tmp_path, 2)], em=False).collect()
+    assert sorted(map(tuple, changed)) != alone[1]
