@@ -29,6 +29,13 @@ def confusion(truth: DataFrame, pred: DataFrame, keys: Sequence[str], width: int
     return both.groupBy("truth_state", "pred_state").agg(F.sum(F.col("e") - F.col("s")).alias("bp"))
 
 
+def pooled(truth: DataFrame, pred: DataFrame, keys: Sequence[str], width: int, run: str) -> DataFrame:
+    """(run, truth_state, pred_state, bp) for each value of the key run, and with a null run for all of them together."""
+    both = intervals.overlaps(truth.select(*keys, "s", "e", F.col("state").alias("truth_state")), pred.select(*keys, "s", "e", F.col("state").alias("pred_state")), keys, width)
+    states = [F.col("truth_state"), F.col("pred_state")]
+    return both.groupingSets([[F.col(run), *states], states], F.col(run), *states).agg(F.sum(F.col("e") - F.col("s")).alias("bp"))
+
+
 def report(conf: DataFrame, states: Sequence[str]) -> DataFrame:
     """For each state: precision, recall, f1 (NaN where undefined), support_bp, and accuracy and total_bp of all."""
     base = conf.sparkSession.createDataFrame([(s,) for s in states], "state string")

@@ -16,7 +16,7 @@ MODERN, ANCIENT = ("signup", 3_600), ("purchase", 2_400)
 PANEL_OF = {"click": "o_eu", "view": "o_na", "purchase": "o_af", "error": "o_nd"}
 STATE_OF = {"click": "EU", "error": "ND_EU", "view": "NA", "signup": "ND_NA", "purchase": "AF"}
 RATES = np.array([0.2, 0.5, 0.6, 0.9, 1.4])
-TRANS = Transitions(ti=1500, tmex=20, rr=2e-7, a=0.4, b=0.45, c1=0.05, c2=0.04, width=1000)
+TRANS = Transitions(ti=1500, tmex=400, rr=2e-6, a=0.4, b=0.45, c1=0.05, c2=0.04, width=1000)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

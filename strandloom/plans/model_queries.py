@@ -42,7 +42,11 @@ def posteriors(s, d):
 
 def em_step(s, d):
     """One step: the rates after it and the log likelihood before."""
-    rates, seen = hmm.em(hmm.pack(zeroed(s, d), KEYS), KEYS, RATES, TRANS.log_matrix(), steps=1)
+    return one_step(s, zeroed(s, d))
+
+
+def one_step(s, counts):
+    rates, seen = hmm.em(hmm.pack(counts, KEYS), KEYS, RATES, TRANS.log_matrix(), steps=1)
     return s.createDataFrame([(n, round(float(x), 6), round(seen[0], 4)) for n, x in zip(("i", "n", "af", "ea", "mex"), rates, strict=True)], "rate string, value double, loglik double")
 
 
@@ -108,11 +112,11 @@ ok AS (SELECT hh.* FROM hh ANTI JOIN gp USING (chrom, h)),
 cut AS (SELECT chrom, hap, state, min(h) * {GAP} AS s, (max(h) + 1) * {GAP} AS e FROM (SELECT *, h - row_number() OVER (PARTITION BY id ORDER BY h) AS g FROM ok) GROUP BY chrom, hap, state, id, g)"""
 
 
-def _forward_backward() -> str:
+def _forward_backward(rows: str = ZEROED) -> str:
     """Scaled recursions over windows; f and b hold a list of five numbers for each haplotype and window."""
     dot = lambda v, q: " + ".join(f"{v}[{p + 1}] * {float(np.exp(TRANS.log_matrix())[p, q])!r}::DOUBLE" for p in range(5))
     back = lambda v, p: " + ".join(f"{v}[{q + 1}] * {float(np.exp(TRANS.log_matrix())[p, q])!r}::DOUBLE" for q in range(5))
-    return f"""RECURSIVE {ZEROED}, em AS ({emission_sql('z')}),
+    return f"""RECURSIVE {rows}, em AS ({emission_sql('z')}),
 lk AS (SELECT chrom, hap, win, greatest(e0, e1, e2, e3, e4) AS top, [{', '.join(f'exp(e{i} - greatest(e0, e1, e2, e3, e4))' for i in range(5))}] AS l FROM em),
 f AS (SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS a, list_sum(x) AS c, top FROM (SELECT chrom, hap, win, top, [{', '.join(f'l[{i + 1}] / 5' for i in range(5))}] AS x FROM lk WHERE win = 0)
   UNION ALL SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS a, list_sum(x) AS c, top FROM (SELECT lk.chrom, lk.hap, lk.win, lk.top, [{', '.join(f'({dot("f.a", i)}) * lk.l[{i + 1}]' for i in range(5))}] AS x FROM f JOIN lk ON lk.chrom = f.chrom AND lk.hap = f.hap AND lk.win = f.win + 1)),
@@ -122,7 +126,7 @@ gm AS (SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS g
 ll AS (SELECT chrom, hap, sum(ln(c)) + sum(top) AS loglik FROM f GROUP BY chrom, hap)"""
 
 
-def _em_sql() -> str:
+def em_sql(rows: str = ZEROED) -> str:
     num: dict[int, list[str]] = {r: [] for r in range(5)}
     den: dict[int, list[str]] = {r: [] for r in range(5)}
     for state, panel in enumerate(hmm.PANELS):
@@ -130,8 +134,8 @@ def _em_sql() -> str:
             x = "l_anc" if o == "o_nd" else "l_mod"
             num[r].append(f"CASE WHEN {x} > 0 THEN g[{state + 1}] * {o} ELSE 0 END")
             den[r].append(f"g[{state + 1}] * {x}")
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS rate, round(sum({' + '.join(num[r])}) / (sum({' + '.join(den[r])}) + 1e-20), 6) AS value, (SELECT round(sum(loglik), 4) FROM ll) AS loglik FROM gm JOIN z USING (chrom, hap, win)" for r, n in enumerate(("i", "n", "af", "ea", "mex")))
-    return f"WITH {_forward_backward()} {rows}"
+    out = " UNION ALL ".join(f"SELECT '{n}' AS rate, round(sum({' + '.join(num[r])}) / (sum({' + '.join(den[r])}) + 1e-20), 6) AS value, (SELECT round(sum(loglik), 4) FROM ll) AS loglik FROM gm JOIN z USING (chrom, hap, win)" for r, n in enumerate(("i", "n", "af", "ea", "mex")))
+    return f"WITH {_forward_backward(rows)} {out}"
 
 
 def oracles() -> dict[str, str]:
@@ -143,7 +147,7 @@ def oracles() -> dict[str, str]:
         "emissions": f"WITH {ZEROED}, em AS ({emission_sql('z')}) SELECT chrom, hap, win, {', '.join(f'round(e{i}, 6) AS e{i}' for i in range(5))} FROM em",
         "viterbi_path": f"WITH {PATHS} SELECT * FROM path",
         "posteriors": f"WITH {_forward_backward()} SELECT gm.chrom, gm.hap, gm.win, {', '.join(f'round(g[{i + 1}], 6) AS g{i}' for i in range(5))}, round(loglik, 6) AS loglik FROM gm JOIN ll USING (chrom, hap)",
-        "em_step": _em_sql(),
+        "em_step": em_sql(),
         "split_tracts": f"WITH {PATHS}, tr1 AS ({_runs('path')}) {_out} FROM tr1",
         "absorb_tracts": absorb,
         "flagship_tracts": absorb,

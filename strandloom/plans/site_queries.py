@@ -241,6 +241,14 @@ QUERIES = {
 }
 
 
+def masked_sql() -> str:
+    """CTEs up to z, the masked counts of each window with its exposures."""
+    obs = ", ".join(f"count(*) FILTER (d_{p.lower()}) AS o_{p.lower()}" for p in observe.PANELS)
+    return f"""{EXPOSURE}, {SITES.removeprefix(EVENTS + ', ')}, {_long}, df AS (SELECT chrom, pos, hap, {_diff} FROM lg WHERE {_usable}),
+mk AS (SELECT df.chrom, hap, pos // {DAY} AS win, d_eu AND m AS d_eu, d_na AND m AS d_na, d_af AND m AS d_af, d_nd AND a AS d_nd FROM (SELECT *, EXISTS (SELECT 1 FROM lm_i i WHERE i.chrom = df.chrom AND pos >= s AND pos < e) AS m, EXISTS (SELECT 1 FROM la_i i WHERE i.chrom = df.chrom AND pos >= s AND pos < e) AS a FROM df) df),
+z AS (SELECT ex.chrom, h.hap, ex.win, ex.s, ex.e, {obs}, ex.l_mod, ex.l_anc FROM ex CROSS JOIN (VALUES ('H1'), ('H2'), ('H3')) h(hap) LEFT JOIN mk ON mk.chrom = ex.chrom AND mk.hap = h.hap AND mk.win = ex.win GROUP BY ALL)"""
+
+
 def oracles() -> dict[str, str]:
     two = f"{EVENTS}, a AS (SELECT DISTINCT chrom, hap, pos // {DAY} AS day FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT chrom, hap, pos // {DAY} AS day FROM ev WHERE event_type = 'error')"
     obs = ", ".join(f"count(*) FILTER (d_{p.lower()}) AS o_{p.lower()}" for p in observe.PANELS)
@@ -250,9 +258,7 @@ def oracles() -> dict[str, str]:
         "panel_differences": f"WITH {SITES}, {_long} SELECT event_id, hap, {_diff} FROM lg WHERE {_usable}",
         "site_windows": f"WITH {EXPOSURE}, {_wins_disjoint} SELECT event_id, ev.chrom, pos, s AS win, s, e FROM ev JOIN dw ON dw.chrom = ev.chrom AND pos >= s AND pos < e",
         "site_observations": f"WITH {EXPOSURE}, {_wins_disjoint}, {SITES.removeprefix(EVENTS + ', ')}, {_long}, df AS (SELECT chrom, pos, hap, {_diff} FROM lg WHERE {_usable}) SELECT dw.chrom, h.hap, dw.s AS win, {obs} FROM dw CROSS JOIN (VALUES ('H1'), ('H2'), ('H3')) h(hap) LEFT JOIN df ON df.chrom = dw.chrom AND df.hap = h.hap AND pos >= s AND pos < e GROUP BY ALL",
-        "masked_observations": f"""WITH {EXPOSURE}, {SITES.removeprefix(EVENTS + ', ')}, {_long}, df AS (SELECT chrom, pos, hap, {_diff} FROM lg WHERE {_usable}),
-mk AS (SELECT df.chrom, hap, pos // {DAY} AS win, d_eu AND m AS d_eu, d_na AND m AS d_na, d_af AND m AS d_af, d_nd AND a AS d_nd FROM (SELECT *, EXISTS (SELECT 1 FROM lm_i i WHERE i.chrom = df.chrom AND pos >= s AND pos < e) AS m, EXISTS (SELECT 1 FROM la_i i WHERE i.chrom = df.chrom AND pos >= s AND pos < e) AS a FROM df) df)
-SELECT ex.chrom, h.hap, ex.win, {obs} FROM ex CROSS JOIN (VALUES ('H1'), ('H2'), ('H3')) h(hap) LEFT JOIN mk ON mk.chrom = ex.chrom AND mk.hap = h.hap AND mk.win = ex.win GROUP BY ALL""",
+        "masked_observations": f"WITH {masked_sql()} SELECT chrom, hap, win, {', '.join(hmm.OBS)} FROM z",
         "site_equal_windows": f"WITH {EVENTS} SELECT event_id, chrom, pos - 100000 AS pos, (pos - 100000) // {5 * HOUR} AS win FROM ev WHERE pos >= 100000",
         "indel_filter": f"WITH {CALLS} SELECT * FROM cl WHERE length(ref) = 1 AND len(list_filter(string_split(alt, ','), lambda a: length(a) > 1)) = 0",
         "genotype_sets": f"WITH {CALLS} SELECT event_id, CASE WHEN len({_gt}) = 0 THEN '.' ELSE '{{' || array_to_string(list_sort({_gt}), ',') || '}}' END AS alleles FROM cl",

@@ -18,7 +18,11 @@ from strandloom.sources import readers, writers
 
 def scratch(s, name: str) -> str:
     """A new path in the folder that all machines share."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="strandloom-")
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if s.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="strandloom-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -105,13 +109,18 @@ def fasta_file(s, d):
     return readers.ancestral(places, readers.fasta(s, at))
 
 
-def vcf_file(s, d):
-    """Genotypes by index, read back as bases."""
+def call_file(s, d) -> str:
+    """Genotypes by index, written as a call file; its path."""
     at = scratch(s, "vcf")
     rows = sites(s, d).select("chrom", "pos", F.lit("A").alias("ref"), F.lit("C,G").alias("alt"), F.concat_ws("|", (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 2).cast("string")).alias("s1"), F.when(F.col("event_id") % 2 == 0, "./.").otherwise("2/1").alias("s2"))
     head = s.createDataFrame([("##fileformat=VCFv4.2",), ("#" + "\t".join("CHROM POS ID REF ALT QUAL FILTER INFO FORMAT s1 s2".split()),)], "value string").coalesce(1)
     head.unionByName(writers.vcf_rows(rows, ["s1", "s2"])).write.text(at)
-    return readers.vcf(s, at, chrom="chr2")
+    return at
+
+
+def vcf_file(s, d):
+    """Genotypes of one chromosome, read back as bases."""
+    return readers.vcf(s, call_file(s, d), chrom="chr2")
 
 
 def genetic_map(s, d):

@@ -76,7 +76,6 @@ def genetic_map(lengths: DataFrame, rate: float, step: int) -> DataFrame:
     return at.select("chrom", "pos", (F.col("pos") * rate * 100).alias("cm"))
 
 
-def sample_map(groups: dict[str, Sequence[str]], df: DataFrame) -> DataFrame:
-    """Sample and population, in the order of the groups."""
-    rows = [(n, g) for g, names in groups.items() for n in names]
-    return df.sparkSession.createDataFrame(rows, "sample string, population string")
+def sample_map(rows: DataFrame, path: str) -> None:
+    """Lines of sample and population of rows (sample, population), in their order."""
+    rows.select("sample", "population").write.mode("overwrite").option("sep", "\t").csv(path)
