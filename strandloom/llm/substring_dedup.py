@@ -288,7 +288,7 @@ def repeated_windows(blocks: DataFrame, places: DataFrame, buckets: int, window:
                 did = own.dids[own.doc_of(at)]
                 late, lead = earlier(hashes, did)
                 check = np.flatnonzero(late)
-                late[check] = windows_at(own.data, at[check], window, 1) == windows_at(own.data, at[lead[check]], window, 1)
+                late[check] = same_bytes(own.data, at[check], at[lead[check]], window)
                 rows = []
                 if late.any():
                     rows.append({"bucket": int(row.block % buckets), "block": row.block, "data": b"\0" + squeeze(*runs(np.unique(at[late])))})
@@ -364,7 +364,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     A byte goes if a string of window bytes over it also starts in a document with a smaller doc_id; all is judged on
     the input. Null texts are empty; texts shorter than window keep all. Null doc_ids come after all others and not
     before each other; rows that repeat a doc_id don't judge each other, so repeated rows fare alike. What is kept need
-    not be valid UTF-8. An empty table gives no rows. Equality is that of two 64-bit hashes."""
+    not be valid UTF-8. An empty table gives no rows. Equal windows of one block are held to their bytes, those of several to two
+    64-bit hashes."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(pack_blocks(docs, block), "op10-blocks")
@@ -402,7 +403,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 def told_windows(own: Block, told: np.ndarray) -> np.ndarray:
     """Windows of the block that are repeated, given the asked ones that are: as the first of the equal windows of its
-    smallest id was told, so are all that are equal by both hashes. Those with larger ids were found in the block."""
+    smallest id was told, so are all that have its bytes. Those with larger ids were found in the block."""
     if not len(told):
         return told
     h, _, start, end = own.anchors()
@@ -411,7 +412,24 @@ def told_windows(own: Block, told: np.ndarray) -> np.ndarray:
     _, lead = earlier(windows_at(own.data, at, own.window), own.dids[own.doc_of(at)])
     ours = np.isin(at[lead], told)
     at, first = at[ours], at[lead][ours]
-    return at[windows_at(own.data, at, own.window, 1) == windows_at(own.data, first, own.window, 1)]
+    return at[same_bytes(own.data, at, first, own.window)]
+
+
+def same_bytes(data: np.ndarray, at: np.ndarray, lead: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows at ascending places have the bytes of those at lead. Windows that follow each other at one distance
+    from their leads are compared as one stretch."""
+    if not len(at):
+        return np.zeros(0, bool)
+    off = at - lead
+    begin = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(off) != 0))))
+    sizes = np.diff(np.concatenate((begin, [len(at)]))) + window - 1
+    stretch = ranges(at[begin], at[begin] + sizes)
+    bad = data[stretch] != data[stretch - np.repeat(off[begin], sizes)]
+    if not bad.any():
+        return np.ones(len(at), bool)
+    upto = np.concatenate(([0], np.cumsum(bad)))
+    local = at - np.repeat(at[begin] - (np.cumsum(sizes) - sizes), sizes - window + 1)
+    return upto[local + window] == upto[local]
 
 
 def suffix_array(s: bytes) -> np.ndarray:

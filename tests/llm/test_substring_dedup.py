@@ -59,3 +59,13 @@ def test_suffix_array():
         for alphabet in (b"a", b"ab", b"abc", bytes(range(256))):
             t = bytes(rnd.choice(alphabet) for _ in range(n))
             assert sd.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:])
+
+
+def test_same_bytes():
+    rng = np.random.default_rng(2)
+    data = np.tile(rng.integers(0, 4, 300, dtype=np.uint8), 3)
+    data[650:655] = 9
+    at = np.concatenate((np.arange(300, 420), np.arange(600, 800)))
+    lead = np.concatenate((np.arange(0, 120), np.arange(0, 100), np.arange(400, 500)))
+    want = [bytes(data[a : a + 20]) == bytes(data[b : b + 20]) for a, b in zip(at, lead, strict=True)]
+    assert sd.same_bytes(data, at, lead, 20).tolist() == want and 0 < sum(want) < len(want)
