@@ -21,23 +21,42 @@ def clip(df: DataFrame, lo: Column | int, hi: Column | int) -> DataFrame:
     return df.withColumns({"s": F.greatest("s", lit(lo)), "e": F.least("e", lit(hi))}).where("s < e")
 
 
+#: Units of a stretch. Work on one key is dealt out by stretches and joined where islands touch their edges, so no task
+#: holds a whole chromosome; an interval is listed once for each stretch that it touches.
+STRETCH = 1 << 20
+
+
+def _cut(df: DataFrame, keys: Sequence[str], stretch: int) -> DataFrame:
+    """Intervals cut at the edges of stretches, with the number of the stretch as _bin; empty ones go."""
+    number = lambda x: f"({x} - pmod({x}, {stretch}L)) div {stretch}L"
+    rows = df.where("s < e").select(*keys, "s", "e").withColumn("_bin", F.explode(F.expr(f"sequence({number('s')}, {number('(e - 1)')})")))
+    kind = {c: rows.schema[c].dataType for c in ("s", "e")}
+    return rows.withColumns({"s": F.greatest("s", F.col("_bin") * stretch).cast(kind["s"]), "e": F.least("e", (F.col("_bin") + 1) * stretch).cast(kind["e"])})
+
+
 def _islands(df: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """keys, s and e of each island, and its number among those of its keys as _island."""
     order = W.partitionBy(*keys).orderBy("s", "e")
     top = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     flagged = df.withColumn("_new", F.when(F.col("s") <= top + gap, 0).otherwise(1))
     marked = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e")
+    return marked.groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+
 
+def _joined(cut: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Islands of cut intervals: within each stretch, then the first and the last of all stretches of a key with each other.
+    What lies between these two is an island of its own and stays with its stretch."""
+    within = _islands(cut, [*keys, "_bin"], gap)
+    last = F.max("_island").over(W.partitionBy(*keys, "_bin"))
+    edge = (F.col("_island") == 1) | (F.col("_island") == F.col("_last"))
+    dealt = within.withColumn("_last", last).withColumn("_bin", F.when(~edge, F.col("_bin"))).select(*keys, "_bin", "s", "e")
+    return _islands(dealt, [*keys, "_bin"], gap).select(*keys, "s", "e")
 
-def merge(df: DataFrame, keys: Sequence[str], gap: int = 0, pre_bin: int | None = None) -> DataFrame:
-    """Union of each key's intervals as disjoint ones; those at most gap apart become one, empty ones go.
 
-    With pre_bin, intervals that begin in the same stretch of so many units are merged first, which spreads a key that
-    has most of the rows over its stretches."""
-    rows = df.where("s < e").select(*keys, "s", "e")
-    if pre_bin:
-        rows = _islands(rows.withColumn("_bin", F.expr(f"s div {pre_bin}")), [*keys, "_bin"], gap).drop("_bin")
-    return _islands(rows, keys, gap)
+def merge(df: DataFrame, keys: Sequence[str], gap: int = 0, stretch: int = STRETCH) -> DataFrame:
+    """Union of each key's intervals as disjoint ones; those at most gap apart become one, empty ones go. Of those that begin
+    at one place only the longest is moved, so copies are dropped before the shuffle."""
+    return _joined(_cut(df, keys, stretch).groupBy(*keys, "_bin", "s").agg(F.max("e").alias("e")), keys, gap)
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -59,18 +78,20 @@ def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> Da
     return overlaps(a.select(*keys, "s", "e"), b.select(*keys, "s", "e"), keys, width).select(*keys, "s", "e")
 
 
-def sweep(lists: Sequence[DataFrame], keys: Sequence[str], wanted: Column) -> DataFrame:
-    """Maximal stretches where wanted holds, a condition on d0, d1, ... : how many intervals of each list cover a place.
-    One pass over ends and beginnings for any number of lists; an end counts before a beginning at the same place."""
+def sweep(lists: Sequence[DataFrame], keys: Sequence[str], wanted: Column, labels: dict[str, Column] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Maximal stretches where wanted holds, a condition on d0, d1, ... : how many intervals of each list cover a place; it
+    may hold only where some list covers. labels are further columns of such conditions, and places of unlike labels stay
+    apart. One pass over ends and beginnings for any number of lists; an end counts before a beginning at the same place."""
     ends = []
     for i, x in enumerate(lists):
-        steps = x.where("s < e").select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("x"))
-        ends.append(steps.select(*keys, F.col("x.at").alias("at"), *[(F.col("x.d") if i == j else F.lit(0)).alias(f"_{j}") for j in range(len(lists))]))
-    steps = reduce(DataFrame.unionByName, ends).groupBy(*keys, "at").agg(*[F.sum(f"_{j}").alias(f"_{j}") for j in range(len(lists))])
-    order = W.partitionBy(*keys).orderBy("at")
+        steps = _cut(x, keys, stretch).select(*keys, "_bin", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+        ends.append(steps.select(*keys, "_bin", F.col("x.at").alias("at"), *[(F.col("x.d") if i == j else F.lit(0)).alias(f"_{j}") for j in range(len(lists))]))
+    by = [*keys, "_bin"]
+    steps = reduce(DataFrame.unionByName, ends).groupBy(*by, "at").agg(*[F.sum(f"_{j}").alias(f"_{j}") for j in range(len(lists))])
+    order = W.partitionBy(*by).orderBy("at")
     run = order.rowsBetween(W.unboundedPreceding, 0)
-    deep = steps.select(*keys, F.col("at").alias("s"), F.lead("at").over(order).alias("e"), *[F.sum(f"_{j}").over(run).alias(f"d{j}") for j in range(len(lists))])
-    return merge(deep.where(wanted & F.col("e").isNotNull()).select(*keys, "s", "e"), keys)
+    deep = steps.select(*by, F.col("at").alias("s"), F.lead("at").over(order).alias("e"), *[F.sum(f"_{j}").over(run).alias(f"d{j}") for j in range(len(lists))])
+    return _joined(deep.where(wanted & F.col("e").isNotNull()).withColumns(labels or {}).select(*by, *(labels or {}), "s", "e"), [*keys, *(labels or {})], 0)
 
 
 def intersect_many(lists: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -87,8 +108,7 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def intersect_and_subtract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """a cut by b: rows with inside true for what both have, false for the rest of a."""
-    both = sweep([a, b], keys, (F.col("d0") > 0) & (F.col("d1") > 0)).withColumn("inside", F.lit(True))
-    return both.unionByName(subtract(a, b, keys).withColumn("inside", F.lit(False)))
+    return sweep([a, b], keys, F.col("d0") > 0, {"inside": F.col("d1") > 0}).select(*keys, "s", "e", "inside")
 
 
 def subtract_labelled(tracts: DataFrame, cuts: DataFrame, keys: Sequence[str], width: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions.binomial import tails
@@ -15,18 +16,44 @@ from strandloom.functions.scalars import log2_ratio, minus_log10
 LEVELS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.5, 0.95, 0.975, 0.99, 0.995, 0.999)
 
 
+#: Ranges of values of a group, among which its distinct values are dealt evenly, nearly.
+RANGES = 64
+
+
+def _group(keys: Sequence[str]) -> Column:
+    """Keys as one column, whose nulls are equal in joins."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_"))
+
+
 def quantiles(df: DataFrame, value: str, levels: Sequence[float] = LEVELS, keys: Sequence[str] = ()) -> DataFrame:
-    """Exact, linearly interpolated: rows (keys, level, value)."""
-    got = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(x) for x in levels])).alias("v"))
-    return got.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in levels]).alias("level"), F.col("v").alias("value"))).alias("x")).select(*keys, "x.level", "x.value")
+    """Exact, linearly interpolated: rows (keys, level, value); none for a group without values.
+
+    Equal values are counted first. A sketch of the distinct values cuts each group into RANGES, sums of counts tell which
+    of these hold the wanted ranks, and only they are sorted: no task holds a group, and the cuts decide no result."""
+    numbers = df.select(_group(keys).alias("_k"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = numbers.groupBy("_k").agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_n").alias("_all"))
+    dealt = numbers.join(cuts, "_k").select("_k", "_v", "_n", "_all", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
+    sums = dealt.groupBy("_k", "_range").agg(F.sum("_n").alias("_m"), F.first("_all").alias("_all"))
+    sums = sums.withColumn("_before", F.sum("_m").over(W.partitionBy("_k").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_m"))
+    at = sums.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels]))).withColumn("_at", (F.col("_all") - 1) * F.col("level"))
+    ranks = at.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).where("_rank >= _before AND _rank < _before + _m")
+    wanted = ranks.groupBy("_k", "_range", "_before").agg(F.collect_list(F.struct("level", "_at", "_rank")).alias("_wanted"))
+    run = W.partitionBy("_k", "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    near = dealt.join(wanted, ["_k", "_range"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(run))
+    hit = F.filter("_wanted", lambda x: (x["_rank"] >= F.col("_upto") - F.col("_n")) & (x["_rank"] < F.col("_upto")))
+    found = near.select("_k", "_v", F.explode(hit).alias("x")).select("_k", "_v", "x.*")
+    side = lambda f: F.max(F.when(F.col("_rank") == f("_at"), F.col("_v")))
+    both = found.groupBy("_k", "level", "_at").agg(side(F.floor).alias("_lo"), side(F.ceil).alias("_hi"))
+    between = (F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi")
+    return both.select(*[F.col("_k")[k].alias(k) for k in keys], "level", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias("value"))
 
 
 def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     c = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        *[F.percentile(c, F.lit(q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.max(c).alias("max"),
-    )
+    plain = df.groupBy(*keys).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    wide = quantiles(df, value, list(names), keys).groupBy(_group(keys).alias("_k")).agg(*[F.max(F.when(F.col("level") == x, F.col("value"))).alias(n) for x, n in names.items()])
+    return plain.withColumn("_k", _group(keys)).join(wide, "_k", "left").select(*keys, "count", "mean", "std", "min", *names.values(), "max")
 
 
 def histogram(df: DataFrame, number: Column, key: str) -> DataFrame:
@@ -67,12 +94,12 @@ def with_scores(df: DataFrame) -> DataFrame:
 def thresholds(pvals: DataFrame, levels: Sequence[float], positive_depletion: bool = True) -> DataFrame:
     """Rows (direction, calibration, level, threshold, recommended): quantiles of both tails over all windows and over
     those whose expected share is positive."""
-    out = []
-    for direction, recommended in (("excess", "all"), ("depletion", "positive" if positive_depletion else "all")):
-        for name, rows in (("all", pvals), ("positive", pvals.where("p > 0"))):
-            got = quantiles(rows.where(~F.isnan(f"p_{direction}")), f"p_{direction}", levels)
-            out.append(got.select(F.lit(direction).alias("direction"), F.lit(name).alias("calibration"), "level", F.col("value").alias("threshold"), F.lit(name == recommended).alias("recommended")))
-    return reduce(DataFrame.unionByName, out)
+    best = {"excess": "all", "depletion": "positive" if positive_depletion else "all"}
+    cells = [F.struct(F.lit(x).alias("direction"), F.lit(name).alias("calibration"), F.when(ok, F.col(f"p_{x}")).alias("tail")) for x in best for name, ok in (("all", F.lit(True)), ("positive", F.col("p") > 0))]
+    long = pvals.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where(~F.isnan("tail"))
+    got = quantiles(long, "tail", levels, ["direction", "calibration"])
+    recommended = reduce(Column.__or__, [(F.col("direction") == x) & (F.col("calibration") == name) for x, name in best.items()])
+    return got.select("direction", "calibration", "level", F.col("value").alias("threshold"), recommended.alias("recommended"))
 
 
 def selected(table: DataFrame, suggestive: float, strong: float) -> DataFrame:

@@ -57,7 +57,7 @@ def _regime(mode):
 
 QUERIES = {
     "merge_intervals": lambda s, d: iv.merge(days(s, d, R), K),
-    "merge_intervals_prebinned": lambda s, d: iv.merge(days(s, d), K, pre_bin=64),
+    "merge_intervals_prebinned": lambda s, d: iv.merge(days(s, d), K, stretch=64),
     "clip_intervals": lambda s, d: iv.clip(days(s, d, R), 300, 900),
     "overlap_pairs": lambda s, d: iv.overlaps(*[x.select("k", "s", "e", "st") for x in _lists(s, d)[:2]], K, WIDTH),
     "intersect_two": lambda s, d: iv.intersect(*_merged(s, d)[:2], K, WIDTH),

@@ -1,5 +1,6 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandloom.operators import intervals as iv
 from table_rows import rows
@@ -20,6 +21,38 @@ def got(df):
     return places([(r.k, r.s, r.e) for r in df.collect()])
 
 
+def runs(spark, found):
+    """Maximal runs of (k, place) as rows."""
+    out = []
+    for k, i in sorted(found):
+        if out and out[-1][0] == k and out[-1][2] == i:
+            out[-1][2] = i + 1
+        else:
+            out.append([k, i, i + 1])
+    return frame(spark, out)
+
+
+def deeper(spark, xs, ys):
+    """Places that more of xs than of ys cover."""
+    depth = lambda zs, k, i: sum(q == k and s <= i < e for q, s, e in zs)
+    return runs(spark, {(k, i) for k, i in places(xs) if depth(xs, k, i) > depth(ys, k, i)})
+
+
+def closed(spark, xs, gap):
+    out = []
+    for k, s, e in sorted(x for x in xs if x[1] < x[2]):
+        if out and out[-1][0] == k and s <= out[-1][2] + gap:
+            out[-1][2] = max(out[-1][2], e)
+        else:
+            out.append([k, s, e])
+    return frame(spark, out)
+
+
+def test_below_zero(spark):
+    a = frame(spark, [(1, -9, -3), (1, -3, 2), (2, -7, -7), (None, -4, 4), (None, 0, 9)])
+    assert rows(iv.merge(a, ["k"], stretch=4)) == rows(iv.merge(a, ["k"])) == [(1, -9, 2), (None, -4, 9)]
+
+
 def test_golden(spark):
     a = frame(spark, [(1, 0, 5), (1, 5, 9), (1, 12, 12), (1, 20, 30)])
     m = iv.merge(a, ["k"])
@@ -42,10 +75,14 @@ def test_algebra(spark, xs, ys):
     a, b = frame(spark, xs), frame(spark, ys)
     pa, pb = places(xs), places(ys)
     m = iv.merge(a, ["k"])
-    assert got(m) == pa and rows(iv.merge(m, ["k"])) == rows(m) == rows(iv.merge(a, ["k"], pre_bin=5))
+    assert got(m) == pa and rows(iv.merge(m, ["k"])) == rows(m) == rows(iv.merge(a, ["k"], stretch=5))
     assert got(iv.subtract(a, b, ["k"])) == pa - pb
     assert got(iv.intersect_many([a, b], ["k"])) == pa & pb == got(iv.intersect(m, iv.merge(b, ["k"]), ["k"], 4))
     assert got(iv.union_many([a, b], ["k"])) == pa | pb
+    assert rows(iv.sweep([a, b], ["k"], F.col("d0") > F.col("d1"), stretch=3)) == rows(deeper(spark, xs, ys))
+    assert rows(iv.merge(a, ["k"], 2, 3)) == rows(closed(spark, xs, 2))
+    sides = {inside: got(iv.intersect_and_subtract(a, b, ["k"]).where(F.col("inside") == inside)) for inside in (True, False)}
+    assert sides == {True: pa & pb, False: pa - pb}
     pairs = sorted((x, y) for x in xs for y in ys if x[0] == y[0] and max(x[1], y[1]) < min(x[2], y[2]))
     assert iv.overlaps(a, b, ["k"], 3).count() == len(pairs)
 
