@@ -95,9 +95,9 @@ def zeroed(spark: SparkSession, d: str) -> DataFrame:
 ZEROED = COUNTS + ", z AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN {'l_anc' if o == 'o_nd' else 'l_mod'} > 0 THEN {o} ELSE 0 END AS {o}" for o in hmm.OBS) + ") FROM obs)"
 
 
-def emission_sql(source: str, extra: str = "") -> str:
-    """SELECT of source with e0 to e4."""
-    cell = lambda o, r: f"(CASE WHEN {hmm._exposure(o)} > 0 THEN {o} * ln({RATES[r]!r}::DOUBLE) - {RATES[r]!r}::DOUBLE * {hmm._exposure(o)} ELSE 0 END)".replace("np.float64(", "").replace(")::DOUBLE", "::DOUBLE")
+def emission_sql(source: str, extra: str = "", rate=lambda r: f"{float(RATES[r])!r}::DOUBLE") -> str:
+    """SELECT of source with e0 to e4; rate gives the SQL of each of RATES."""
+    cell = lambda o, r: f"(CASE WHEN {hmm._exposure(o)} > 0 THEN {o} * ln({rate(r)}) - {rate(r)} * {hmm._exposure(o)} ELSE 0 END)"
     cols = [" + ".join(cell(o, r) for o, r in zip(hmm.OBS, panel, strict=True)) + f" AS e{s}" for s, panel in enumerate(hmm.PANELS)]
     return f"SELECT chrom, hap, win, s, e, {', '.join(hmm.OBS)}, l_mod, l_anc, {', '.join(cols)}{extra} FROM {source}"
 

@@ -9,7 +9,7 @@ from strandloom.operators import evaluate, intervals, tracts
 from strandloom.operators.tracts import STATES
 from strandloom.plans import prepare, site_queries
 from strandloom.plans.domain import ANCIENT, DAY, EVENTS, EXPOSURE, HOUR, LENGTHS, MODERN, TRUTH_PRED, covered, exposure, lengths, pred, table, truth
-from strandloom.plans.model_queries import em_sql, one_step
+from strandloom.plans.model_queries import em_sql, em_steps
 from strandloom.plans.source_queries import call_file, scratch
 from strandloom.sources import readers, writers
 
@@ -101,7 +101,7 @@ def sample_map(s, d):
 def masked_em_step(s, d):
     """One EM step over masked counts."""
     ex = exposure(s, d).select("chrom", "win", "s", "e", "l_mod", "l_anc")
-    return one_step(s, site_queries.masked_observations(s, d).join(ex, ["chrom", "win"]))
+    return em_steps(s, site_queries.masked_observations(s, d).join(ex, ["chrom", "win"]), 1)
 
 
 QUERIES = {f.__name__: f for f in (prepared_sites, callability_windows, vcf_region, msp_segments, found_files, confusion_file, column_plan, pooled_confusion, summary_files, sample_map, masked_em_step)}

@@ -42,16 +42,19 @@ def posteriors(s, d):
 
 def em_step(s, d):
     """One step: the rates after it and the log likelihood before."""
-    return one_step(s, zeroed(s, d))
+    return em_steps(s, zeroed(s, d), 1)
 
 
-def one_step(s, counts):
-    rates, seen = hmm.em(hmm.pack(counts, KEYS), KEYS, RATES, TRANS.log_matrix(), steps=1)
-    return s.createDataFrame([(n, round(float(x), 6), round(seen[0], 4)) for n, x in zip(("i", "n", "af", "ea", "mex"), rates, strict=True)], "rate string, value double, loglik double")
+def em_steps(s, counts, steps):
+    """The rates after some steps and the log likelihood before the last."""
+    packed = hmm.pack(counts, KEYS).persist()
+    rates, seen = hmm.em(packed, KEYS, RATES, TRANS.log_matrix(), steps=steps)
+    packed.unpersist()
+    return s.createDataFrame([(n, round(float(x), 6), round(seen[-1], 4)) for n, x in zip(("i", "n", "af", "ea", "mex"), rates, strict=True)], "rate string, value double, loglik double")
 
 
 def em_fit(s, d):
-    """All steps; rows-only in the SQL check, held by tests to rising likelihood and to rates that made the data."""
+    """All steps: the log likelihood before each, and the rates at the end under -1 to -5."""
     packed = hmm.pack(zeroed(s, d), KEYS).persist()
     rates, seen = hmm.em(packed, KEYS, RATES, TRANS.log_matrix())
     packed.unpersist()
@@ -89,7 +92,7 @@ def run_segments(s, d):
 
 
 QUERIES = {
-    "flagship_tracts": absorb_tracts, "initial_rates": initial_rates, "transition_matrix": transition_matrix, "emissions": emissions, "viterbi_path": path, "posteriors": posteriors, "em_step": em_step, "em_fit": em_fit,
+    "flagship_tracts": absorb_tracts, "initial_rates": initial_rates, "transition_matrix": transition_matrix, "emissions": emissions, "viterbi_path": path, "posteriors": posteriors, "em_step": em_step, "em_three_steps": lambda s, d: em_steps(s, zeroed(s, d), 3), "em_fit": em_fit,
     "split_tracts": split_tracts, "absorb_tracts": absorb_tracts, "gap_free_tracts": gap_free_tracts, "run_segments": run_segments, "plain_run": lambda s, d: fixed_run(counts(s, d), KEYS, RATES, TRANS.log_matrix(), gaps(s, d), DAY),
 }
 
@@ -112,21 +115,23 @@ ok AS (SELECT hh.* FROM hh ANTI JOIN gp USING (chrom, h)),
 cut AS (SELECT chrom, hap, state, min(h) * {GAP} AS s, (max(h) + 1) * {GAP} AS e FROM (SELECT *, h - row_number() OVER (PARTITION BY id ORDER BY h) AS g FROM ok) GROUP BY chrom, hap, state, id, g)"""
 
 
-def _forward_backward(rows: str = ZEROED) -> str:
-    """Scaled recursions over windows; f and b hold a list of five numbers for each haplotype and window."""
+def _forward_backward(em: str, k: str = "") -> str:
+    """Scaled recursions over the windows of em's scores; f and b hold a list of five numbers for each haplotype and window.
+    k ends the names of this step's tables."""
     dot = lambda v, q: " + ".join(f"{v}[{p + 1}] * {float(np.exp(TRANS.log_matrix())[p, q])!r}::DOUBLE" for p in range(5))
     back = lambda v, p: " + ".join(f"{v}[{q + 1}] * {float(np.exp(TRANS.log_matrix())[p, q])!r}::DOUBLE" for q in range(5))
-    return f"""RECURSIVE {rows}, em AS ({emission_sql('z')}),
-lk AS (SELECT chrom, hap, win, greatest(e0, e1, e2, e3, e4) AS top, [{', '.join(f'exp(e{i} - greatest(e0, e1, e2, e3, e4))' for i in range(5))}] AS l FROM em),
-f AS (SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS a, list_sum(x) AS c, top FROM (SELECT chrom, hap, win, top, [{', '.join(f'l[{i + 1}] / 5' for i in range(5))}] AS x FROM lk WHERE win = 0)
-  UNION ALL SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS a, list_sum(x) AS c, top FROM (SELECT lk.chrom, lk.hap, lk.win, lk.top, [{', '.join(f'({dot("f.a", i)}) * lk.l[{i + 1}]' for i in range(5))}] AS x FROM f JOIN lk ON lk.chrom = f.chrom AND lk.hap = f.hap AND lk.win = f.win + 1)),
-b AS (SELECT chrom, hap, win, [1.0::DOUBLE, 1.0, 1.0, 1.0, 1.0] AS v FROM f QUALIFY row_number() OVER (PARTITION BY chrom, hap ORDER BY win DESC) = 1
-  UNION ALL SELECT b.chrom, b.hap, b.win - 1, [{', '.join(f'({back("y", i)}) / c' for i in range(5))}] FROM (SELECT b.chrom, b.hap, b.win, f.c, [{', '.join(f'b.v[{i + 1}] * lk.l[{i + 1}]' for i in range(5))}] AS y FROM b JOIN lk USING (chrom, hap, win) JOIN f USING (chrom, hap, win) WHERE b.win > 0) b),
-gm AS (SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS g FROM (SELECT f.chrom, f.hap, f.win, [{', '.join(f'f.a[{i + 1}] * b.v[{i + 1}]' for i in range(5))}] AS x FROM f JOIN b USING (chrom, hap, win))),
-ll AS (SELECT chrom, hap, sum(ln(c)) + sum(top) AS loglik FROM f GROUP BY chrom, hap)"""
-
-
-def em_sql(rows: str = ZEROED) -> str:
+    return f"""em{k} AS ({em}),
+lk{k} AS (SELECT chrom, hap, win, greatest(e0, e1, e2, e3, e4) AS top, [{', '.join(f'exp(e{i} - greatest(e0, e1, e2, e3, e4))' for i in range(5))}] AS l FROM em{k}),
+f{k} AS (SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS a, list_sum(x) AS c, top FROM (SELECT chrom, hap, win, top, [{', '.join(f'l[{i + 1}] / 5' for i in range(5))}] AS x FROM lk{k} WHERE win = 0)
+  UNION ALL SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS a, list_sum(x) AS c, top FROM (SELECT lk.chrom, lk.hap, lk.win, lk.top, [{', '.join(f'({dot("f.a", i)}) * lk.l[{i + 1}]' for i in range(5))}] AS x FROM f{k} f JOIN lk{k} lk ON lk.chrom = f.chrom AND lk.hap = f.hap AND lk.win = f.win + 1)),
+b{k} AS (SELECT chrom, hap, win, [1.0::DOUBLE, 1.0, 1.0, 1.0, 1.0] AS v FROM f{k} QUALIFY row_number() OVER (PARTITION BY chrom, hap ORDER BY win DESC) = 1
+  UNION ALL SELECT b.chrom, b.hap, b.win - 1, [{', '.join(f'({back("y", i)}) / c' for i in range(5))}] FROM (SELECT b.chrom, b.hap, b.win, f.c, [{', '.join(f'b.v[{i + 1}] * lk.l[{i + 1}]' for i in range(5))}] AS y FROM b{k} b JOIN lk{k} lk USING (chrom, hap, win) JOIN f{k} f USING (chrom, hap, win) WHERE b.win > 0) b),
+gm{k} AS (SELECT chrom, hap, win, list_transform(x, lambda v: v / list_sum(x)) AS g FROM (SELECT f.chrom, f.hap, f.win, [{', '.join(f'f.a[{i + 1}] * b.v[{i + 1}]' for i in range(5))}] AS x FROM f{k} f JOIN b{k} b USING (chrom, hap, win))),
+ll{k} AS (SELECT chrom, hap, sum(ln(c)) + sum(top) AS loglik FROM f{k} GROUP BY chrom, hap)"""
+
+
+def _em_tables(rows: str, steps: int) -> str:
+    """Steps one after the other; each takes its rates from the one row that the step before it leaves."""
     num: dict[int, list[str]] = {r: [] for r in range(5)}
     den: dict[int, list[str]] = {r: [] for r in range(5)}
     for state, panel in enumerate(hmm.PANELS):
@@ -134,8 +139,26 @@ def em_sql(rows: str = ZEROED) -> str:
             x = "l_anc" if o == "o_nd" else "l_mod"
             num[r].append(f"CASE WHEN {x} > 0 THEN g[{state + 1}] * {o} ELSE 0 END")
             den[r].append(f"g[{state + 1}] * {x}")
-    out = " UNION ALL ".join(f"SELECT '{n}' AS rate, round(sum({' + '.join(num[r])}) / (sum({' + '.join(den[r])}) + 1e-20), 6) AS value, (SELECT round(sum(loglik), 4) FROM ll) AS loglik FROM gm JOIN z USING (chrom, hap, win)" for r, n in enumerate(("i", "n", "af", "ea", "mex")))
-    return f"WITH {_forward_backward(rows)} {out}"
+    first = f"rate0 AS (SELECT {', '.join(f'{float(RATES[r])!r}::DOUBLE AS r{r}' for r in range(5))})"
+    tables = [rows, first]
+    for k in range(1, steps + 1):
+        after = ", ".join(f"CASE WHEN sum({' + '.join(den[r])}) > 1e-8 THEN sum({' + '.join(num[r])}) / (sum({' + '.join(den[r])}) + 1e-20) ELSE (SELECT r{r} FROM rate{k - 1}) END AS r{r}" for r in range(5))
+        tables += [_forward_backward(emission_sql(f"z, rate{k - 1}", rate=lambda r: f"r{r}"), str(k)), f"rate{k} AS MATERIALIZED (SELECT {after} FROM gm{k} JOIN z USING (chrom, hap, win))"]
+    return f"WITH RECURSIVE {', '.join(tables)}"
+
+
+def em_sql(rows: str = ZEROED, steps: int = 1) -> str:
+    out = " UNION ALL ".join(f"SELECT '{n}' AS rate, round(r{r}, 6) AS value, (SELECT round(sum(loglik), 4) FROM ll{steps}) AS loglik FROM rate{steps}" for r, n in enumerate(("i", "n", "af", "ea", "mex")))
+    return f"{_em_tables(rows, steps)} {out}"
+
+
+def _fit_sql(steps: int = 20, tol: float = 1e-8) -> str:
+    """All steps are made; what comes after the first that gains less than tol is left out."""
+    seen = " UNION ALL ".join(f"SELECT {k} AS k, sum(loglik) AS v, r0, r1, r2, r3, r4 FROM ll{k}, rate{k} GROUP BY ALL" for k in range(1, steps + 1))
+    rates = " UNION ALL ".join(f"SELECT {-1 - r} AS step, round(r{r}, 6) AS loglik FROM seen, last WHERE k = n" for r in range(5))
+    return f"""{_em_tables(ZEROED, steps)}, seen AS MATERIALIZED ({seen}),
+last AS (SELECT coalesce(min(k) FILTER (WHERE abs(gain) < {tol!r}::DOUBLE), {steps}) AS n FROM (SELECT k, v - lag(v) OVER (ORDER BY k) AS gain FROM seen))
+SELECT k - 1 AS step, round(v, 6) AS loglik FROM seen, last WHERE k <= n UNION ALL {rates}"""
 
 
 def oracles() -> dict[str, str]:
@@ -146,8 +169,10 @@ def oracles() -> dict[str, str]:
         "transition_matrix": _matrix_oracle(),
         "emissions": f"WITH {ZEROED}, em AS ({emission_sql('z')}) SELECT chrom, hap, win, {', '.join(f'round(e{i}, 6) AS e{i}' for i in range(5))} FROM em",
         "viterbi_path": f"WITH {PATHS} SELECT * FROM path",
-        "posteriors": f"WITH {_forward_backward()} SELECT gm.chrom, gm.hap, gm.win, {', '.join(f'round(g[{i + 1}], 6) AS g{i}' for i in range(5))}, round(loglik, 6) AS loglik FROM gm JOIN ll USING (chrom, hap)",
+        "posteriors": f"WITH RECURSIVE {ZEROED}, {_forward_backward(emission_sql('z'))} SELECT gm.chrom, gm.hap, gm.win, {', '.join(f'round(g[{i + 1}], 6) AS g{i}' for i in range(5))}, round(loglik, 6) AS loglik FROM gm JOIN ll USING (chrom, hap)",
         "em_step": em_sql(),
+        "em_three_steps": em_sql(steps=3),
+        "em_fit": _fit_sql(),
         "split_tracts": f"WITH {PATHS}, tr1 AS ({_runs('path')}) {_out} FROM tr1",
         "absorb_tracts": absorb,
         "flagship_tracts": absorb,
