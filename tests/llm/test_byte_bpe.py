@@ -70,3 +70,17 @@ def test_odd_rows(spark, odd, empty, library):
     both = b.decode(b.encode(odd, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert sorted((r.doc_id, list(r.ids), bytes(r.decoded)) for r in both if r.doc_id) == sorted((d, ids[t], (t or "").encode()) for d, t, *_ in ODD if d)
     assert b.round_trip(empty, PATH, P.PATTERN).count() == b.tokens(empty, PATH, P.PATTERN, ["doc_id"]).count() == 0
+
+
+def test_all_documents_like_the_library(spark, library):
+    """The query's rows for every document of the table."""
+    from strandloom.llm import queries
+
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    d = "/root/testdata/sf0.01"
+    want = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode()))
+    got = queries.QUERIES["op4_byte_bpe"](spark, d).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want

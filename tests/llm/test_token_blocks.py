@@ -73,3 +73,16 @@ def test_other_vocabularies_get_whole_texts(tmp_path):
     tok, own = Tokenizer.from_file(str(tmp_path / "v.json")), t.Encoder(str(tmp_path / "v.json"))
     texts = ["two words", "", None, "it's \n so"]
     assert not own.by_word and [x.tolist() for x in own.encode(texts)] == [tok.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_query_on_all_documents(spark):
+    """Starts, counts and checksums that the query reads back, for every document of the table."""
+    from strandloom.llm import queries
+
+    d, tok, start, want = "/root/testdata/sf0.01", Tokenizer.from_file(PATH), 0, []
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = queries.QUERIES["op2_token_blocks"](spark, d).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
