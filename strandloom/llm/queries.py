@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_blocks, url_filter
+from strandloom.llm import byte_bpe, exact_dedup, language_id, line_dedup, merkle, mixing, prefix_trie, quality_rules, secret_scan, simhash, substring_dedup, token_blocks, url_filter
 from strandloom.llm.common import UPPER, WORD, documents
 
 
@@ -55,13 +55,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_blocks, op3_language_id, op4_byte_bpe, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_blocks, op3_language_id, op4_byte_bpe, op5_mix_sources, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, op10_substring_dedup, op11_secret_scan, op12_merkle_manifest, op13_prefix_trie, pipeline)}
 
 
 def _quality_sql() -> str:
@@ -131,6 +143,89 @@ SELECT doc_id, length(hx) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text."""
+    bit = "list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), lambda c, b: {bit}), 4294967295)"
+
+
+def _secret_sql() -> str:
+    kinds = secret_scan.KINDS
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " UNION ALL ".join(f"SELECT r, {i} AS kind, regexp_extract_all(t, {q(k.pattern)}) AS ms, string_split_regex(t, {q(k.pattern)}) AS gs FROM d" for i, k in enumerate(kinds))
+    mixed = "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')"
+    counts = " ".join(f"WHEN {i} THEN length(regexp_extract(m, {q(k.pattern)}, {k.group})) >= {k.least}" + (f" AND {mixed}" if k.mixed else "") for i, k in enumerate(kinds))
+    pick = lambda f: f"[{', '.join(repr(f(k)) for k in kinds)}][kind + 1]"
+    near = lambda role: f"EXISTS (SELECT 1 FROM w o WHERE o.r = w.r AND o.role = '{role}' AND (o.kind, o.s, o.e) <> (w.kind, w.s, w.e) AND greatest(o.s - w.e, w.s - o.e) <= {secret_scan.SCOPE})"
+    weak = " OR ".join(f"kind = {i} AND {' AND '.join(map(near, k.needs))}" for i, k in enumerate(kinds) if k.needs)
+    n = len(secret_scan.STRONG)
+    listed = lambda rule: f"coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER ({rule}), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+m AS (SELECT r, kind, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS k FROM f),
+p AS (SELECT r, kind, m, sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY k)::BIGINT AS e FROM m),
+s AS (SELECT r, kind, e - length(m) AS s, e FROM p WHERE CASE kind {counts} END),
+w AS (SELECT *, {pick(lambda k: k.name)} AS name, {pick(lambda k: k.role)} AS role FROM s WHERE kind < {n} OR NOT EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.kind < {n} AND o.s < s.e AND s.s < o.e)),
+x AS (SELECT * FROM w WHERE kind < {n} OR {weak})
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secret_scan.STRONG))},
+  sha256({listed(f"kind < {n}")}) AS base_sha256, {listed("kind >= 0")} AS spans FROM d LEFT JOIN x USING (r) GROUP BY r
+"""
+
+
+def _merkle_sql() -> str:
+    f, levels = merkle.FANOUT, 8
+    value = lambda v: f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(value(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+
+    def tree(n: str, first: str) -> str:
+        up = [f"{n}0 AS ({first})"]
+        up += [f"{n}{k + 1} AS (SELECT g, i // {f} AS i, (n + {f - 1}) // {f} AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {n}{k} WHERE n > 1 GROUP BY ALL)" for k in range(levels)]
+        up += [f"{n}r{k} AS (SELECT g, i // {f} AS p, list(h ORDER BY i) AS hs FROM {n}{k} WHERE n > 1 GROUP BY ALL)" for k in range(levels)]
+        return ", ".join(up) + f", {n}t AS (" + " UNION ALL ".join(f"SELECT g, h FROM {n}{k} WHERE n = 1" for k in range(levels + 1)) + ")"
+
+    def way(n: str, name: str, source: str) -> str:
+        """Adds the siblings of each level to ps and folds fold, from source (g, i, ps, fold)."""
+        out, last = [], source
+        for k in range(levels):
+            place = f"(i // {f**k} % {f})::INTEGER"
+            old, new = f"array_to_string(hs[1:{place}], '')", f"array_to_string(hs[{place} + 2:], '')"
+            out.append(f"{name}{k} AS (SELECT a.* REPLACE (CASE WHEN hs IS NULL THEN ps ELSE ps || {old} || {new} END AS ps, CASE WHEN hs IS NULL THEN fold ELSE sha256({old} || fold || {new}) END AS fold) FROM {last} a LEFT JOIN {n}r{k} b ON a.g = b.g AND a.i // {f ** (k + 1)} = b.p)")
+            last = f"{name}{k}"
+        return ", ".join(out)
+
+    return f"""
+WITH l AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {leaf("text")} AS h, CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} END AS changed FROM documents),
+z AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+{tree("m", "SELECT g, i, n, h FROM z")},
+{tree("o", "SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM mt")},
+s AS (SELECT g AS source, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM mt),
+w AS (SELECT doc_id, g, i, h, '' AS ps, coalesce(changed, h) AS fold FROM z),
+{way("m", "u", "w")},
+v AS (SELECT u.doc_id, u.h AS leaf, s.h AS subroot, s.g, s.i, u.ps, u.fold FROM u{levels - 1} u JOIN s ON u.g = s.source),
+{way("o", "y", "v")}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(ps) AS proof_sha256, fold AS folded_root, fold = t.h AS verified FROM y{levels - 1}, ot t
+"""
+
+
+def _trie_sql() -> str:
+    none = "''"
+    return f"""
+WITH t AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS k FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % {prefix_trie.FAMILY} AS b, {_crc32_sql("conv_id::VARCHAR")} % {prefix_trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+x AS (SELECT c.conv_id, 0 AS part, k, d, s FROM c JOIN o ON o.conv_id = c.b AND k <= h UNION ALL SELECT c.conv_id, 1, k, d, s FROM c JOIN o ON o.conv_id = c.conv_id AND k > h),
+y AS (SELECT conv_id, s, row_number() OVER w AS depth, string_agg(d, '') OVER w AS key FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)),
+p AS (SELECT conv_id, depth, sha256(key) AS key, coalesce(sha256(lag(key) OVER (PARTITION BY conv_id ORDER BY depth)), sha256('')) AS parent, s, max(depth) OVER (PARTITION BY conv_id) AS len FROM y
+  UNION ALL SELECT conv_id, 0, sha256(''), NULL, 0, coalesce((SELECT max(depth) FROM y WHERE y.conv_id = c.conv_id), 0) FROM c),
+n AS (SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(s) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), {none})) AS ends_sha256 FROM p GROUP BY key, depth),
+k AS (SELECT parent, count(*) AS n FROM n WHERE parent IS NOT NULL GROUP BY parent),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.key),
+u AS (SELECT p.key, count(*) FILTER (m.n_children = 0) AS n_leaves, sum(m.own)::BIGINT AS saved_tokens FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.key)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256 FROM m JOIN u USING (key) LEFT JOIN n q ON q.key = m.parent
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_exact_dedup": f"""
@@ -142,4 +237,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
         "op7_quality_rules": _quality_sql(),
         "op8_url_filter": _url_sql(),
         "op10_substring_dedup": _substring_sql(),
+        "op11_secret_scan": _secret_sql(),
+        "op12_merkle_manifest": _merkle_sql(),
+        "op13_prefix_trie": _trie_sql(),
     }
