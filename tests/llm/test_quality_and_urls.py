@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandloom.llm import quality_rules as q
@@ -62,10 +63,10 @@ def test_urls(spark, monkeypatch, most, rules):
 def test_sql(spark, name):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, d).toPandas(), con.execute(queries.oracles()[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    text = lambda f: sorted(tuple(map(str, r)) for r in f[cols].astype(object).where(f[cols].notna(), None).itertuples(index=False))
+    text = lambda f: sorted((tuple("" if pd.isna(v) else str(v) if not isinstance(v, float) else f"{v:g}" for v in r) for r in f[cols].astype(object).itertuples(index=False)), key=str)
     assert text(got) == text(want)
