@@ -6,14 +6,15 @@ together, so that a step of the recursion is one vector operation over all of th
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-
 from pyspark.sql import functions as F
 
+from strandloom.operators import em_state
+
 OBS = ("o_eu", "o_na", "o_af", "o_nd")
 #: Of each state, the rate (index in RATES) that each of OBS is drawn from. Fixed values.
 PANELS = ((4, 3, 2, 1), (4, 3, 1, 0), (3, 4, 2, 1), (3, 4, 1, 0), (2, 2, 4, 1))
@@ -67,15 +68,29 @@ def log_emissions(obs: np.ndarray, exposure: np.ndarray, rates: np.ndarray) -> n
     return out
 
 
+#: Units of a log score, and a whole score that no state with a score has.
+UNITS, LOW = 1 << 30, -(1 << 61)
+
+
+def whole(scores: np.ndarray) -> np.ndarray:
+    """Log scores as whole numbers of 2^-30, less the greatest of each last axis for emissions [m, n, 5]: sums of them are
+    exact in any order, so ties are ties and blocks of windows can be put together. Below -2^29 they are not told apart."""
+    if scores.ndim == 3:
+        scores = scores - scores.max(2, keepdims=True)
+    return np.rint(np.maximum(scores, -float(1 << 29)) * UNITS).astype(np.int64)
+
+
 def viterbi(emit: np.ndarray, log_trans: np.ndarray) -> np.ndarray:
     """Best paths of [m, n, 5] log scores from a uniform start; of equal scores the lowest state."""
     m, n, k = emit.shape
-    best = emit[:, 0] - np.log(k)
+    emit, trans = whole(emit), whole(log_trans)
+    best = emit[:, 0]
     back = np.zeros((n, m, k), np.int8)
     for t in range(1, n):
-        step = best[:, :, None] + log_trans
+        step = best[:, :, None] + trans
         back[t] = step.argmax(1)
         best = step.max(1) + emit[:, t]
+        best -= best.max(1, keepdims=True)
     path = np.zeros((m, n), np.int32)
     path[:, -1] = best.argmax(1)
     for t in range(n - 1, 0, -1):
@@ -188,19 +203,23 @@ def maximised(rates: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray
     return np.where(den > 1e-8, num / (den + 1e-20), rates)
 
 
-def em(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray, steps: int = 20, tol: float = 1e-8) -> tuple[np.ndarray, list[float]]:
+def em(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray, steps: int = 20, tol: float = 1e-8, expect: Callable[..., DataFrame] = expectations, state: str | None = None) -> tuple[np.ndarray, list[float]]:
     """Rates, and the log likelihood before each step. packed should be cached: every step reads it, and only eleven sums
-    come to the driver. They are sums of decimals, so the order in which tasks end changes none."""
+    come to the driver. They are sums of decimals, so the order in which tasks end changes none. expect is hmm_blocks.expectations
+    where packed has blocks. With state, a path, each step is kept there and steps found there are not made again."""
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)"))
     lam, seen = np.asarray(rates, float), []
-    for _ in range(steps):
-        row = expectations(packed, keys, lam, log_trans).agg(*[exact(f"num{i}") for i in range(5)], *[exact(f"den{i}") for i in range(5)], exact("loglik")).first()
+    if state:
+        seen, last = em_state.seen(packed.sparkSession, state)
+        lam = lam if last is None else last
+    while len(seen) < steps and not (len(seen) > 1 and abs(seen[-1] - seen[-2]) < tol):
+        row = expect(packed, keys, lam, log_trans).agg(*[exact(f"num{i}") for i in range(5)], *[exact(f"den{i}") for i in range(5)], exact("loglik")).first()
         if row[10] is None:
             return lam, seen
         seen.append(float(row[10]))
         lam = maximised(lam, np.array(row[:5], float), np.array(row[5:10], float))
-        if len(seen) > 1 and abs(seen[-1] - seen[-2]) < tol:
-            break
+        if state:
+            em_state.add(packed.sparkSession, state, len(seen), seen[-1], lam)
     return lam, seen
 
 

@@ -34,10 +34,12 @@ def observations(spark: SparkSession, cfg: dict, missing: str) -> DataFrame:
     return observe.observations(wide, wins, width).select(*KEYS, "win", "s", "e", "o_eu", "o_na", "o_af", "o_nd", "l_mod", "l_anc")
 
 
-def run(spark: SparkSession, paths: Sequence[str], out: str | None = None, em: bool = True, steps: int = 20) -> DataFrame:
+def run(
+    spark: SparkSession, paths: Sequence[str], out: str | None = None, em: bool = True, steps: int = 20, block: int | None = None, refit: bool = False, state: str | None = None
+) -> DataFrame:
     """Segments (Sample, CHROM, Start, End, Length, State) of all configurations, written to out if given. With em, rates
     are fitted to all of them together from the parameters of the first; without, each configuration keeps its own:
-    those of equal parameters are decoded in one job."""
+    those of equal parameters are decoded in one job. block, refit and state: see em_run."""
     configs = [readers.config(spark, p) for p in paths]
     groups: dict[str, list[dict]] = {}
     for c in configs:
@@ -49,9 +51,9 @@ def run(spark: SparkSession, paths: Sequence[str], out: str | None = None, em: b
         gaps = reduce(DataFrame.unionByName, [readers.gaps(spark, c.get("gaps")) for c in group]).distinct()
         width = 100 * int(trans.width)
         if em:
-            parts.append(em_run(counts, KEYS, rates, trans.log_matrix(), gaps, width, steps)[0])
+            parts.append(em_run(counts, KEYS, rates, trans, gaps, width, steps, block, refit, state)[0])
         else:
-            parts.append(fixed_run(counts, KEYS, rates, trans.log_matrix(), gaps, width))
+            parts.append(fixed_run(counts, KEYS, rates, trans.log_matrix(), gaps, width, block))
     made = reduce(DataFrame.unionByName, parts)
     made = made.select(F.col("hap").alias("Sample"), F.col("chrom").alias("CHROM"), "Start", "End", "Length", "State")
     if out:
@@ -72,6 +74,10 @@ def main(args: Sequence[str]) -> None:
     fitted.add_argument("-jsons", nargs="+", required=True)
     fitted.add_argument("-out", default="segments")
     fitted.add_argument("-steps", type=int, default=20)
+    fitted.add_argument("-refit", action="store_true", help="fit the transitions too")
+    fitted.add_argument("-state", help="folder in which steps are kept and found again")
+    for command in (plain, fitted):
+        command.add_argument("-block", type=int, help="windows of a block, for haplotypes of very many windows")
     for name in ("main.prep", "callability"):
         commands.add_parser(name).add_argument("-json", required=True)
     got = parser.parse_args(args)
@@ -80,6 +86,6 @@ def main(args: Sequence[str]) -> None:
         cfg = readers.config(spark, got.json)
         prepare.write_sites(spark, cfg) if got.command == "main.prep" else prepare.write_callability(spark, cfg)
     elif got.command == "run":
-        run(spark, got.json, got.out, em=False)
+        run(spark, got.json, got.out, em=False, block=got.block)
     else:
-        run(spark, got.jsons, got.out, em=True, steps=got.steps)
+        run(spark, got.jsons, got.out, em=True, steps=got.steps, block=got.block, refit=got.refit, state=got.state)

@@ -4,6 +4,7 @@ import glob
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandloom.plans import registry
@@ -23,7 +24,7 @@ def canon(frame):
     frame = frame[sorted(frame.columns)].astype(object)
 
     def text(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 
