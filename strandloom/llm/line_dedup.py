@@ -187,15 +187,15 @@ def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     document and are cut alike. An empty text has one empty line, which is never deleted. A text keeps its other lines,
     in order, joined by line ends; it may become empty. Lines are compared by two 64-bit hashes. An empty table gives no
     rows. Texts move once, to meet their deletions; before that, only hashes do."""
-    gone = removed_lines(docs, block_words).select(F.col("did").alias("_d"), F.col("th").alias("_h"), F.col("removed").alias("_gone"))
-    rest = docs.drop("n_lines_before", "n_removed", "_did", "_th", "_ls", "_d", "_h", "_gone")
-    keyed = rest.withColumns({"_did": F.coalesce("doc_id", F.lit(LAST)), "_th": F.xxhash64("text")})
-    joined = keyed.join(gone, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
-    split = joined.withColumn("_ls", F.split("text", "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), "_gone"), lambda i: F.get("_ls", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    gone = removed_lines(docs, block_words).select("did", "th", "removed")
+    rest = docs.drop("n_lines_before", "n_removed")
+    # The row travels as one value, so its columns may have any names.
+    keyed = rest.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"))
+    split = keyed.join(gone, ["did", "th"], "left").withColumn("lines", F.split("row.text", "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return split.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in rest.columns],
-        F.coalesce(F.size("_ls"), F.lit(0)).cast("long").alias("n_lines_before"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in rest.columns],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines_before"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -73,17 +73,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(majority(rows).view(">i8")[0]) if len(rows) else 0
 
 
-def wide_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, int]:
-    """WORDS signed words of the SimHash of the shingles of text, zeros if it has no word, and the number of shingles."""
-    rows = shingle_digests(text, shingle)
-    if not len(rows):
-        return np.zeros(WORDS, np.int64), 0
-    h = rows.view(np.uint64)
+def wide_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, int, int]:
+    """WORDS signed words of the SimHash of the distinct shingles of text (zeros if it has no word), a hash of their sorted
+    set, and their number. A passage that a text repeats counts once, as it does in the similarity."""
+    h = np.unique(shingle_digests(text, shingle).view(np.uint64)).reshape(-1, 1)
+    named = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+    if not len(h):
+        return np.zeros(WORDS, np.int64), named, 0
     x = h * MIX[0]
     x ^= x >> np.uint64(29)
     x *= MIX[1]
     x ^= x >> np.uint64(32)
-    return majority(np.ascontiguousarray(np.hstack((h, x))).view(np.uint8)).view(np.int64), len(rows)
+    return majority(np.ascontiguousarray(np.hstack((h, x))).view(np.uint8)).view(np.int64), named, len(h)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -382,7 +383,7 @@ def candidates(nodes: DataFrame, tau: int, most: int, cell: int) -> DataFrame:
     task; about 32 of its members lead."""
     made = [F.col(f"fp.{FP[w]}").bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(signed(x))) for w, m, x in wide_keys(nodes.count())]
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("node", "fp").repartition(tasks).select("node", "fp.*", F.explode(F.array(*made)).alias("key"))
+    rows = nodes.select("node", "fp").repartition(tasks).select("node", *[f"fp.{c}" for c in FP], F.explode(F.array(*made)).alias("key"))
     found = written(rows.repartition("key").sortWithinPartitions("key").mapInPandas(candidate_linker(tau, most), LINKED), "op6-candidates")
     roots = components(found).withColumnRenamed("root", "group")
     salted = nodes.join(roots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts(nodes.sparkSession))))
@@ -429,7 +430,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, tau: int, shingle: int, lea
                 yield part[kept].assign(has=[np.unique(shingle_digests(t, shingle).view(np.uint64)).tobytes() for t in part["text"]])
 
     # The chosen are few beside docs as a rule; Spark broadcasts them where their size on disk allows it.
-    rows = docs.join(chosen.withColumnRenamed("low", "id"), "id").dropDuplicates(["node"]).select("node", "group", "parts", "lead", "fp.*", "text")
+    rows = docs.join(chosen.withColumnRenamed("low", "id"), "id").dropDuplicates(["node"]).select("node", "group", "parts", "lead", *[f"fp.{c}" for c in FP], "text")
     kinds = "node long, group long, parts int, lead boolean, " + ", ".join(f"{c} long" for c in FP)
     sets = written(rows.mapInPandas(shingles, kinds + ", has binary"), "op6-sets").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
 
@@ -462,19 +463,19 @@ def similar_links(docs: DataFrame, nodes: DataFrame, tau: int, shingle: int, lea
 def similar(docs: DataFrame, carry: list[Column], least: float = LEAST, shingle: int = SIMILAR_SHINGLE, tau: int = SIMILAR_TAU, most: int = RUN, cell: int = CELL) -> DataFrame:
     """(id, fp, first) for each row of docs: id a struct of the columns carry, which tell texts apart, first the smallest id of
     its component. Texts are linked that have least of their distinct shingles in common (Jaccard) and fingerprints of
-    tau differing bits at most, which README gives the recall of. Texts of equal fingerprints are one node; those without
-    a word are alike."""
+    tau differing bits at most, which README gives the recall of. Texts of one set of shingles are one node, so equal
+    fingerprints of unlike sets are candidates like any others; texts without a word are alike."""
     ids = docs.select(*carry).schema.fields
     names = [f.name for f in ids]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [wide_fingerprint(t, shingle) for t in b["text"]]
-            words = np.concatenate([x for x, _ in made] or [np.zeros(0, np.int64)]).reshape(-1, WORDS)
-            yield pd.concat((b[names].reset_index(drop=True), pd.DataFrame(words, columns=FP)), axis=1).assign(n=[n for _, n in made])
+            words = np.concatenate([x for x, *_ in made] or [np.zeros(0, np.int64)]).reshape(-1, WORDS)
+            yield pd.concat((b[names].reset_index(drop=True), pd.DataFrame(words, columns=FP)), axis=1).assign(named=[x for _, x, _ in made], n=[n for *_, n in made])
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ids), *(f"{c} long" for c in FP), "n long"])
-    made = docs.select(*carry, "text").mapInPandas(run, schema).select(F.struct(*names).alias("id"), F.struct(*FP).alias("fp"), "n")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ids), *(f"{c} long" for c in FP), "named long", "n long"])
+    made = docs.select(*carry, "text").mapInPandas(run, schema).select(F.struct(*names).alias("id"), F.struct(*FP, "named").alias("fp"), "n")
     texts = docs.select(F.struct(*carry).alias("id"), "text")
     return components_of(written(made, "op6-wide"), lambda nodes: similar_links(texts, nodes, tau, shingle, least, most, cell), F.monotonically_increasing_id(), "id", "first", F.max("n").alias("n")).drop("n")
 
@@ -483,6 +484,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component of similar(): that of the smallest doc_id (null last), then of the smallest hash of
     the text, then of the row. Rows that are equal in all columns count as one. So no text goes that is unlike all others,
     whatever doc_ids are null or repeated, and reruns keep the same rows."""
-    key = {"_did": F.coalesce("doc_id", F.lit(LAST)), "_th": F.xxhash64("text"), "_rh": F.xxhash64(*docs.columns)}
-    first = similar(docs, [c.alias(k) for k, c in key.items()], **options).where("id = first").select("id.*").distinct()
-    return docs.withColumns(key).join(first, list(key), "left_semi").dropDuplicates(list(key)).select(docs.columns)
+    key = {"_did": F.coalesce("doc_id", F.lit(LAST)), "_th": F.xxhash64("text"), "_rh": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
+    named = [c.alias(k) for k, c in key.items()]
+    first = similar(docs, named, **options).where("id = first").select("id.*").distinct()
+    # The row travels as one value, so its columns may have any names.
+    rows = docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(first, list(key), "left_semi").dropDuplicates(list(key)).select("row.*")

@@ -73,3 +73,9 @@ def test_repeats_and_short_lines_go(spark):
     data = [(1, f"{P1}\nx\n{P1}"), (2, f"own words\n{P1}\nmore own\n{P1}"), (3, verse), (4, verse), (5, f"{P3}\n{verse}\nend")]
     got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {1: data[0][1], 2: "own words\nmore own", 3: verse, 4: "", 5: f"{P3}\nend"} == brute(data)
+
+
+def test_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, P1, 7, "a", 1), (2, f"{P1}\nend", 8, "b", 2)], "doc_id long, text string, _did int, removed string, did int")
+    got = ld.line_dedup(d)
+    assert got.columns[:5] == d.columns and sorted(tuple(r) for r in got.collect()) == [(1, P1, 7, "a", 1, 1, 0), (2, "end", 8, "b", 2, 2, 1)]

@@ -103,3 +103,40 @@ def test_unlike_texts_of_one_doc_id_stay(spark):
     rows = [(1, "one text of seven words or so"), (1, "and quite another one that has more words"), (None, "a third text that has no doc_id at all"), (None, "a third text that has no doc_id at all")]
     kept = [s.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect() for n in (1, 3)]
     assert all(sorted(map(tuple, k), key=str) == sorted(map(tuple, rows[:3]), key=str) for k in kept)
+
+
+def test_unlike_texts_that_repeat_a_passage_stay(spark):
+    """Most of the shingles of each are one, repeated; the distinct ones have next to nothing in common."""
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, "row " * 1000 + own(1, 300)), (2, "row " * 1000 + own(2, 300)), (3, "a cell | " * 120 + own(3, 350)), (4, "a cell | " * 120 + own(4, 350))]
+    assert s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+
+
+def test_equal_fingerprints_of_unlike_sets_are_compared(spark, monkeypatch):
+    real = s.wide_fingerprint
+    monkeypatch.setattr(s, "wide_fingerprint", lambda t, k=5: (real("same", k)[0], *real(t, k)[1:]))
+    rows = [(1, "one text of seven words or so"), (2, "quite another text of seven words here"), (3, "One text  of seven words or so")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = spark.createDataFrame([(i, *map(int, real("same")[0]), real(t)[1], real(t)[2]) for i, t in rows], "i long, f0 long, f1 long, f2 long, f3 long, named long, n long")
+    assert made.select("f0", "f1", "f2", "f3").distinct().count() == 1 and made.select("named").distinct().count() == 2
+    nodes = made.selectExpr("i AS node", "struct(f0, f1, f2, f3, named) AS fp", "struct(i) AS low", "n").where("i < 3")
+    texts = docs.selectExpr("struct(doc_id AS i) AS id", "text")
+    assert s.similar_links(texts, nodes, 48, 5, 0.8, 4096, 1024).count() == 0
+
+
+@pytest.mark.parametrize("times", [5, 20, 60])
+def test_near_copies_that_repeat_a_passage_are_found(spark, times):
+    rnd = random.Random(times)
+    texts = []
+    for k in range(20):
+        base = [f"w{k}x{i}" for i in range(150)]
+        copy = list(base)
+        copy[rnd.randrange(150)] = "changed"
+        texts += [" ".join(base), " ".join(copy) + " a tail of just six words" * times]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert s.keep_one(d).count() <= 21
+
+
+def test_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "some words of a text here", 7, 8, 9), (2, "some words of a text here", 1, 2, 3)], "doc_id long, text string, _did int, _th int, row int")
+    assert [tuple(r) for r in s.keep_one(d).collect()] == [(1, "some words of a text here", 7, 8, 9)]
