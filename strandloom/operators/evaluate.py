@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import itertools
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import ratio
@@ -90,6 +94,71 @@ def interval_metrics(truth: DataFrame, pred: DataFrame, keys: Sequence[str], len
     return views.select("view", "tp", "fp", "fn", "tn", F.round(prec, 4).alias("precision"), F.round(rec, 4).alias("recall"), F.round(f1(prec, rec, 0.0), 4).alias("f1"))
 
 
+#: Length of the cells in which a key's rows are swept.
+CELL = 1 << 20
+
+
+def best_scores(pred: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
+    """(keys, s, e, score): disjoint stretches that rows (keys, s, e, score) cover, with the greatest score of those over
+    each. Rows are cut at multiples of cell, and each cell is one sweep over its rows in order that holds what is open."""
+    cut = pred.where("s < e and score is not null").withColumn("_cell", F.explode(F.expr(f"sequence(s div {cell}, (e - 1) div {cell})")))
+    at = [*keys, "_cell"]
+    cut = cut.select(*at, F.greatest("s", F.col("_cell") * cell).cast("long").alias("s"), F.least("e", (F.col("_cell") + 1) * cell).cast("long").alias("e"), F.col("score").cast("double").alias("score"))
+
+    def swept(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, same in itertools.groupby(rows, lambda r: r[:-3]):
+            held, x, last = [], None, None
+            for *_, s, e, score in itertools.chain(same, [(None, None, None)]):
+                while held and (s is None or x < s):
+                    if held[0][1] <= x:
+                        heapq.heappop(held)
+                        continue
+                    to = held[0][1] if s is None else min(held[0][1], s)
+                    if last and last[1] == x and last[2] == -held[0][0]:
+                        last = (last[0], to, last[2])
+                    else:
+                        if last:
+                            yield (*key[:-1], *last)
+                        last = (x, to, -held[0][0])
+                    x = to
+                if s is not None:
+                    x = s
+                    heapq.heappush(held, (-score, e))
+            if last:
+                yield (*key[:-1], *last)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = swept(r for b in batches for r in zip(*(b[c].tolist() for c in b.columns)))
+        while chunk := list(itertools.islice(rows, 10_000)):
+            yield pd.DataFrame(chunk, columns=[*keys, "s", "e", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pred.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "s long, e long, score double"])
+    return cut.repartition(*at).sortWithinPartitions(*at, "s").mapInPandas(run, schema)
+
+
+def threshold_sweep(truth: DataFrame, pred: DataFrame, keys: Sequence[str], width: int, thresholds: Sequence[float]) -> DataFrame:
+    """For each threshold: tp, fp, fn (length), precision, recall, f1 (0 where undefined) and segments of the rows of pred
+    (keys, s, e, score) that have so much at least, merged, against truth (keys, s, e), merged. One pass for any number of
+    thresholds: a stretch counts for all up to its best score, so sums by the highest threshold that it reaches are
+    cumulated over the table of thresholds."""
+    levels = sorted({float(t) for t in thresholds})
+    spark = pred.sparkSession
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: t <= F.col("score")))
+    best = best_scores(pred, keys)
+    common = intervals.overlaps(best, intervals.merge(truth, keys), keys, width)
+    length = F.col("e") - F.col("s")
+    parts = best.select(reached.alias("level"), length.alias("p"), F.lit(0).cast("long").alias("tp"), F.lit(0).alias("n"))
+    parts = parts.union(common.select(reached, F.lit(0).cast("long"), length, F.lit(0))).union(pred.where("s < e").select(reached, F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(1)))
+    sums = parts.where("level > 0").groupBy("level").agg(F.sum("p").alias("p"), F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    table = spark.createDataFrame(list(enumerate(levels, 1)), "level int, threshold double").join(sums, "level", "left").fillna(0)
+    from_top = W.orderBy(F.desc("level"))  # a row for each threshold
+    total = intervals.merge(truth, keys).agg(F.coalesce(F.sum(length), F.lit(0)).alias("t"))
+    rows = table.select("threshold", *[F.sum(c).over(from_top).alias(c) for c in ("p", "tp", "n")]).crossJoin(F.broadcast(total))
+    precision, recall = ratio(F.col("tp"), F.col("p")), ratio(F.col("tp"), F.col("t"))
+    return rows.select("threshold", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), precision.alias("precision"), recall.alias("recall"), f1(precision, recall, 0.0).alias("f1"), F.col("n").alias("segments"))
+
+
 def filter_grid(truth: DataFrame, pred: DataFrame, windows: DataFrame, keys: Sequence[str], width: int, l_mod: Sequence[float], union: Sequence[float], window_keys: Sequence[str]) -> DataFrame:
     """(l_thr, u_thr, truth_state, pred_state, bp) within windows (window_keys, s, e, l_mod, u) with l_mod > l_thr and
     u >= u_thr, for each pair of thresholds. Overlaps are joined once; the grid, of a fixed few rows, meets windows."""

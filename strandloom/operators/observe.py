@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import absent, allele_set, derived, usable_ancestral
@@ -75,21 +75,9 @@ def split_multiallelic(calls: DataFrame) -> DataFrame:
     return sets.where(F.size("alleles").between(2, 4))
 
 
-def merge_files(tables: Sequence[DataFrame]) -> DataFrame:
-    """Call tables (chrom, pos, ref, alt and a column for each sample) of any number of files as one, by place, in one
-    exchange: a sample that a file does not have there is '.', alternatives are joined. A sample name that an earlier
-    table has too gets the table's number before it."""
-    seen: set[str] = set()
-    named = []
-    for i, t in enumerate(tables, 1):
-        clash = {c: f"{i}:{c}" for c in t.columns[4:] if c in seen}
-        named.append(t.withColumnsRenamed(clash))
-        seen |= set(named[-1].columns[4:])
-    samples = [c for t in named for c in t.columns[4:]]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
-    alts = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("alt", ","))))), ",")
-    got = rows.groupBy("chrom", "pos").agg(F.min("ref").alias("ref"), alts.alias("alt"), *[F.coalesce(F.max(f"`{c}`"), F.lit(".")).alias(c) for c in samples])
-    return got.select("chrom", "pos", "ref", "alt", *[f"`{c}`" for c in samples])
+def limit_panel(rows: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFrame:
+    """Those rows whose value of by is among the first n of their keys: the panel's first n samples with all they have."""
+    return rows.withColumn("_rank", F.dense_rank().over(W.partitionBy(*keys).orderBy(by))).where(F.col("_rank") <= n).drop("_rank")
 
 
 def merge_calls(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ PANELS = {"ND": ["g2"], "EU": ["g1"], "NA": ["g1", "g2"], "AF": ["g0", "g1"]}
 def prepared_sites(s, d):
     """Site rows of calls whose three genotypes serve as panels and ingroup; contigs end before the last sites."""
     contigs = s.createDataFrame([(f"chr{i}", UNIT) for i in (1, 2, 3)], "contig string, seq string").withColumn("seq", F.repeat("seq", REPEATS))
-    rows = prepare.site_rows(site_queries.calls(s, d), PANELS, ["g0"], contigs)
+    calls = site_queries.calls(s, d).withColumn("gt", F.array("g0", "g1", "g2"))
+    rows = prepare.site_rows(calls, ["g0", "g1", "g2"], PANELS, ["g0"], readers.blocks_of(contigs))
     return rows.select("chrom", "pos", "ref", "alt", "anc", *[set_text(F.col(p)).alias(p) for p in PANELS], "g0_1", "g0_2")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import alleles as al
 from strandloom.functions.scalars import chrom_with
-from strandloom.operators import intervals, observe
+from strandloom.operators import genotypes, intervals
 from strandloom.sources import readers, writers
 
 #: Groups of a configuration's samples by panel, and that of the ingroup; samples that no group lists are archaic. Fixed values.
@@ -23,20 +23,28 @@ def placed(cfg: dict, path: str | None) -> str | None:
     return path if not path or "/" in path or not base else f"{base}/{path}"
 
 
-def site_rows(calls: DataFrame, panels: dict[str, Sequence[str]], ingroup: Sequence[str], contigs: DataFrame) -> DataFrame:
+def site_rows(calls: DataFrame, names: Sequence[str], panels: dict[str, Sequence[str]], ingroup: Sequence[str], blocks: DataFrame) -> DataFrame:
     """Sites chrom, pos, ref, alt, anc, ND, EU, NA, AF (arrays) and two haplotypes NAME_1 and NAME_2 of each of ingroup, from
-    calls (chrom, pos, ref, alt and a column of bases for each sample). Indels go, and sites at which every panel has
-    all alleles of the ingroup, or the ingroup none."""
+    calls (chrom, pos, ref, alt and gt, an array of bases for each of names). Indels go, and sites at which every panel has
+    all alleles of the ingroup, or the ingroup none. blocks: see readers.ancestral."""
     none = F.array().cast("array<string>")
-    sets = {p: al.genotype_alleles(F.array(*[F.col(f"`{n}`") for n in names])) if names else none for p, names in panels.items()}
-    halves = [al.haplotypes(F.col(f"`{n}`")).alias(f"_h{i}") for i, n in enumerate(ingroup)]
+    at = {n: i for i, n in enumerate(names)}
+    picked = lambda group: F.transform(F.array(*[F.lit(at[n]) for n in group]), lambda i: F.get("gt", i))
+    sets = {p: al.genotype_alleles(picked(group)) if group else none for p, group in panels.items()}
+    halves = [al.haplotypes(F.get("gt", F.lit(at[n]))).alias(f"_h{i}") for i, n in enumerate(ingroup)]
     rows = calls.where(al.single_base(F.col("ref"), F.col("alt"))).select("chrom", "pos", "ref", "alt", *[c.alias(p) for p, c in sets.items()], *halves)
     haps = [F.col(f"_h{i}.{h}").alias(f"{n}_{k}") for i, n in enumerate(ingroup) for k, h in ((1, "h1"), (2, "h2"))]
     rows = rows.select("chrom", "pos", "ref", "alt", *panels, *haps)
-    names = [f"{n}_{k}" for n in ingroup for k in (1, 2)]
-    own = F.filter(F.array(*[F.col(f"`{n}`") for n in names]), lambda a: (a != ".") & (F.length(a) == 1)) if names else none
+    own_names = [f"{n}_{k}" for n in ingroup for k in (1, 2)]
+    own = F.filter(F.array(*[F.col(f"`{n}`") for n in own_names]), lambda a: (a != ".") & (F.length(a) == 1)) if own_names else none
     kept = rows.where(al.keep_site(F.array_distinct(own), [F.col(p) for p in panels]))
-    return readers.ancestral(kept, contigs).select("chrom", "pos", "ref", "alt", "anc", *panels, *[f"`{n}`" for n in names])
+    return readers.ancestral(kept, blocks).select("chrom", "pos", "ref", "alt", "anc", *panels, *[f"`{n}`" for n in own_names])
+
+
+def modern_calls(cfg: dict) -> str:
+    """Where a configuration's restricted modern call file lies: CHROMOSOME in its name stands for the chromosome."""
+    bare = str(cfg["CHROM"]).removeprefix("chr")
+    return placed(cfg, cfg["files"]["1000GP_files"]["vcf"].replace("CHROMOSOME", f"chr{bare}"))
 
 
 def prepared(spark: SparkSession, cfg: dict) -> tuple[DataFrame, list[str]]:
@@ -46,19 +54,36 @@ def prepared(spark: SparkSession, cfg: dict) -> tuple[DataFrame, list[str]]:
     files, samples = cfg["files"], cfg["samples"]
     chrom = str(cfg["CHROM"])
     named = chrom if chrom.startswith("chr") else f"chr{chrom}"
-    mask = lambda p: readers.bed(spark, p) if p and readers.exists(spark, p) else None
-    archaic = [readers.vcf(spark, x["vcf"], chrom=named, region=mask(x.get("bed"))) for x in files["neand_files"].values()]
-    calls = observe.merge_files([readers.vcf(spark, placed(cfg, files["1000GP_files"]["vcf"]), chrom=named), *archaic])
-    header = ["CHROM", "POS", "REF", "ALT", *calls.columns[4:]]
+    mask = lambda p: readers.bed(spark, at) if (at := readers.other_name(spark, p)) else None
+    archaic = [readers.vcf_arrays(spark, x["vcf"], chrom=named, region=mask(x.get("bed"))) for x in files["neand_files"].values()]
+    calls, names = genotypes.merged([readers.vcf_arrays(spark, modern_calls(cfg), chrom=named), *archaic])
+    header = ["CHROM", "POS", "REF", "ALT", *names]
     plan, _ = readers.column_plan(header, {g: samples.get(g, []) for g in (*GROUPS.values(), INGROUP)})
     cols = {g: [header[i] for i in at] for g, at in plan.items()}
-    contigs = readers.fasta(spark, files["ancestral"]["fasta"])
-    seen = [r[0] for r in contigs.select("contig").collect()]
-    own = contigs.where(F.col("contig") == readers.contig_of(seen, chrom)).withColumn("contig", F.lit(named))
-    rows = site_rows(calls, {"ND": cols["neand"], **{p: cols[g] for p, g in GROUPS.items()}}, cols[INGROUP], own)
+    blocks = readers.fasta_blocks(spark, files["ancestral"]["fasta"]).persist()
+    seen = [r[0] for r in blocks.where("block = 0").select("contig").collect()]
+    own = blocks.where(F.col("contig") == readers.contig_of(sorted(seen), chrom)).withColumn("contig", F.lit(named))
+    rows = site_rows(genotypes.bases(calls), names, {"ND": cols["neand"], **{p: cols[g] for p, g in GROUPS.items()}}, cols[INGROUP], own)
     return rows, [f"{n}_{k}" for n in cols[INGROUP] for k in (1, 2)]
 
 
+def restricted(spark: SparkSession, cfg: dict) -> tuple[DataFrame, list[str]]:
+    """Calls of a configuration's own samples within its strict mask, from the initial modern call file, and the names: see
+    genotypes.restricted. Listed samples that the file lacks are left out."""
+    own = cfg["files"]["1000GP_files"]
+    listed = [n for g in (INGROUP, GROUPS["AF"], GROUPS["NA"], GROUPS["EU"]) for n in cfg["samples"].get(g, [])]
+    calls, names = readers.vcf_arrays(spark, own["vcf_initial"], region=readers.bed(spark, own["bed"]))
+    at = [names.index(n) for n in dict.fromkeys(listed) if n in names]
+    if not at:
+        raise ValueError("no listed sample is in the call file")
+    return genotypes.restricted(calls, at), [names[i] for i in at]
+
+
+def write_restricted(spark: SparkSession, cfg: dict) -> None:
+    calls, names = restricted(spark, cfg)
+    writers.vcf(calls, names, modern_calls(cfg))
+
+
 def write_sites(spark: SparkSession, cfg: dict) -> None:
     rows, haps = prepared(spark, cfg)
     writers.sites(rows, placed(cfg, cfg["data"]), haps)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.hmm_params import from_config
 from strandloom.functions.scalars import chrom_with
-from strandloom.operators import observe
-from strandloom.plans import prepare
+from strandloom.operators import intervals, observe
+from strandloom.plans import prepare, scores
 from strandloom.plans.pipeline import em_run, fixed_run
 from strandloom.sources import readers, writers
 
@@ -26,11 +26,13 @@ def observations(spark: SparkSession, cfg: dict, missing: str) -> DataFrame:
     """Counts and exposures of one configuration: (chrom, hap, win, s, e, o_*, l_mod, l_anc)."""
     at = lambda p: prepare.placed(cfg, p)
     masks = cfg["window_callability"]
-    wins = readers.exposures(spark, at(masks["Thousand_genomes"]), at(masks.get("Nd_1k_genomes")), missing)
+    width = int(cfg["parameters_initial"]["window_length"])
+    raw = readers.sites(spark, at(cfg["data"])).drop("ref", "alt")
+    spanned = intervals.make_windows(raw.groupBy("chrom").agg((F.max("pos") + 1).alias("length")), width)
+    wins = readers.exposures(spark, at(masks.get("Thousand_genomes")), at(masks.get("Nd_1k_genomes")), missing, spanned)
     chrom = spark.range(1).select(chrom_with(F.lit(str(cfg["CHROM"]))).alias("chrom"))
     wins = wins.join(F.broadcast(chrom), "chrom", "left_semi")
-    wide = readers.sites(spark, at(cfg["data"])).drop("ref", "alt").join(F.broadcast(chrom), "chrom", "left_semi")
-    width = int(cfg["parameters_initial"]["window_length"])
+    wide = raw.join(F.broadcast(chrom), "chrom", "left_semi")
     return observe.observations(wide, wins, width).select(*KEYS, "win", "s", "e", "o_eu", "o_na", "o_af", "o_nd", "l_mod", "l_anc")
 
 
@@ -62,7 +64,8 @@ def run(
 
 
 def main(args: Sequence[str]) -> None:
-    """run -json FILE...  |  run.with.EM -jsons FILE... -out FOLDER  |  main.prep -json FILE  |  callability -json FILE"""
+    """run -json FILE...  |  run.with.EM -jsons FILE... -out FOLDER  |  restrict_1kG -json FILE  |  main.prep -json FILE
+    callability -json FILE  |  evaluate -truth FILE -segments FILE... | -decoded FILE... | -msp FILE... -out FOLDER"""
     import argparse
 
     parser = argparse.ArgumentParser(prog="strandloom", description=main.__doc__)
@@ -78,13 +81,22 @@ def main(args: Sequence[str]) -> None:
     fitted.add_argument("-state", help="folder in which steps are kept and found again")
     for command in (plain, fitted):
         command.add_argument("-block", type=int, help="windows of a block, for haplotypes of very many windows")
-    for name in ("main.prep", "callability"):
+    made = {"restrict_1kG": prepare.write_restricted, "main.prep": prepare.write_sites, "callability": prepare.write_callability}
+    for name in made:
         commands.add_parser(name).add_argument("-json", required=True)
+    scored = commands.add_parser("evaluate")
+    scored.add_argument("-truth", required=True)
+    for kind in ("segments", "decoded", "msp"):
+        scored.add_argument(f"-{kind}", nargs="+")
+    scored.add_argument("-populations", nargs="*", default=[], help="POP=STATE for -msp")
+    scored.add_argument("-least", type=float, nargs="*", help="posterior thresholds for -decoded: one scores, several give a table")
+    scored.add_argument("-out", required=True)
     got = parser.parse_args(args)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
-    if got.command in ("main.prep", "callability"):
-        cfg = readers.config(spark, got.json)
-        prepare.write_sites(spark, cfg) if got.command == "main.prep" else prepare.write_callability(spark, cfg)
+    if got.command in made:
+        made[got.command](spark, readers.config(spark, got.json))
+    elif got.command == "evaluate":
+        scores.write(spark, got.truth, got.out, got.segments, got.decoded, got.msp, dict(p.split("=") for p in got.populations), got.least)
     elif got.command == "run":
         run(spark, got.json, got.out, em=False, block=got.block)
     else:

@@ -120,7 +120,7 @@ def varying_sites(s, d):
 
 
 def panel_limit(s, d):
-    return events(s, d).select("chrom", "hap", F.dense_rank().over(W.partitionBy("chrom").orderBy("hap")).alias("r")).where("r <= 4").select("chrom", "hap").distinct()
+    return observe.limit_panel(events(s, d).select("chrom", "hap").distinct(), ["chrom"], "hap", 4)
 
 
 def names(s, d):

@@ -106,7 +106,7 @@ def fasta_file(s, d):
     seq = table(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "").alias("seq"))
     writers.fasta(seq.select(F.concat(F.lit("chr"), F.col("n_regionkey").cast("string")).alias("contig"), "seq"), at, 20)
     places = table(s, d, "nation").select(F.concat(F.lit("chr"), F.col("n_regionkey").cast("string")).alias("chrom"), (F.col("n_nationkey").cast("long") * 3 - 2).alias("pos"))
-    return readers.ancestral(places, readers.fasta(s, at))
+    return readers.ancestral(places, readers.fasta_blocks(s, at))
 
 
 def call_file(s, d) -> str:

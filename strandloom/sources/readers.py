@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import node_name, sample_name
 from strandloom.functions.scalars import chrom_with
-from strandloom.operators import intervals
+from strandloom.operators import genotypes, intervals
 
 #: Columns of a site table that are not haplotypes, in the names that files use; fixed values.
 SITE_COLUMNS = ("#CHROM", "CHROM", "chr", "POS", "REF", "ALT", "Ancestral", "ND", "EU", "NA", "AF", "Outgroup", "Neand")
@@ -68,17 +69,38 @@ def windows_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("s is not null and e is not null").withColumn("win", F.row_number().over(W.partitionBy("chrom").orderBy("s", "e")).cast("long") - 1).select("chrom", "win", "s", "e", "frac")
 
 
-def exposures(spark: SparkSession, modern: str, ancient: str | None, missing: str = "zero") -> DataFrame:
+def exposures(spark: SparkSession, modern: str | None, ancient: str | None, missing: str = "zero", windows: DataFrame | None = None) -> DataFrame:
     """chrom, win, s, e, l_mod, l_anc from two window files, cut to the windows that both have. Without the ancient file
-    l_anc is 0 (missing="zero"); with missing="ones" any missing file makes both 1."""
-    gone = ancient is None or not exists(spark, ancient)
+    l_anc is 0 (missing="zero"); with missing="ones" any missing file makes both 1, over the windows of the other file, or
+    over windows (chrom, win, s, e) where there is neither."""
+    there = [p is not None and exists(spark, p) for p in (modern, ancient)]
+    if not there[0]:
+        if missing != "ones":
+            raise FileNotFoundError(f"no windows at {modern}")
+        rows = windows_bed(spark, ancient).drop("frac") if there[1] else windows
+        if rows is None:
+            raise FileNotFoundError(f"no windows at {modern} or {ancient}")
+        return rows.select("chrom", "win", "s", "e", F.lit(1.0).alias("l_mod"), F.lit(1.0).alias("l_anc"))
     mod = windows_bed(spark, modern).withColumnRenamed("frac", "l_mod")
-    if gone:
+    if not there[1]:
         one = missing == "ones"
         return mod.withColumns({"l_mod": F.lit(1.0), "l_anc": F.lit(1.0)} if one else {"l_anc": F.lit(0.0)})
     return mod.join(windows_bed(spark, ancient).select("chrom", "win", F.col("frac").alias("l_anc")), ["chrom", "win"])
 
 
+def other_name(spark: SparkSession, path: str | None) -> str | None:
+    """path if it is there, or the file of its folder whose name lacks the chr before it; else None, with a warning: what a
+    mask would have taken out stays in."""
+    if not path:
+        return None
+    folder, _, name = path.rpartition("/")
+    for at in (path, f"{folder}/{name[3:]}" if folder else name[3:]):
+        if (at == path or name.startswith("chr")) and exists(spark, at):
+            return at
+    warnings.warn(f"no mask at {path}: its sites are not masked", stacklevel=2)
+    return None
+
+
 def bed(spark: SparkSession, path: str | Sequence[str], lengths: DataFrame | None = None) -> DataFrame:
     """Merged intervals of a plain or gzipped BED, cut to lengths (chrom, length) where given."""
     f = fields(spark, path).where(F.size("f") >= 3)
@@ -143,11 +165,12 @@ def msp(spark: SparkSession, path: str, population_states: dict[str, str] | None
 
 
 def decoded(spark: SparkSession, paths: str | Sequence[str], least: float | None = None, state: str = "Archaic") -> DataFrame:
-    """Decoded segments, chrom, sample, s, e, mean_prob, of the wanted state and at least so probable; the sample's name
-    comes from the file's name."""
-    raw = spark.read.csv(paths, sep="\t", header=True).withColumn("_file", F.col("_metadata.file_name"))
+    """Decoded segments, chrom, sample, s, e, mean_prob, of the wanted state and at least so probable (those without a
+    probability are); the sample's name comes from the file's name, or from its folder's where the file's has none."""
+    raw = spark.read.option("recursiveFileLookup", True).csv(paths, sep="\t", header=True)
+    raw = raw.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r".*(tsk_\d+[^/]*hap\d+)", 1))
     rows = raw.where(F.col("state") == state).select(chrom_with(F.col("chrom")).alias("chrom"), node_name(F.col("_file")).alias("sample"), F.col("start").cast("bigint").alias("s"), F.col("end").cast("bigint").alias("e"), (F.col("mean_prob").cast("double") if "mean_prob" in raw.columns else F.lit(None).cast("double")).alias("mean_prob"))
-    return rows if least is None else rows.where(F.col("mean_prob") >= least)
+    return rows if least is None else rows.where(F.col("mean_prob").isNull() | (F.col("mean_prob") >= least))
 
 
 def vcf(spark: SparkSession, path: str, chrom: str | None = None, region: DataFrame | None = None, width: int = 100_000) -> DataFrame:
@@ -167,33 +190,79 @@ def vcf(spark: SparkSession, path: str, chrom: str | None = None, region: DataFr
     return rows if region is None else intervals.points_in(rows, region, ["chrom"], width)
 
 
+def vcf_arrays(spark: SparkSession, path: str, chrom: str | None = None, region: DataFrame | None = None, width: int = 100_000) -> tuple[DataFrame, list[str]]:
+    """Calls of a text VCF with all samples in one column (see operators.genotypes), and the samples' names."""
+    header = spark.read.text(path).where("value like '#CHROM%'").first()[0].lstrip("#").split("\t")
+    f = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
+    at = lambda i: F.get("f", F.lit(i))
+    alts = F.filter(F.split(at(4), ","), lambda a: (a != ".") & (a != ""))
+    gt = F.transform(F.slice("f", 10, max(len(header) - 9, 0)), genotypes.numbers) if len(header) > 9 else F.array().cast(genotypes.NO_GT)
+    rows = f.select(chrom_with(at(0)).alias("chrom"), (at(1).try_cast("bigint") - 1).alias("pos"), at(3).alias("ref"), alts.alias("alts"), gt.alias("gt")).where("pos is not null")
+    rows = rows if chrom is None else rows.where(F.col("chrom") == chrom)
+    return (rows if region is None else intervals.points_in(rows, region, ["chrom"], width)), header[9:]
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """contig, seq of a FASTA file; a contig's name is the first word of its line."""
+    """contig, seq of a FASTA file of short contigs; a contig's name is the first word of its line."""
     parts = spark.read.text(path, wholetext=True).select(F.explode(F.filter(F.split("value", "(^|\n)>"), lambda x: F.trim(x) != "")).alias("x"))
     return parts.select(F.regexp_extract("x", r"^(\S+)", 1).alias("contig"), F.regexp_replace(F.regexp_replace("x", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
-def contig_of(names: Sequence[str], chrom: str) -> str:
-    """The contig of a chromosome: the only one, or the first whose name has the chromosome between colons, behind chr or CHR,
-    or anywhere."""
-    bare = chrom.removeprefix("chr")
-    if len(names) == 1:
-        return names[0]
-    for name in names:
-        if any(x in name for x in (f":{bare}:", f"chr{bare}", f"CHR{bare}", bare)):
-            return name
-    raise ValueError(f"no contig for {chrom} among {sorted(names)[:20]}")
-
-
 #: Bases of a contig in one row where sites look them up.
 BASES = 1 << 16
 
 
-def ancestral(sites: DataFrame, contigs: DataFrame, bases: int = BASES) -> DataFrame:
-    """sites (chrom, pos) with anc from contigs (contig, seq) of the same name, chr or not; '.' beyond an end. Contigs are cut
-    into rows of so many bases, which sites meet by place, so no chromosome is copied to them."""
-    cut = contigs.select(chrom_with(F.col("contig")).alias("chrom"), F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{bases}}}"), F.lit(0))).alias("_block", "_part"))
-    placed = sites.withColumn("_block", F.expr(f"cast(pos div {bases} as int)"))
+def fasta_blocks(spark: SparkSession, path: str | Sequence[str], bases: int = BASES) -> DataFrame:
+    """contig, block, part: the bases of each contig of FASTA files from block * bases on, in rows of so many. Lines are
+    placed by sums over each split of a file and then over the splits, so no contig is ever one value; a line is."""
+    from pyspark.sql import Window as W
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\s+$", "").alias("v"))
+    head = F.col("v").startswith(">")
+    lines = lines.withColumn("name", F.when(head, F.regexp_extract("v", r"^>\s*(\S*)", 1))).withColumn("n", F.when(head, 0).otherwise(F.length("v")).cast("long"))
+    # Runs are the stretches between headers within a split; the first goes on from the split before.
+    order = W.partitionBy("file", "split").orderBy("at")
+    lines = lines.withColumn("run", F.count("name").over(order))
+    lines = lines.withColumn("upto", F.sum("n").over(W.partitionBy("file", "split", "run").orderBy("at")))
+    runs = lines.groupBy("file", "split", "run").agg(F.max("name").alias("name"), F.sum("n").alias("n"))
+    over = W.partitionBy("file").orderBy("split", "run")
+    runs = runs.withColumn("contig_no", F.count("name").over(over))
+    same = W.partitionBy("file", "contig_no").orderBy("split", "run")
+    runs = runs.select("file", "split", "run", F.first("name").over(same).alias("contig"), (F.sum("n").over(same) - F.col("n")).alias("before")).where("contig is not null")
+    placed = lines.where("n > 0").join(runs, ["file", "split", "run"]).withColumn("s", F.col("before") + F.col("upto") - F.col("n"))
+    cut = placed.withColumn("block", F.explode(F.expr(f"sequence(s div {bases}, (s + n - 1) div {bases})")))
+    from_, to = F.greatest(F.col("s"), F.col("block") * bases), F.least(F.col("s") + F.col("n"), (F.col("block") + 1) * bases)
+    pieces = cut.select("contig", "block", F.struct(from_.alias("s"), F.col("v").substr((from_ - F.col("s") + 1).cast("int"), (to - from_).cast("int")).alias("v")).alias("x"))
+    return pieces.groupBy("contig", "block").agg(F.array_join(F.sort_array(F.collect_list("x")).v, "").alias("part"))
+
+
+def blocks_of(contigs: DataFrame, bases: int = BASES) -> DataFrame:
+    """fasta_blocks of contigs (contig, seq)."""
+    return contigs.select("contig", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{bases}}}"), F.lit(0))).alias("block", "part")).withColumn("block", F.col("block").cast("long"))
+
+
+def contig_of(names: Sequence[str], chrom: str) -> str:
+    """The contig of a chromosome: the only one; else the one of exactly its name, with chr or without; else the first that
+    has it between colons; else the only one that has it, or chr or chromosome before it, as a word of its name."""
+    bare = re.sub("^chr", "", chrom, flags=re.IGNORECASE)
+    if len(names) == 1:
+        return names[0]
+    for fits in (lambda n: n in (chrom, bare) or n.lower() == f"chr{bare}".lower(), lambda n: f":{bare}:" in n):
+        found = [n for n in names if fits(n)]
+        if found:
+            return found[0]
+    word = re.compile(rf"(?<![0-9a-z])(chr|chromosome)?[ ._-]?{re.escape(bare)}(?![0-9a-z])", re.IGNORECASE)
+    found = [n for n in names if word.search(n)]
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} contig for {chrom} among {sorted(found or names)[:20]}")
+    return found[0]
+
+
+def ancestral(sites: DataFrame, blocks: DataFrame, bases: int = BASES) -> DataFrame:
+    """sites (chrom, pos) with anc from blocks (contig, block, part: see fasta_blocks) of the same name, chr or not; '.'
+    beyond an end. Sites meet their block by place, so no chromosome is copied to them."""
+    cut = blocks.select(chrom_with(F.col("contig")).alias("chrom"), F.col("block").alias("_block"), F.col("part").alias("_part"))
+    placed = sites.withColumn("_block", F.expr(f"pos div {bases}"))
     base = F.when((F.col("pos") >= 0) & (F.col("pos") % bases < F.length("_part")), F.expr(f"substring(_part, cast(pos % {bases} + 1 as int), 1)"))
     return placed.join(cut, ["chrom", "_block"], "left").withColumn("anc", F.coalesce(base, F.lit("."))).drop("_part", "_block")
 

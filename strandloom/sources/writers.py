@@ -70,6 +70,16 @@ def vcf_rows(df: DataFrame, samples: Sequence[str]) -> DataFrame:
     return df.select(F.concat_ws("\t", *fixed, *[F.col(s) for s in samples]).alias("value"))
 
 
+def vcf(calls: DataFrame, names: Sequence[str], path: str) -> None:
+    """Calls with all samples in one column (see operators.genotypes) as VCF lines, sorted by place; the header is a file of its own."""
+    spark = calls.sparkSession
+    head = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
+    gt = F.transform("gt", lambda g: F.array_join(F.transform(g, lambda a: F.when(a < 0, F.lit(".")).otherwise(a.cast("string"))), "|"))
+    fixed = [F.col("chrom"), (F.col("pos") + 1).cast("string"), F.lit("."), F.col("ref"), F.coalesce(F.nullif(F.array_join("alts", ","), F.lit("")), F.lit(".")), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT")]
+    spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.mode("overwrite").text(path)
+    calls.orderBy("chrom", "pos").select(F.concat_ws("\t", *fixed, gt).alias("value")).write.mode("append").text(path)
+
+
 def genetic_map(lengths: DataFrame, rate: float, step: int) -> DataFrame:
     """chrom, pos, cm: equal steps at one rate, and the end."""
     at = lengths.withColumn("pos", F.explode(F.expr(f"array_distinct(concat(sequence(cast(0 as bigint), length, {step}), array(length)))")))

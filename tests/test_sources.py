@@ -61,7 +61,7 @@ def test_vcf_fasta_files(spark, tmp_path):
     fa = readers.fasta(spark, put(tmp_path / "x.fa", ">1 first\nACG\nT\n>21\nGG\n"))
     assert rows(fa) == [("1", "ACGT"), ("21", "GG")]
     sites = spark.createDataFrame([("chr1", 3), ("chr1", 4), ("chr2", 0)], "chrom string, pos long")
-    assert rows(readers.ancestral(sites, fa)) == [("chr1", 3, "T"), ("chr1", 4, "."), ("chr2", 0, ".")]
+    assert rows(readers.ancestral(sites, readers.blocks_of(fa))) == [("chr1", 3, "T"), ("chr1", 4, "."), ("chr2", 0, ".")]
 
 
 def test_config_and_files(spark, tmp_path):
