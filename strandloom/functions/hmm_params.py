@@ -1,4 +1,4 @@
-"""Rates and transitions of the five-state model: plain numbers on the driver."""
+"""Rates and transitions of the five-state model: plain numbers on the driver, and columns for tables of parameters."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Order of the rates; fixed values.
 RATES = ("i", "n", "af", "ea", "mex")
@@ -48,3 +50,28 @@ def from_config(p: dict) -> tuple[np.ndarray, Transitions]:
     a, b = p["admixture_modern"][:2]
     years = p["generation_time"]
     return rates, Transitions(p["t_introgression"] / years, p["t_mexicans"] / years, p["rr"], a, b, p["admixture_nd"], p["admixture_nd"], p["window_length"])
+
+
+def rate_columns(mutation: Column, window_length: Column, generation_time: Column, times: dict[str, Column]) -> dict[str, Column]:
+    """Starting rates of a table of parameters; times has the coalescence time of each of RATES."""
+    theta = mutation * window_length / generation_time
+    return {r: theta * times[r] for r in RATES}
+
+
+def transition_columns(ti: Column, tmex: Column, rr: Column, a: Column, b: Column, c1: Column, c2: Column, width: Column) -> list[list[Column]]:
+    """Transitions.log_matrix of a table of parameters: 5 x 5 columns of probabilities."""
+    scale = rr * width
+    stay, early, late = F.exp(-ti * scale), F.exp(-(ti - tmex) * scale), F.exp(-tmex * scale)
+    drawn = [(1 - late) * x for x in (a, b, 1 - a - b)]
+    archaic = [[1 - c1, c1], [1 - c2, c2]]
+    out = []
+    for p in range(5):
+        row = []
+        for q in range(5):
+            if q == 4:
+                row.append(drawn[2] + late if p == 4 else drawn[2])
+                continue
+            kept = drawn[q // 2] if p == 4 or p // 2 != q // 2 else (1 - early) * late + drawn[q // 2]
+            row.append(kept * archaic[q // 2][q % 2] + (stay if p == q else 0))
+        out.append(row)
+    return out

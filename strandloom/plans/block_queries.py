@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandloom.operators import hmm, hmm_blocks, hmm_refit
+from strandloom.operators.shared import scratch
 from strandloom.plans import model_queries
 from strandloom.plans.domain import RATES, TRANS, ZEROED, emission_sql, zeroed
 from strandloom.plans.model_queries import KEYS
-from strandloom.plans.source_queries import scratch
 
 #: Windows of a block, so that haplotypes of any length have several.
 BLOCK = 7

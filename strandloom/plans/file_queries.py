@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import set_text
 from strandloom.operators import evaluate, intervals, tracts
+from strandloom.operators.shared import scratch
 from strandloom.operators.tracts import STATES
 from strandloom.plans import prepare, site_queries
 from strandloom.plans.domain import ANCIENT, DAY, EVENTS, EXPOSURE, HOUR, LENGTHS, MODERN, TRUTH_PRED, covered, exposure, lengths, pred, table, truth
 from strandloom.plans.model_queries import em_sql, em_steps
-from strandloom.plans.source_queries import call_file, scratch
+from strandloom.plans.source_queries import call_file
 from strandloom.sources import readers, writers
 
 KEYS = ["chrom", "hap"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import evaluate, genotypes, intervals
+from strandloom.operators.shared import scratch
 from strandloom.plans import scores
 from strandloom.plans.domain import DAY, EVENTS, HOUR, MODERN, TRUTH_PRED, covered, events, pred, truth
-from strandloom.plans.source_queries import scratch
 from strandloom.sources import readers, writers
 
 #: Alternatives of a call by its event, and the reference by its place.

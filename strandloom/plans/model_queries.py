@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandloom.functions.hmm_params import from_config
+from strandloom.functions.hmm_params import RATES as RATE_NAMES
+from strandloom.functions.hmm_params import rate_columns, transition_columns
 from strandloom.operators import hmm, intervals, tracts
-from strandloom.plans.domain import COUNTS, DAY, PATHS, RATES, TRANS, ZEROED, counts, emission_sql, events, path, zeroed
+from strandloom.plans.domain import COUNTS, DAY, PATHS, RATES, TRANS, ZEROED, counts, emission_sql, events, path, table, zeroed
 from strandloom.plans.pipeline import fixed_run
 
 KEYS = ["chrom", "hap"]
@@ -17,14 +18,28 @@ CONFIG = {
 }
 
 
+#: Parameters of a run for each supplier.
+PARAMS = {"ti": "1000.0 + s_suppkey % 900", "tmex": "16.0 + s_suppkey % 50", "rr": "1e-8 * (1 + s_nationkey)", "a": "0.2 + 0.05 * (s_suppkey % 7)", "b": "0.1 + 0.01 * s_nationkey", "c1": "0.02 + 0.01 * (s_suppkey % 3)", "c2": "0.03"}
+
+
+def parameters(s, d):
+    """A supplier's parameters, of which its balance is the mutation rate's share."""
+    rows = table(s, d, "supplier").selectExpr("s_suppkey", "s_acctbal", *[f"CAST({x} AS DOUBLE) AS {n}" for n, x in PARAMS.items()])
+    return rows.withColumns({"mutation": F.col("s_acctbal") * 1e-12, "width": F.lit(1000.0), "years": F.lit(29.0)})
+
+
 def initial_rates(s, d):
-    rates, _ = from_config(CONFIG)
-    return s.createDataFrame([(n, float(x)) for n, x in zip(("i", "n", "af", "ea", "mex"), rates, strict=True)], "rate string, value double").withColumn("value", F.round(F.col("value") * 1e6, 6))
+    """Starting rates of each supplier's run."""
+    times = {r: F.lit(CONFIG[f"t_{x}_c"]) for r, x in zip(RATE_NAMES, ("introgression", "n", "af", "ea", "mexicans"), strict=True)}
+    made = rate_columns(F.col("mutation"), F.col("width"), F.col("years"), times)
+    return parameters(s, d).select("s_suppkey", *[F.round(c * 1e6, 6).alias(r) for r, c in made.items()])
 
 
 def transition_matrix(s, d):
-    m = np.exp(TRANS.log_matrix())
-    return s.createDataFrame([(i, j, float(m[i, j])) for i in range(5) for j in range(5)], "p int, q int, v double").withColumn("v", F.round("v", 9))
+    """Transitions of each supplier's run: p, q, v."""
+    made = transition_columns(*[F.col(n) for n in ("ti", "tmex", "rr", "a", "b", "c1", "c2", "width")])
+    cells = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), v.alias("v")) for p, row in enumerate(made) for q, v in enumerate(row)])
+    return parameters(s, d).select("s_suppkey", F.explode(cells).alias("x")).select("s_suppkey", "x.p", "x.q", F.round("x.v", 9).alias("v"))
 
 
 def _round(df, names, digits=6):
@@ -162,10 +177,11 @@ SELECT k - 1 AS step, round(v, 6) AS loglik FROM seen, last WHERE k <= n UNION A
 
 
 def oracles() -> dict[str, str]:
-    theta = f"({CONFIG['mutation']!r}::DOUBLE * {CONFIG['window_length']} / {CONFIG['generation_time']!r}::DOUBLE)"
+    theta = f"(s_acctbal::DOUBLE * 1e-12::DOUBLE * 1000.0::DOUBLE / {CONFIG['generation_time']!r}::DOUBLE)"
+    rates = ", ".join(f"round({theta} * {CONFIG[k]!r}::DOUBLE * 1e6::DOUBLE, 6) AS {n}" for n, k in zip(RATE_NAMES, ("t_introgression_c", "t_n_c", "t_af_c", "t_ea_c", "t_mexicans_c"), strict=True))
     absorb = f"WITH {PATHS}, {_absorb}, tr1 AS ({_runs('ab')}) {_out} FROM tr1"
     return {
-        "initial_rates": " UNION ALL ".join(f"SELECT '{n}' AS rate, round({theta} * {CONFIG[k]!r}::DOUBLE * 1e6, 6) AS value" for n, k in (("i", "t_introgression_c"), ("n", "t_n_c"), ("af", "t_af_c"), ("ea", "t_ea_c"), ("mex", "t_mexicans_c"))),
+        "initial_rates": f"SELECT s_suppkey, {rates} FROM supplier",
         "transition_matrix": _matrix_oracle(),
         "emissions": f"WITH {ZEROED}, em AS ({emission_sql('z')}) SELECT chrom, hap, win, {', '.join(f'round(e{i}, 6) AS e{i}' for i in range(5))} FROM em",
         "viterbi_path": f"WITH {PATHS} SELECT * FROM path",
@@ -184,19 +200,17 @@ def oracles() -> dict[str, str]:
 
 def _matrix_oracle() -> str:
     """The matrix from its published form, entry by entry."""
-    t = TRANS
-    base = f"(SELECT exp(-{t.ti!r} * x) AS ei, exp(-({t.ti!r} - {t.tmex!r}) * x) AS eim, exp(-{t.tmex!r} * x) AS em FROM (SELECT {t.rr!r}::DOUBLE * {t.width!r} AS x))"
-    parts = f"(SELECT *, 1 - em AS q, (1 - eim) * em + (1 - em) * {t.a!r} AS fa, (1 - eim) * em + (1 - em) * {t.b!r} AS fb FROM {base})"
-    c = {0: ("fa", "q * " + repr(t.a), t.c1), 1: ("fb", "q * " + repr(t.b), t.c2)}
+    given = ", ".join(f"({x.replace('1e-8', '1e-8::DOUBLE')})::DOUBLE AS {n}" for n, x in PARAMS.items())
+    base = f"(SELECT *, exp(-ti * x) AS ei, exp(-(ti - tmex) * x) AS eim, exp(-tmex * x) AS em FROM (SELECT *, rr * 1000 AS x FROM (SELECT s_suppkey, {given} FROM supplier)))"
+    parts = f"(SELECT *, 1 - em AS k, (1 - eim) * em + (1 - em) * a AS fa, (1 - eim) * em + (1 - em) * b AS fb FROM {base})"
+    c = {0: ("fa", "k * a", "c1"), 1: ("fb", "k * b", "c2")}
     cells = []
     for p in range(5):
         for q in range(5):
             if q == 4:
-                v = f"q * (1 - {t.a!r} - {t.b!r})" + (" + em" if p == 4 else "")
+                v = "k * (1 - a - b)" + (" + em" if p == 4 else "")
             else:
                 own, other, share = c[q // 2]
-                v = f"({own if p // 2 == q // 2 and p < 4 else other}) * {share if q % 2 else 1 - share!r}" + (" + ei" if p == q else "")
-            cells.append(f"SELECT {p} AS p, {q} AS q, round({v}, 9) AS v FROM x")
+                v = f"({own if p // 2 == q // 2 and p < 4 else other}) * ({share if q % 2 else f'1 - {share}'})" + (" + ei" if p == q else "")
+            cells.append(f"SELECT s_suppkey, {p} AS p, {q} AS q, round({v}, 9) AS v FROM x")
     return f"WITH x AS {parts} " + " UNION ALL ".join(cells)
-
-

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from strandloom.operators import evaluate
+from strandloom.operators.shared import scratch
 from strandloom.operators.tracts import STATES
 from strandloom.plans.domain import CONFUSION, EVENTS, EXPOSURE, HOUR, days, days_sql, exposure, lengths, pred, table, truth
 from strandloom.plans.interval_queries import A, R
@@ -16,16 +14,6 @@ from strandloom.plans.site_queries import SETS, SITES, sites
 from strandloom.sources import readers, writers
 
 
-def scratch(s, name: str) -> str:
-    """A new path in the folder that all machines share."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if s.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def segments_file(s, d):
     """Predicted segments with inclusive ends; the state NA has to stay text."""
     at = scratch(s, "segments")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions.hmm_params import Transitions, from_config
+from strandloom.functions.hmm_params import Transitions, from_config, transition_columns
 from strandloom.operators import hmm, tracts
 from strandloom.plans.pipeline import em_run
 from table_rows import rows
@@ -22,6 +22,14 @@ def test_config():
     assert np.allclose(rates, np.array([50000, 600000, 90000, 40000, 10000]) * 4e-7) and (t.ti, t.tmex, t.c1) == (2000, 20, 0.02)
 
 
+def test_columns_of_parameters(spark):
+    sets = [T, Transitions(900, 500, 3e-6, 0.1, 0.2, 0.3, 0.05, 500)]
+    df = spark.createDataFrame([tuple(map(float, (t.ti, t.tmex, t.rr, t.a, t.b, t.c1, t.c2, t.width))) for t in sets], "ti double, tmex double, rr double, a double, b double, c1 double, c2 double, width double")
+    made = transition_columns(*[F.col(c) for c in df.columns])
+    for t, r in zip(sets, df.select(*[c for row in made for c in row]).collect(), strict=True):
+        assert np.allclose(np.reshape(r, (5, 5)), np.exp(t.log_matrix()))
+
+
 def brute(emit, log_trans):
     paths = list(itertools.product(range(5), repeat=len(emit)))
     return paths, np.array([sum(emit[i, x] for i, x in enumerate(p)) + sum(log_trans[p[i], p[i + 1]] for i in range(len(p) - 1)) - np.log(5) for p in paths])
