@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from strandloom.operators import evaluate, genotypes, intervals
+from strandloom.operators import evaluate, genotypes, hmm, intervals, tracts
 from strandloom.operators.shared import scratch
-from strandloom.plans import scores
-from strandloom.plans.domain import DAY, EVENTS, HOUR, MODERN, TRUTH_PRED, covered, events, pred, truth
-from strandloom.sources import readers, writers
+from strandloom.plans import model_queries, scores
+from strandloom.plans.domain import DAY, EVENTS, HOUR, MODERN, PATHS, RATES, TRANS, TRUTH, covered, events, pred, segments_sql, truth, TRUTH_PRED, zeroed
+from strandloom.sources import readers, stores, writers
 
 #: Alternatives of a call by its event, and the reference by its place.
 ALTS, REFS, PLACE = ("G", "C,G", "T", "AT", "G,CT,T", "."), ("A", "AC"), 300
@@ -107,7 +109,26 @@ def missing_modern_file(s, d):
     return readers.exposures(s, None, scratch(s, "none"), missing="ones", windows=spans)
 
 
-QUERIES = {f.__name__: f for f in (restricted_calls, restricted_file, merged_files, fasta_blocks, threshold_sweep, decoded_files, evaluated_file, painted_ancestry, missing_modern_file)}
+def store_region(s, d):
+    """Calls of a store by chromosome and place, within covered stretches."""
+    at, mask = scratch(s, "store"), covered(s, d, *MODERN)
+    stores.write_calls(calls(s, d), ["a", "b", "c"], at)
+    region = intervals.merge(mask.select("chrom", F.expr(f"s div {PLACE}").alias("s"), F.expr(f"(e - 1) div {PLACE} + 1").alias("e")), ["chrom"])
+    rows, names = stores.read_calls(s, at, region=region, width=HOUR)
+    return rows.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.size("alts")).alias("alts"), F.lit(len(names)).alias("samples"))
+
+
+def bucketed_tracts(s, d):
+    """Counts, paths and true segments as tables dealt by haplotype; decoding, tracts and scoring move nothing by it."""
+    keys = ["chrom", "hap"]
+    named = lambda df, name, order: stores.bucketed(df, f"{name}_{uuid.uuid4().hex}", scratch(s, name), keys, 8, order)
+    counts = named(zeroed(s, d), "counts", ["win"])
+    path = named(hmm.decode(hmm.pack(counts, keys), keys, RATES, TRANS.log_matrix()), "path", ["win"])
+    made = tracts.absorb_tracts(path, keys).withColumn("state", tracts.state_name(F.col("state")))
+    return evaluate.confusion(named(truth(s, d), "truth", ["s"]), made, keys, DAY)
+
+
+QUERIES = {f.__name__: f for f in (store_region, bucketed_tracts, restricted_calls, restricted_file, merged_files, fasta_blocks, threshold_sweep, decoded_files, evaluated_file, painted_ancestry, missing_modern_file)}
 
 
 def _calls_sql() -> str:
@@ -143,6 +164,8 @@ SELECT chrom, pos, ref, array_to_string(alts, ',') AS alt, s0, s1 FROM n WHERE l
     states = ("EU", "ND_EU", "NA", "ND_NA", "AF")
     cut = "t JOIN p ON t.chrom = p.chrom AND t.hap = p.hap AND t.s < p.e AND p.s < t.e"
     return {
+        "store_region": f"WITH {_calls_sql()}, {mask} SELECT chrom, pos, count(*) AS calls, sum(len(alts))::BIGINT AS alts, {SAMPLES} AS samples FROM ca SEMI JOIN mk USING (chrom, pos) GROUP BY chrom, pos",
+        "bucketed_tracts": f"WITH {PATHS}, {model_queries._absorb}, tr1 AS ({model_queries._runs('ab')}), {segments_sql('t', *TRUTH)} SELECT t.state AS truth_state, {model_queries._states.replace('state', 'tr1.state')} AS pred_state, sum(least(t.e, tr1.e) - greatest(t.s, tr1.s))::BIGINT AS bp FROM t JOIN tr1 ON t.chrom = tr1.chrom AND t.hap = tr1.hap AND t.s < tr1.e AND tr1.s < t.e GROUP BY ALL",
         "restricted_calls": f"WITH {_calls_sql()}, {restricted('ca')}",
         "restricted_file": f"WITH {_calls_sql()}, {mask}, cm AS (SELECT * FROM ca SEMI JOIN mk USING (chrom, pos)), {restricted('cm')}",
         "merged_files": f"""WITH {_calls_sql()}, m AS (SELECT chrom, pos, min_by(ref, (length(ref), ref)) AS ref, {alleles} AS al, {', '.join(f'coalesce({side(k, i)}, {chr(39) * 2}) AS s{3 * k + i}' for k in (0, 1) for i in range(SAMPLES))} FROM ca GROUP BY chrom, pos)
