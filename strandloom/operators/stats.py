@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.binomial import tails
 from strandloom.functions.scalars import log2_ratio, minus_log10
+from strandloom.operators.shared import written
 
 #: Levels of the calibration tables.
 LEVELS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.5, 0.95, 0.975, 0.99, 0.995, 0.999)
 
 
-#: Ranges of values of a group, among which its distinct values are dealt evenly, nearly.
-RANGES = 64
+#: Ranges of values of a group, among which its distinct values are dealt evenly, nearly; distinct values of a group up to
+#: which one aggregate holds them instead.
+RANGES, HELD = 64, 1 << 18
 
 
 def _group(keys: Sequence[str]) -> Column:
@@ -25,12 +27,18 @@ def _group(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_"))
 
 
-def quantiles(df: DataFrame, value: str, levels: Sequence[float] = LEVELS, keys: Sequence[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, levels: Sequence[float] = LEVELS, keys: Sequence[str] = (), held: int = HELD) -> DataFrame:
     """Exact, linearly interpolated: rows (keys, level, value); none for a group without values.
 
-    Equal values are counted first. A sketch of the distinct values cuts each group into RANGES, sums of counts tell which
+    Equal values are counted first, into a table, so the input is read once. Where no group has more than held distinct values, one
+    aggregate takes them. Else a sketch of the distinct values cuts each group into RANGES, sums of counts tell which
     of these hold the wanted ranks, and only they are sorted: no task holds a group, and the cuts decide no result."""
     numbers = df.select(_group(keys).alias("_k"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    numbers = written(numbers, "quantiles")
+    if (numbers.groupBy("_k").count().agg(F.max("count")).first()[0] or 0) <= held:
+        rows = numbers.groupBy("_k").agg(F.percentile("_v", F.array(*[F.lit(float(x)) for x in levels]), F.col("_n")).alias("_q"))
+        each = rows.select("_k", F.explode(F.arrays_zip(F.array(*[F.lit(float(x)) for x in levels]).alias("level"), F.col("_q").alias("value"))).alias("x"))
+        return each.select(*[F.col("_k")[k].alias(k) for k in keys], "x.level", "x.value")
     cuts = numbers.groupBy("_k").agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_n").alias("_all"))
     dealt = numbers.join(cuts, "_k").select("_k", "_v", "_n", "_all", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
     sums = dealt.groupBy("_k", "_range").agg(F.sum("_n").alias("_m"), F.first("_all").alias("_all"))

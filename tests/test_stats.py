@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from strandloom.operators import stats
 from table_rows import rows
@@ -9,18 +10,19 @@ from table_rows import rows
 Q = (0.0, 0.001, 0.25, 0.5, 0.9, 1.0)
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("held", [0, 1 << 18])
+def test_quantiles_are_exact(spark, held):
     seed = random.Random(7)
     groups = {"many": [seed.gauss(0, 1) for _ in range(3000)], "ties": [float(seed.randrange(4)) for _ in range(500)] + [9.5], "hot": [1.0] * 400 + [0.5, 2.5], "one": [3.25], None: [1.0, 2.0]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]] + [("none", None)], "k string, v double")
-    got = {(r.k, r.level): r.value for r in stats.quantiles(df, "v", Q, ["k"]).collect()}
+    got = {(r.k, r.level): r.value for r in stats.quantiles(df, "v", Q, ["k"], held).collect()}
     assert set(got) == {(k, q) for k in groups for q in Q}
     for (k, q), v in got.items():
         assert math.isclose(v, float(np.quantile(groups[k], q)), rel_tol=1e-12, abs_tol=1e-12)
     whole = [v for vs in groups.values() for v in vs]
-    for r in stats.quantiles(df, "v", Q).collect():
+    for r in stats.quantiles(df, "v", Q, held=held).collect():
         assert math.isclose(r.value, float(np.quantile(whole, r.level)), rel_tol=1e-12, abs_tol=1e-12)
-    assert stats.quantiles(df.limit(0), "v", Q).count() == 0
+    assert stats.quantiles(df.limit(0), "v", Q, held=held).count() == 0
 
 
 def test_describe(spark):
