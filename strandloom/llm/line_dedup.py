@@ -97,8 +97,9 @@ def windows(hs: np.ndarray, ws: np.ndarray, begins: np.ndarray, least: int) -> t
     return first, last, key.view(np.int64)
 
 
-def common_lines(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int) -> list[int]:
-    """Lines of b in blocks that a has too, consecutive in both, with at least that many words."""
+def common_lines(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int, lookups: bool = True) -> list[int]:
+    """Lines of b in blocks that a has too, consecutive in both, with at least that many words: those of the alignment and,
+    with lookups, those whose windows a has elsewhere."""
     out: list[int] = []
     block: list[int] = []
     before = None
@@ -112,7 +113,7 @@ def common_lines(a: Sequence[int], b: Sequence[int], words: Sequence[int], least
         block.append(j)
         before = (i, j)
     gone, has = set(out), set(a)
-    if all(k in gone or x not in has for k, x in enumerate(b)):
+    if not lookups or all(k in gone or x not in has for k, x in enumerate(b)):
         return out
     # Lines that a has elsewhere or more often: lines of a that b lacks get no words, as no common window has them.
     size = dict(zip(b, words, strict=True))
@@ -144,8 +145,16 @@ def window_rows(lines: DataFrame, least: int) -> DataFrame:
     return lines.mapInPandas(run, "did long, th long, h long")
 
 
-def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(did, th, removed): for each document that loses lines, their places from 0. did is doc_id, or LAST for null."""
+#: Later documents that meet one copy of an earlier one's lines, about.
+PARTNERS = 256
+
+
+def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, lookups: bool = True) -> DataFrame:
+    """(did, th, removed): for each document that loses lines, their places from 0. did is doc_id, or LAST for null. Without
+    lookups only what alignments match goes.
+
+    The lines of an earlier document are sent once for each PARTNERS later ones, ahead of them in one order, so what moves
+    grows with the pairs and not with pairs times lines."""
     key = [F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th")]
     split = docs.where("text is not null").select(*key, F.split("text", "\n").alias("ls"))
     lines = written(
@@ -162,18 +171,29 @@ def removed_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .distinct()
     )
     pairs = written(pairs, "op9-pairs")
-    first_lines = lines.select(F.col("did").alias("did0"), F.col("th").alias("th0"), F.col("hs").alias("hs0"), F.col("hs2").alias("hs20"))
-    sides = pairs.select("did0", "th0", "salt").distinct().join(first_lines, ["did0", "th0"])
-    both = pairs.join(sides, ["did0", "th0", "salt"]).join(lines, ["did", "th"]).select("did", "th", "hs0", "hs20", "hs", "hs2", "ws")
+    # A salt's later documents of one earlier document are dealt to parts by their number.
+    sizes = pairs.groupBy("did0", "th0", "salt").agg((F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("th", "did"), F.col("parts") + 1).cast("int")
+    dealt = pairs.join(sizes, ["did0", "th0", "salt"]).withColumn("part", part)
+    at = ["did0", "th0", "salt", "part"]
+    heads = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts")))).join(lines.select(F.col("did").alias("did0"), F.col("th").alias("th0"), "hs", "hs2"), ["did0", "th0"])
+    zero = F.lit(0).cast("long")
+    heads = heads.select(*at, F.lit(0).alias("later"), zero.alias("did"), zero.alias("th"), "hs", "hs2", F.array().cast("array<int>").alias("ws"))
+    tails = dealt.join(lines, ["did", "th"]).select(*at, F.lit(1).alias("later"), "did", "th", "hs", "hs2", "ws")
+    both = heads.union(tails).repartition(*at).sortWithinPartitions(*at, "later").drop(*at)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, has = [], set()
         for b in batches:
-            gone = []
-            for x, x2, y, y2, w in zip(b["hs0"], b["hs20"], b["hs"], b["hs2"], b["ws"], strict=True):
-                has = set(zip(x.tolist(), x2.tolist(), strict=True))
-                gone.append([k for k in common_lines(x.tolist(), y.tolist(), w.tolist(), block_words) if (int(y[k]), int(y2[k])) in has])
-            out = pd.DataFrame({"did": b["did"], "th": b["th"], "at": gone})
-            yield out[out["at"].map(len) > 0]
+            out = []
+            for later, did, th, hs, hs2, ws in zip(b["later"].tolist(), b["did"], b["th"], b["hs"], b["hs2"], b["ws"], strict=True):
+                if not later:
+                    first, has = hs.tolist(), set(zip(hs.tolist(), hs2.tolist(), strict=True))
+                    continue
+                gone = [k for k in common_lines(first, hs.tolist(), ws.tolist(), block_words, lookups) if (int(hs[k]), int(hs2[k])) in has]
+                if gone:
+                    out.append((did, th, gone))
+            yield pd.DataFrame({"did": np.array([x[0] for x in out], np.int64), "th": np.array([x[1] for x in out], np.int64), "at": [x[2] for x in out]})
 
     found = both.mapInPandas(run, "did long, th long, at array<int>")
     return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("removed"))

@@ -79,3 +79,19 @@ def test_columns_of_any_name(spark):
     d = spark.createDataFrame([(1, P1, 7, "a", 1), (2, f"{P1}\nend", 8, "b", 2)], "doc_id long, text string, _did int, removed string, did int")
     got = ld.line_dedup(d)
     assert got.columns[:5] == d.columns and sorted(tuple(r) for r in got.collect()) == [(1, P1, 7, "a", 1, 1, 0), (2, "end", 8, "b", 2, 2, 1)]
+
+
+def test_alignment_alone_finds_blocks_in_order(spark):
+    """What the patience diff matches, without any look-up of windows."""
+    data = [(1, f"{P1}\nx\n{P2}\ny\n{P3}"), (2, f"own\n{P1}\nx\n{P2}\nmore own\n{P3}")]
+    got = {r.did: r.removed for r in ld.removed_lines(spark.createDataFrame(data, "doc_id long, text string"), lookups=False).collect()}
+    assert got == {2: [1, 2, 3, 5]}
+    assert ld.common_lines([1, 2, 3], [9, 1, 2, 3], [5] * 4, 8, lookups=False) == [1, 2, 3]
+
+
+def test_many_later_documents_of_one(spark, monkeypatch):
+    """Partners of one earlier document in many parts."""
+    monkeypatch.setattr(ld, "PARTNERS", 3)
+    data = [(i, f"{P1}\nwords of document {i} that it has alone and keeps" + (f"\n{P2}" if i % 7 == 0 else "")) for i in range(400)]
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute(data)
