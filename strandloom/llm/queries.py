@@ -19,7 +19,8 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    """A row without a doc_id is not held out."""
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
     model = language_id.train(docs.where(~F.col("held_out")))
     return language_id.identify(docs, model, ["doc_id", "held_out"])
 

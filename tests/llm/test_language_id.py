@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from strandloom.llm import language_id as li
@@ -59,3 +63,75 @@ def test_small_languages_are_calibrated_by_texts_that_they_did_not_learn(spark):
     for n in (1, 2, 4):
         model = li.fit([(t, "x") for t in texts[:n]])
         assert not any(model.judge(texts[n:])[2])
+
+
+class Brute:
+    """Interpolated Kneser-Ney of one language, from its definition, with dictionaries."""
+
+    def __init__(self, texts, order, letters):
+        self.order, self.letters = order, letters
+        self.counts = {n: Counter() for n in range(1, order + 1)}
+        for t in texts:
+            line = " " * (order - 1) + self.plain(t)
+            for i in range(order - 1, len(line)):
+                self.counts[order][line[i - order + 1 : i + 1]] += 1
+        for n in range(order - 1, 0, -1):  # in how many ways an n-gram is continued to the left
+            for gram in self.counts[n + 1]:
+                self.counts[n][gram[1:]] += 1
+        self.discount = {}
+        for n, c in self.counts.items():
+            once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            self.discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def plain(self, text):
+        """Letters lower-cased, runs of anything else one space, none at the beginning; letters that no language has are one."""
+        out = ""
+        for c in text.lower():
+            if c.isalpha():
+                out += c if c in self.letters else "?"
+            elif out and out[-1] != " ":
+                out += " "
+        return out
+
+    def probability(self, gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(self.letters) + 2)
+        same = {g: v for g, v in self.counts[n].items() if g[:-1] == gram[:-1]}
+        shorter = self.probability(gram[1:])
+        if not same:
+            return shorter
+        whole, d = sum(same.values()), self.discount[n]
+        return max(same.get(gram, 0) - d, 0) / whole + d * len(same) / whole * shorter
+
+    def logs(self, text):
+        line = " " * (self.order - 1) + self.plain(text)
+        return [math.log(self.probability(line[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(line))]
+
+
+def test_probabilities_and_choice_against_the_definition():
+    texts = {"en": ["the cat sat on the mat", "a hat, and the bat!", "that cat", ""], "de": ["der hund und die katze", "das ist der hut", "Über die Brücke"], "xx": ["\u043a\u043e\u0442 \u0438 \u043f\u0451\u0441", "\u043a\u043e\u0442"]}
+    model = li.fit([(t, k) for k, ts in texts.items() for t in ts])
+    letters = {c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha()}
+    brute = {k: Brute(ts, li.ORDER, letters) for k, ts in texts.items()}
+    asked = ["the hat", "der kater und", "\u043a\u043e\u0442 the", "zzz \u4e2d\u6587 the", "  12 und  der ", "a", "Brücke cat", "the cat sat on the mat"]
+    for text in asked:
+        codes, begins = li.squeezed(*li.letters([text]), model.lookup)
+        got = model.each(codes, begins)
+        want = np.array([brute[k].logs(text) for k in model.langs]).T
+        assert got.shape == want.shape and np.allclose(got, want, rtol=2e-4, atol=2e-4), text
+    chosen, scores, _ = model.judge(asked)
+    for text, lang, score in zip(asked, chosen, scores):
+        mean = {k: -np.mean(brute[k].logs(text)) for k in model.langs}
+        assert mean[lang] <= min(mean.values()) + 1e-4
+        n = min(len(brute[lang].plain(text)), 40)
+        assert math.isclose(score, 1 / sum(math.exp(-(m - min(mean.values())) * n) for m in mean.values()), rel_tol=1e-2)
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    rows = [(None, "some words in a language", "en"), (1, "other words", "en"), (2, "and more", "en"), (3, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    from strandloom.llm.queries import op3_language_id
+
+    got = {r.doc_id: r.held_out for r in op3_language_id(spark, str(tmp_path)).collect()}
+    assert got[None] is False and got == {None: False, **{i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2, 3)}}
