@@ -40,18 +40,23 @@ def pooled(truth: DataFrame, pred: DataFrame, keys: Sequence[str], width: int, r
     return both.groupingSets([[F.col(run), *states], states], F.col(run), *states).agg(F.sum(F.col("e") - F.col("s")).alias("bp"))
 
 
-def report(conf: DataFrame, states: Sequence[str]) -> DataFrame:
-    """For each state: precision, recall, f1 (NaN where undefined), support_bp, and accuracy and total_bp of all."""
-    base = conf.sparkSession.createDataFrame([(s,) for s in states], "state string")
+def report(conf: DataFrame, states: Sequence[str], run: str | None = None) -> DataFrame:
+    """For each state: precision, recall, f1 (NaN where undefined), support_bp, and accuracy and total_bp of all; with run, a
+    column of conf, for each of its values."""
+    spark = conf.sparkSession
+    by = [run] if run else []
+    base = spark.createDataFrame([(s,) for s in states], "state string")
+    base = conf.select(run).distinct().crossJoin(F.broadcast(base)) if run else base
     roles = F.array(F.struct(F.col("truth_state").alias("state"), F.lit(1).alias("t")), F.struct(F.col("pred_state").alias("state"), F.lit(0).alias("t")))
-    long = conf.select(F.explode(roles).alias("x"), (F.col("truth_state") == F.col("pred_state")).alias("hit"), "bp")
+    long = conf.select(*by, F.explode(roles).alias("x"), (F.col("truth_state") == F.col("pred_state")).alias("hit"), "bp")
     part = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("bp"))), F.lit(0))
-    sums = long.groupBy("x.state").agg(part(F.col("hit") & (F.col("x.t") == 1)).alias("tp"), part(F.col("x.t") == 1).alias("support_bp"), part(F.col("x.t") == 0).alias("pred_bp"))
-    total = conf.agg(F.sum("bp").alias("total_bp"), part(F.col("truth_state") == F.col("pred_state")).alias("right_bp"))
-    rows = base.join(sums, "state", "left").fillna(0, ["tp", "support_bp", "pred_bp"]).crossJoin(F.broadcast(total))
+    sums = long.groupBy(*by, "x.state").agg(part(F.col("hit") & (F.col("x.t") == 1)).alias("tp"), part(F.col("x.t") == 1).alias("support_bp"), part(F.col("x.t") == 0).alias("pred_bp"))
+    total = conf.groupBy(*by).agg(F.sum("bp").alias("total_bp"), part(F.col("truth_state") == F.col("pred_state")).alias("right_bp"))
+    rows = base.join(sums, [*by, "state"], "left").fillna(0, ["tp", "support_bp", "pred_bp"])
+    rows = rows.join(total, run) if run else rows.crossJoin(F.broadcast(total))
     nan = float("nan")
     p, r = ratio(F.col("tp"), F.col("pred_bp"), nan), ratio(F.col("tp"), F.col("support_bp"), nan)
-    return rows.select("state", p.alias("precision"), r.alias("recall"), f1(p, r, nan).alias("f1"), "support_bp", ratio(F.col("right_bp"), F.col("total_bp"), nan).alias("accuracy"), F.coalesce("total_bp", F.lit(0)).alias("total_bp"))
+    return rows.select(*by, "state", p.alias("precision"), r.alias("recall"), f1(p, r, nan).alias("f1"), "support_bp", ratio(F.col("right_bp"), F.col("total_bp"), nan).alias("accuracy"), F.coalesce("total_bp", F.lit(0)).alias("total_bp"))
 
 
 def f1(p: Column, r: Column, empty: float) -> Column:

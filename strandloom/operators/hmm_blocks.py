@@ -103,15 +103,39 @@ def _each(packed: DataFrame, keep: Sequence[str], schema: str, rates: Sequence[f
     return packed.mapInPandas(run, f"{_kinds(packed, *keep)}, {schema}")
 
 
+def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, whole, of batches that come in order of keys."""
+    held = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        if not len(b):
+            continue
+        now, before = b[list(keys)], b[list(keys)].shift()
+        new = ((now != before) & ~(now.isna() & before.isna())).any(axis=1).to_numpy()
+        cuts = np.flatnonzero(new[1:]) + 1
+        for lo, hi in zip(np.concatenate(([0], cuts)), cuts):
+            yield b.iloc[lo:hi]
+        held = b.iloc[cuts[-1] if len(cuts) else 0 :]
+    if held is not None:
+        yield held
+
+
 def _scan(rows: DataFrame, keys: Sequence[str], schema: str, make: Callable[[pd.DataFrame], dict]) -> DataFrame:
     """make(blocks in order) -> columns, for each key: a row for each block comes and goes."""
     keep = [*keys, "block"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        return pdf[keep].assign(**make(pdf))
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{_kinds(rows, *keep)}, {schema}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, n = [], 0
+        for pdf in _runs(batches, keys):
+            made.append(pdf[keep].assign(**make(pdf)))
+            n += len(pdf)
+            if n > 4096:
+                yield pd.concat(made)
+                made, n = [], 0
+        if made:
+            yield pd.concat(made)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keep).mapInPandas(run, f"{_kinds(rows, *keep)}, {schema}")
 
 
 def decode(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray, mask: bool = True) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from strandloom.operators import hmm, hmm_blocks, hmm_refit
 from strandloom.operators.shared import scratch
 from strandloom.plans import model_queries
-from strandloom.plans.domain import RATES, TRANS, ZEROED, emission_sql, zeroed
+from strandloom.plans.domain import DAY, PATHS, RATES, TRANS, ZEROED, counts, emission_sql, zeroed
 from strandloom.plans.model_queries import KEYS
+from strandloom.plans.pipeline import em_run
 
 #: Windows of a block, so that haplotypes of any length have several.
-BLOCK = 7
+BLOCK = 20
 NAMES = ("i", "n", "af", "ea", "mex")
 
 
@@ -50,7 +51,12 @@ def refit_fit(s, d):
     return s.createDataFrame([(i, float(x)) for i, x in enumerate(seen)] + [(-1, t.a), (-2, t.b), (-3, t.c1)], "step int, loglik double")
 
 
-QUERIES = {f.__name__: f for f in (viterbi_blocks, posteriors_blocks, em_resumed, pair_sums, refit_fit)}
+def em_segments(s, d):
+    """Segments of a run with one EM step: zeroed counts, fitted rates, masked paths, absorbed windows, gaps cut out."""
+    return em_run(counts(s, d), KEYS, RATES, TRANS, model_queries.gaps(s, d), DAY, steps=1, block=BLOCK)[0]
+
+
+QUERIES = {f.__name__: f for f in (viterbi_blocks, posteriors_blocks, em_resumed, pair_sums, refit_fit, em_segments)}
 
 
 def _pairs_sql() -> str:
@@ -62,4 +68,6 @@ def _pairs_sql() -> str:
 
 def oracles() -> dict[str, str]:
     whole = model_queries.oracles()
-    return {"viterbi_blocks": whole["viterbi_path"], "posteriors_blocks": whole["posteriors"], "em_resumed": whole["em_three_steps"], "pair_sums": _pairs_sql()}
+    fitted = PATHS.removeprefix("RECURSIVE " + ZEROED).replace(emission_sql("z"), emission_sql("z, rate1", rate=lambda r: f"r{r}"))
+    tail = f"{model_queries._absorb}, {model_queries._gaps}, {model_queries._hours(model_queries._runs('ab'))} {model_queries._out} FROM cut"
+    return {"em_segments": f"{model_queries._em_tables(ZEROED, 1)}{fitted}, {tail}", "viterbi_blocks": whole["viterbi_path"], "posteriors_blocks": whole["posteriors"], "em_resumed": whole["em_three_steps"], "pair_sums": _pairs_sql()}

@@ -46,8 +46,8 @@ def msp_segments(s, d):
     code = lambda k: (F.expr(f"(win * {k} + s div {HOUR}) % 7 div 3")).cast("string")
     lines = exposure(s, d).select("chrom", "win", F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), F.lit("0"), F.lit("0"), F.lit("1"), code(1), code(2), code(3)).alias("value"))
     head = s.createDataFrame([("#Subpopulation order/codes: EUR=0\tNAT=1\tAFR=2",), ("#chm\tspos\tepos\tsgpos\tegpos\tn\ttsk_1.0\ttsk_1.1\ttsk_2.0",)], "value string")
-    ordered = lines.coalesce(1).sortWithinPartitions("chrom", "win").select("value")
-    head.coalesce(1).unionByName(ordered).coalesce(1).write.text(at)
+    head.coalesce(1).write.text(at)
+    lines.select("value").write.mode("append").text(at)
     return tracts.run_segments(readers.msp(s, at, {"EUR": "EU", "NAT": "NA", "AFR": "AF"}), KEYS, "spos", "epos", "state")
 
 
@@ -84,11 +84,8 @@ def pooled_confusion(s, d):
 def summary_files(s, d):
     """A report document of each run, read back as one long table."""
     at, conf = scratch(s, "summaries"), evaluate.pooled(truth(s, d), pred(s, d), KEYS, DAY, "chrom").where("chrom is not null")
-    for run in [r[0] for r in lengths(s, d).select("chrom").collect()]:
-        report = evaluate.report(conf.where(F.col("chrom") == run).drop("chrom"), STATES)
-        one = report.first()
-        writers.report({"accuracy": one.accuracy, "total_bp": one.total_bp}, report.select("state", "precision", "recall", "f1", "support_bp"), f"{at}/run_{run}")
-    rows = readers.summaries(s, f"{at}/run_*/part-*", {"run": r"run_(\w+)"})
+    writers.reports(evaluate.report(conf.withColumnRenamed("chrom", "run"), STATES, "run"), "run", at)
+    rows = readers.summaries(s, f"{at}/run=*/part-*", {"run": r"run=(\w+)"})
     return rows.select("run", "state", "support_bp", "total_bp", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall")])
 
 

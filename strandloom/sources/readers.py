@@ -150,11 +150,11 @@ def segments(spark: SparkSession, path: str | Sequence[str], end_inclusive: bool
 
 
 def msp(spark: SparkSession, path: str, population_states: dict[str, str] | None = None) -> DataFrame:
-    """Local-ancestry calls, chrom, hap, spos, epos, code, state: the first line tells 'POP=code', the second the
-    columns, of which those from the seventh on are haplotypes such as tsk_3.0."""
-    head = spark.read.text(path).limit(2).collect()
-    codes = {int(c): p for p, c in re.findall(r"(\w+)=(\d+)", head[0][0])}
-    names = head[1][0].lstrip("#").split("\t")
+    """Local-ancestry calls, chrom, hap, spos, epos, code, state: of the lines with # one tells 'POP=code', the other the
+    columns, of which those from the seventh on are haplotypes such as tsk_3.0. Lines may lie in any number of files."""
+    head = [r[0] for r in spark.read.text(path).where(F.col("value").startswith("#")).distinct().limit(100).collect()]
+    codes = {int(c): p for line in head if "\t" not in line or "=" in line.split("\t")[0] for p, c in re.findall(r"(\w+)=(\d+)", line)}
+    names = next(line for line in head if "spos" in line.split("\t")).lstrip("#").split("\t")
     at = {n: i for i, n in enumerate(names)}
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
     haps = F.array(*[F.struct(F.lit(n).alias("hap"), F.get("f", F.lit(i)).cast("int").alias("code")) for i, n in enumerate(names) if i >= 6])

@@ -45,6 +45,13 @@ def report(overall: dict, per_state: DataFrame, path: str) -> None:
     per_state.sparkSession.createDataFrame([(json.dumps({**overall, "per_state": states}, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def reports(rows: DataFrame, run: str, path: str) -> None:
+    """A JSON document for each value of run, in a folder of its own, of evaluate.report rows with run: one job for any number."""
+    metrics = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("precision", "recall", "f1")]
+    docs = rows.groupBy(run).agg(F.first("accuracy").alias("accuracy"), F.first("total_bp").alias("total_bp"), F.map_from_entries(F.collect_list(F.struct("state", F.struct(*metrics, "support_bp")))).alias("per_state"))
+    docs.select(run, F.to_json(F.struct("accuracy", "total_bp", "per_state")).alias("value")).repartition(run).write.mode("overwrite").partitionBy(run).text(path)
+
+
 def confusion_text(conf: DataFrame, states: Sequence[str], path: str) -> None:
     """The matrix, a row for each true state, tab-separated."""
     rows = conf.groupBy("truth_state").pivot("pred_state", list(states)).agg(F.sum("bp")).fillna(0)
