@@ -28,6 +28,15 @@ def seen(spark: SparkSession, path: str) -> tuple[list[float], np.ndarray | None
     return [r.loglik for r in rows], np.array(rows[-1].params)
 
 
+def guard(spark: SparkSession, path: str, text: str) -> None:
+    """Keeps text at path, or raises if another text is there: a folder serves one run alone."""
+    if table(spark, path):
+        if spark.read.text(path, wholetext=True).first()[0].strip() != text:
+            raise ValueError(f"{path} tells of another run: take a new folder")
+        return
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def table(spark: SparkSession, path: str) -> bool:
     """Whether a whole table lies at path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import evaluate, genotypes, hmm, intervals, tracts
 from strandloom.operators.shared import scratch
 from strandloom.plans import model_queries, scores
-from strandloom.plans.domain import DAY, EVENTS, HOUR, MODERN, PATHS, RATES, TRANS, TRUTH, covered, events, pred, segments_sql, truth, TRUTH_PRED, zeroed
+from strandloom.plans.domain import DAY, EVENTS, HOUR, MODERN, PATHS, RATES, TRANS, TRUTH, TRUTH_PRED, covered, events, pred, segments_sql, truth, zeroed
 from strandloom.sources import readers, stores, writers
 
 #: Alternatives of a call by its event, and the reference by its place.

@@ -32,11 +32,13 @@ def em_run(
     """Segments with fitted rates: counts without exposure are zeroed, windows without any are absorbed. counts has rows
     (keys, win, s, e, o_*, l_mod, l_anc); they are packed once and every step reads them: from memory, which is freed when the
     steps are done (decoding packs anew), or with state, a path in the shared folder, from a table there, beside which
-    each step is kept, so that a run that was stopped goes on. block: windows of a block, for haplotypes of very many windows.
+    each step is kept, so that a run that was stopped goes on; a folder that another start was made in is refused. block: windows of a block, for haplotypes of very many windows.
     refit: transitions, then given as Transitions, are fitted too."""
     spark = counts.sparkSession
     fresh = _packed(hmm.zero_uncovered(counts), keys, block)
     if state:
+        shown = trans if isinstance(trans, Transitions) else np.asarray(trans).tolist()
+        em_state.guard(spark, f"{state}/start", f"{list(map(float, rates))} {shown} {block} {refit}")
         if not em_state.table(spark, f"{state}/packed"):
             fresh.write.mode("overwrite").parquet(f"{state}/packed")
         packed = fresh = spark.read.schema(fresh.schema).parquet(f"{state}/packed")

@@ -60,9 +60,9 @@ def prepared(spark: SparkSession, cfg: dict) -> tuple[DataFrame, list[str]]:
     header = ["CHROM", "POS", "REF", "ALT", *names]
     plan, _ = readers.column_plan(header, {g: samples.get(g, []) for g in (*GROUPS.values(), INGROUP)})
     cols = {g: [header[i] for i in at] for g, at in plan.items()}
-    blocks = readers.fasta_blocks(spark, files["ancestral"]["fasta"]).persist()
-    seen = [r[0] for r in blocks.where("block = 0").select("contig").collect()]
-    own = blocks.where(F.col("contig") == readers.contig_of(sorted(seen), chrom)).withColumn("contig", F.lit(named))
+    fasta = files["ancestral"]["fasta"]
+    own_name = readers.contig_of(readers.contig_names(spark, fasta), chrom)
+    own = readers.fasta_blocks(spark, fasta).where(F.col("contig") == own_name).withColumn("contig", F.lit(named))
     rows = site_rows(genotypes.bases(calls), names, {"ND": cols["neand"], **{p: cols[g] for p, g in GROUPS.items()}}, cols[INGROUP], own)
     return rows, [f"{n}_{k}" for n in cols[INGROUP] for k in (1, 2)]
 

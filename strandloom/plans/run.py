@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.hmm_params import from_config
 from strandloom.functions.scalars import chrom_with
-from strandloom.operators import intervals, observe
+from strandloom.operators import em_state, intervals, observe
 from strandloom.plans import prepare, scores
 from strandloom.plans.pipeline import em_run, fixed_run
 from strandloom.sources import readers, writers
@@ -46,6 +46,8 @@ def run(
     groups: dict[str, list[dict]] = {}
     for c in configs:
         groups.setdefault("" if em else json.dumps(c["parameters_initial"], sort_keys=True), []).append(c)
+    if state:
+        em_state.guard(spark, f"{state}/configs", json.dumps(configs, sort_keys=True))
     parts = []
     for group in groups.values():
         rates, trans = from_config(group[0]["parameters_initial"])
@@ -91,6 +93,8 @@ def main(args: Sequence[str]) -> None:
     scored.add_argument("-populations", nargs="*", default=[], help="POP=STATE for -msp")
     scored.add_argument("-least", type=float, nargs="*", help="posterior thresholds for -decoded: one scores, several give a table")
     scored.add_argument("-out", required=True)
+    for command in commands.choices.values():
+        command.add_argument("-threads", type=int, help="taken and not used: Spark deals the work to what it runs on")
     got = parser.parse_args(args)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     if got.command in made:

@@ -9,7 +9,6 @@ from strandloom.operators.shared import scratch
 from strandloom.operators.tracts import STATES
 from strandloom.plans.domain import CONFUSION, EVENTS, EXPOSURE, HOUR, days, days_sql, exposure, lengths, pred, table, truth
 from strandloom.plans.interval_queries import A, R
-
 from strandloom.plans.site_queries import SETS, SITES, sites
 from strandloom.sources import readers, writers
 

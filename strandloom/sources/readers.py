@@ -236,6 +236,12 @@ def fasta_blocks(spark: SparkSession, path: str | Sequence[str], bases: int = BA
     return pieces.groupBy("contig", "block").agg(F.array_join(F.sort_array(F.collect_list("x")).v, "").alias("part"))
 
 
+def contig_names(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Names of the contigs of FASTA files, which are few beside their bases."""
+    heads = spark.read.text(path).where(F.col("value").startswith(">")).select(F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("name"))
+    return sorted(r.name for r in heads.distinct().collect())
+
+
 def blocks_of(contigs: DataFrame, bases: int = BASES) -> DataFrame:
     """fasta_blocks of contigs (contig, seq)."""
     return contigs.select("contig", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{bases}}}"), F.lit(0))).alias("block", "part")).withColumn("block", F.col("block").cast("long"))

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from strandloom.plans.run import main, run
 from strandloom.sources import readers
 
@@ -31,7 +33,7 @@ def test_both_runs(spark, tmp_path):
 
 
 def test_command(spark, tmp_path):
-    main(["run.with.EM", "-jsons", config(tmp_path, 1), "-out", str(tmp_path / "out"), "-steps", "2"])
+    main(["run.with.EM", "-jsons", config(tmp_path, 1), "-out", str(tmp_path / "out"), "-steps", "2", "-threads", "3"])
     assert readers.segments(spark, str(tmp_path / "out"), True).where("state <> 'UNINFORMATIVE'").count() > 0
 
 
@@ -42,3 +44,16 @@ def test_each_configuration_keeps_its_parameters(spark, tmp_path):
     assert sorted(map(tuple, run(spark, paths, em=False).collect())) == sorted(alone[0] + alone[1])
     changed = run(spark, [config(tmp_path, 2)], em=False).collect()
     assert sorted(map(tuple, changed)) != alone[1]
+
+
+def test_options_of_a_fitted_run(spark, tmp_path):
+    """Blocks, refitted transitions and a kept state; another run's folder is refused."""
+    args = ["-out", str(tmp_path / "out"), "-steps", "2", "-block", "7", "-refit", "-state", f"file://{tmp_path}/state"]
+    main(["run.with.EM", "-jsons", config(tmp_path, 1), *args])
+    first = sorted(map(tuple, readers.segments(spark, str(tmp_path / "out"), True).collect()))
+    main(["run.with.EM", "-jsons", config(tmp_path, 1), *args])
+    assert first and first == sorted(map(tuple, readers.segments(spark, str(tmp_path / "out"), True).collect()))
+    with pytest.raises(ValueError, match="another run"):
+        main(["run.with.EM", "-jsons", config(tmp_path, 2), *args])
+    main(["run", "-json", config(tmp_path, 1), "-out", str(tmp_path / "plain"), "-block", "7"])
+    assert readers.segments(spark, str(tmp_path / "plain"), True).count() > 0
