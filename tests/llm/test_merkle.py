@@ -67,7 +67,7 @@ def test_odd_rows(odd, empty):
     assert merkle.manifest(empty).count() == 0
 
 
-@pytest.mark.parametrize("fanout", [2, 16])
+@pytest.mark.parametrize("fanout", [4, 16])
 def test_levels_sources_and_repeated_rows(spark, fanout):
     rows = [(i, "big", "en", i, f"Text {i}") for i in range(300)] + [(i, f"s{i % 40}", None, None, "A" if i % 3 else None) for i in range(60)]
     rows += [(7, "é", "en", 1, "Same")] * 40 + [(None, None, None, None, None)] * 2 + [(1, "lone", "x", 0, "")]
