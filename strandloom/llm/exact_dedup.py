@@ -80,8 +80,9 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
 
     Groups are counted in salted parts whose sums are then added, and joined back part by part, so a group that holds
     a third of all rows is spread over all tasks."""
-    made = written(recipes(docs, **options), "op1-recipes")
-    salted = made.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts(docs.sparkSession))).cast("int"))
+    # By rows, not by doc_id: rows that repeat a doc_id (or have none) are spread too. Written, so that a salt never changes.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts(docs.sparkSession))).cast("int")
+    salted = written(recipes(docs, **options).withColumn("salt", salt), "op1-recipes")
     parts = salted.groupBy("recipe", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     whole = W.partitionBy("recipe")
     groups = parts.select(

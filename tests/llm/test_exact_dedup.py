@@ -46,3 +46,8 @@ def test_a_change_moves_few_chunks(spark):
     text = "".join(f"Sentence number {i} is here. " for i in range(600))
     a, b = (spark.createDataFrame([(t,)], "t string").select(e.chunks(F.col("t")).alias("c")).first().c for t in (text, text[:50] + "inserted " + text[50:]))
     assert len(set(b) - set(a)) <= 3
+
+
+def test_rows_without_id_are_one_group(spark):
+    data = [(None, "One text.")] * 300 + [(7, "one text.")] * 300 + [(8, None)]
+    assert got(e.exact_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(5))) == expected(data)
