@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.scalars import ratio
+from strandloom.functions.scalars import length_bin, ratio
 from strandloom.operators import intervals
 
 #: Archaic states; fixed values.
 ARCHAIC = ("ND_EU", "ND_NA")
+#: Where bins of tract lengths begin; fixed values.
+LENGTH_EDGES = (0, 10_000, 20_000, 25_000, 30_000, 40_000, 50_000, 70_000, 100_000)
 
 
 def half_open(tracts: DataFrame, end_inclusive: bool) -> DataFrame:
@@ -69,19 +71,51 @@ def normalise_rows(conf: DataFrame) -> DataFrame:
     return conf.join(whole, "truth_state").select("truth_state", "pred_state", "bp", ratio(F.col("bp"), F.col("whole")).alias("share"))
 
 
-def collapse(conf: DataFrame) -> DataFrame:
-    """Confusion of archaic and other: (truth_archaic, pred_archaic, bp)."""
-    return conf.groupBy(F.col("truth_state").isin(*ARCHAIC).alias("truth_archaic"), F.col("pred_state").isin(*ARCHAIC).alias("pred_archaic")).agg(F.sum("bp").alias("bp"))
+def collapse(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Confusion of archaic and other: (by, truth_archaic, pred_archaic, bp)."""
+    return conf.groupBy(*by, F.col("truth_state").isin(*ARCHAIC).alias("truth_archaic"), F.col("pred_state").isin(*ARCHAIC).alias("pred_archaic")).agg(F.sum("bp").alias("bp"))
 
 
-def binary(conf2: DataFrame) -> DataFrame:
-    """One row: tp, fp, fn, tn, precision, recall, f1, 0 where undefined."""
+def binary(conf2: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each value of by): tp, fp, fn, tn, precision, recall, f1, 0 where undefined."""
     cell = lambda t, p: F.coalesce(F.sum(F.when((F.col("truth_archaic") == t) & (F.col("pred_archaic") == p), F.col("bp"))), F.lit(0))
-    sums = conf2.agg(cell(True, True).alias("tp"), cell(False, True).alias("fp"), cell(True, False).alias("fn"), cell(False, False).alias("tn"))
+    sums = conf2.groupBy(*by).agg(cell(True, True).alias("tp"), cell(False, True).alias("fp"), cell(True, False).alias("fn"), cell(False, False).alias("tn"))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return sums.withColumns({"precision": p, "recall": r, "f1": f1(p, r, 0.0)})
 
 
+def by_length(truth: DataFrame, pred: DataFrame, keys: Sequence[str], width: int, edges: Sequence[int] = LENGTH_EDGES) -> DataFrame:
+    """(bin, truth_state, pred_state, bp): confusion by the length of the whole true tract. A bin goes from its edge to below
+    the next, the last is open, tracts below the first edge are left out. One overlap join serves all bins, and with the run
+    among the keys sums are those of all runs."""
+    if not edges or any(a >= b for a, b in itertools.pairwise(edges)):
+        raise ValueError(f"edges of lengths have to ascend: {list(edges)}")
+    binned = truth.select(*keys, "s", "e", F.col("state").alias("truth_state"), length_bin(F.col("e") - F.col("s"), list(edges)).alias("bin")).where("bin is not null")
+    both = intervals.overlaps(binned, pred.select(*keys, "s", "e", F.col("state").alias("pred_state")), keys, width)
+    return both.groupBy("bin", "truth_state", "pred_state").agg(F.sum(F.col("e") - F.col("s")).alias("bp"))
+
+
+def _bins(conf: DataFrame, edges: Sequence[int]) -> DataFrame:
+    """(bin, bin_start, bin_end) for each bin, a fixed few rows; the last has no end."""
+    ends = [*map(int, edges[1:]), None]
+    return conf.sparkSession.createDataFrame([(i, int(a), b) for i, (a, b) in enumerate(zip(edges, ends, strict=True))], "bin int, bin_start long, bin_end long")
+
+
+def length_scores(conf: DataFrame, edges: Sequence[int] = LENGTH_EDGES) -> DataFrame:
+    """For each bin of by_length()'s conf: bin, bin_start, bin_end, and binary() of archaic against other; zeros for a bin
+    without common length."""
+    return _bins(conf, edges).join(binary(collapse(conf, ["bin"]), ["bin"]), "bin", "left").fillna(0, ["tp", "fp", "fn", "tn", "precision", "recall", "f1"])
+
+
+def length_shares(conf: DataFrame, states: Sequence[str], edges: Sequence[int] = LENGTH_EDGES) -> DataFrame:
+    """The whole matrix of each bin, as it is drawn: bin, bin_start, bin_end, truth_state, pred_state, bp, and share, the part of
+    the true state's length in the bin. Pairs without common length have 0; other states than those given have no cell."""
+    one = conf.sparkSession.createDataFrame([(t, p) for t in states for p in states], "truth_state string, pred_state string")
+    cells = _bins(conf, edges).crossJoin(F.broadcast(one)).join(conf, ["bin", "truth_state", "pred_state"], "left").fillna(0, ["bp"])
+    whole = F.sum("bp").over(W.partitionBy("bin", "truth_state"))
+    return cells.select("bin", "bin_start", "bin_end", "truth_state", "pred_state", "bp", ratio(F.col("bp"), whole).alias("share"))
+
+
 def interval_metrics(truth: DataFrame, pred: DataFrame, keys: Sequence[str], length: int, width: int) -> DataFrame:
     """Archaic and Modern views of merged intervals over all keys that either has, each length long: precision, recall
     and f1, rounded to 4 digits, 0 where undefined."""

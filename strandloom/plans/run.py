@@ -87,11 +87,12 @@ def main(args: Sequence[str]) -> None:
     for name in made:
         commands.add_parser(name).add_argument("-json", required=True)
     scored = commands.add_parser("evaluate")
-    scored.add_argument("-truth", required=True)
+    scored.add_argument("-truth", nargs="+", required=True, help="several: runs, each with a file of -segments")
     for kind in ("segments", "decoded", "msp"):
         scored.add_argument(f"-{kind}", nargs="+")
     scored.add_argument("-populations", nargs="*", default=[], help="POP=STATE for -msp")
     scored.add_argument("-least", type=float, nargs="*", help="posterior thresholds for -decoded: one scores, several give a table")
+    scored.add_argument("-lengths", type=int, nargs="*", help="scores by the length of true segments too; edges of the bins, none: the usual ones")
     scored.add_argument("-out", required=True)
     for command in commands.choices.values():
         command.add_argument("-threads", type=int, help="taken and not used: Spark deals the work to what it runs on")
@@ -100,7 +101,7 @@ def main(args: Sequence[str]) -> None:
     if got.command in made:
         made[got.command](spark, readers.config(spark, got.json))
     elif got.command == "evaluate":
-        scores.write(spark, got.truth, got.out, got.segments, got.decoded, got.msp, dict(p.split("=") for p in got.populations), got.least)
+        scores.write(spark, got.truth, got.out, got.segments, got.decoded, got.msp, dict(p.split("=") for p in got.populations), got.least, got.lengths)
     elif got.command == "run":
         run(spark, got.json, got.out, em=False, block=got.block)
     else:

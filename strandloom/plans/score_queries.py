@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.functions.scalars import fraction_bin, length_bin
+from strandloom.functions.scalars import fraction_bin
 from strandloom.operators import evaluate as ev
 from strandloom.operators import intervals, stats
 from strandloom.operators.tracts import STATES
@@ -48,9 +48,20 @@ def interval_metrics(s, d):
 
 
 def confusion_by_length(s, d):
-    t = truth(s, d).withColumn("bin", length_bin(F.col("e") - F.col("s"), [0, 6 * HOUR, 12 * HOUR, DAY]))
-    both = intervals.overlaps(t.withColumnRenamed("state", "truth_state"), pred(s, d).withColumnRenamed("state", "pred_state"), KEYS, DAY)
-    return both.groupBy("bin", "truth_state", "pred_state").agg(F.sum(F.col("e") - F.col("s")).alias("bp"))
+    return ev.by_length(truth(s, d), pred(s, d), KEYS, DAY, [0, 6 * HOUR, 12 * HOUR, DAY])
+
+
+#: Edges of lengths that leave out the shortest tracts and have a bin that no tract is in.
+EDGES = (HOUR, 6 * HOUR, 12 * HOUR, DAY, 300 * DAY)
+
+
+def length_scores(s, d):
+    rows = ev.length_scores(ev.by_length(truth(s, d), pred(s, d), KEYS, DAY, EDGES), EDGES).drop("bin_end")
+    return rows.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+def length_shares(s, d):
+    return ev.length_shares(ev.by_length(truth(s, d), pred(s, d), KEYS, DAY, EDGES), STATES, EDGES).drop("bin_end").withColumn("share", F.round("share", 9))
 
 
 def filter_grid(s, d):
@@ -134,7 +145,7 @@ def flag_windows(s, d):
 
 QUERIES = {
     "confusion_bp": confusion, "confusion_inclusive": confusion_inclusive, "masked_confusion": masked_confusion, "metric_report": report, "row_normalised": row_shares, "binary_metrics": binary_metrics,
-    "interval_metrics": interval_metrics, "confusion_by_length": confusion_by_length, "filter_grid": filter_grid, "grid_long": grid_long, "mean_std": mean_std, "pivot_table": pivot, "quantile_table": quantile_table,
+    "interval_metrics": interval_metrics, "confusion_by_length": confusion_by_length, "length_scores": length_scores, "length_shares": length_shares, "filter_grid": filter_grid, "grid_long": grid_long, "mean_std": mean_std, "pivot_table": pivot, "quantile_table": quantile_table,
     "describe": describe, "exposure_histogram": histogram, "grid_counts": grid_counts, "window_effects": window_effects, "binomial_tails": binomial_tails, "threshold_table": threshold_table,
     "selected_thresholds": selected_thresholds, "flag_windows": flag_windows, "flag_summary": lambda s, d: stats.flag_summary(_flagged(s, d)),
 }
@@ -164,7 +175,15 @@ fg AS (SELECT l_thr, u_thr, ts AS truth_state, ps AS pred_state, sum(least(o.e,
     chosen = f"{_thr((0.01, 0.05))}, ch AS (SELECT direction, max(threshold) FILTER (recommended AND level = 0.05) AS suggestive, max(threshold) FILTER (recommended AND level = 0.01) AS strong FROM th GROUP BY direction)"
     flags = "fl AS (SELECT l_partkey, " + ", ".join(f"l_partkey % 7 <> 0 AND n >= 10 AND p_{dr} < (SELECT {w} FROM ch WHERE direction = '{dr}'){' AND p > 0' if dr == 'depletion' else ''} AS {dr}_{w}" for dr in ("excess", "depletion") for w in ("suggestive", "strong")) + " FROM pv)"
     bins = lambda c: " + ".join(f"({c} >= {x})::INTEGER" for x in (0.2, 0.4, 0.6, 0.8))
+    binned = f"""bn AS (SELECT unnest({list(range(len(EDGES)))}) AS bin, unnest({list(EDGES)}) AS bin_start, unnest({list(EDGES[1:])} || [NULL]) AS bin_end),
+cl AS (SELECT bin, t.state AS ts, p.state AS ps, sum(least(t.e, p.e) - greatest(t.s, p.s))::BIGINT AS bp FROM t JOIN p ON t.chrom = p.chrom AND t.hap = p.hap AND t.s < p.e AND p.s < t.e JOIN bn ON t.e - t.s >= bin_start AND (bin_end IS NULL OR t.e - t.s < bin_end) GROUP BY ALL)"""
+    cell = lambda a, b: f"coalesce(sum(bp) FILTER (ts {a}LIKE 'ND%' AND ps {b}LIKE 'ND%'), 0)::BIGINT"
+    safe = lambda x, y: f"CASE WHEN {y} > 0 THEN {x}::DOUBLE / ({y}) ELSE 0 END"
     return {
+        "length_scores": f"""WITH {TRUTH_PRED}, {binned}, c AS (SELECT bin, bin_start::BIGINT AS bin_start, {cell("", "")} AS tp, {cell("NOT ", "")} AS fp, {cell("", "NOT ")} AS fn, {cell("NOT ", "NOT ")} AS tn FROM bn LEFT JOIN cl USING (bin) GROUP BY ALL),
+r AS (SELECT *, {safe("tp", "tp + fp")} AS precision, {safe("tp", "tp + fn")} AS recall FROM c) SELECT bin, bin_start, tp, fp, fn, tn, round(precision, 9) AS precision, round(recall, 9) AS recall, round({_F1.format("0")}, 9) AS f1 FROM r""",
+        "length_shares": f"""WITH {TRUTH_PRED}, {binned}, st AS (SELECT unnest({list(STATES)}) AS state), m AS (SELECT bn.bin, bin_start::BIGINT AS bin_start, a.state AS truth_state, b.state AS pred_state, coalesce(bp, 0)::BIGINT AS bp FROM bn CROSS JOIN st a CROSS JOIN st b LEFT JOIN cl ON cl.bin = bn.bin AND ts = a.state AND ps = b.state)
+SELECT *, round({safe("bp", "sum(bp) OVER (PARTITION BY bin, truth_state)")}, 9) AS share FROM m""",
         "confusion_bp": f"WITH {CONFUSION} SELECT * FROM conf",
         "confusion_inclusive": f"WITH {CONFUSION} SELECT * FROM conf",
         "masked_confusion": f"WITH {EXPOSURE}, {tp}, {masked.format('t')}, {masked.format('p')} SELECT t.state AS truth_state, p.state AS pred_state, sum(least(t.e, p.e) - greatest(t.s, p.s))::BIGINT AS bp FROM tm t JOIN pm p ON t.chrom = p.chrom AND t.hap = p.hap AND t.s < p.e AND p.s < t.e GROUP BY ALL",
