@@ -77,13 +77,14 @@ def threshold_sweep(s, d):
 
 
 def decoded_files(s, d):
-    """A file for each haplotype, of which segments of one state and a least probability are read."""
+    """The files of all haplotypes put together, each line with its file's name, of which segments of one state and a least
+    probability are read."""
     at = scratch(s, "decoded")
     name = F.format_string("run_tsk_%d.hap%d", F.expr("hap div 2"), F.col("hap") % 2 + 1)
     state = F.when(F.col("s") % 3 == 0, "Human").otherwise("Archaic")
     rows = archaic(s, d).select(name.alias("run"), "chrom", F.col("s").alias("start"), F.col("e").alias("end"), state.alias("state"), F.col("score").alias("mean_prob"))
-    rows.write.partitionBy("run").csv(at, sep="\t", header=True)
-    return readers.decoded(s, at, least=LEAST[2]).select("chrom", "sample", "s", "e", F.round("mean_prob", 6).alias("mean_prob"))
+    writers.decoded(rows, at)
+    return readers.decoded(s, at, least=LEAST[2], file="run").select("chrom", "sample", "s", "e", F.round("mean_prob", 6).alias("mean_prob"))
 
 
 def evaluated_file(s, d):

@@ -164,11 +164,12 @@ def msp(spark: SparkSession, path: str, population_states: dict[str, str] | None
     return long.select("chrom", name.alias("hap"), "spos", "epos", F.col("x.code").alias("code"), F.try_element_at(state, F.col("x.code")).alias("state"))
 
 
-def decoded(spark: SparkSession, paths: str | Sequence[str], least: float | None = None, state: str = "Archaic") -> DataFrame:
+def decoded(spark: SparkSession, paths: str | Sequence[str], least: float | None = None, state: str = "Archaic", file: str | None = None) -> DataFrame:
     """Decoded segments, chrom, sample, s, e, mean_prob, of the wanted state and at least so probable (those without a
-    probability are); the sample's name comes from the file's name, or from its folder's where the file's has none."""
+    probability are); the sample's name comes from the file's name, or from its folder's where the file's has none. file: the
+    column that holds that name where files were put together (see writers.decoded), so that many haplotypes are few files."""
     raw = spark.read.option("recursiveFileLookup", True).csv(paths, sep="\t", header=True)
-    raw = raw.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r".*(tsk_\d+[^/]*hap\d+)", 1))
+    raw = raw.withColumn("_file", F.regexp_extract(F.col(file or "_metadata.file_path"), r".*(tsk_\d+[^/]*hap\d+)", 1))
     rows = raw.where(F.col("state") == state).select(chrom_with(F.col("chrom")).alias("chrom"), node_name(F.col("_file")).alias("sample"), F.col("start").cast("bigint").alias("s"), F.col("end").cast("bigint").alias("e"), (F.col("mean_prob").cast("double") if "mean_prob" in raw.columns else F.lit(None).cast("double")).alias("mean_prob"))
     return rows if least is None else rows.where(F.col("mean_prob").isNull() | (F.col("mean_prob") >= least))
 

@@ -18,6 +18,12 @@ def segments(df: DataFrame, path: str, by_chrom: bool = False) -> None:
     (out.partitionBy("CHROM") if by_chrom else out).csv(path)
 
 
+def decoded(rows: DataFrame, path: str) -> None:
+    """Decoded segments, tab-separated with a header, the files of many haplotypes put together: one column of rows names the
+    file that each line is of. There are as many files as tasks, not one for each haplotype in each task."""
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
 def sites(df: DataFrame, path: str, haps: Sequence[str]) -> None:
     """Site rows (chrom, pos from 0, ref, alt, anc, ND, EU, NA, AF as arrays, haps) as the wide table, positions from 1."""
     panels = [set_text(F.col(p)).alias(p) for p in ("ND", "EU", "NA", "AF")]

@@ -54,6 +54,18 @@ def test_msp_and_decoded(spark, tmp_path):
     assert rows(readers.decoded(spark, str(tmp_path / "tsk_4*"), 0.5)) == [("chr1", "MX_4_2", 0, 10, 0.9)]
 
 
+def test_decoded_files_put_together(spark, tmp_path):
+    n, at = 300, str(tmp_path / "together")
+    text = "CASE WHEN id % 3 = 0 THEN 'Human' ELSE 'Archaic' END AS state, CASE WHEN id % 7 = 0 THEN 0.25D ELSE 0.75D END AS mean_prob"
+    df = spark.range(n).selectExpr("format_string('run_tsk_%d.hap%d', id div 2, id % 2 + 1) AS run", "'1' AS chrom", "id AS start", "id + 10 AS end", *text.split(", "))
+    writers.decoded(df.repartition(3), at)
+    assert len(list((tmp_path / "together").glob("*.csv"))) <= 3
+    df.limit(20).coalesce(1).write.partitionBy("run").csv(str(tmp_path / "apart"), sep="\t", header=True)
+    got = rows(readers.decoded(spark, at, 0.5, file="run"))
+    assert got == sorted(("chr1", f"MX_{i // 2}_{i % 2 + 1}", i, i + 10, 0.75) for i in range(n) if i % 3 and i % 7)
+    assert set(rows(readers.decoded(spark, str(tmp_path / "apart"), 0.5))) <= set(got)
+
+
 def test_vcf_fasta_files(spark, tmp_path):
     at = put(tmp_path / "x.vcf", "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\n1\t5\t.\tA\tG,T\t.\t.\t.\tGT:DP\t0|2:7\n1\t9\t.\tC\tG\t.\t.\t.\tGT\t./.\n")
     region = spark.createDataFrame([("chr1", 4, 6)], "chrom string, s long, e long")
