@@ -66,6 +66,16 @@ def test_decoded_files_put_together(spark, tmp_path):
     assert set(rows(readers.decoded(spark, str(tmp_path / "apart"), 0.5))) <= set(got)
 
 
+def test_ancestral_bases_are_found_in_small_pieces(spark):
+    seq = "".join("ACGTN"[(i * i + i // 7) % 5] for i in range(3 * readers.PIECE + 5))
+    places = [-1, 0, readers.PIECE - 1, readers.PIECE, 1499, 1500, 2 * readers.PIECE, len(seq) - 1, len(seq), 10**6]
+    sites = spark.createDataFrame([("chr1", p) for p in places], "chrom string, pos long")
+    blocks = readers.blocks_of(spark.createDataFrame([("1", seq)], "contig string, seq string"), 1500)
+    got = readers.ancestral(sites, blocks, 1500)
+    assert rows(got) == sorted(("chr1", p, seq[p] if 0 <= p < len(seq) else ".") for p in places)
+    assert "_piece" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vcf_fasta_files(spark, tmp_path):
     at = put(tmp_path / "x.vcf", "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\n1\t5\t.\tA\tG,T\t.\t.\t.\tGT:DP\t0|2:7\n1\t9\t.\tC\tG\t.\t.\t.\tGT\t./.\n")
     region = spark.createDataFrame([("chr1", 4, 6)], "chrom string, s long, e long")
