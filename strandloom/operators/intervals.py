@@ -118,11 +118,13 @@ def subtract_labelled(tracts: DataFrame, cuts: DataFrame, keys: Sequence[str], w
     rows = tracts.where("s < e").groupBy(*tracts.columns).agg(F.count(F.lit(1)).alias("_n"))
     bins = lambda s, e, name: F.explode(F.expr(f"sequence({s} div {width}, ({e} - 1) div {width})")).alias(name)
     left = rows.select("*", bins("s", "e", "_bin"))
-    right = cuts.where("s < e").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("s").alias("_s"), F.col("e").alias("_e"), bins("s", "e", "_cut_bin"))
-    meets = (F.col("_bin") == F.col("_cut_bin")) & (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e")) & F.expr(f"greatest(s, _s) div {width} = _bin")
-    on = reduce(Column.__and__, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], meets)
-    hole = F.when(F.col("_s").isNotNull(), F.struct(F.greatest("s", "_s").alias("s"), F.least("e", "_e").alias("e")))
-    found = left.join(right, on, "left").groupBy(*tracts.columns, "_n").agg(F.sort_array(F.collect_list(hole)).alias("_holes"))
+    # The cuts of a bin are one value, so a tract meets a row for each of its bins and not one for each cut.
+    right = cuts.where("s < e").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct("s", "e").alias("_cut"), bins("s", "e", "_cut_bin"))
+    right = right.groupBy(*[f"_k{i}" for i in range(len(keys))], "_cut_bin").agg(F.collect_list("_cut").alias("_cuts"))
+    on = reduce(Column.__and__, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin") == F.col("_cut_bin"))
+    meets = f"filter(_cuts, _c -> s < _c.e AND _c.s < e AND greatest(s, _c.s) div {width} = _bin)"
+    holes = F.expr(f"transform({meets}, _c -> named_struct('s', greatest(s, _c.s), 'e', least(e, _c.e)))")
+    found = left.join(right, on, "left").groupBy(*tracts.columns, "_n").agg(F.sort_array(F.flatten(F.collect_list(holes))).alias("_holes"))
     begins, stops = F.concat(F.array("s"), F.col("_holes.e")), F.concat(F.col("_holes.s"), F.array("e"))
     pieces = found.withColumn("_p", F.explode(F.arrays_zip(begins.alias("s"), stops.alias("e"))))
     pieces = pieces.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))

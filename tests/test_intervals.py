@@ -103,3 +103,16 @@ def test_plans_cross_nothing(spark):
     for df in (iv.intersect(a, a, ["k"], 4), iv.subtract(a, a, ["k"]), iv.points_in(a.withColumn("pos", a.s), a, ["k"], 4)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_subtract_labelled_meets_the_cuts_of_a_bin_as_one_row(spark):
+    cuts = [(1, 10 * i + 3, 10 * i + 7 + i % 4) for i in range(200)] + [(2, -50, -40), (2, -5, 12)]
+    tracts = [(1, 0, 2100), (1, 0, 2100), (1, 4, 6), (1, 5, 95), (2, -60, 30), (3, 0, 5), (None, 0, 5)]
+    want = []
+    for k, s, e in tracts:
+        left = [p for p in range(s, e) if not any(k == q and a <= p < b for q, a, b in cuts)]
+        cut = [i for i in range(len(left)) if i == 0 or left[i] != left[i - 1] + 1]
+        want += [(k, left[i], left[j - 1] + 1) for i, j in zip(cut, [*cut[1:], len(left)])]
+    got = iv.subtract_labelled(frame(spark, tracts), frame(spark, cuts), ["k"], 64)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "_cuts" in got._jdf.queryExecution().optimizedPlan().toString()
