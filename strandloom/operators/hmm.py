@@ -131,13 +131,15 @@ def sufficient(gamma: np.ndarray, obs: np.ndarray, exposure: np.ndarray) -> tupl
 
 
 #: Bytes of one [m, n, 5] array of a kernel, about: haplotypes of one length go through it in groups of that size, one at
-#: least. A kernel holds three such arrays.
-KERNEL_BYTES = 64 << 20
+#: least. A kernel holds three such arrays, and its group's rows on their way out.
+KERNEL_BYTES = 4 << 20
+#: Columns that kernels read of packed rows.
+READ = (*OBS, "l_mod", "l_anc")
 
 
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     for b in batches:
-        for n, same in b.groupby(b["win"].map(len), sort=False):
+        for n, same in b.groupby(b[OBS[0]].map(len), sort=False):
             many = max(1, KERNEL_BYTES // (40 * max(n, 1)))
             for part in (same.iloc[lo : lo + many] for lo in range(0, len(same), many)):
                 yield part, *_arrays(part)
@@ -167,6 +169,20 @@ def decode(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_t
     return out.select(*keys, "x.win", "x.s", "x.e", "x.state")
 
 
+#: Probabilities go out as an array for each state: one for each window would be an object in Python for each.
+BY_STATE = ", ".join(f"g{i} array<double>" for i in range(5))
+
+
+def by_state(gamma: np.ndarray) -> dict[str, list[np.ndarray]]:
+    return {f"g{i}": list(np.ascontiguousarray(gamma[:, :, i])) for i in range(5)}
+
+
+def each_window(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row for each window of rows (keys, win, g0..g4, loglik) of arrays."""
+    names = ["win", *(f"g{i}" for i in range(5))]
+    return rows.select(*keys, "loglik", F.explode(F.arrays_zip(*names)).alias("x")).select(*keys, *[F.col(f"x.{n}").alias(n) for n in names], "loglik")
+
+
 def posteriors(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray) -> DataFrame:
     """Rows (keys, win, g0..g4, loglik): state probabilities of each window."""
     lam, trans = np.asarray(rates, float), np.exp(log_trans)
@@ -174,12 +190,11 @@ def posteriors(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], l
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, obs, exposure in _batches(batches):
             gamma, ll = forward_backward(log_emissions(obs, exposure, lam), trans)
-            yield part[[*keys, "win"]].assign(g=[list(x) for x in gamma], loglik=ll)
+            yield part[[*keys, "win"]].assign(**by_state(gamma), loglik=ll)
 
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"win {kinds['win']}", "g array<array<double>>", "loglik double"])
-    out = packed.mapInPandas(run, schema).select(*keys, "loglik", F.explode(F.arrays_zip("win", "g")).alias("x"))
-    return out.select(*keys, F.col("x.win").alias("win"), *[F.get("x.g", F.lit(i)).alias(f"g{i}") for i in range(5)], "loglik")
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"win {kinds['win']}", BY_STATE, "loglik double"])
+    return each_window(packed.select(*keys, "win", *READ).mapInPandas(run, schema), keys)
 
 
 def expectations(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray) -> DataFrame:
@@ -195,7 +210,7 @@ def expectations(packed: DataFrame, keys: Sequence[str], rates: Sequence[float],
             yield out.join(pd.DataFrame(np.hstack([num, den]), columns=names)).assign(loglik=ll)
 
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
-    return packed.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{n} double" for n in names), "loglik double"]))
+    return packed.select(*keys, *READ).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{n} double" for n in names), "loglik double"]))
 
 
 def maximised(rates: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray:

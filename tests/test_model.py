@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,15 @@ def test_tracts(spark, path, split, absorb):
     df = spark.createDataFrame([("h", i, i * 1000, i * 1000 + 1000, x) for i, x in enumerate(path)], "hap string, win long, s long, e long, state int")
     assert sorted(rows(tracts.inclusive(tracts.split_tracts(df, ["hap"])), "Start", "End", "State")) == split
     assert sorted(rows(tracts.inclusive(tracts.absorb_tracts(df, ["hap"])), "Start", "End", "State")) == absorb
+
+
+def test_kernels_take_small_groups_and_give_flat_arrays(spark):
+    """What a worker holds at once is a few MB, whatever the batch, and no object for each window."""
+    n, many = 30, 10_000
+    b = pd.DataFrame({"hap": range(many), **{c: [np.ones(n)] * many for c in hmm.READ}})
+    sizes = [len(part) for part, *_ in hmm._batches(iter([b]))]
+    assert sum(sizes) == many and max(sizes) * n * 40 <= 4 << 20
+    rows_ = spark.range(60).selectExpr("id div 30 AS hap", "id % 30 AS win", "id AS s", "id + 1 AS e", *(f"id % 3 AS {o}" for o in hmm.OBS), "1.0D AS l_mod", "1.0D AS l_anc")
+    got = hmm.posteriors(hmm.pack(rows_, ["hap"]), ["hap"], [0.2, 0.5, 0.6, 0.9, 1.4], np.log(np.full((5, 5), 0.2)))
+    assert "array<array" not in got._jdf.queryExecution().optimizedPlan().treeString() and "g0#" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(abs(sum(r[f"g{i}"] for i in range(5)) - 1) < 1e-9 for r in got.collect()) and got.count() == 60
