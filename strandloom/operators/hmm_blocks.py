@@ -92,9 +92,14 @@ def _kinds(df: DataFrame, *names: str) -> str:
     return ", ".join(f"{n} {kinds[n]}" for n in names)
 
 
+#: What scans give to blocks.
+MET = ("entry", "begins", "after", "last", "exit")
+
+
 def _each(packed: DataFrame, keep: Sequence[str], schema: str, rates: Sequence[float], make: Callable) -> DataFrame:
     """make(part, scores, obs, exposure) -> columns, over groups of blocks of one length; keep of their columns stay."""
     lam = np.asarray(rates, float)
+    packed = packed.select(*dict.fromkeys([*keep, *hmm.READ, *(c for c in packed.columns if c in MET)]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, obs, exposure in hmm._batches(batches):
@@ -103,8 +108,8 @@ def _each(packed: DataFrame, keep: Sequence[str], schema: str, rates: Sequence[f
     return packed.mapInPandas(run, f"{_kinds(packed, *keep)}, {schema}")
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key, whole, of batches that come in order of keys."""
+def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of whole keys, as many as a batch has, of batches that come in order of keys, and where each key begins."""
     held = None
     for b in batches:
         b = b if held is None else pd.concat([held, b], ignore_index=True)
@@ -112,45 +117,51 @@ def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.D
             continue
         now, before = b[list(keys)], b[list(keys)].shift()
         new = ((now != before) & ~(now.isna() & before.isna())).any(axis=1).to_numpy()
-        cuts = np.flatnonzero(new[1:]) + 1
-        for lo, hi in zip(np.concatenate(([0], cuts)), cuts):
-            yield b.iloc[lo:hi]
-        held = b.iloc[cuts[-1] if len(cuts) else 0 :]
+        new[0] = True
+        begins = np.flatnonzero(new)
+        if len(begins) > 1:
+            yield b.iloc[: begins[-1]], begins[:-1]
+        held = b.iloc[begins[-1] :]
     if held is not None:
-        yield held
+        yield held, np.zeros(1, np.int64)
 
 
-def _scan(rows: DataFrame, keys: Sequence[str], schema: str, make: Callable[[pd.DataFrame], dict]) -> DataFrame:
-    """make(blocks in order) -> columns, for each key: a row for each block comes and goes."""
+def _scan(rows: DataFrame, keys: Sequence[str], schema: str, make: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> DataFrame:
+    """make(columns) -> columns, for all keys of a batch that have as many blocks: columns are arrays [keys, blocks in order,
+    ...], so a step along the blocks is one vector operation. A row for each block comes and goes."""
     keep = [*keys, "block"]
+    read = [c for c in rows.columns if c not in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, n = [], 0
-        for pdf in _runs(batches, keys):
-            made.append(pdf[keep].assign(**make(pdf)))
-            n += len(pdf)
-            if n > 4096:
-                yield pd.concat(made)
-                made, n = [], 0
-        if made:
-            yield pd.concat(made)
+        for b, begins in _runs(batches, keys):
+            sizes = np.diff(np.append(begins, len(b)))
+            for n in np.unique(sizes):
+                at = (begins[sizes == n][:, None] + np.arange(n)).ravel()
+                part = b.iloc[at]
+                made = make({c: np.stack(part[c].to_list()).reshape(len(at) // n, n, *np.shape(part[c].iloc[0])) for c in read})
+                yield part[keep].assign(**{c: list(x.reshape(len(at), *x.shape[2:])) for c, x in made.items()})
 
     return rows.repartition(*keys).sortWithinPartitions(*keep).mapInPandas(run, f"{_kinds(rows, *keep)}, {schema}")
 
 
+def _first(k: int, n: int) -> np.ndarray:
+    return np.repeat(np.arange(n)[None] == 0, k, 0)
+
+
 def decode(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray, mask: bool = True) -> DataFrame:
     """hmm.decode over blocks. packed is read three times and should be cached; on (keys, block) it is not dealt anew."""
     trans, at = whole(log_trans), [*keys, "block"]
     made = _each(packed, at, "m array<bigint>", rates, lambda part, score, *_: {"m": list(best_products(whole(score), trans).reshape(len(part), 25))})
 
-    def entries(pdf: pd.DataFrame) -> dict:
-        out, v = [], np.zeros(5, np.int64)
-        for i, m in enumerate(pdf["m"]):
-            out.append(v)
-            before = (v[:, None] + trans).max(0) if i else v
-            v = (before[:, None] + np.reshape(m, (5, 5))).max(0)
-            v = v - v.max()
-        return {"entry": out, "begins": [i == 0 for i in range(len(out))], "last": int(v.argmax())}
+    def entries(x: dict) -> dict:
+        k, n, _ = x["m"].shape
+        m, out, v = x["m"].reshape(k, n, 5, 5), np.zeros((k, n, 5), np.int64), np.zeros((k, 5), np.int64)
+        for i in range(n):
+            out[:, i] = v
+            before = (v[:, :, None] + trans).max(1) if i else v
+            v = (before[:, :, None] + m[:, i]).max(1)
+            v = v - v.max(1, keepdims=True)
+        return {"entry": out, "begins": _first(k, n), "last": np.repeat(v.argmax(1).astype(np.int32)[:, None], n, 1)}
 
     entered = _scan(made, keys, "entry array<bigint>, begins boolean, last int", entries)
     met = packed.join(entered, at)
@@ -171,12 +182,13 @@ def decode(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_t
         b = back(part, score)
         return {"led": list(np.stack([traced(b, np.full(len(part), q))[1] for q in range(5)], 1).astype(np.int32))}
 
-    def exits(pdf: pd.DataFrame) -> dict:
-        out, q = [], int(pdf["last"].iloc[-1])
-        for m in pdf["led"].iloc[::-1]:
-            out.append(q)
-            q = int(m[q])
-        return {"exit": out[::-1]}
+    def exits(x: dict) -> dict:
+        k, n, _ = x["led"].shape
+        out, q = np.zeros((k, n), np.int32), x["last"][:, -1]
+        for i in range(n - 1, -1, -1):
+            out[:, i] = q
+            q = x["led"][np.arange(k), i, q]
+        return {"exit": out}
 
     left = _scan(_each(met, [*at, "last"], "led array<int>", rates, led), keys, "exit int", exits)
 
@@ -203,21 +215,21 @@ def _entered(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], tra
         total, logs = total_products(like, trans)
         return {"m": list(total.reshape(len(part), 25)), "logs": list(logs + top[:, None])}
 
-    def scan(pdf: pd.DataFrame) -> dict:
-        blocks = [(np.reshape(m, (5, 5)), np.asarray(x)) for m, x in zip(pdf["m"], pdf["logs"])]
-        entry, after, ll, v = [], [], 0.0, np.full(5, 0.2)
-        for i, (m, logs) in enumerate(blocks):
-            entry.append(v)
+    def scan(x: dict) -> dict:
+        k, n, _ = x["logs"].shape
+        m, logs, entry, after = x["m"].reshape(k, n, 5, 5), x["logs"], np.empty((k, n, 5)), np.empty((k, n, 5))
+        ll, v, beta = np.zeros(k), np.full((k, 5), 0.2), np.ones((k, 5))
+        for i in range(n):
+            entry[:, i] = v
             w = v @ trans if i else v
-            top = logs[w > 0].max()
-            v = (w * np.exp(np.minimum(logs - top, 0.0))) @ m
-            ll, v = ll + top + np.log(v.sum()), v / v.sum()
-        beta = np.ones(5)
-        for m, logs in reversed(blocks):
-            after.append(beta)
-            beta = trans @ (np.exp(logs - logs.max()) * (m @ beta))
-            beta = beta / beta.max()
-        return {"entry": entry, "begins": [i == 0 for i in range(len(entry))], "after": after[::-1], "loglik": ll}
+            top = np.where(w > 0, logs[:, i], -np.inf).max(1)
+            v = ((w * np.exp(np.minimum(logs[:, i] - top[:, None], 0.0)))[:, None] @ m[:, i])[:, 0]
+            ll, v = ll + top + np.log(v.sum(1)), v / v.sum(1, keepdims=True)
+        for i in range(n - 1, -1, -1):
+            after[:, i] = beta
+            beta = (np.exp(logs[:, i] - logs[:, i].max(1, keepdims=True)) * (m[:, i] @ beta[:, :, None])[:, :, 0]) @ trans.T
+            beta = beta / beta.max(1, keepdims=True)
+        return {"entry": entry, "begins": _first(k, n), "after": after, "loglik": np.repeat(ll[:, None], n, 1)}
 
     at = [*keys, "block"]
     made = _each(packed, at, "m array<double>, logs array<double>", rates, products)
@@ -235,9 +247,8 @@ def _smoothed(part: pd.DataFrame, score: np.ndarray, trans: np.ndarray) -> tuple
 def posteriors(packed: DataFrame, keys: Sequence[str], rates: Sequence[float], log_trans: np.ndarray) -> DataFrame:
     """hmm.posteriors over blocks."""
     trans = np.exp(log_trans)
-    made = _each(_entered(packed, keys, rates, trans), [*keys, "win", "loglik"], "g array<array<double>>", rates, lambda part, score, *_: {"g": [list(g) for g in _smoothed(part, score, trans)[0]]})
-    out = made.select(*keys, "loglik", F.explode(F.arrays_zip("win", "g")).alias("x"))
-    return out.select(*keys, F.col("x.win").alias("win"), *[F.get("x.g", F.lit(i)).alias(f"g{i}") for i in range(5)], "loglik")
+    made = _each(_entered(packed, keys, rates, trans), [*keys, "win", "loglik"], hmm.BY_STATE, rates, lambda part, score, *_: hmm.by_state(_smoothed(part, score, trans)[0]))
+    return hmm.each_window(made, keys)
 
 
 SUMS = [*(f"num{i}" for i in range(5)), *(f"den{i}" for i in range(5))]

@@ -106,3 +106,19 @@ def test_a_stopped_run_goes_on(spark, data, tmp_path, refit):
 
 def test_runs_over_blocks(data):
     assert rows(fixed_run(data, KEYS, RATES, T.log_matrix(), None, 1000, block=30)) == rows(fixed_run(data, KEYS, RATES, T.log_matrix(), None, 1000))
+
+
+def test_scans_step_along_the_blocks_of_many_keys_at_once(spark):
+    """Keys of 1 to 3 blocks, null too: a call has all keys of a batch with as many blocks, and rows of a key stay in order."""
+    df = spark.range(600).selectExpr("nullif(id div 3, 7) AS k", "id % 3 AS block", "array(cast(id AS double), 1D) AS m").where("block <= coalesce(k, 0) % 3")
+
+    def made(x):
+        k, n, _ = x["m"].shape
+        return {"seen": x["m"][:, :, 0].cumsum(1), "keys": np.full((k, n), k)}
+
+    got = hmm_blocks._scan(df.coalesce(1), ["k"], "seen double, keys int", made).collect()
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (-1 if r.k is None else r.k, r.block)):
+        want[r.k, r.block] = want.get((r.k, r.block - 1), 0) + r.m[0]
+    assert {(r.k, r.block): r.seen for r in got} == want and len(got) == len(want)
+    assert sum(r["keys"] == 1 for r in got) < 30  # the last key of a task may come alone
