@@ -153,7 +153,7 @@ class Coder:
         tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
         start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": tok})  # noqa: F841 (DuckDB reads it)
         got = self.db.sql(SHORT_ROUNDS).to_arrow_table()
-        return zip(*(got.column(c).to_pylist() for c in ("w", "ids", "text")), strict=True)
+        return zip(*(got.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("w", "ids", "text")), strict=True)
 
     def learn(self, new: list[str]) -> None:
         """Adds the ids of words, and what they decode to, which the same ordered aggregation tells. A word that is a token
