@@ -6,6 +6,9 @@ dealt out, to find those; then, of windows with such anchors, the stretches of t
 in one place. Each block first settles what its own documents show, and sends no window twice, so that the copies of a
 passage travel once for each block that has it.
 
+What is dealt out meets in buckets. Their number follows the measured length of all texts, so a task holds one bucket of
+bounded size at a time, however few shuffle partitions there are.
+
 suffix_array() orders suffixes by linear grouping construction; README says why the query does not sort with it.
 """
 
@@ -21,8 +24,11 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import written
 
-#: Length of the strings, of the anchors, text in a block, windows that are hashed at once.
-WINDOW, ANCHOR, BLOCK, SLICE = 50, 26, 2_000_000, 1 << 20
+#: Length of the strings, of the anchors, text in a block, windows that are hashed at once: their arrays stay in a core's cache.
+WINDOW, ANCHOR, BLOCK, SLICE = 50, 26, 2_000_000, 1 << 15
+#: Text for each bucket in which windows meet (anchors: four times that), bytes that wait in a task until they are dealt
+#: out or found places are sent back, and windows of a bucket that are compared at once.
+BUCKET, HELD, COMPARED = 8_000_000, 16 << 20, 4 << 20
 #: Results up to so many bytes, measured, are broadcast to the blocks that they belong to; larger ones are joined.
 BROADCAST_BYTES = 48 << 20
 LAST = (1 << 63) - 1
@@ -173,7 +179,7 @@ def earlier(h: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Rows (block, dids, sizes, data) of consecutive documents, data compressed; a longer document is a block of its own."""
+    """Rows (block, bytes, dids, sizes, data) of consecutive documents, data compressed; a longer document is a block of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -182,7 +188,7 @@ def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
         def block() -> pd.DataFrame:
             sizes = np.fromiter(map(len, texts), "<i8", len(texts))
-            return pd.DataFrame({"block": [number], "dids": [np.array(dids, "<i8").tobytes()], "sizes": [sizes.tobytes()], "data": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]})
+            return pd.DataFrame({"block": [number], "bytes": [held], "dids": [np.array(dids, "<i8").tobytes()], "sizes": [sizes.tobytes()], "data": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]})
 
         for b in batches:
             for did, text in zip(b["did"].tolist(), b["text"].tolist(), strict=True):
@@ -197,32 +203,93 @@ def pack_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             yield block()
 
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "block long, dids binary, sizes binary, data binary")
-
-
-def dealt(block: int, bucket: np.ndarray, buckets: int, keys: np.ndarray, places: np.ndarray) -> Iterator[dict]:
-    """Keys and ascending places cut by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if cuts[k] < cuts[k + 1]:
-            pick = order[cuts[k] : cuts[k + 1]]
-            yield {"bucket": k, "block": block, "data": squeeze(keys[pick], steps(places[pick]))}
-
-
-def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list]]:
-    """(bucket, blocks, blobs) of rows sorted by bucket."""
+    return rows.mapInPandas(run, "block long, bytes long, dids binary, sizes binary, data binary")
+
+
+class Dealer:
+    """Entries of several blocks, cut by bucket: rows (bucket, block, data), where data has the blocks, how many entries each
+    has, their places as steps, their other columns and their texts. One row for several blocks keeps rows few and long."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.parts = buckets, 0, []
+
+    def add(self, block: int, bucket: np.ndarray, place: np.ndarray, columns: list[np.ndarray], text: np.ndarray, sizes: np.ndarray) -> None:
+        """Entries of a block by ascending place, their texts one after another."""
+        part = [bucket.astype("<i4"), place.astype("<u4"), *columns, sizes.astype("<i4")]
+        self.parts.append((block, part, text))
+        self.held += sum(x.nbytes for x in part) + text.nbytes
+
+    def rows(self) -> pd.DataFrame:
+        """All that was added since the last call."""
+        blocks, parts, texts = zip(*self.parts, strict=True)
+        bucket, place, *columns, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        text, owner = np.concatenate(texts), np.repeat(np.arange(len(blocks)), [len(x[0]) for x in parts])
+        self.parts, self.held = [], 0
+        order = np.argsort(bucket, kind="stable")
+        bucket, place, owner = bucket[order], place[order], owner[order]
+        step = np.diff(place.astype("<i8"), prepend=0)
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(bucket) != 0) | (np.diff(owner) != 0)))[: len(bucket)])
+        step[first] = place[first]
+        counts = np.diff(np.concatenate((first, [len(bucket)])))
+        begin = np.cumsum(sizes, dtype=np.int64) - sizes
+        numbers, out = np.array(blocks, "<i8"), []
+        present = bucket[np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0))[: len(bucket)])]
+        for k in present.tolist():
+            lo, hi = np.searchsorted(bucket, (k, k + 1))
+            i, j = np.searchsorted(first, (lo, hi))
+            pick = order[lo:hi]
+            words = text[ranges(begin[pick], begin[pick] + sizes[pick])]
+            out.append((k, blocks[0], b"\1" + squeeze(numbers[owner[first[i:j]]], counts[i:j].astype("<u4"), step[lo:hi].astype("<u4"), *[c[pick] for c in columns], words)))
+        return pd.DataFrame(out, columns=["bucket", "block", "data"])
+
+
+def undealt(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a bucket's data: block and place of each entry, and the other columns."""
+    block, place, rest = [], [], []
+    for x in blobs:
+        numbers, counts, step, *columns = spread(x[1:])
+        at, ends = np.cumsum(step, dtype=np.int64), np.cumsum(counts, dtype=np.int64)
+        place.append(at - np.repeat(np.concatenate(([0], at[ends[:-1] - 1])), counts))
+        block.append(np.repeat(numbers, counts))
+        rest.append(columns)
+    return np.concatenate(block), np.concatenate(place), [np.concatenate(c) for c in zip(*rest, strict=True)]
+
+
+class Found:
+    """Places of blocks, from several buckets: rows (block, data)."""
+
+    def __init__(self, blob):
+        self.blob, self.held, self.parts = blob, 0, []
+
+    def add(self, block: np.ndarray, place: np.ndarray) -> None:
+        self.parts.append((block, place))
+        self.held += block.nbytes + place.nbytes
+
+    def rows(self) -> pd.DataFrame:
+        """All that was added since the last call: of each block's ascending distinct places, what blob makes."""
+        block, place = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 2
+        self.parts, self.held = [], 0
+        order = np.lexsort((place, block))
+        block, place = block[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(block) != 0))[: len(block)])
+        ends = np.append(first[1:], len(block))[: len(first)]
+        out = [(int(block[i]), self.blob(np.unique(place[i:j]))) for i, j in zip(first, ends, strict=True)]
+        return pd.DataFrame(out, columns=["block", "data"])
+
+
+def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+    """(blocks, blobs) of each bucket, of rows sorted by bucket."""
     now, blocks, blobs = None, [], []
     for b in batches:
         for k, block, data in zip(b["bucket"].tolist(), b["block"].tolist(), b["data"].tolist(), strict=True):
             if k != now and blobs:
-                yield now, blocks, blobs
+                yield blocks, blobs
                 blocks, blobs = [], []
             now = k
             blocks.append(block)
             blobs.append(data)
     if blobs:
-        yield now, blocks, blobs
+        yield blocks, blobs
 
 
 DEALT = "bucket int, block long, data binary"
@@ -236,6 +303,7 @@ def shared_anchors(blocks: DataFrame, buckets: int, window: int, anchor: int) ->
     """(block, data): places of anchors whose 26-gram another block has too."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, none = Dealer(buckets), np.zeros(0, np.uint8)
         for b in batches:
             for row in b.itertuples(index=False):
                 h, place, _, _ = Block(row.dids, row.sizes, row.data, window, anchor).anchors()
@@ -246,23 +314,25 @@ def shared_anchors(blocks: DataFrame, buckets: int, window: int, anchor: int) ->
                 h, place = h[order], place[order]
                 # 32 bits within a bucket: two hashes that fall together only ask for text in vain.
                 key = (h // np.uint64(buckets) & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield pd.DataFrame(dealt(row.block, (h % np.uint64(buckets)).astype(np.int64), buckets, key, place), columns=["bucket", "block", "data"])
+                out.add(row.block, h % np.uint64(buckets), place, [key], none, np.zeros(len(h)))
+                if out.held >= HELD:
+                    yield out.rows()
+        if out.parts:
+            yield out.rows()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, numbers, blobs in by_bucket(batches):
-            parts = [spread(x) for x in blobs]
-            key = np.concatenate([p[0] for p in parts])
-            owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
-            place = np.concatenate([np.cumsum(p[1], dtype=np.int64) for p in parts])
+        found = Found(lambda place: squeeze(steps(place)))
+        for _, blobs in by_bucket(batches):
+            block, place, (key, _) = undealt(blobs)
             order = np.argsort(key)
             same = key[order][1:] == key[order][:-1]
             hit = np.zeros(len(key), bool)
             hit[order[1:][same]] = True
             hit[order[:-1][same]] = True
-            cuts = np.searchsorted(owner[hit], np.arange(len(parts) + 1))
-            place = place[hit]
-            out = [(numbers[i], squeeze(steps(place[cuts[i] : cuts[i + 1]]))) for i in range(len(parts)) if cuts[i] < cuts[i + 1]]
-            yield pd.DataFrame(out, columns=["block", "data"])
+            found.add(block[hit], place[hit])
+            if found.held >= HELD:
+                yield found.rows()
+        yield found.rows()
 
     return meet(blocks.mapInPandas(send, DEALT), find, "block long, data binary")
 
@@ -271,6 +341,7 @@ def repeated_windows(blocks: DataFrame, places: DataFrame, buckets: int, window:
     """(block, data): runs of windows that a document with a smaller id has. places: (block, found) of shared anchors."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = Dealer(buckets)
         for b in batches:
             for row in b.itertuples(index=False):
                 own = Block(row.dids, row.sizes, row.data, window, anchor)
@@ -289,47 +360,63 @@ def repeated_windows(blocks: DataFrame, places: DataFrame, buckets: int, window:
                 late, lead = earlier(hashes, did)
                 check = np.flatnonzero(late)
                 late[check] = same_bytes(own.data, at[check], at[lead[check]], window)
-                rows = []
                 if late.any():
-                    rows.append({"bucket": int(row.block % buckets), "block": row.block, "data": b"\0" + squeeze(*runs(np.unique(at[late])))})
+                    yield pd.DataFrame([(int(row.block % buckets), row.block, b"\0" + squeeze(*runs(np.unique(at[late]))))], columns=["bucket", "block", "data"])
                 # One run for each window of the earliest document is sent; what it is told holds for all equal windows.
                 sent = np.zeros(len(h), bool)
                 sent[run[np.unique(lead)]] = True
                 h, start, end = h[sent], start[sent], end[sent]
-                text_bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(text_bucket, kind="stable")
-                cuts = np.searchsorted(text_bucket[order], np.arange(buckets + 1))
-                docs = own.dids[own.doc_of(start)]
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    pick = order[cuts[k] : cuts[k + 1]]
-                    text = own.data[ranges(start[pick], end[pick] + window - 1)]
-                    rows.append({"bucket": k, "block": row.block, "data": b"\1" + squeeze(docs[pick], steps(start[pick]), (end[pick] - start[pick]).astype("<u2"), text)})
-                yield pd.DataFrame(rows, columns=["bucket", "block", "data"])
+                sizes = end - start
+                out.add(row.block, h % np.uint64(buckets), start, [own.dids[own.doc_of(start)], sizes.astype("<u2")], own.data[ranges(start, end + window - 1)], sizes + window - 1)
+                if out.held >= HELD:
+                    yield out.rows()
+        if out.parts:
+            yield out.rows()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, numbers, blobs in by_bucket(batches):
-            out = [(n, x) for n, x in zip(numbers, blobs, strict=True) if x[:1] == b"\0"]
-            ask = [(n, spread(x[1:])) for n, x in zip(numbers, blobs, strict=True) if x[:1] == b"\1"]
-            if len(ask) > 1:
-                counts = np.concatenate([p[2] for _, p in ask]).astype(np.int64)
-                text = np.concatenate([p[3] for _, p in ask])
-                ends = np.cumsum(counts + window - 1)
-                at = ranges(ends - counts - window + 1, ends - window + 1)
-                did = np.repeat(np.concatenate([p[0] for _, p in ask]), counts)
-                late, lead = earlier(windows_at(text, at, window), did)
-                check = np.flatnonzero(late)
-                late[check] = windows_at(text, at[check], window, 1) == windows_at(text, at[lead[check]], window, 1)
-                begin = np.concatenate([np.cumsum(p[1], dtype=np.int64) for _, p in ask])
-                place = ranges(begin, begin + counts)
-                owner = np.repeat(np.arange(len(ask)), [int(p[2].sum(dtype=np.int64)) for _, p in ask])
-                cuts = np.searchsorted(owner[late], np.arange(len(ask) + 1))
-                place = place[late]
-                out += [(ask[i][0], b"\1" + squeeze(*runs(np.unique(place[cuts[i] : cuts[i + 1]])))) for i in range(len(ask)) if cuts[i] < cuts[i + 1]]
-            yield pd.DataFrame(out, columns=["block", "data"])
+        found = Found(lambda place: b"\1" + squeeze(*runs(place)))
+        for numbers, blobs in by_bucket(batches):
+            own = [(n, x) for n, x in zip(numbers, blobs, strict=True) if x[:1] == b"\0"]
+            if own:
+                yield pd.DataFrame(own, columns=["block", "data"])
+            ask = [x for x in blobs if x[:1] == b"\1"]
+            if ask:
+                block, begin, (did, counts, text) = undealt(ask)
+                counts = counts.astype(np.int64)
+                for which, run in late_windows(text, counts, did, window):
+                    found.add(block[run], begin[run] + which - (np.cumsum(counts) - counts)[run])
+                    if found.held >= HELD:
+                        yield found.rows()
+        yield found.rows()
 
     return meet(joined(blocks, places).mapInPandas(send, DEALT), find, "block long, data binary")
 
 
+def late_windows(text: np.ndarray, counts: np.ndarray, did: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of runs of windows, each with its own text: the number of each window that a smaller did has too, and of its run.
+    More than COMPARED windows are compared in several passes over their hashes, so a crowded bucket costs time, not memory."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    passes = max(1, -(-total // COMPARED))
+    cuts = np.unique(np.concatenate((np.searchsorted(ends, np.arange(0, total, SLICE), "right"), [len(ends)])))
+    for turn in range(passes):
+        parts = []
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            run = np.repeat(np.arange(i, j), counts[i:j])
+            number = np.arange(ends[i] - counts[i], ends[j - 1])
+            low = number[0] + i * (window - 1)
+            h = windows_at(text[low : ends[j - 1] + j * (window - 1)], number + run * (window - 1) - low, window)
+            mine = slice(None) if passes == 1 else h % np.uint64(passes) == turn
+            parts.append((h[mine], number[mine], run[mine].astype("<i4")))
+        if not parts:
+            return
+        h, number, run = (np.concatenate(x) for x in zip(*parts, strict=True))
+        late, lead = earlier(h, did[run])
+        at, check = number + run.astype(np.int64) * (window - 1), np.flatnonzero(late)
+        late[check] = windows_at(text, at[check], window, 1) == windows_at(text, at[lead[check]], window, 1)
+        yield number[late], run[late]
+
+
 def windows_at(data: np.ndarray, at: np.ndarray, window: int, seed: int = 0) -> np.ndarray:
     """Hashes of the windows that begin at the given places; data is hashed slice by slice."""
     out = np.zeros(len(at), np.uint64)
@@ -367,10 +454,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     not be valid UTF-8. An empty table gives no rows. Equal windows of one block are held to their bytes, those of several to two
     64-bit hashes."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(pack_blocks(docs, block), "op10-blocks")
-    places = shared_anchors(blocks, buckets, window, anchor)
-    found = repeated_windows(blocks, places, buckets, window, anchor)
+    total, least = blocks.agg(F.sum("bytes")).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = [max(least, -(-total // size)) for size in (4 * BUCKET, BUCKET)]
+    places = shared_anchors(blocks, buckets[0], window, anchor)
+    found = repeated_windows(blocks, places, buckets[1], window, anchor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib

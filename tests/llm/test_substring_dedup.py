@@ -69,3 +69,44 @@ def test_same_bytes():
     lead = np.concatenate((np.arange(0, 120), np.arange(0, 100), np.arange(400, 500)))
     want = [bytes(data[a : a + 20]) == bytes(data[b : b + 20]) for a, b in zip(at, lead, strict=True)]
     assert sd.same_bytes(data, at, lead, 20).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_buckets_stay_small(spark, monkeypatch):
+    """With the same shuffle partitions, eight times the text meets in more buckets, not in larger ones."""
+    monkeypatch.setattr(sd, "BUCKET", 10_000, raising=False)
+    most, meet = [], sd.meet
+
+    def watched(rows, function, schema):
+        most.append(rows.selectExpr("bucket", "length(data) AS n").groupBy("bucket").sum("n").agg({"sum(n)": "max"}).first()[0])
+        return meet(rows, function, schema)
+
+    monkeypatch.setattr(sd, "meet", watched)
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(600)) for _ in range(240)]
+    data = [(i, t) for k in (0, 1000) for i, t in enumerate(texts, k)]
+    for part in (data[:30] + data[240:270], data):
+        got = sd.substring_dedup(spark.createDataFrame(part, "doc_id long, text string").repartition(3), block=20_000)
+        assert {(r.doc_id >= 1000, r.n_bytes, r.n_removed, r.n_spans) for r in got.collect()} == {(False, 600, 0, 0), (True, 600, 600, 1)}
+    assert max(most[2:]) < 2 * max(most[:2])
+
+
+def test_crowded_bucket(monkeypatch):
+    """Windows are compared in passes, and slice by slice, with the same result."""
+    rng = np.random.default_rng(6)
+    counts = rng.integers(1, 26, 500)
+    starts = np.concatenate(([0], np.cumsum(counts + 7)))
+    text = rng.integers(97, 99, starts[-1], dtype=np.uint8)
+    did = rng.integers(0, 40, 500)
+    windows = [(text[a + i : a + i + 8].tobytes(), d) for a, n, d in zip(starts.tolist(), counts.tolist(), did.tolist(), strict=False) for i in range(n)]
+    first = {}
+    for w, d in windows:
+        first[w] = min(first.get(w, d), d)
+    want = [i for i, (w, d) in enumerate(windows) if first[w] < d]
+    for compared, piece in ((1 << 20, 1 << 20), (1000, 1 << 20), (1000, 300)):
+        monkeypatch.setattr(sd, "COMPARED", compared)
+        monkeypatch.setattr(sd, "SLICE", piece)
+        found = list(sd.late_windows(text, counts, did, 8))
+        assert len(found) == max(1, -(-len(windows) // compared)) and sorted(np.concatenate([n for n, _ in found]).tolist()) == want
+        for n, run in found:
+            assert (np.searchsorted(np.cumsum(counts), n, "right") == run).all()
+    assert 0 < len(want) < len(windows)
